@@ -25,6 +25,8 @@ from .word_hashes import blocks, mix64, sums_by_row
 END_HASH = np.uint64(0x5BD1E9955BD1E995)
 #: Entries that a task gathers before it merges them.
 MERGE_ENTRIES = 2_000_000
+#: Words whose statistics one task puts together, about.
+HOME_WORDS = 500_000
 HELD_OUT_MODULUS, HELD_OUT = 7, 2
 
 
@@ -241,6 +243,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         yield _part_batch([(i, keys[order[s]], n[order[s]].astype(np.uint32)) for i, s in _slices(shard[order], shards)])
 
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    # Runs of vocabulary shards with about HOME_WORDS words each: one task puts a run's statistics together.
+    home_of = (offsets[:-1] // HOME_WORDS).astype(np.int64)
+    homes = int(home_of[-1]) + 1
 
     def write_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = _merged([np.frombuffer(b, np.uint64) for b in pdf["keys"]], [np.frombuffer(b, np.uint32).astype(np.uint64) for b in pdf["counts"]])
@@ -253,8 +258,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         some = [np.add.reduceat((n == k) if k < 3 else (n >= 3), start, dtype=np.uint32) for k in (1, 2, 3)]
         rows = []
         for kind, ids, values in ((0, words, [preceded.astype(np.uint32)]), (1, left[start], some)):
-            home = np.searchsorted(offsets, ids, side="right") - 1
-            for i, s in _slices(home, shards):
+            home = home_of[np.searchsorted(offsets, ids, side="right") - 1]
+            for i, s in _slices(home, homes):
                 rows.append((shard, len(keys), _count_of_counts(n), i, kind, ids[s].astype(np.int64).tobytes(), np.stack([v[s] for v in values], 1).tobytes()))
         return pd.DataFrame(rows, columns=["shard", "n", "ns", "home", "kind", "ids", "values"])
 
@@ -272,16 +277,20 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     def write_stats(pdf: pd.DataFrame) -> pd.DataFrame:
         home = int(pdf["home"].iloc[0])
-        follows, after = np.zeros(sizes[home], np.uint32), np.zeros((sizes[home], 3))
+        own = np.flatnonzero(home_of == home)
+        start, end = int(offsets[own[0]]), int(offsets[own[-1] + 1])
+        follows, after = np.zeros(end - start, np.uint32), np.zeros((end - start, 3), np.uint32)
         for kind, ids, values in zip(pdf["kind"], pdf["ids"], pdf["values"]):
-            at = np.frombuffer(ids, np.int64) - offsets[home]  # distinct within a row
+            at = np.frombuffer(ids, np.int64) - start  # distinct within a row
             if kind == 0:
                 follows[at] += np.frombuffer(values, np.uint32)
             else:
                 after[at] += np.frombuffer(values, np.uint32).reshape(-1, 3)
-        count = np.asarray(shared_arrays.mapped(f"{url}/counts-{home}", np.uint64, sizes[home]), dtype=np.float64)
-        shared_arrays.write(f"{url}/follows-{home}", follows)
-        shared_arrays.write(f"{url}/rests-{home}", after @ d / np.maximum(count, 1))
+        for i in own.tolist():
+            part = slice(int(offsets[i]) - start, int(offsets[i + 1]) - start)
+            count = np.asarray(shared_arrays.mapped(f"{url}/counts-{i}", np.uint64, sizes[i]), dtype=np.float64)
+            shared_arrays.write(f"{url}/follows-{i}", follows[part])
+            shared_arrays.write(f"{url}/rests-{i}", after[part] @ d / np.maximum(count, 1))
         return pd.DataFrame({"total": [int(follows.sum())], "ns": [_count_of_counts(follows)], "more": [int((follows >= 3).sum())]})
 
     low, more = np.zeros(4, np.int64), 0
