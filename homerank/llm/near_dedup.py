@@ -20,8 +20,9 @@ LEAST = 80
 VALUES = 64
 #: Share of linked pairs that meet in some tree.
 TARGET_RECALL = 0.9995
-#: Nodes up to this size are compared exhaustively; larger ones branch on.
+#: Nodes up to this size, also by the bytes of their sets, are compared exhaustively; larger ones branch on.
 LEAF = 4_000
+LEAF_BYTES = 100 << 20
 #: Levels by which a large node branches at once, and how often.
 DEEPER, ROUNDS = 4, 3
 #: Pairs whose estimate lies this many standard deviations below the threshold are still confirmed on the full sets.
@@ -91,57 +92,65 @@ def _roots(trees: int) -> np.ndarray:
 
 
 def _node_rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """node, rep for each class and tree, `depth` levels below the root."""
+    """tree, node, rep, n_shingles for each class and tree, `depth` levels below the root."""
     roots = _roots(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
-            for root in roots:
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
+            for tree, root in enumerate(roots):
                 node = _descend(np.full(len(values), root, np.uint64), values, depth)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0)], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree, np.int32)), pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], ["tree", "node", "rep", "n_shingles"])
+
+    return classes.select("rep", "n_shingles", "values").mapInArrow(run, _NODE_ROW)
 
-    return classes.select("rep", "values").mapInArrow(run, "node bigint, rep bigint")
+
+_NODE_ROW = "tree int, node bigint, rep bigint, n_shingles bigint"
 
 
 def _branch(rows: DataFrame, levels: int) -> DataFrame:
-    """node, rep some levels further down, from node, rep, values."""
+    """The rows of _node_rows some levels further down; they come with their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
-            node = _descend(batch.column(0).to_numpy().view(np.uint64), values, levels)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1)], ["node", "rep"])
+            values = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, VALUES)
+            node = _descend(batch.column(1).to_numpy().view(np.uint64), values, levels)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), batch.column(2), batch.column(3)], ["tree", "node", "rep", "n_shingles"])
 
-    return rows.select("node", "rep", "values").mapInArrow(run, "node bigint, rep bigint")
+    return rows.select("tree", "node", "rep", "n_shingles", "values").mapInArrow(run, _NODE_ROW)
 
 
-def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
-    """(node, rep, n) of all nodes with 2 to `leaf` members, and (node, rep) of those that stay larger after all rounds.
+def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, node, rep) of all small nodes with two members or more, and (node, rep) of those that stay larger after all rounds.
 
     Node sizes come from a map-side aggregation, so a node with a third of all rows is no hot group; the sizes are written
     and joined back on the node, which adaptive execution splits where a node is hot.
     """
     level, small, last = _node_rows(classes, trees, depth), None, None
     for at in range(rounds + 1):
-        sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node-sizes")
+        sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).filter("n > 1"), "node-sizes")
         members = materialize(level.join(sizes, "node"), "node-members")
-        part = members.filter(F.col("n") <= leaf)
+        fits = (F.col("n") <= leaf) & (F.col("bytes") <= leaf_bytes)
+        part = members.filter(fits).select("tree", "node", "rep")
         small = part if small is None else small.unionByName(part)
-        last = members.filter(F.col("n") > leaf).select("node", "rep")
+        last = members.filter(~fits)
         if last.isEmpty():
             return small, None
         if at < rounds:
             level = _branch(last.join(classes.select("rep", "values"), "rep"), DEEPER)
-    return small, last
+    return small, last.select("node", "rep")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from one byte of each MinHash value."""
-    same = (a == b).mean(-1)
+    same = np.count_nonzero(a == b, axis=-1) / VALUES
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
+#: Estimates from here on are confirmed.
+_LEAST_ESTIMATE = LEAST / 100 - DEVIATIONS * math.sqrt(LEAST / 100 * (1 - LEAST / 100) / VALUES)
+
+
 class _Forest:
     """Union-find over small integers."""
 
@@ -153,86 +162,137 @@ class _Forest:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _node_pairs(reps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, group: np.ndarray, least: float, every: bool) -> list[tuple[int, int]]:
-    """Pairs of one node to confirm. Its members are compared exhaustively by size and estimate.
-
-    With `every`, all candidate pairs of different groups; else the edges of a maximum spanning forest of the candidates.
-    """
-    n, out = len(reps), []
-    forest = _Forest(n)
-    for i in range(n - 1):
-        rest = slice(i + 1, n)
-        fits = (np.minimum(sizes[i], sizes[rest]) * 100 >= LEAST * np.maximum(sizes[i], sizes[rest])) & (group[i] != group[rest])
-        j = np.flatnonzero(fits)
-        if not len(j):
-            continue
-        estimate = _estimate(sketch[i + 1 + j], sketch[i])
-        near = estimate >= least
-        out += zip(estimate[near].tolist(), [i] * int(near.sum()), (j[near] + i + 1).tolist())
-        if not every and len(out) > 8 * n:
-            out = [x for x in sorted(out, reverse=True) if forest.join(x[1], x[2])]
-            forest = _Forest(n)
-    if not every:
-        out = [x for x in sorted(out, reverse=True) if forest.join(x[1], x[2])]
-    return [(min(a, b), max(a, b)) for a, b in ((int(reps[i]), int(reps[j])) for _, i, j in out)]
-
-
-def _candidate_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs a < b of class representatives that meet in a node and look similar enough to be confirmed.
-
-    members: (node, rep) of nodes up to LEAF. labels: (rep, component); with them only pairs of different components.
-    """
-    t = LEAST / 100
-    least, every = t - DEVIATIONS * math.sqrt(t * (1 - t) / VALUES), labels is not None
-    rows = members.select("node", "rep").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    if labels is not None:
-        rows = rows.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        rows = rows.withColumn("component", F.col("rep"))
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.up))])
+
+
+class _Node:
+    """Members of one node, to be compared exhaustively."""
+
+    def __init__(self, table: pa.Table):
+        self.n = len(table)
+        self.rep, self.sizes, self.tree = (table.column(c).to_numpy() for c in ("rep", "n_shingles", "tree"))
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
+        homes = table.column("homes").combine_chunks()
+        homes = homes.chunk(0) if isinstance(homes, pa.ChunkedArray) else homes
+        counts = np.diff(homes.offsets.to_numpy())
+        flat = homes.flatten()
+        # The small node of each member in each tree; what it lacks is unlike any other's.
+        row = np.repeat(np.arange(self.n), counts)
+        self.homes = np.full((self.n, int(np.max(flat.field("tree").to_numpy(), initial=-1)) + 1), -1, np.int64)
+        self.homes[row, flat.field("tree").to_numpy()] = flat.field("node").to_numpy()
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members that i must be compared with here, by size and estimate, and the estimates: those it met in no earlier tree."""
+        sizes = self.sizes[i + 1 :]
+        j = np.flatnonzero(np.minimum(self.sizes[i], sizes) * 100 >= LEAST * np.maximum(self.sizes[i], sizes)) + i + 1
+        estimate = _estimate(self.sketch[j], self.sketch[i])
+        j, estimate = j[estimate >= _LEAST_ESTIMATE], estimate[estimate >= _LEAST_ESTIMATE]
+        if len(j) and self.tree[i]:
+            earlier = slice(0, self.tree[i])
+            new = ~((self.homes[j, earlier] == self.homes[i, earlier]) & (self.homes[i, earlier] != -1)).any(1)
+            j, estimate = j[new], estimate[new]
+        return j, estimate
+
+    def involved(self) -> np.ndarray:
+        some = np.zeros(self.n, bool)
+        for i in range(self.n - 1):
+            j, _ = self.candidates(i)
+            if len(j):
+                some[i] = True
+                some[j] = True
+        return some
+
+    def links(self, items: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Confirmed links that join what is linked here: candidates go nearest first, those joined already are passed over."""
+        found = [(np.full(len(j), i, np.int32), j.astype(np.int32), e.astype(np.float32)) for i in range(self.n - 1) for j, e in [self.candidates(i)] if len(j)]
+        if not found:
+            return []
+        a, b, estimate = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(-estimate, kind="stable")
+        a, b = a[order], b[order]
+        forest, out = _Forest(self.n), []
+        while len(a):
+            for i, j in zip(a[:2000].tolist(), b[:2000].tolist()):
+                ri, rj = forest.root(i), forest.root(j)
+                if ri != rj and similar(items[i], items[j]):
+                    forest.up[max(ri, rj)] = min(ri, rj)
+                    out.append((int(min(self.rep[i], self.rep[j])), int(max(self.rep[i], self.rep[j]))))
+            roots = forest.roots()
+            a, b = a[2000:], b[2000:]
+            open_ = roots[a] != roots[b]
+            a, b = a[open_], b[open_]
+        return out
+
+
+def similar(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sets of sorted distinct hashes have LEAST hundredths of their union in common."""
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= LEAST * (len(u) + len(v) - shared)
+
+
+def _by_node(rows: DataFrame, handle, schema: str) -> DataFrame:
+    """handle(table of one node) for every node: rows are dealt by node, sorted, and read node by node."""
+
+    def nodes_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(table):
+            node = table.column("node").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
+            parts = [x for s, e in zip(starts, [*starts[1:], len(node)]) if e - s > 1 for x in [handle(table.slice(s, e - s))] if x is not None]
+            if parts:
+                yield from pa.concat_tables([pa.Table.from_batches([p]) for p in parts]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            table = pa.Table.from_batches([batch])
+            table = table if tail is None else pa.concat_tables([tail, table])
             node = table.column("node").to_numpy()
-            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
-            yield _pairs_of(table.slice(0, cut))
-            tail = table.slice(cut).combine_chunks()
+            cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and (node != node[-1]).any() else 0
+            yield from nodes_of(table.slice(0, cut))
+            tail = table.slice(cut)
         if tail is not None:
-            yield _pairs_of(tail)
+            yield from nodes_of(tail)
 
-    def _pairs_of(table: pa.Table) -> pa.RecordBatch:
-        out: list[tuple[int, int]] = []
-        if len(table):
-            node, reps, group = (table.column(c).to_numpy() for c in ("node", "rep", "component"))
-            sizes = table.column("n_shingles").to_numpy()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            counts = np.diff(np.append(starts, len(node)))
-            twos = starts[counts == 2]
-            if len(twos):
-                a, b = twos, twos + 1
-                fits = (group[a] != group[b]) & (np.minimum(sizes[a], sizes[b]) * 100 >= LEAST * np.maximum(sizes[a], sizes[b]))
-                a, b = a[fits], b[fits]
-                near = _estimate(sketch[a], sketch[b]) >= least
-                a, b = reps[a[near]], reps[b[near]]
-                out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
-            for s, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist()):
-                part = slice(s, s + n)
-                if every and (group[part] == group[s]).all():
-                    continue
-                out += _node_pairs(reps[part], sizes[part], sketch[part], group[part], least, every)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("node", "rep", "component", "n_shingles", "sketch").repartition(4 * partitions, "node").sortWithinPartitions("node")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(2 * partitions, "node").sortWithinPartitions("node").mapInArrow(run, schema)
+
+
+def confirmed_links(small: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Links (a, b) of class representatives found in the small nodes: a spanning forest of all links of each node.
+
+    Two passes over the nodes. The first compares members by size and estimate and keeps those with something to confirm;
+    each pair is the matter of the first tree in which it meets. The second gets their full sets and confirms exactly.
+    """
+    homes = small.groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("homes"))  # a node for each tree at most
+    facts = materialize(homes.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "node-facts")
+    rows = small.join(facts, "rep").select("node", "tree", "rep", "n_shingles", "sketch", "homes")
+
+    def keep(table: pa.Table) -> pa.RecordBatch | None:
+        some = _Node(table).involved()
+        return table.select(["node", "tree", "rep"]).filter(pa.array(some)).combine_chunks().to_batches()[0] if some.any() else None
+
+    chosen = materialize(_by_node(rows, keep, "node bigint, tree int, rep bigint"), "node-chosen")
+    sets = full_sets(chosen.select(F.col("rep").alias(id_col)).distinct(), docs, id_col, text_col, k)
+    full = chosen.join(facts, "rep").join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+
+    def link(table: pa.Table) -> pa.RecordBatch | None:
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        out = _Node(table).links(items)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"]) if out else None
+
+    return _by_node(full.select("node", "tree", "rep", "n_shingles", "sketch", "homes", "items"), link, "a bigint, b bigint")
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """doc_id, items: the full sets, made anew from the texts of these documents alone, which a broadcast of their ids finds
+    while those stay below the limit, and a shuffle beyond."""
+    ids = materialize(ids, "set-ids")
+    wanted = F.broadcast(ids) if fits_broadcast(ids, 64) else ids
+    own = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
+    return materialize(_sets(own, id_col, text_col, k, "items").select("doc_id", "items").dropDuplicates(["doc_id"]), "sets")
 
 
 def _star_pairs(large: DataFrame) -> DataFrame:
@@ -242,25 +302,14 @@ def _star_pairs(large: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are similar enough, exactly.
-
-    Sets are made anew from the texts of the documents in pairs alone, which are found by a broadcast of their ids while
-    those stay below the limit, and by a shuffle beyond.
-    """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), "pair-ids")
-    wanted = F.broadcast(ids) if fits_broadcast(ids, 64) else ids
-    own = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
-    sets = materialize(_sets(own, id_col, text_col, k, "items").select("doc_id", "items").dropDuplicates(["doc_id"]), "pair-sets")
+    """Those of pairs (a, b) whose full shingle sets are similar enough, exactly."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), docs, id_col, text_col, k)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                keep.append(100 * shared >= LEAST * (len(u) + len(v) - shared))
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -302,9 +351,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their union in common. component_id is the least id reachable over links; kept marks the document with that id. Documents
     with one and the same set are one class from the start, so copies make no pairs. Then, tree by tree: from the root, each
     node draws the MinHash value by which its members branch; small nodes are compared exhaustively by estimates, and what
-    comes near the threshold is confirmed on the full sets. Trees are repeated until a pair at the threshold meets in one with
-    the target recall. First a spanning forest of each node in a few trees is confirmed; then, over all trees, every candidate
-    pair that lies in different components so far.
+    comes near the threshold is confirmed on the full sets, in the first tree in which a pair meets, unless links confirmed there
+    join the two already. Trees are repeated until a pair at the threshold meets in one with the target recall. Nodes that no
+    round makes small have their members confirmed against the least one.
 
     Null and empty texts and texts of white space have no set, link with nothing and keep themselves; ids are 64-bit integers,
     rows with one id are one document. Repeated rows get repeated results; no rows give no rows; other columns are ignored.
@@ -318,15 +367,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth = max(2, math.ceil(math.log10(max(n, 10))) - 2)
     trees = math.ceil(math.log(1 - target_recall) / math.log(1 - (LEAST / 100) ** depth))
     small, large = chosen_path_nodes(classes, trees, depth)
-    first = small.join(_first_trees(classes, depth), ["node", "rep"], "left_semi")
-    pairs = _candidate_pairs(first, classes, None)
+    links = materialize(confirmed_links(small, classes, docs, id_col, text_col, words), "links")
     if large is not None:
-        pairs = pairs.unionByName(_star_pairs(large)).distinct()
-    tried = materialize(pairs, "pairs")
-    links = materialize(confirm(tried, docs, id_col, text_col, words), "links")
-    more = materialize(_candidate_pairs(small, classes, components(links)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(confirm(more, docs, id_col, text_col, words), "links"))
+        links = links.unionByName(materialize(confirm(materialize(_star_pairs(large), "pairs"), docs, id_col, text_col, words), "links"))
     labels = materialize(components(links), "labels")
     of_class = materialize(classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "class-labels")
     out = base.drop("values").join(of_class, "set_key", "left")
@@ -334,11 +377,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _first_trees(classes: DataFrame, depth: int, trees: int = 3) -> DataFrame:
-    """(node, rep) of the first trees."""
-    return _node_rows(classes, trees, depth)
-
-
 def _sketch(values: str):
     """One byte of each 32-bit value, in order: every fourth pair of hex digits."""
     return F.unhex(F.regexp_replace(F.hex(values), "(..)......", "$1"))
