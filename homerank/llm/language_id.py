@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, fold_number
-from .word_hashes import BLOCK_BYTES
 
+#: Bytes of text in a block, about; a longer text makes a longer block.
+BLOCK_BYTES = 500_000
+#: Nodes of which the driver works out the distributions at once.
+GROW_NODES = 2_000
 #: Bytes of context at most.
 DEPTH = 3
 #: Texts, about, from which one language's tree is fitted: those whose hash of the id falls below a share.
@@ -119,7 +122,7 @@ def grow(counts: list[tuple[str, int, int]]) -> Trees:
     weight[k - 2], weight[k - 1] = 256 - len(seen), 0  # bytes of a class
     spots = k**DEPTH
     nodes = np.zeros(spots, np.int32)
-    rows = np.full((1, k, len(languages)), 1 / 256)
+    rows = np.full((1, k, len(languages)), 1 / 256, np.float32)
     for depth in range(DEPTH + 1):
         # Contexts of this length as numbers; the longest contexts' table has k ** DEPTH places, the last symbols count least.
         context = np.zeros(len(own), np.int64)
@@ -132,23 +135,27 @@ def grow(counts: list[tuple[str, int, int]]) -> Trees:
         place[kept] = np.arange(len(kept))
         # The next shorter context of a kept one, as its node so far.
         shorter = nodes[kept % k ** max(depth - 1, 0)] if depth else np.zeros(len(kept), np.int64)
-        table = np.zeros((len(kept), k, len(languages)))
-        here = place[context] >= 0
-        np.add.at(table, (place[context[here]], own[here, DEPTH], lang[here]), n[here])
-        below = rows[shorter]
-        sums, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        rest = (np.where(table > 0, 0, below) * weight[None, :, None]).sum(1, keepdims=True)
-        full = rest <= 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mine = np.where(table > 0, (2 * table - 1) / (2 * sums) / np.where(full, 1 - distinct / (2 * sums), 1), distinct / (2 * sums) * below / np.where(full, 1, rest))
-        enough = sums >= (LEAST_SEEN if depth else 1)
-        rows = np.concatenate([rows, np.where(enough, mine, below)]) if len(kept) else rows
+        at, spot = place[context], np.argsort(place[context], kind="stable")
+        made = [rows]
+        for first in range(0, len(kept), GROW_NODES):
+            last = min(first + GROW_NODES, len(kept))
+            own_rows = spot[np.searchsorted(at[spot], first) : np.searchsorted(at[spot], last)]
+            table = np.zeros((last - first, k, len(languages)))
+            np.add.at(table, (at[own_rows] - first, own[own_rows, DEPTH], lang[own_rows]), n[own_rows])
+            below = rows[shorter[first:last]].astype(np.float64)
+            sums, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+            rest = (np.where(table > 0, 0, below) * weight[None, :, None]).sum(1, keepdims=True)
+            full = rest <= 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mine = np.where(table > 0, (2 * table - 1) / (2 * sums) / np.where(full, 1 - distinct / (2 * sums), 1), distinct / (2 * sums) * below / np.where(full, 1, rest))
+            made.append(np.where(sums >= (LEAST_SEEN if depth else 1), mine, below).astype(np.float32))
+        rows = np.concatenate(made)
         start = len(rows) - len(kept)
         # Every longest context that ends in a kept one gets its node.
         wide = nodes.reshape(-1, k**depth)
         wide[:, kept] = start + np.arange(len(kept), dtype=np.int32)
     with np.errstate(divide="ignore"):
-        bits = np.where(rows > 0, -np.log2(np.maximum(rows, 1e-300)), 0).astype(np.float32)
+        bits = np.where(rows > 0, -np.log2(np.maximum(rows, 1e-30)), 0).astype(np.float32)
     return Trees(languages, classes, nodes, bits)
 
 
