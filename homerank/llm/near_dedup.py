@@ -121,7 +121,8 @@ def _branch(rows: DataFrame, levels: int) -> DataFrame:
 
 
 def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, node, rep) of all small nodes with two members or more, and (node, rep) of those that stay larger after all rounds.
+    """(tree, node, rep) of all small nodes with two members or more, and (node, rep, n_shingles, n, bytes) of those that stay
+    larger after all rounds, n and bytes being the node's.
 
     Node sizes come from a map-side aggregation, so a node with a third of all rows is no hot group; the sizes are written
     and joined back on the node, which adaptive execution splits where a node is hot.
@@ -138,7 +139,7 @@ def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LE
             return small, None
         if at < rounds:
             level = _branch(last.join(classes.select("rep", "values"), "rep"), DEEPER)
-    return small, last.select("node", "rep")
+    return small, last.select("node", "rep", "n_shingles", "n", "bytes")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -296,11 +297,34 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
 
 
 def _star_pairs(large: DataFrame) -> DataFrame:
-    """For nodes that no round made small: each member with the node's least one. Members that share so many minwise tokens are close."""
+    """For nodes that no round made small: each member with the node's least one, with which most are linked where so many minwise tokens are shared."""
     least = materialize(large.groupBy("node").agg(F.min("rep").alias("a")), "node-least")
     return large.join(least, "node").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
 
+def open_blocks(large: DataFrame, labels: DataFrame, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES) -> DataFrame | None:
+    """(tree, node, rep): the large nodes cut into blocks, so that every two members of different components meet in one.
+
+    Members outside the component of a node's least member are open. A pair whose ends are in different components has an
+    open end, so it is enough to bring each block of open members together with each block of the node. None if nothing is open.
+    """
+    own = large.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = materialize(own, "large-members")
+    home = own.groupBy("node").agg(F.min(F.struct("rep", "component")).getField("component").alias("home"))
+    marked = materialize(own.join(materialize(home, "large-homes"), "node").withColumn("open", F.col("component") != F.col("home")), "large-marked")
+    share = lambda n, size: F.ceil(F.greatest(n / F.lit(leaf / 2), size / F.lit(leaf_bytes / 2)))
+    opened = marked.filter("open").groupBy("node").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n_shingles")).alias("open_bytes"))
+    opened = materialize(opened.withColumn("open_blocks", share(F.col("m"), F.col("open_bytes"))).select("node", "open_blocks"), "large-open")
+    if opened.isEmpty():
+        return None
+    cut = marked.join(opened, "node").withColumn("all_blocks", share(F.col("n"), F.col("bytes")))
+    block = lambda count, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), count)
+    every = cut.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("open_blocks") - 1)).alias("i"), block(F.col("all_blocks"), 1).alias("j"))
+    some = cut.filter("open").select("node", "rep", block(F.col("open_blocks"), 2).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_blocks") - 1)).alias("j"))
+    met = every.unionByName(some).select(F.lit(0).alias("tree"), F.xxhash64("node", "i", "j").alias("node"), "rep")
+    return materialize(met.distinct(), "large-blocks")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets are similar enough, exactly."""
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), docs, id_col, text_col, k)
@@ -344,7 +368,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("rep"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("rep"), F.col("a").alias("component"))).groupBy("rep").agg(F.min("component").alias("component"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, target_recall: float = TARGET_RECALL) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, target_recall: float = TARGET_RECALL, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
     Documents are linked when their sets of distinct `words`-word shingles (A-Z lower-cased) have at least 80 hundredths of
@@ -353,7 +377,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node draws the MinHash value by which its members branch; small nodes are compared exhaustively by estimates, and what
     comes near the threshold is confirmed on the full sets, in the first tree in which a pair meets, unless links confirmed there
     join the two already. Trees are repeated until a pair at the threshold meets in one with the target recall. Nodes that no
-    round makes small have their members confirmed against the least one.
+    round makes small have their members confirmed against the least one, and what this leaves in other components is compared
+    with the whole node, block by block.
 
     Null and empty texts and texts of white space have no set, link with nothing and keep themselves; ids are 64-bit integers,
     rows with one id are one document. Repeated rows get repeated results; no rows give no rows; other columns are ignored.
@@ -366,10 +391,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = classes.count()
     depth = max(2, math.ceil(math.log10(max(n, 10))) - 2)
     trees = math.ceil(math.log(1 - target_recall) / math.log(1 - (LEAST / 100) ** depth))
-    small, large = chosen_path_nodes(classes, trees, depth)
+    small, large = chosen_path_nodes(classes, trees, depth, leaf, rounds=rounds)
     links = materialize(confirmed_links(small, classes, docs, id_col, text_col, words), "links")
     if large is not None:
         links = links.unionByName(materialize(confirm(materialize(_star_pairs(large), "pairs"), docs, id_col, text_col, words), "links"))
+        met = open_blocks(large, materialize(components(links), "labels"), leaf)
+        if met is not None:
+            links = links.unionByName(materialize(confirmed_links(met, classes, docs, id_col, text_col, words), "links"))
     labels = materialize(components(links), "labels")
     of_class = materialize(classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "class-labels")
     out = base.drop("values").join(of_class, "set_key", "left")

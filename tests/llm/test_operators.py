@@ -132,6 +132,22 @@ def brute_components(rows, k):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_nodes_that_stay_large_lose_no_links(spark):
+    """With leaves of one member every node is large; each document is linked with its neighbours in a row only, not with the first."""
+    rng = np.random.default_rng(9)
+    rows, base = [], [f"s{i}" for i in range(100)]
+    for c in range(12):
+        rows.append((50 - c if c % 2 else c, " ".join(base)))
+        for j in range(4):
+            base[(7 * c + j) % 100] = f"new{c}_{j}"
+    rows += [(200 + i, " ".join(rng.choice([f"z{i}" for i in range(50)], 30))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows, 2)
+    assert len({c for _, c in want.values()}) == 6
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(df, words=2, leaf=1, rounds=0).collect()}
+    assert got == want
+
+
 def test_near_dedup_equals_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(400)]
