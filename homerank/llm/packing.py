@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,15 @@ RANK_GROUP = 100_000
 _ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+def _stem(word: str) -> str:
+    """A word of letters without the run of marks that closes it, since they never share a token; any other word as it is.
+
+    The letters must be letters in normal form and lower case too: some become a letter and a sign, which joins the marks.
+    """
+    stem = word.rstrip(".,!?")
+    return stem if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()) else word
+
+
 class WordTokens(dict):
     """Ids of single words, for a tokenizer that splits at white space first and treats each word by itself."""
 
@@ -41,8 +51,8 @@ class WordTokens(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            # A letter and a mark after it never share a token, so known words help with "word," and "word.".
-            ids = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and word[:-1].isalpha() else self.direct(word)
+            stem = _stem(word)
+            ids = self[stem] + self[word[len(stem) :]] if stem != word else self.direct(word)
         if len(word) <= CACHE_KEY_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)

@@ -132,6 +132,13 @@ def brute_components(rows, k):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_word_ids_equal_the_whole_texts_ids():
+    """Words by themselves, with the marks after them taken off, give the ids of the whole text; letters that turn into letter and sign too."""
+    tokens = packing.WordTokens(packing.default_tokenizer())
+    for text in ("Hello, world!! it's; don't!! x.. 12!? . !x", "İ, İstanbul! Straße, é! ŉ. ﬁn! \u0958, \u0958!! x²!", "ΑΣ. ΟΔΟΣ!! a|b | é́, 日本。 日本!", "<|endoftext|> hi!", ""):
+        assert tokens.encode(text) == tokens.direct(text)
+
+
 def test_nodes_that_stay_large_lose_no_links(spark):
     """With leaves of one member every node is large; each document is linked with its neighbours in a row only, not with the first."""
     rng = np.random.default_rng(9)
