@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import geo, money, text
+from ..functions import geo, money, repair, text
 from ..operators import corpus, market, pareto, search, spatial
 from ..sources import tables as T
 
@@ -119,6 +119,26 @@ def _(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.drop_promo_lines(F.col("text"), "All rights").alias("body"))
 
 
+# Repairs; some of the fields are taken out first.
+def _gap(column: str, every: int) -> Column:
+    return F.when(F.col("ingest_seq") % every != 0, F.col(column))
+
+
+_listing_query(
+    "repair_area", lambda: [repair.repair_area(F.when(F.col("ingest_seq") % 13 == 0, F.lit(115115)).otherwise(_gap("area_sqm", 11)), F.when(F.col("ingest_seq") % 2 == 0, F.lit(70))).alias("area")],
+    "CASE WHEN ingest_seq % 13 = 0 THEN CASE WHEN ingest_seq % 2 = 0 THEN 70 ELSE 2000 END WHEN ingest_seq % 11 = 0 THEN CASE WHEN ingest_seq % 2 = 0 THEN 70 END ELSE area_sqm END AS area",
+)
+_listing_query("estimate_rooms", lambda: [repair.rooms_or_estimate(_gap("rooms", 3), F.col("area_sqm")).alias("rooms")], "CASE WHEN ingest_seq % 3 <> 0 THEN rooms ELSE greatest(1, least(5, CAST(round_even(area_sqm / 40, 0) AS BIGINT))) END AS rooms")
+_listing_query(
+    "resolve_floors", lambda: [c.alias(n) for c, n in zip(repair.resolve_floors(_gap("floor", 5), F.col("total_floors") - F.col("ingest_seq") % 3), ("floor", "total_floors"))],
+    "CASE WHEN ingest_seq % 5 <> 0 THEN floor ELSE 0 END AS floor, greatest(total_floors - ingest_seq % 3, CASE WHEN total_floors - ingest_seq % 3 >= CASE WHEN ingest_seq % 5 <> 0 THEN floor ELSE 0 END THEN -9 ELSE greatest(CASE WHEN ingest_seq % 5 <> 0 THEN floor ELSE 0 END, 1) END) AS total_floors",
+)
+_listing_query(
+    "clamp_to_bbox", lambda: [repair.clamp(F.col("lat") + 0.1, C.CITY["min_lat"], C.CITY["max_lat"]).alias("lat"), repair.clamp(F.col("lon") - 0.2, C.CITY["min_lon"], C.CITY["max_lon"]).alias("lon")],
+    "greatest(35.55E0, least(35.85E0, lat + 0.1E0)) AS lat, greatest(51.1E0, least(51.6E0, lon - 0.2E0)) AS lon",
+)
+
+
 # Geography.
 MAN = "abs({a}.lat - {b}.lat) * 111320 + abs({a}.lon - {b}.lon) * 111320 * cos(radians(({a}.lat + {b}.lat) / 2))"
 _listing_query("grid_cell", lambda: [geo.cell(F.col("lat")).alias("cell_row"), geo.cell(F.col("lon")).alias("cell_col")], "CAST(floor(lat / 0.01E0) AS BIGINT) AS cell_row, CAST(floor(lon / 0.01E0) AS BIGINT) AS cell_col")
