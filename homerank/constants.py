@@ -30,3 +30,12 @@ FLOOR_SAMPLES, FLOOR_LOW, FLOOR_HIGH, FLOOR_MADS = 12, 0.12, 0.35, 3.0
 BASELINE_SAMPLES = 5
 AREA_LIMITS = (15, 2000)
 FULL_SHRINK = 8
+ACCESS_WALK_M, TRANSFER_WALK_M, STOP_MERGE_M = 1_500.0, 700.0, 150.0
+RIDE_MINS = {"metro": 2.5, "brt": 2.0}
+BRT_WAIT, METRO_WAIT, METRO_CHANGE = 5.0, 4.0, 1.0
+METRO_WAIT_BY_LINE = {"1": 4.0, "2": 4.0, "3": 4.0, "4": 4.0, "5": 6.0, "6": 7.5, "7": 6.0}
+DRIVE_KMH, CONGESTION = 22.0, 1.4
+PRESTIGE_WEIGHT, MODERNITY_WEIGHT, PRIOR_SAMPLES = 0.72, 0.28, 5
+QUOTA_POWER, LEAST_QUOTA, MOST_QUOTA, QUOTA_PASSES, RATE_DAYS = 0.75, 8, 400, 6, 14
+TRADE_AREA, TRADE_BUDGET_PERCENT, TRADE_WALK, TRADE_WEIGHT = 0.25, 10, 7.0, 0.08
+BM25_K1, BM25_B, TEXT_HITS = 1.2, 0.75, 500

@@ -188,7 +188,7 @@ def _(spark, d):
 
 @query("src_stations", f"{T.with_tables('stations')} SELECT station_id, unnest(list_filter([line, second_line], lambda x: x IS NOT NULL)) AS line FROM stations")
 def _(spark, d):
-    return T.stations(spark, d).select("station_id", F.explode(F.array_compact(F.array("line", "second_line"))).alias("line")).select("station_id", F.coalesce("line", F.concat(F.lit("_"), "station_id")).alias("line"))
+    return T.stations(spark, d).select("station_id", F.explode_outer(F.array_compact(F.array("line", "second_line"))).alias("line")).select("station_id", F.coalesce("line", F.concat(F.lit("_"), F.col("station_id").cast("string"))).alias("line"))
 
 
 VIEW = {"min_lat": 35.6, "max_lat": 35.75, "min_lon": 51.2, "max_lon": 51.5}
