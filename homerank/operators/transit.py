@@ -73,8 +73,9 @@ def state_edges(stations: DataFrame, lines: DataFrame, adjacency: DataFrame, wal
 
 def reachable_stations(points: DataFrame, stations: DataFrame, id_col: str) -> DataFrame:
     """id_col, station_id, walk (minutes): all stations within an access walk, else the nearest one."""
-    near = within_radius(points, stations, C.ACCESS_WALK_M, id_col)
-    far = nearest(points.join(near.select(id_col), id_col, "left_anti"), stations, id_col)
+    near = cut(within_radius(points, stations, C.ACCESS_WALK_M, id_col))
+    rest = cut(points.select(id_col, "lat", "lon").join(near.select(id_col), id_col, "left_anti"))
+    far = nearest(rest, stations, id_col)
     return near.unionByName(far.select(id_col, "station_id", "meters")).select(id_col, "station_id", (F.col("meters") / C.WALK_M_PER_MIN).alias("walk"))
 
 
