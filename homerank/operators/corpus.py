@@ -34,3 +34,9 @@ def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
     last = taken.groupBy("id").agg(F.max_by(F.struct(*[F.col(c) for c in stored.columns]), "ingest_seq").alias("__r"), F.max("known").alias("known"))
     changed = last.select("__r.*", F.when(F.col("known"), "updated").otherwise("inserted").alias("action"))
     return stored.join(changed.select("id"), "id", "left_anti").withColumn("action", F.lit("kept")).unionByName(changed)
+
+
+def upsert_counts(merged: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row for a batch with one row an id: inserted, updated, skipped_duplicate, total."""
+    done = merged.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"), F.count(F.lit(1)).alias("total"))
+    return done.crossJoin(F.broadcast(batch.agg(F.count(F.lit(1)).alias("given")))).select("inserted", "updated", (F.col("given") - F.col("inserted") - F.col("updated")).alias("skipped_duplicate"), "total")  # one row

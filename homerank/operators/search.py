@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.money import budget_ratio, resolve_split, tmc
+from ..functions.text import digits_persian
 from .market import area_baselines, city_baseline
 
 UTILITIES = ("budget", "value", "area", "amenity", "metro", "freshness")
@@ -119,3 +120,34 @@ def cosine(a: str, b: str) -> Column:
     """0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def trade_off(rows: DataFrame) -> DataFrame:
+    """search_id, id, sentence of ranked rows below the head that are much larger than its median at a small price in budget or walk.
+
+    Only what the search's weights speak of is named, and a named axis that costs too much silences the sentence.
+    """
+    text = lambda x: digits_persian(x.cast("bigint"))
+    below = rows.filter(F.col("rank") > C.HEAD_ROWS).join(head_reference(rows), "search_id")
+    below = below.filter((F.col("head_area") > 0) & ((F.col("area_sqm") - F.col("head_area")) / F.col("head_area") >= C.TRADE_AREA))
+    ratio = budget_ratio(F.col("split_deposit"), F.col("split_rent"), F.col("max_deposit"), F.col("max_rent"))
+    over, extra = F.bround((ratio - 1) * 100), F.col("metro_walk_mins") - F.col("head_metro")
+    money_counts = ratio.isNotNull() & (F.col("w_budget") >= C.TRADE_WEIGHT)
+    walk_counts = F.col("w_metro") >= C.TRADE_WEIGHT
+    below = below.filter((~money_counts | (over <= C.TRADE_BUDGET_PERCENT)) & (~walk_counts | (F.bround(extra) <= 0) | (extra <= C.TRADE_WALK)) & (money_counts | walk_counts))
+    gains = F.array_compact(F.array(
+        F.concat(text(F.bround(F.col("area_sqm") - F.col("head_area"))), F.lit(" متر بزرگ‌تر است")),
+        F.when(money_counts & (over <= 0), "در بودجهٔ شما می‌گنجد"),
+        F.when(walk_counts & (F.bround(extra) <= 0), "دسترسی مشابه یا بهتری به مترو دارد"),
+    ))
+    costs = F.array_compact(F.array(
+        F.when(money_counts & (over > 0), F.concat(text(over), F.lit("٪ بالاتر از بودجهٔ شماست"))),
+        F.when(walk_counts & (F.bround(extra) > 0), F.concat(text(F.bround(extra)), F.lit(" دقیقه پیاده‌روی بیشتری تا مترو دارد"))),
+    ))
+    tail = F.when(F.size(costs) > 0, F.concat(F.lit("، اما "), F.array_join(costs, " و "))).otherwise("")
+    return below.select("search_id", "id", F.concat(F.lit("این مورد "), F.array_join(gains, " و "), tail, F.lit(".")).alias("sentence"))
+
+
+def store(rows: DataFrame, path: str) -> None:
+    """Keep the ranking in files by search, so that pages are read without ranking again."""
+    rows.write.mode("overwrite").partitionBy("search_id").parquet(path)

@@ -84,3 +84,21 @@ def open_cells(cells: DataFrame, open_rows: int, most: int) -> DataFrame:
     """The cells shown as single pins: the smallest first while each is small enough and the total stays within limits."""
     before = Window.orderBy("n", "row", "col").rowsBetween(Window.unboundedPreceding, 0)  # a few cells of one viewport
     return cells.withColumn("total", F.sum("n").over(before)).withColumn("open", (F.col("n") <= open_rows) & (F.col("total") <= most))
+
+
+def nearest_anchor(points: DataFrame, polygons: DataFrame, id_col: str = "id", levels: tuple[float, ...] = (0.1, 1.28)) -> DataFrame:
+    """id_col, area_key: the area whose centre is nearest in plain degrees, the earlier of equal ones.
+
+    Centres in the nine cells around a point decide unless none is nearer than a cell is wide; the last level spans the city.
+    """
+    places = polygons.select("area_key", "ord", F.col("center_lat").alias("__lat"), F.col("center_lon").alias("__lon"))
+    d = F.sqrt(F.pow(F.col("lat") - F.col("__lat"), 2) + F.pow(F.col("lon") - F.col("__lon"), 2))
+    rest, found = points.select(id_col, "lat", "lon"), None
+    for degrees in levels:
+        placed = rest.withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees))
+        best = placed.join(_neighbours(places, degrees), ["__cr", "__cc"]).groupBy(id_col).agg(F.min(F.struct(d.alias("d"), "ord", "area_key")).alias("__b"))
+        final = best if degrees == levels[-1] else best.filter(F.col("__b.d") <= degrees)
+        final = final.select(id_col, "__b.area_key")
+        found = final if found is None else found.unionByName(final)
+        rest = rest.join(final.select(id_col), id_col, "left_anti")
+    return found

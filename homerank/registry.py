@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, network  # noqa: F401  (network adds its queries)
+from .plans import catalog, network, studies  # noqa: F401  (the others add their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

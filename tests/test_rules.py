@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from homerank.functions import money, text
-from homerank.operators import corpus, market, pareto, search
+from homerank.operators import corpus, iterate, market, pareto, quality, search, textsearch
 from homerank.streaming import feeds
 
 
@@ -77,3 +77,38 @@ def test_streams(spark, sf, tmp_path):
     q = feeds.hourly_rate(feed).writeStream.outputMode("complete").format("memory").queryName("rate").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("rate").agg(F.sum("posts")).first()[0] == events.count() + 50
+
+
+def test_quotas_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    for target in (300, 3000, 9000):
+        rates = {i: float(r) for i, r in enumerate(rng.pareto(0.7, 30) + 0.1)}
+        middle = sorted(rates.values())[len(rates) // 2]
+        weight = {i: rates.get(i, middle) ** 0.75 for i in range(34)}
+        left, open_, want = float(target), dict(weight), {}
+        for _ in range(6):
+            if not open_ or left <= 0:
+                break
+            total = sum(open_.values())
+            now = {i: max(8, min(400, round(left * w / total))) for i, w in open_.items()}
+            want |= now
+            full = [i for i, q in now.items() if q == 400]
+            if not full:
+                break
+            left, open_ = max(0.0, left - 400 * len(full)), {i: w for i, w in open_.items() if i not in full}
+        shards = spark.range(34).withColumnRenamed("id", "shard")
+        df = spark.createDataFrame(list(rates.items()), "shard bigint, rate double")
+        assert {r["shard"]: r["quota"] for r in quality.allocate_quotas(shards, df, target).collect()} == {i: want.get(i, 8) for i in range(34)}
+
+
+def test_components_of_a_chain_and_loose_ends(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 1), (5, 5)], "a bigint, b bigint")
+    got = {r["id"]: r["component"] for r in iterate.components(spark.range(45), links).collect()}
+    assert got == {i: 10 if 10 <= i <= 40 else 1 if i in (1, 3) else i for i in range(45)}
+
+
+def test_text_search_wants_all_terms_and_handles_nothing(spark):
+    texts = spark.createDataFrame([(1, "red house red"), (2, "Red garden"), (3, None), (4, "")], "id int, text string")
+    asked = spark.createDataFrame([(1, "red"), (2, "red house"), (3, ""), (4, None), (5, "missing")], "query_id int, text string")
+    got = {(r["query_id"], r["id"]) for r in textsearch.search(texts, asked).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1)}
