@@ -112,3 +112,11 @@ def test_text_search_wants_all_terms_and_handles_nothing(spark):
     asked = spark.createDataFrame([(1, "red"), (2, "red house"), (3, ""), (4, None), (5, "missing")], "query_id int, text string")
     got = {(r["query_id"], r["id"]) for r in textsearch.search(texts, asked).collect()}
     assert got == {(1, 1), (1, 2), (2, 1)}
+
+
+def test_upsert_counts(spark):
+    schema = "id string, fingerprint string, ingest_seq int"
+    stored = spark.createDataFrame([("a", "f1", 1), ("b", "f2", 2)], schema)
+    batch = spark.createDataFrame([("c", "f1", 3), ("a", "f9", 4), ("d", "f3", 5), ("e", "f3", 6)], schema)
+    got = corpus.upsert_counts(corpus.upsert(stored, batch), batch).first()
+    assert tuple(got) == (1, 1, 2, 3)
