@@ -23,7 +23,7 @@ TARGET_RECALL = 0.9995
 #: Nodes up to this size, also by the bytes of their sets, are compared exhaustively; larger ones branch on.
 LEAF = 4_000
 LEAF_BYTES = 100 << 20
-#: Levels by which a large node branches at once, and how often.
+#: Levels by which a large node branches at once, and how often, before what stays open in it is compared block by block.
 DEEPER, ROUNDS = 4, 3
 #: Pairs whose estimate lies this many standard deviations below the threshold are still confirmed on the full sets.
 DEVIATIONS = 4.0
@@ -121,13 +121,15 @@ def _branch(rows: DataFrame, levels: int) -> DataFrame:
 
 
 def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, node, rep) of all small nodes with two members or more, and (node, rep, n_shingles, n, bytes) of those that stay
-    larger after all rounds, n and bytes being the node's.
+    """(tree, node, rep) of all small nodes with two members or more, and (node, rep, n_shingles, n, bytes) of those that are
+    larger at `depth`, n and bytes being the node's.
+
+    Branching on finds most links of a large node early, but parts some of its pairs; so the node is returned as a whole too.
 
     Node sizes come from a map-side aggregation, so a node with a third of all rows is no hot group; the sizes are written
     and joined back on the node, which adaptive execution splits where a node is hot.
     """
-    level, small, last = _node_rows(classes, trees, depth), None, None
+    level, small, large = _node_rows(classes, trees, depth), None, None
     for at in range(rounds + 1):
         sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).filter("n > 1"), "node-sizes")
         members = materialize(level.join(sizes, "node"), "node-members")
@@ -136,10 +138,11 @@ def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LE
         small = part if small is None else small.unionByName(part)
         last = members.filter(~fits)
         if last.isEmpty():
-            return small, None
+            break
+        large = last.select("node", "rep", "n_shingles", "n", "bytes") if large is None else large
         if at < rounds:
             level = _branch(last.join(classes.select("rep", "values"), "rep"), DEEPER)
-    return small, last.select("node", "rep", "n_shingles", "n", "bytes")
+    return small, large
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,6 +155,22 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _LEAST_ESTIMATE = LEAST / 100 - DEVIATIONS * math.sqrt(LEAST / 100 * (1 - LEAST / 100) / VALUES)
 
 
+def tree_count(depth: int, target_recall: float) -> int:
+    """So many trees that a pair at the threshold meets in one, and is estimated near enough, with the target recall.
+
+    All trees branch by the same VALUES minima, so the share of them that a pair has in common, not the pair's similarity, is
+    what each level keeps it together with: the recall is the mean over that share, which is binomial.
+    """
+    likely = [math.comb(VALUES, m) * (LEAST / 100) ** m * (1 - LEAST / 100) ** (VALUES - m) for m in range(VALUES + 1)]
+    near = [m for m in range(1, VALUES + 1) if (m / VALUES - 1 / 256) / (1 - 1 / 256) >= _LEAST_ESTIMATE]
+    if sum(likely[m] for m in near) <= target_recall:
+        raise ValueError(f"{VALUES} MinHash values cannot give a recall of {target_recall}")
+    trees = 1
+    while sum(likely[m] * (1 - (1 - (m / VALUES) ** depth) ** trees) for m in near) < target_recall:
+        trees += 1
+    return trees
+
+
 class _Forest:
     """Union-find over small integers."""
 
@@ -297,7 +316,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
 
 
 def _star_pairs(large: DataFrame) -> DataFrame:
-    """For nodes that no round made small: each member with the node's least one, with which most are linked where so many minwise tokens are shared."""
+    """For large nodes: each member with the node's least one, with which most near copies are linked."""
     least = materialize(large.groupBy("node").agg(F.min("rep").alias("a")), "node-least")
     return large.join(least, "node").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
@@ -376,9 +395,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with one and the same set are one class from the start, so copies make no pairs. Then, tree by tree: from the root, each
     node draws the MinHash value by which its members branch; small nodes are compared exhaustively by estimates, and what
     comes near the threshold is confirmed on the full sets, in the first tree in which a pair meets, unless links confirmed there
-    join the two already. Trees are repeated until a pair at the threshold meets in one with the target recall. Nodes that no
-    round makes small have their members confirmed against the least one, and what this leaves in other components is compared
-    with the whole node, block by block.
+    join the two already. Trees are repeated until a pair at the threshold meets in one with the target recall. Large nodes
+    branch on for the links that this finds; then their members are confirmed against the least one, and what all this leaves in
+    other components is compared with the whole node, block by block, so that no pair that met there is lost.
 
     Null and empty texts and texts of white space have no set, link with nothing and keep themselves; ids are 64-bit integers,
     rows with one id are one document. Repeated rows get repeated results; no rows give no rows; other columns are ignored.
@@ -390,7 +409,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     n = classes.count()
     depth = max(2, math.ceil(math.log10(max(n, 10))) - 2)
-    trees = math.ceil(math.log(1 - target_recall) / math.log(1 - (LEAST / 100) ** depth))
+    trees = tree_count(depth, target_recall)
     small, large = chosen_path_nodes(classes, trees, depth, leaf, rounds=rounds)
     links = materialize(confirmed_links(small, classes, docs, id_col, text_col, words), "links")
     if large is not None:

@@ -155,6 +155,34 @@ def test_nodes_that_stay_large_lose_no_links(spark):
     assert got == want
 
 
+def test_nodes_that_fall_apart_lose_no_links(spark):
+    """Pairs little above the threshold, in nodes that all count as large and come apart as they branch on."""
+    rows = []
+    for g in range(40):
+        base = [f"p{g}_{i}" for i in range(101)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:91], *(f"q{g}_{i}" for i in range(10))]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows, 2)
+    assert len({c for _, c in want.values()}) == 40
+    for rounds in (1, 3):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(df, words=2, leaf=1, rounds=rounds).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_trees_hold_the_target(depth):
+    """Pairs at the threshold, drawn: each value is shared by 80 of a hundred."""
+    rng, n = np.random.default_rng(4), 40_000
+    a = rng.integers(0, 1 << 32, (n, near_dedup.VALUES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    met = np.zeros(n, bool)
+    for root in near_dedup._roots(near_dedup.tree_count(depth, near_dedup.TARGET_RECALL)):
+        start = np.full(n, root, np.uint64)
+        met |= near_dedup._descend(start, a, depth) == near_dedup._descend(start, b, depth)
+    near = near_dedup._estimate(a.astype(np.uint8), b.astype(np.uint8)) >= near_dedup._LEAST_ESTIMATE
+    assert 1 - (met & near).mean() < 2 * (1 - near_dedup.TARGET_RECALL)
+
+
 def test_near_dedup_equals_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(400)]
