@@ -281,6 +281,20 @@ def test_html(spark):
     assert got[12] == "Text 2\n\nOther 2" and got[53] == "Body 3"
 
 
+def site(i, more=""):
+    return f"<html><body><div class=box><p>Same a</p><p>Same b</p><p>Same c</p>{more}</div><div class=text><p>Text {i}</p><p>Other {i}</p></div></body></html>"
+
+
+def test_html_copies_are_one_page(spark):
+    rows = [(1, "http://one.example/a", site(1)), (2, "http://one.example/a?utm_source=x", site(1)), (3, "http://one.example/a#top", site(1))]
+    rows += [(10 + i, f"http://two.example/{i}", f"<body><article><p>Text {max(i, 7)}</p><p>Other {max(i, 7)}</p></article></body>") for i in range(10)]
+    rows += [(100 + i, f"http://three.example/{i}", site(i // 3, "<p>Only here</p>" if i // 3 == 4 else "")) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == got[3] == "Same a\n\nSame b\n\nSame c\n\nText 1\n\nOther 1"
+    assert all(got[10 + i] == f"Text {max(i, 7)}\n\nOther {max(i, 7)}" for i in range(10))
+    assert all(got[100 + i] == ("Only here\n\n" if i // 3 == 4 else "") + f"Text {i // 3}\n\nOther {i // 3}" for i in range(60))
+
+
 def test_quality(spark, docs, empty):
     good = [(i, "plain clean words in a row again") for i in range(50)]
     raw = spark.createDataFrame(good + [(100 + i, "%% $$ junk !! %% $$ junk !! " * 3) for i in range(10)], "doc_id bigint, text string")
