@@ -295,6 +295,19 @@ def test_html_copies_are_one_page(spark):
     assert all(got[100 + i] == ("Only here\n\n" if i // 3 == 4 else "") + f"Text {i // 3}\n\nOther {i // 3}" for i in range(60))
 
 
+def test_html_joins_equal_broadcast(spark, monkeypatch):
+    """Hosts that Java's URI refuses or does not name."""
+    hosts = ["http://a_b.example/{}", "http://büro.example/{}", "http://c.example/x y|{}", "http://D.example/{{{}}}", "::bad{}", "http://[bad{}"]
+    rows = [(100 * h + i, host.format(i), site(i).replace("Same", f"Same {h}")) for h, host in enumerate(hosts) for i in range(20)] + [(1000, None, None), (1000, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    read = lambda: sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect())
+    sent = read()
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert read() == sent
+    texts = {i: t for i, _, t, _ in sent}
+    assert len(sent) == len(rows) and texts[3] == texts[103] == texts[203] == texts[303] == "Text 3\n\nOther 3"
+
+
 def test_quality(spark, docs, empty):
     good = [(i, "plain clean words in a row again") for i in range(50)]
     raw = spark.createDataFrame(good + [(100 + i, "%% $$ junk !! %% $$ junk !! " * 3) for i in range(10)], "doc_id bigint, text string")
