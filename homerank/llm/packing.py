@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import bisect
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,46 +25,122 @@ RANK_GROUP = 100_000
 _ONLY_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
 
-def _stem(word: str) -> str:
-    """A word of letters without the run of marks that closes it, since they never share a token; any other word as it is.
+#: Bytes of text that are split and encoded at once, about; a longer text makes a longer block.
+BLOCK_BYTES = 8 << 20
+#: Stems that go to the tokenizer as one text.
+STEMS_AT_ONCE = 1_000
 
-    The letters must be letters in normal form and lower case too: some become a letter and a sign, which joins the marks.
-    """
-    stem = word.rstrip(".,!?")
-    return stem if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()) else word
+
+#: Texts with other characters than these are encoded word by word: their letters may change their number in lower case or normal form.
+_PLAIN_TEXT = "^[\\x00-\\x{012f}\\x{0131}-\\x{024f}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{20a0}-\\x{20bf}]*$"
+#: A mark after a letter: the tokenizer never joins the two.
+_MARK = "([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f])([!-&(-/:-@\\[-`{-~])"
 
 
-class WordTokens(dict):
-    """Ids of single words, for a tokenizer that splits at white space first and treats each word by itself."""
+class WordTokens:
+    """Ids of words, for a tokenizer that splits at white space first and treats each word by itself."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer, self.of_stems = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
+        # For lower-case words of letters, where the rules before the merges change nothing.
+        self.of_stems.normalizer = None
+        self.of_stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            stem = _stem(word)
-            ids = self[stem] + self[word[len(stem) :]] if stem != word else self.direct(word)
-        if len(word) <= CACHE_KEY_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; special strings and rare white space take the whole-text way."""
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of letters: many are encoded as one text, in which each ends with its one token that closes a word."""
+        out = []
+        parts = [stems[i : i + STEMS_AT_ONCE] for i in range(0, len(stems), STEMS_AT_ONCE)]
+        for part, encoded in zip(parts, self.of_stems.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            else:
+                out += map(self.direct, part)
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of distinct words as little-endian unsigned 32-bit integers."""
+        if len(self.known) >= CACHE_ENTRIES:
+            self.older, self.known = self.known, {}
+        known, older = self.known.get, self.older.get
+        out = [known(w) for w in words]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        stems = []
+        for i in missing:
+            word = words[i]
+            out[i] = older(word)
+            if out[i] is None:
+                if word.isalpha() and (word.isascii() or max(word) < "\u0250") and word == word.lower():
+                    stems.append(i)
+                else:
+                    out[i] = self.direct(word)
+        for i, ids in zip(stems, self._stems([words[i] for i in stems])):
+            out[i] = ids
+        self.known.update((words[i], out[i]) for i in missing if len(words[i]) <= CACHE_KEY_CHARS)
+        return out
+
+    def _by_words(self, text: str) -> np.ndarray:
+        """Ids of a text with any characters."""
         if any(s in text for s in self.special) or any(c in text for c in _ONLY_PYTHON_SPACE):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).split()))
+            return np.frombuffer(self.direct(text), "<u4")
+        words = text.split()
+        different = list(dict.fromkeys(words))
+        ids = dict(zip(different, self.of_words(different)))
+        return np.frombuffer(b"".join([ids[w] for w in words]), "<u4")
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts end to end, ids of each text) for runs of rows of a string column; null counts as empty.
+
+        Arrow lower-cases a block, parts marks from letters, splits it at white space and finds its different words; each is encoded once.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(texts):
+            done = int(sizes[first - 1]) if first else 0
+            last = min(max(int(np.searchsorted(sizes, done + BLOCK_BYTES)), first + 1), len(texts))
+            block = texts.slice(first, last - first)
+            plain = pc.and_not(pc.match_substring_regex(block, _PLAIN_TEXT), pc.match_substring_regex(block, f"[{_ONLY_PYTHON_SPACE}]"))
+            for s in self.special:
+                plain = pc.and_not(plain, pc.match_substring(block, s))
+            odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+            if len(odd):
+                odd_texts = block.take(pa.array(odd)).to_pylist()
+                block = pc.if_else(plain, block, pa.scalar("", pa.large_string()))
+            split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(block), _MARK, "\\1 \\2"))
+            words = split.flatten().dictionary_encode()
+            pieces = self.of_words(words.dictionary.to_pylist())
+            pool, length = np.frombuffer(b"".join(pieces), "<u4"), np.array([len(p) // 4 for p in pieces], np.int64)
+            codes = words.indices.to_numpy()
+            taken = length[codes]
+            ends = np.concatenate([[0], np.cumsum(taken)])
+            ids = pool[np.repeat((np.cumsum(length) - length)[codes] - ends[:-1], taken) + np.arange(ends[-1])] if len(codes) else pool[:0]
+            bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            if len(odd):
+                parts, upto = [], 0
+                counts = np.diff(bounds)
+                for row, text in zip(odd.tolist(), odd_texts):
+                    whole = self._by_words(text)
+                    parts += [ids[upto : bounds[row]], whole]
+                    upto, counts[row] = bounds[row], len(whole)
+                yield np.concatenate([*parts, ids[upto:]]), counts
+            else:
+                yield ids, np.diff(bounds)
+            first = last
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -88,17 +164,18 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if where not in _loaded:
             _loaded[where] = WordTokens(where)
-        encode = _loaded[where].encode
         for batch in batches:
-            take, rest = [], ([], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, sequence):
-                    piece = ids[4 * start : 4 * (start + sequence)]
-                    take.append(i)
-                    for column, value in zip(rest, (start, len(piece) // 4, zlib.crc32(piece), total)):
-                        column.append(value)
+            take, rest, row = [], ([], [], [], []), 0
+            for ids, counts in _loaded[where].encode(batch.column(1)):
+                raw, at = ids.tobytes(), 0
+                for n in counts.tolist():
+                    own = raw[at : at + 4 * n] + end
+                    for start in range(0, n + 1, sequence):
+                        piece = own[4 * start : 4 * (start + sequence)]
+                        take.append(row)
+                        for column, value in zip(rest, (start, len(piece) // 4, zlib.crc32(piece), n + 1)):
+                            column.append(value)
+                    at, row = at + 4 * n, row + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")

@@ -133,10 +133,45 @@ def brute_components(rows, k):
 
 
 def test_word_ids_equal_the_whole_texts_ids():
-    """Words by themselves, with the marks after them taken off, give the ids of the whole text; letters that turn into letter and sign too."""
+    """Words by themselves, with marks parted from letters, give the ids of the whole text; letters that turn into letter and sign too."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def same_as_whole(texts):
+        for made in ([texts], [[t] for t in texts]):
+            for group in made:
+                got = list(tokens.encode(pa.array(group, pa.string())))
+                assert b"".join(ids.tobytes() for ids, _ in got) == b"".join(tokens.direct(t or "") for t in group), group
+                assert [n for _, counts in got for n in counts] == [len(tokens.direct(t or "")) // 4 for t in group]
+
     tokens = packing.WordTokens(packing.default_tokenizer())
-    for text in ("Hello, world!! it's; don't!! x.. 12!? . !x", "İ, İstanbul! Straße, é! ŉ. ﬁn! \u0958, \u0958!! x²!", "ΑΣ. ΟΔΟΣ!! a|b | é́, 日本。 日本!", "<|endoftext|> hi!", ""):
-        assert tokens.encode(text) == tokens.direct(text)
+    same_as_whole(["Hello, world!! it's; don't!! x.. 12!? . !x", "\u0130, \u0130stanbul! Straße, é! \u0149. \ufb01n! \u0958, \u0958!! x²!", "ΑΣ. ΟΔΟΣ!! a|b | e\u0301\u0301, 日本。 日本!", "<|endoftext|> hi!", "", "a\x1cb c\x1fd", None, "ª º µ \u01c4, ĳ ŀ. A\u030aa ſt 's's \u2019s", "x" * 300])
+    rng = random.Random(5)
+    signs = [chr(c) for c in [*range(32, 0x250), *range(0x250, 0x2000, 3), *range(0x2000, 0xD000, 41), 0x1D400, 0x10400]]
+    for _ in range(300):
+        same_as_whole(["".join(rng.choice(signs if rng.random() < 0.5 else "abc .,!?'sÉé") for _ in range(rng.randint(1, 30))) for _ in range(3)])
+    for c in range(0x250):
+        assert c == 0x130 or pc.utf8_lower(pa.array([chr(c)]))[0].as_py() == chr(c).lower()
+
+
+def test_packing_equals_plain_shortest_pack_first():
+    """One piece at a time, longest first, into the shortest open pack that it fits: the same pack lengths, and little padding."""
+    rng = np.random.default_rng(2)
+    for pieces in (rng.integers(1, 4097, 500).tolist(), (rng.pareto(1.2, 3000) * 60 + 2).clip(2, 4096).astype(int).tolist(), [2048] * 7 + [1] * 50, [1500] * 9 + [1000] * 4):
+        packs = []
+        for n in sorted(pieces, reverse=True):
+            packs.sort()
+            if packs and packs[0] + n <= packing.SEQUENCE:
+                packs[0] += n
+            else:
+                packs.append(n)
+        got = Counter()
+        for pattern, count in packing.shortest_pack_first(Counter(pieces)):
+            got[sum(n * t for n, t in pattern)] += count
+        assert got == Counter(packs)
+        assert sum(got.values()) <= 1.5 * -(-sum(pieces) // packing.SEQUENCE) + 1
 
 
 def test_nodes_that_stay_large_lose_no_links(spark):
