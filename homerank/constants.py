@@ -38,4 +38,8 @@ DRIVE_KMH, CONGESTION = 22.0, 1.4
 PRESTIGE_WEIGHT, MODERNITY_WEIGHT, PRIOR_SAMPLES = 0.72, 0.28, 5
 QUOTA_POWER, LEAST_QUOTA, MOST_QUOTA, QUOTA_PASSES, RATE_DAYS = 0.75, 8, 400, 6, 14
 TRADE_AREA, TRADE_BUDGET_PERCENT, TRADE_WALK, TRADE_WEIGHT = 0.25, 10, 7.0, 0.08
+OPEN_CELL_ROWS, MOST_PINS, OPEN_ZOOM = 30, 400, 16
+COMMUTE_K, COMMUTE_IMPORTANCE, MAX_COMMUTE = 0.20, 0.5, 45
+IMPORTANCE = {"low": 0.4, "normal": 1.0, "high": 2.2}
+NEUTRAL_QUALITY = 0.5
 BM25_K1, BM25_B, TEXT_HITS = 1.2, 0.75, 500

@@ -26,10 +26,10 @@ def in_box(lat: Column, lon: Column, box: dict[str, float]) -> Column:
     return lat.between(box["min_lat"], box["max_lat"]) & lon.between(box["min_lon"], box["max_lon"])
 
 
-def in_ring(lat: Column, lon: Column, ring: str) -> Column:
-    """Ray casting over a ring column: an array of structs (lat, lon), not closed."""
+def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
+    """Ray casting over a ring: an array of structs (lat, lon), not closed."""
     n = F.size(ring)
-    edges = F.zip_with(F.col(ring), F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.lat.alias("y1"), a.lon.alias("x1"), b.lat.alias("y2"), b.lon.alias("x2")))
+    edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.lat.alias("y1"), a.lon.alias("x1"), b.lat.alias("y2"), b.lon.alias("x2")))
     crossed = F.filter(edges, lambda e: ((e.y1 > lat) != (e.y2 > lat)) & (lon < (e.x2 - e.x1) * (lat - e.y1) / F.nullif(e.y2 - e.y1, F.lit(0.0)) + e.x1))
     return F.size(crossed) % 2 == 1
 

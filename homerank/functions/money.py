@@ -47,11 +47,13 @@ def band(deposit: Column, rent: Column, can_convert: Column, ceiling: Column) ->
     return F.when(can_convert, lower).otherwise(deposit), F.when(can_convert, upper).otherwise(deposit)
 
 
-def resolve_split(deposit: Column, rent: Column, can_convert: Column, ceiling: Column, cap: Column, higher_rent: Column) -> tuple[Column, Column]:
-    """(deposit, rent) after conversion: down to a stated cash cap, else to the band's end that the searcher prefers, else as advertised."""
+def resolve_split(deposit: Column, rent: Column, can_convert: Column, ceiling: Column, cap: Column, persona: Column) -> tuple[Column, Column]:
+    """(deposit, rent) after conversion: down to a stated cash cap, else to the band's end that the searcher prefers
+    (prefer_higher_rent, prefer_higher_deposit), else as advertised."""
     lower, upper = band(deposit, rent, can_convert, ceiling)
     stated = F.nullif(cap, F.lit(0))
-    target = F.when(lower == upper, F.lit(None).cast("bigint")).when(stated.isNotNull() & (deposit > stated), F.greatest(lower, F.least(upper, stated))).when(F.coalesce(higher_rent, F.lit(False)), lower)
+    target = F.when(lower == upper, F.lit(None).cast("bigint")).when(stated.isNotNull() & (deposit > stated), F.greatest(lower, F.least(upper, stated)))
+    target = target.when(persona == "prefer_higher_deposit", upper).when(persona == "prefer_higher_rent", lower)
     left = F.greatest(F.lit(0).cast("bigint"), ((fde(deposit, rent) - target) * _rate()).cast("bigint"))
     return F.coalesce(target, deposit), F.when(target.isNull(), rent).otherwise(left)
 

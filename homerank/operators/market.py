@@ -10,19 +10,53 @@ from ..functions.geo import cell
 from ..functions.money import tmc
 
 
+#: Accuracy of the sketches that bracket medians.
+SKETCH = 10_000
+
+
 def cost_per_sqm():
     return F.try_divide(tmc(F.col("deposit"), F.col("rent")), F.col("area_sqm"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median, n: the exact median of `value` in each group, null values left out.
+
+    A sketch brackets the middle first, with a map-side part; then values below, at the ends of and between the bracket are
+    counted, and only those strictly between (some ten-thousandths of a group) are gathered. So neither a hot group nor a whole table
+    goes through one task, and equal values are only counted. Both passes read the same narrow columns.
+    """
+    known = rows.select(*keys, F.col(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    low, high = 0.5 - 1.5 / SKETCH, 0.5 + 1.5 / SKETCH
+    sketch = known.groupBy(*keys).agg(F.percentile_approx("__x", F.array(F.lit(low), F.lit(high)), SKETCH).alias("__b"), F.count(F.lit(1)).alias("n"))
+    x, a, b = F.col("__x"), F.col("__a"), F.col("__c")
+    if keys:
+        marks = sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b")[0].alias("__a"), F.col("__b")[1].alias("__c"), "n")
+        on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    else:
+        marks = sketch.select(F.lit(1).alias("__one"), F.col("__b")[0].alias("__a"), F.col("__b")[1].alias("__c"), "n")
+        known = known.withColumn("__one", F.lit(1))
+        on = "__one"
+        marks = F.broadcast(marks)  # one row
+    counted = known.join(marks, on).groupBy(*keys).agg(
+        F.count_if(x < a).alias("__below"), F.count_if(x == a).alias("__at"), F.array_sort(F.collect_list(F.when((x > a) & (x < b), x))).alias("__mid"),
+        F.first("__a").alias("__a"), F.first("__c").alias("__c"), F.first("n").alias("n"),
+    )
+    place = lambda r: F.when(r < F.col("__below") + F.col("__at"), a).otherwise(F.coalesce(F.try_element_at("__mid", (r - F.col("__below") - F.col("__at") + 1).cast("int")), b))
+    middle = (place(F.floor((F.col("n") - 1) / 2)) + place(F.floor(F.col("n") / 2))) / 2
+    return counted.select(*keys, middle.alias("median"), "n")
+
+
 def area_baselines(listings: DataFrame) -> DataFrame:
     """area_key, baseline, n: median cost per square metre of areas with enough listings."""
-    known = listings.filter(F.col("area_key").isNotNull() & (F.col("area_sqm") > 0))
-    return known.groupBy("area_key").agg(F.median(cost_per_sqm()).alias("baseline"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= C.BASELINE_SAMPLES)
+    known = listings.filter(F.col("area_key").isNotNull() & (F.col("area_sqm") > 0)).select("area_key", cost_per_sqm().alias("x"))
+    return medians(known, ["area_key"], "x").select("area_key", F.col("median").alias("baseline"), "n").filter(F.col("n") >= C.BASELINE_SAMPLES)
 
 
 def city_baseline(listings: DataFrame) -> DataFrame:
     """One row: city_per_sqm, city_tmc."""
-    return listings.filter("area_sqm > 0").agg(F.median(cost_per_sqm()).alias("city_per_sqm"), F.median(tmc(F.col("deposit"), F.col("rent"))).alias("city_tmc"))
+    known = listings.filter("area_sqm > 0").select(cost_per_sqm().alias("x"), tmc(F.col("deposit"), F.col("rent")).alias("y"))
+    both = [medians(known, [], c).select(F.col("median").alias(name)) for c, name in (("x", "city_per_sqm"), ("y", "city_tmc"))]
+    return both[0].crossJoin(both[1])  # one row each
 
 
 def price_floors(listings: DataFrame, degrees: float = C.CELL_DEGREES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +12,47 @@ from pyspark.sql import functions as F
 
 
 def _sweep(x: np.ndarray) -> np.ndarray:
-    """Which of distinct triples, all to be minimised, are not dominated: sorted by the first, a staircase of the others."""
-    order = np.lexsort(x.T[::-1])
-    keep, stairs = np.zeros(len(x), bool), np.empty((0, 2))
-    for i in order:
-        y, z = x[i, 1], x[i, 2]
-        if not ((stairs[:, 0] <= y) & (stairs[:, 1] <= z)).any():
-            keep[i] = True
-            stairs = np.vstack([stairs[~((stairs[:, 0] >= y) & (stairs[:, 1] >= z))], [y, z]])
-    return keep
+    """Which of triples, all to be minimised, are not dominated: in order of the first, against a staircase of the others.
 
-
-def pareto(rows: DataFrame, key: str = "search_id", cost: str = "cost", walk: str = "metro_walk_mins", size: str = "area_sqm") -> DataFrame:
-    """rows with is_pareto. Equal triples do not dominate each other.
-
-    Distinct triples are swept within each partition first, which leaves few; the rest of each search is swept as one.
+    Of the steps (second ascending, third descending) only the last one not beyond a point can dominate it.
     """
-    triples = rows.select(key, F.col(cost).cast("double").alias("x"), F.col(walk).cast("double").alias("y"), (-F.col(size)).cast("double").alias("z")).distinct()
+    triples, back = np.unique(x, axis=0, return_inverse=True)  # in lexicographic order: what dominates comes before
+    keep, ys, zs = np.zeros(len(triples), bool), [], []
+    for i, (_, y, z) in enumerate(triples.tolist()):
+        at = bisect.bisect_right(ys, y)
+        if at and zs[at - 1] <= z:
+            continue
+        keep[i] = True
+        first = bisect.bisect_left(ys, y)
+        end = first
+        while end < len(ys) and zs[end] >= z:
+            end += 1
+        ys[first:end], zs[first:end] = [y], [z]
+    return keep[back.ravel()]
+
+
+def skyline(rows: DataFrame, key: str = "search_id", cost: str = "cost", walk: str = "metro_walk_mins", size: str = "area_sqm") -> DataFrame:
+    """The rows that no other of their key beats. Equal triples do not beat each other, so all of them stay.
+
+    Each partition is swept by itself first, batch by batch, which leaves few rows; those of a key are swept as one.
+    """
+    measured = rows.withColumn("__x", F.col(cost).cast("double")).withColumn("__y", F.col(walk).cast("double")).withColumn("__z", (-F.col(size)).cast("double"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[_sweep(pdf[["__x", "__y", "__z"]].to_numpy())]
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
+        kept: dict = {}
         for pdf in batches:
-            for k, part in pdf.groupby(key):
-                every = pd.concat([best[k], part]) if k in best else part
-                best[k] = every[_sweep(every[["x", "y", "z"]].to_numpy())]
-        yield from best.values()
-
-    kind = rows.schema[key].dataType.simpleString()
-    survivors = triples.mapInPandas(local, f"{key} {kind}, x double, y double, z double")
-    sky = survivors.groupBy(key).applyInPandas(lambda pdf: pdf[_sweep(pdf[["x", "y", "z"]].to_numpy())], f"{key} {kind}, x double, y double, z double")
-    mark = sky.select(F.col(key).alias("__k"), "x", "y", "z", F.lit(True).alias("is_pareto"))
-    on = (F.col(key) == F.col("__k")) & (F.col(cost).cast("double") == F.col("x")) & (F.col(walk).cast("double") == F.col("y")) & ((-F.col(size)).cast("double") == F.col("z"))
-    return rows.join(mark, on, "left").drop("__k", "x", "y", "z").withColumn("is_pareto", F.coalesce("is_pareto", F.lit(False)))
+            for k, part in pdf.groupby(key, dropna=False):
+                kept[k] = best(pd.concat([kept[k], part]) if k in kept else part)
+        yield from kept.values()
+
+    survivors = measured.mapInPandas(local, measured.schema)
+    return survivors.groupBy(key).applyInPandas(best, measured.schema).drop("__x", "__y", "__z")
+
+
+def pareto(rows: DataFrame, key: str = "search_id", id_col: str = "id", cost: str = "cost", walk: str = "metro_walk_mins", size: str = "area_sqm") -> DataFrame:
+    """rows with is_pareto; key and id_col name a row. The skyline is small and comes back by id."""
+    mark = skyline(rows.select(key, id_col, cost, walk, size), key, cost, walk, size).select(key, id_col, F.lit(True).alias("is_pareto"))
+    return rows.join(mark, [key, id_col], "left").withColumn("is_pareto", F.coalesce("is_pareto", F.lit(False)))

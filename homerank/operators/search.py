@@ -6,43 +6,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.geo import haversine_km, in_box, manhattan_m
 from ..functions.money import budget_ratio, resolve_split, tmc
 from ..functions.text import digits_persian
-from .market import area_baselines, city_baseline
 
-UTILITIES = ("budget", "value", "area", "amenity", "metro", "freshness")
-
-
-def with_market(listings: DataFrame) -> DataFrame:
-    """Listings with baseline (their area's, else the city's) and city_tmc, both joined by key."""
-    city = city_baseline(listings).withColumn("__one", F.lit(1))
-    own = listings.join(area_baselines(listings).select("area_key", "baseline"), "area_key", "left").withColumn("__one", F.lit(1))
-    return own.join(F.broadcast(city), "__one").withColumn("baseline", F.coalesce("baseline", "city_per_sqm")).drop("__one", "city_per_sqm")  # one row
-
-
-def weights(intents: DataFrame) -> DataFrame:
-    """Searches with a normalised weight for each utility: size counts only where it is asked for; travel, taste and quality are off without their inputs."""
-    raw = {k: F.lit(C.WEIGHTS[k]) for k in UTILITIES}
-    raw["area"] = F.when(F.col("min_area").isNull() & F.col("max_area").isNull(), 0.0).otherwise(C.WEIGHTS["area"])
-    total = sum(raw.values(), F.lit(0.0))
-    return intents.select("*", *[(raw[k] / total).alias(f"w_{k}") for k in UTILITIES])
+#: The terms of a score, in the order of an intent's own weights.
+UTILITIES = ("budget", "value", "area", "amenity", "metro", "commute", "quality", "freshness", "soft")
+# The parts of a trade-off sentence.
+TRADE_WORDS = {
+    "this": "این مورد ", "larger": " متر بزرگ‌تر است", "in_budget": "در بودجهٔ شما می‌گنجد", "near_metro": "دسترسی مشابه یا بهتری به مترو دارد",
+    "but": "، اما ", "over_budget": "٪ بالاتر از بودجهٔ شماست", "longer_walk": " دقیقه پیاده‌روی بیشتری تا مترو دارد", "and": " و ",
+}
+#: Up to so many searches are sent to every task; more are dealt with the listings by size.
+FEW_INTENTS = 2_000
+#: Blocks into which a large set of queries is dealt; every row goes to each.
+QUERY_BLOCKS = 64
+#: Width in square metres of the bins by which many searches meet listings, and the last bin.
+BIN_SQM, LAST_BIN = 20, 100
+
+
+def weights(intents: DataFrame, has_quality: bool = True) -> DataFrame:
+    """Searches with a normalised weight w_* for each utility: their own weights where these add up to something, else the defaults.
+
+    What a search gives nothing to tell homes apart by counts nothing: travel without a workplace (else it counts by its
+    importance), size without limits, taste without a wish, quality without an index. If nothing is left, the defaults hold.
+    """
+    given = F.coalesce(F.aggregate("user_weights", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)) > 0
+    raw = {k: F.when(given, F.col("user_weights")[i]).otherwise(C.WEIGHTS[k]) for i, k in enumerate(UTILITIES)}
+    placed = F.col("workplace_lat").isNotNull() & F.col("workplace_lon").isNotNull()
+    raw["commute"] = F.when(placed, raw["commute"] * (F.col("commute_importance") / C.COMMUTE_IMPORTANCE)).otherwise(0.0)
+    raw["area"] = F.when(F.col("min_area").isNull() & F.col("max_area").isNull(), 0.0).otherwise(raw["area"])
+    raw["soft"] = F.when(F.col("soft_vec").isNull(), 0.0).otherwise(raw["soft"])
+    if not has_quality:
+        raw["quality"] = F.lit(0.0)
+    rows = intents.select("*", *[raw[k].alias(f"__{k}") for k in UTILITIES]).withColumn("__sum", sum((F.col(f"__{k}") for k in UTILITIES), F.lit(0.0)))
+    rows = rows.select("*", *[F.when(F.col("__sum") > 0, F.try_divide(f"__{k}", "__sum")).otherwise(C.WEIGHTS[k]).alias(f"w_{k}") for k in UTILITIES])
+    return rows.drop("__sum", *[f"__{k}" for k in UTILITIES])
+
+
+def weights_from_importance(levels: str) -> Column:
+    """An intent's own weights from a map of utility to low, normal or high; what is not named or unknown is normal."""
+    steps = F.create_map(*[F.lit(x) for kv in C.IMPORTANCE.items() for x in kv])
+    level = lambda k: F.try_element_at(steps, F.try_element_at(F.col(levels), F.lit(k)))
+    return F.array(*[C.WEIGHTS[k] * F.coalesce(level(k), F.lit(1.0)) for k in UTILITIES])
+
+
+def prefilter() -> Column:
+    """The exact conditions of a pair. A home without an area passes here; containment decides about it later."""
+    asked = {"wants_parking": F.col("has_parking"), "wants_storage": F.col("has_storage"), "wants_balcony": F.col("has_balcony"), "wants_images": F.col("image_count") > 0, "full_deposit_only": F.col("is_full_deposit"), "convertible_only": F.col("can_convert")}
+    ok = F.lit(True)
+    for flag, has in asked.items():
+        ok = ok & (~F.col(flag) | has)
+    for low, x in (("min_rooms", "rooms"), ("min_floor", "floor"), ("min_build_year", "build_year"), ("min_deposit", "deposit"), ("min_rent", "rent")):
+        ok = ok & (F.col(low).isNull() | F.coalesce(F.col(x) >= F.col(low), F.lit(False)))
+    ok = ok & (F.col("max_floor").isNull() | (F.col("floor") <= F.col("max_floor")))
+    return ok & ((F.size("area_keys") == 0) | F.col("area_key").isNull() | F.array_contains("area_keys", F.col("area_key")))
 
 
 def candidates(listings: DataFrame, intents: DataFrame) -> DataFrame:
-    """Listing and search pairs of one market that pass all exact conditions, with the converted split. The searches are a small table; Spark decides how to send them."""
-    pairs = listings.join(intents.withColumn("is_shared", F.lit(False)), "is_shared")
-    pairs = pairs.filter((~F.col("wants_parking") | F.col("has_parking")) & (F.col("min_area").isNull() | (F.col("area_sqm") >= F.col("min_area") * (1 - C.AREA_BAND))) & (F.col("max_area").isNull() | (F.col("area_sqm") <= F.col("max_area") * (1 + C.AREA_BAND))))
-    d, r = resolve_split(F.col("deposit"), F.col("rent"), F.col("can_convert"), F.col("convertible_deposit_max"), F.col("max_deposit"), F.col("prefer_higher_rent"))
+    """Pairs of a listing and a search of its market that pass the exact conditions.
+
+    A checked small table of searches goes to every task. A large one is dealt by market and size: a search to the bins that its area
+    band touches, a listing to its one bin; adaptive execution splits bins that are hot.
+    """
+    wanted = intents.withColumn("is_shared", F.col("living_kind") == "shared")
+    if intents.limit(FEW_INTENTS + 1).count() <= FEW_INTENTS:
+        pairs = listings.join(F.broadcast(wanted), "is_shared")  # FEW_INTENTS rows at most
+    else:
+        at = lambda x: F.least(F.floor(x / BIN_SQM), F.lit(LAST_BIN))
+        low = F.greatest(at(F.coalesce(F.col("min_area") * (1 - C.AREA_BAND), F.lit(0.0))), F.lit(0))
+        high = F.greatest(at(F.coalesce(F.col("max_area") * (1 + C.AREA_BAND), F.lit(float(BIN_SQM * LAST_BIN)))), low)
+        pairs = listings.withColumn("__bin", F.greatest(at(F.col("area_sqm")), F.lit(0))).join(wanted.withColumn("__bin", F.explode(F.sequence(low, high))), ["is_shared", "__bin"]).drop("__bin")
+    return pairs.filter(prefilter())
+
+
+def with_split(pairs: DataFrame) -> DataFrame:
+    d, r = resolve_split(F.col("deposit"), F.col("rent"), F.col("can_convert"), F.col("convertible_deposit_max"), F.col("max_deposit"), F.col("persona"))
     return pairs.withColumn("split_deposit", d).withColumn("split_rent", r)
 
 
 def hard_mask() -> Column:
-    """Ceilings, with their tolerance, on the converted split."""
+    """Beyond the exact conditions: containment in a drawn area, the area band, and the ceilings, with their tolerance, on the converted split."""
     d, r = F.nullif(F.col("max_deposit"), F.lit(0)), F.nullif(F.col("max_rent"), F.lit(0))
     top = C.BUDGET_CEILING
     both = d.isNotNull() & r.isNotNull()
     cost = tmc(F.col("split_deposit"), F.col("split_rent"))
-    return (d.isNull() | (F.col("split_deposit") <= d * top)) & (r.isNull() | (F.col("split_rent") <= r * top)) & (~both | (cost <= top * tmc(d, r)))
+    inside = (F.size("area_keys") == 0) | F.arrays_overlap("area_keys", "inside_keys")
+    band = (F.col("min_area").isNull() | (F.col("area_sqm") >= F.col("min_area") * (1 - C.AREA_BAND))) & (F.col("max_area").isNull() | (F.col("area_sqm") <= F.col("max_area") * (1 + C.AREA_BAND)))
+    return inside & band & (d.isNull() | (F.col("split_deposit") <= d * top)) & (r.isNull() | (F.col("split_rent") <= r * top)) & (~both | (cost <= top * tmc(d, r)))
 
 
 def u_budget() -> Column:
@@ -67,8 +118,8 @@ def u_area() -> Column:
 def u_amenity() -> Column:
     has = {k: F.col(k) for k in C.AMENITIES}
     has["has_elevator"] = F.col("has_elevator") | (F.col("floor") <= 1)
-    asked = {"has_parking": F.col("wants_parking"), "has_elevator": F.col("wants_elevator"), "has_storage": F.lit(False), "has_balcony": F.lit(False)}
-    some = F.col("wants_parking") | F.col("wants_elevator")
+    asked = {k: F.col(k.replace("has_", "wants_")) for k in C.AMENITIES}
+    some = F.greatest(*asked.values())
     total = sum((F.when(~some | asked[k], w).otherwise(0.0) for k, w in C.AMENITIES.items()), F.lit(0.0))
     got = sum((F.when((~some | asked[k]) & has[k], w).otherwise(0.0) for k, w in C.AMENITIES.items()), F.lit(0.0))
     return got / total
@@ -78,26 +129,67 @@ def u_metro() -> Column:
     return 1 / (1 + F.exp(C.METRO_K * (F.col("metro_walk_mins") - C.METRO_MIDPOINT)))
 
 
+def commute_minutes() -> Column:
+    """From a listing to its search's workplace, null without one: on foot, by car, or by the better of walking and the network.
+
+    A listing brings its stations (egress: station_id, walk), a search the minutes to each station (arrivals, a map).
+    """
+    ends = [F.col(c) for c in ("lat", "lon", "workplace_lat", "workplace_lon")]
+    walk = manhattan_m(*ends) / C.WALK_M_PER_MIN
+    jam = in_box(ends[0], ends[1], C.ZONE) | in_box(ends[2], ends[3], C.ZONE)
+    drive = haversine_km(*ends) / C.DRIVE_KMH * 60 * F.when(jam, C.CONGESTION).otherwise(1.0)
+    net = F.array_min(F.transform("egress", lambda e: e.walk + F.try_element_at("arrivals", e.station_id)))
+    mode = F.col("commute_mode")
+    other = F.raise_error(F.concat(F.lit("unknown commute mode: "), F.coalesce(mode, F.lit("null")))).cast("double")
+    minutes = F.when(mode == "walk", walk).when(mode == "drive", drive).when(mode == "transit", F.least(walk, net)).otherwise(other)
+    return F.when(F.col("workplace_lat").isNotNull() & F.col("workplace_lon").isNotNull(), minutes)
+
+
+def u_commute() -> Column:
+    """1 without a workplace."""
+    return F.when(F.col("commute_mins").isNull(), 1.0).otherwise(1 / (1 + F.exp(C.COMMUTE_K * (F.col("commute_mins") - F.col("max_commute")))))
+
+
+def u_quality() -> Column:
+    return F.coalesce(F.col("quality"), F.lit(C.NEUTRAL_QUALITY))
+
+
+def u_soft() -> Column:
+    """1 where either vector is missing."""
+    return F.when(F.col("wish").isNull() | F.col("embedding").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine("wish", "embedding"))))
+
+
 def u_freshness() -> Column:
     return F.exp(-F.greatest(F.lit(0), F.col("building_age")) / C.FRESHNESS_YEARS)
 
 
-def penalty() -> Column:
-    """For stairs without a lift, and for living below ground."""
+def elevator_penalty() -> Column:
+    """For stairs without a lift: by the floor, and by how much the search minds."""
     deficit = F.when(F.col("has_elevator") | (F.col("floor") <= 1), 0.0).otherwise(F.least(F.lit(1.0), (F.col("floor") - 1) / (C.LIFT_TOP_FLOOR - 1)))
     share = C.WEIGHTS["amenity"] / sum(C.WEIGHTS.values())
     emphasis = F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.col("w_amenity") / share))
     strength = F.when(F.col("wants_elevator"), C.LIFT_STRENGTH_ASKED).otherwise(C.LIFT_STRENGTH)
-    return (1 - F.least(F.lit(C.LIFT_MOST), strength * emphasis) * deficit) * F.when(F.col("floor") < 0, C.BASEMENT_PENALTY).otherwise(1.0)
+    return 1 - F.least(F.lit(C.LIFT_MOST), strength * emphasis) * deficit
+
+
+def structural_penalty() -> Column:
+    """elevator_penalty, and for living below ground."""
+    return F.col("elevator_penalty") * F.when(F.col("floor") < 0, C.BASEMENT_PENALTY).otherwise(1.0)
 
 
 def scored(listings: DataFrame, intents: DataFrame) -> DataFrame:
-    """Every pair that passes, with its utilities u_*, penalty and score. Utilities of the listing alone are computed below the join."""
-    own = listings.withColumn("u_value", u_value()).withColumn("u_metro", u_metro()).withColumn("u_freshness", u_freshness())
-    pairs = candidates(own, weights(intents)).filter(hard_mask())
-    pairs = pairs.withColumn("u_budget", u_budget()).withColumn("u_area", u_area()).withColumn("u_amenity", u_amenity()).withColumn("penalty", penalty())
+    """Every pair that passes, with its utilities u_*, penalties and score. Utilities of the listing alone are computed below the join.
+
+    listings: with area_key, inside_keys, metro_walk_mins, baseline, city_tmc, quality, egress, embedding. intents: with
+    arrivals (map of station to minutes) and wish (a vector), both null where a search has none.
+    """
+    own = listings.withColumn("u_value", u_value()).withColumn("u_metro", u_metro()).withColumn("u_freshness", u_freshness()).withColumn("u_quality", u_quality())
+    pairs = with_split(candidates(own, weights(intents))).filter(hard_mask())
+    pairs = pairs.withColumn("commute_mins", commute_minutes()).withColumn("u_commute", u_commute()).withColumn("u_soft", u_soft())
+    pairs = pairs.withColumn("u_budget", u_budget()).withColumn("u_area", u_area()).withColumn("u_amenity", u_amenity())
+    pairs = pairs.withColumn("elevator_penalty", elevator_penalty()).withColumn("penalty", structural_penalty())
     total = sum((F.col(f"w_{k}") * F.col(f"u_{k}") for k in UTILITIES), F.lit(0.0))
-    return pairs.withColumn("score", total * F.col("penalty"))
+    return pairs.withColumn("score", total * F.col("penalty")).drop("embedding", "wish", "egress", "arrivals")
 
 
 def ranked(listings: DataFrame, intents: DataFrame, most: int = C.STORED_ROWS) -> DataFrame:
@@ -116,6 +208,15 @@ def head_reference(rows: DataFrame, head: int = C.HEAD_ROWS) -> DataFrame:
     return rows.filter(F.col("rank") <= head).groupBy("search_id").agg(F.median("area_sqm").alias("head_area"), F.median("metro_walk_mins").alias("head_metro"))
 
 
+def against_all(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every row with every one of a stated set of queries: the queries go to every task while they are few, else both are dealt in blocks."""
+    if asked.limit(FEW_INTENTS + 1).count() <= FEW_INTENTS:
+        return rows.withColumn("__all", F.lit(0)).join(F.broadcast(asked.withColumn("__all", F.lit(0).cast("int"))), "__all").drop("__all")  # FEW_INTENTS rows at most
+    blocks = F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))
+    block = F.pmod(F.xxhash64(*asked.columns), F.lit(QUERY_BLOCKS)).cast("int")
+    return rows.withColumn("__all", F.explode(blocks)).join(asked.withColumn("__all", block), "__all").drop("__all")
+
+
 def cosine(a: str, b: str) -> Column:
     """0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -128,6 +229,7 @@ def trade_off(rows: DataFrame) -> DataFrame:
     Only what the search's weights speak of is named, and a named axis that costs too much silences the sentence.
     """
     text = lambda x: digits_persian(x.cast("bigint"))
+    say = TRADE_WORDS
     below = rows.filter(F.col("rank") > C.HEAD_ROWS).join(head_reference(rows), "search_id")
     below = below.filter((F.col("head_area") > 0) & ((F.col("area_sqm") - F.col("head_area")) / F.col("head_area") >= C.TRADE_AREA))
     ratio = budget_ratio(F.col("split_deposit"), F.col("split_rent"), F.col("max_deposit"), F.col("max_rent"))
@@ -136,16 +238,16 @@ def trade_off(rows: DataFrame) -> DataFrame:
     walk_counts = F.col("w_metro") >= C.TRADE_WEIGHT
     below = below.filter((~money_counts | (over <= C.TRADE_BUDGET_PERCENT)) & (~walk_counts | (F.bround(extra) <= 0) | (extra <= C.TRADE_WALK)) & (money_counts | walk_counts))
     gains = F.array_compact(F.array(
-        F.concat(text(F.bround(F.col("area_sqm") - F.col("head_area"))), F.lit(" متر بزرگ‌تر است")),
-        F.when(money_counts & (over <= 0), "در بودجهٔ شما می‌گنجد"),
-        F.when(walk_counts & (F.bround(extra) <= 0), "دسترسی مشابه یا بهتری به مترو دارد"),
+        F.concat(text(F.bround(F.col("area_sqm") - F.col("head_area"))), F.lit(say["larger"])),
+        F.when(money_counts & (over <= 0), say["in_budget"]),
+        F.when(walk_counts & (F.bround(extra) <= 0), say["near_metro"]),
     ))
     costs = F.array_compact(F.array(
-        F.when(money_counts & (over > 0), F.concat(text(over), F.lit("٪ بالاتر از بودجهٔ شماست"))),
-        F.when(walk_counts & (F.bround(extra) > 0), F.concat(text(F.bround(extra)), F.lit(" دقیقه پیاده‌روی بیشتری تا مترو دارد"))),
+        F.when(money_counts & (over > 0), F.concat(text(over), F.lit(say["over_budget"]))),
+        F.when(walk_counts & (F.bround(extra) > 0), F.concat(text(F.bround(extra)), F.lit(say["longer_walk"]))),
     ))
-    tail = F.when(F.size(costs) > 0, F.concat(F.lit("، اما "), F.array_join(costs, " و "))).otherwise("")
-    return below.select("search_id", "id", F.concat(F.lit("این مورد "), F.array_join(gains, " و "), tail, F.lit(".")).alias("sentence"))
+    tail = F.when(F.size(costs) > 0, F.concat(F.lit(say["but"]), F.array_join(costs, say["and"]))).otherwise("")
+    return below.select("search_id", "id", F.concat(F.lit(say["this"]), F.array_join(gains, say["and"]), tail, F.lit(".")).alias("sentence"))
 
 
 def store(rows: DataFrame, path: str) -> None:

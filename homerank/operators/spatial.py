@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -12,6 +12,8 @@ from ..functions.geo import cell, in_ring, manhattan_m
 
 #: Side of the cells into which polygons are cut, in degrees.
 POLYGON_CELL = 0.02
+#: Places in a cell, about, where the search for the nearest one begins; the least and the widest cell in degrees, the latter spans the city.
+CELL_PLACES, LEAST_CELL, WIDEST_CELL = 2, 0.001, 1.28
 
 
 def _cover(polygons: DataFrame, degrees: float) -> DataFrame:
@@ -21,23 +23,28 @@ def _cover(polygons: DataFrame, degrees: float) -> DataFrame:
     return polygons.withColumn("__cr", F.explode(rows)).withColumn("__cc", F.explode(columns))
 
 
-def containing(points: DataFrame, polygons: DataFrame, degrees: float = POLYGON_CELL) -> DataFrame:
-    """points with lat and lon, once for each polygon (area_key, ord, box, ring) that contains them; points outside all are dropped."""
-    placed = points.withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees))
-    inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    pairs = placed.join(_cover(polygons.select("area_key", "ord", "min_lat", "max_lat", "min_lon", "max_lon", "ring"), degrees), ["__cr", "__cc"])
-    return pairs.filter(inside).filter(in_ring(F.col("lat"), F.col("lon"), "ring")).drop("__cr", "__cc", "min_lat", "max_lat", "min_lon", "max_lon", "ring")
+def with_polygons(points: DataFrame, polygons: DataFrame, name: str = "inside_keys", degrees: float = POLYGON_CELL) -> DataFrame:
+    """points (lat, lon) with an array of the keys of all polygons (area_key, ord, box, ring) that contain each, in list order.
+
+    One equality join on cells, whose polygons wait in an array, so the points are neither shuffled nor repeated while the
+    layer is small enough for Spark to broadcast it. A cell's array holds the few polygons that touch it.
+    """
+    near = _cover(polygons.select("area_key", "ord", "min_lat", "max_lat", "min_lon", "max_lon", "ring"), degrees)
+    near = near.groupBy("__cr", "__cc").agg(F.array_sort(F.collect_list(F.struct("ord", "area_key", "min_lat", "max_lat", "min_lon", "max_lon", "ring"))).alias("__near"))
+    placed = points.withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees)).join(near, ["__cr", "__cc"], "left")
+    inside = lambda p: F.col("lat").between(p.min_lat, p.max_lat) & F.col("lon").between(p.min_lon, p.max_lon) & in_ring(F.col("lat"), F.col("lon"), p.ring)
+    keys = F.transform(F.filter("__near", inside), lambda p: p.area_key)
+    return placed.withColumn(name, F.coalesce(keys, F.array().cast("array<string>"))).drop("__cr", "__cc", "__near")
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, id_col: str = "id") -> DataFrame:
     """id_col, area_key: the first polygon in list order that contains each point, null outside all."""
-    hits = containing(points.select(id_col, "lat", "lon"), polygons).groupBy(id_col).agg(F.min_by("area_key", "ord").alias("area_key"))
-    return points.select(id_col).join(hits, id_col, "left")
+    return with_polygons(points.select(id_col, "lat", "lon"), polygons).select(id_col, F.try_element_at("inside_keys", F.lit(1)).alias("area_key"))
 
 
-def within_any(points: DataFrame, polygons: DataFrame, id_col: str = "id") -> DataFrame:
+def within_any(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """The points inside at least one polygon."""
-    return points.join(containing(points.select(id_col, "lat", "lon"), polygons).select(id_col), id_col, "left_semi")
+    return with_polygons(points, polygons, "__inside").filter(F.size("__inside") > 0).drop("__inside")
 
 
 def within_radius(points: DataFrame, places: DataFrame, meters: float, id_col: str = "id", place_col: str = "station_id") -> DataFrame:
@@ -49,56 +56,99 @@ def within_radius(points: DataFrame, places: DataFrame, meters: float, id_col: s
     return left.join(right, ["__cr", "__cc"]).select(id_col, place_col, d.alias("meters")).filter(F.col("meters") <= meters)
 
 
+def with_reach(points: DataFrame, places: DataFrame, meters: float, place_col: str = "station_id", name: str = "egress") -> DataFrame:
+    """points with an array `name` of (place_col, meters): all places within a grid distance, else the nearest one; empty without places. No point is shuffled while the places are few."""
+    degrees = meters / (C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1)))
+    near = _neighbours(places.select(place_col, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), degrees)
+    near = near.groupBy("__cr", "__cc").agg(F.collect_list(F.struct(place_col, "__lat", "__lon")).alias("__near"))
+    placed = with_nearest(points, places, "__place", "__meters", place_col).withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees)).join(near, ["__cr", "__cc"], "left")
+    all_near = F.transform("__near", lambda p: F.struct(p[place_col].alias(place_col), manhattan_m(F.col("lat"), F.col("lon"), p["__lat"], p["__lon"]).alias("meters")))
+    within = F.filter(F.coalesce(all_near, F.array().cast(f"array<struct<{place_col}:{places.schema[place_col].dataType.simpleString()},meters:double>>")), lambda p: p.meters <= meters)
+    one = F.when(F.col("__meters").isNotNull(), F.array(F.struct(F.col("__place").alias(place_col), F.col("__meters").alias("meters")))).otherwise(within)
+    return placed.withColumn(name, F.when(F.size(within) > 0, within).otherwise(one)).drop("__cr", "__cc", "__near", "__place", "__meters")
+
+
 def _neighbours(places: DataFrame, degrees: float) -> DataFrame:
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     return places.withColumn("__dr", F.explode(near)).withColumn("__dc", F.explode(near)).withColumn("__cr", cell(F.col("__lat"), degrees) + F.col("__dr")).withColumn("__cc", cell(F.col("__lon"), degrees) + F.col("__dc")).drop("__dr", "__dc")
 
 
-def nearest(points: DataFrame, places: DataFrame, id_col: str = "id", place_col: str = "station_id", levels: tuple[float, ...] = (0.02, 0.08, 0.32, 1.28)) -> DataFrame:
-    """id_col, place_col, meters: the nearest place by grid distance, the smaller id of equal ones.
+def _closest(points: DataFrame, places: DataFrame, key: Column, metric, sure_share: float, name: str) -> DataFrame:
+    """points with a struct `name` (d, key): the nearest place (lat, lon), by metric(lat1, lon1, lat2, lon2) and then by key; null without places.
 
-    Searched in cells that grow level by level: a find is final when it is nearer than the cells reach on all sides; the
-    other points go on to the next level. The last level spans the city.
+    A point meets the places of its cell and the eight around it, which wait in an array; a find is final when it is nearer
+    than sure_share of a cell's width. Others look again in cells four times as wide, up to the whole city: a chain of
+    left joins in which every level stands once and no point is shuffled while the places are few enough to be broadcast.
+    The first cells are so wide that each holds a few places; points that are done, or lie outside, spread over keys without places.
     """
-    rest, found = points.select(id_col, "lat", "lon"), None
-    for i, degrees in enumerate(levels):
-        sure = degrees * C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1))
-        left = rest.withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees))
-        d = manhattan_m(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
-        right = _neighbours(places.select(place_col, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), degrees)
-        best = left.join(right, ["__cr", "__cc"]).groupBy(id_col).agg(F.min(F.struct(d.alias("meters"), F.col(place_col))).alias("__b")).select(id_col, f"__b.{place_col}", "__b.meters")
-        final = best if i == len(levels) - 1 else best.filter(F.col("meters") <= sure)
-        found = final if found is None else found.unionByName(final)
-        rest = rest.join(final.select(id_col), id_col, "left_anti")
-    return found
+    spots = places.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), key.alias("__key"))
+    extent = (C.CITY["max_lat"] - C.CITY["min_lat"]) * (C.CITY["max_lon"] - C.CITY["min_lon"])
+    degrees = min(max(math.sqrt(extent * CELL_PLACES / max(places.count(), 1)), LEAST_CELL), WIDEST_CELL)
+    rows, done = points.withColumn(name, F.lit(None).cast(f"struct<d:double,key:{spots.schema['__key'].dataType.simpleString()}>")), F.lit(False)
+    away = -1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 40)) - (1 << 20)
+    last = False
+    while not last:
+        last = degrees >= WIDEST_CELL
+        near = _neighbours(spots, degrees).groupBy("__cr", "__cc").agg(F.collect_list(F.struct("__lat", "__lon", "__key")).alias("__near"))
+        rows = rows.withColumn("__cr", F.when(~done, cell(F.col("lat"), degrees)).otherwise(away)).withColumn("__cc", cell(F.col("lon"), degrees)).join(near, ["__cr", "__cc"], "left")
+        found = F.array_min(F.transform("__near", lambda p: F.struct(metric(F.col("lat"), F.col("lon"), p["__lat"], p["__lon"]).alias("d"), p["__key"].alias("key"))))
+        rows = rows.withColumn(name, F.coalesce(found, name)).drop("__cr", "__cc", "__near")
+        done = F.coalesce(F.col(name).getField("d") <= degrees * sure_share, F.lit(False))
+        degrees = min(4 * degrees, WIDEST_CELL)
+    return rows
+
+
+def with_nearest(points: DataFrame, places: DataFrame, place_col: str = "station_id", meters: str = "meters", key: str | None = None) -> DataFrame:
+    """points with place_col and meters: the nearest place by grid distance, the smaller id (column key, else place_col) of equal ones."""
+    sure = C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1))
+    out = _closest(points, places, F.col(key or place_col), manhattan_m, sure, "__best")
+    return out.withColumn(place_col, F.col("__best.key")).withColumn(meters, F.col("__best.d")).drop("__best")
+
+
+def nearest(points: DataFrame, places: DataFrame, id_col: str = "id", place_col: str = "station_id") -> DataFrame:
+    """id_col, place_col, meters of each point that has a nearest place."""
+    return with_nearest(points.select(id_col, "lat", "lon"), places, place_col).filter("meters IS NOT NULL").select(id_col, place_col, "meters")
+
+
+def nearest_anchor(points: DataFrame, polygons: DataFrame, id_col: str = "id") -> DataFrame:
+    """id_col, area_key: the area whose centre is nearest in plain degrees, the earlier of equal ones."""
+    places = polygons.select("area_key", "ord", F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    plain = lambda a, b, c, d: F.sqrt(F.pow(a - c, 2) + F.pow(b - d, 2))
+    out = _closest(points.select(id_col, "lat", "lon"), places, F.struct("ord", "area_key"), plain, 1.0, "__best")
+    return out.select(id_col, F.col("__best.key.area_key").alias("area_key"))
 
 
-def clusters(points: DataFrame, box: dict[str, float], rows: int = 3, columns: int = 4) -> DataFrame:
-    """row, col, n, lat, lon: counts and centroids on a grid over a viewport."""
-    inside = points.filter(F.col("lat").between(box["min_lat"], box["max_lat"]) & F.col("lon").between(box["min_lon"], box["max_lon"]))
-    at = lambda x, low, high, n: F.least(F.floor((F.col(x) - low) / (high - low) * n), F.lit(n - 1))
-    return inside.groupBy(at("lat", box["min_lat"], box["max_lat"], rows).alias("row"), at("lon", box["min_lon"], box["max_lon"], columns).alias("col")).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+def clusters(points: DataFrame, boxes: DataFrame, key: str = "search_id", rows: int = 3, columns: int = 4) -> DataFrame:
+    """points (key, id, lat, lon) in the viewports of boxes (key, min_lat, max_lat, min_lon, max_lon) with row and col of a grid over each; edges belong to the edge cells."""
+    inside = points.join(boxes, key).filter(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon")))
+    at = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(x) - F.col(f"min_{x}")) / _span(x) * n)))
+    return inside.withColumn("row", at("lat", rows)).withColumn("col", at("lon", columns))
 
 
-def open_cells(cells: DataFrame, open_rows: int, most: int) -> DataFrame:
-    """The cells shown as single pins: the smallest first while each is small enough and the total stays within limits."""
-    before = Window.orderBy("n", "row", "col").rowsBetween(Window.unboundedPreceding, 0)  # a few cells of one viewport
-    return cells.withColumn("total", F.sum("n").over(before)).withColumn("open", (F.col("n") <= open_rows) & (F.col("total") <= most))
+def _span(x: str) -> Column:
+    return F.greatest(F.col(f"max_{x}") - F.col(f"min_{x}"), F.lit(1e-9))
 
 
-def nearest_anchor(points: DataFrame, polygons: DataFrame, id_col: str = "id", levels: tuple[float, ...] = (0.1, 1.28)) -> DataFrame:
-    """id_col, area_key: the area whose centre is nearest in plain degrees, the earlier of equal ones.
+def clusters_and_pins(points: DataFrame, boxes: DataFrame, zooms: DataFrame, key: str = "search_id", rows: int = 3, columns: int = 4, open_rows: int = C.OPEN_CELL_ROWS, most: int = C.MOST_PINS) -> DataFrame:
+    """key, kind, id, row, col, n, lat, lon and a cell's bounds: what a map shows of points (key, id, lat, lon).
 
-    Centres in the nine cells around a point decide unless none is nearer than a cell is wide; the last level spans the city.
+    Cells open into pins (kind 'pin', with id), the smallest first, while each has at most open_rows points (any number from
+    the zoom in zooms (key, zoom) on at which all cells open) and the pins stay within `most`; as the counts ascend, the open
+    cells are a prefix. Other cells are one badge at the middle of their points. A key without a box shows its first `most` ids.
     """
-    places = polygons.select("area_key", "ord", F.col("center_lat").alias("__lat"), F.col("center_lon").alias("__lon"))
-    d = F.sqrt(F.pow(F.col("lat") - F.col("__lat"), 2) + F.pow(F.col("lon") - F.col("__lon"), 2))
-    rest, found = points.select(id_col, "lat", "lon"), None
-    for degrees in levels:
-        placed = rest.withColumn("__cr", cell(F.col("lat"), degrees)).withColumn("__cc", cell(F.col("lon"), degrees))
-        best = placed.join(_neighbours(places, degrees), ["__cr", "__cc"]).groupBy(id_col).agg(F.min(F.struct(d.alias("d"), "ord", "area_key")).alias("__b"))
-        final = best if degrees == levels[-1] else best.filter(F.col("__b.d") <= degrees)
-        final = final.select(id_col, "__b.area_key")
-        found = final if found is None else found.unionByName(final)
-        rest = rest.join(final.select(id_col), id_col, "left_anti")
-    return found
+    dealt = clusters(points, boxes, key, rows, columns)
+    cells = dealt.groupBy(key, "row", "col").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), *[F.first(c).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    before = Window.partitionBy(key).orderBy("n", "row", "col").rowsBetween(Window.unboundedPreceding, 0)  # at most rows * columns cells of a key
+    cells = cells.join(zooms.select(key, "zoom"), key, "left").withColumn("open", ((F.col("n") <= open_rows) | F.coalesce(F.col("zoom") >= C.OPEN_ZOOM, F.lit(False))) & (F.sum("n").over(before) <= most))
+    bound = lambda x, i, n: F.col(f"min_{x}") + i * _span(x) / n
+    none = F.lit(None)
+    badges = cells.filter("NOT open").select(
+        key, F.lit("cluster").alias("kind"), none.cast(points.schema["id"].dataType).alias("id"), "row", "col", "n", "lat", "lon",
+        bound("lat", F.col("row"), rows).alias("south"), bound("lat", F.col("row") + 1, rows).alias("north"), bound("lon", F.col("col"), columns).alias("west"), bound("lon", F.col("col") + 1, columns).alias("east"),
+    )
+    bare = [none.cast("double").alias(c) for c in ("south", "north", "west", "east")]
+    pins = dealt.join(cells.filter("open").select(key, "row", "col"), [key, "row", "col"]).select(key, F.lit("pin").alias("kind"), "id", "row", "col", F.lit(1).cast("bigint").alias("n"), "lat", "lon", *bare)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("id"))
+    loose = points.join(boxes.select(key), key, "left_anti").withColumn("__r", first).filter(F.col("__r") <= most)
+    loose = loose.select(key, F.lit("pin").alias("kind"), "id", none.cast("bigint").alias("row"), none.cast("bigint").alias("col"), F.lit(1).cast("bigint").alias("n"), "lat", "lon", *bare)
+    return badges.unionByName(pins).unionByName(loose)

@@ -41,8 +41,9 @@ def _pairs(stations: DataFrame, meters: float) -> DataFrame:
 
 def walk_transfers(stations: DataFrame, lines: DataFrame) -> DataFrame:
     """a, b, minutes: stations within a transfer's walk that share no line."""
-    shared = lines.select(F.col("station_id").alias("a"), "line").join(lines.select(F.col("station_id").alias("b"), "line"), "line").select("a", "b")
-    return _pairs(stations, C.TRANSFER_WALK_M).join(shared, ["a", "b"], "left_anti").select("a", "b", (F.col("meters") / C.WALK_M_PER_MIN).alias("minutes"))
+    own = lines.groupBy("station_id").agg(F.collect_set("line").alias("lines"))
+    pairs = _pairs(stations, C.TRANSFER_WALK_M).join(own.select(F.col("station_id").alias("a"), F.col("lines").alias("__la")), "a").join(own.select(F.col("station_id").alias("b"), F.col("lines").alias("__lb")), "b")
+    return pairs.filter(~F.arrays_overlap("__la", "__lb")).select("a", "b", (F.col("meters") / C.WALK_M_PER_MIN).alias("minutes"))
 
 
 def stop_merge(stations: DataFrame) -> DataFrame:

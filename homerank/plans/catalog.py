@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, money, repair, text
-from ..operators import corpus, market, pareto, search, spatial
+from ..operators import corpus, market, search, spatial
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,7 +149,7 @@ _listing_query(
 _listing_query("manhattan_m", lambda: [F.round(geo.manhattan_m(F.col("lat"), F.col("lon"), F.lit(35.7), F.lit(51.4)), 4).alias("m")], "round(abs(lat - 35.7E0) * 111320 + abs(lon - 51.4E0) * 111320 * cos(radians((lat + 35.7E0) / 2)), 4) AS m")
 _listing_query("zone_flags", lambda: [geo.in_box(F.col("lat"), F.col("lon"), C.ZONE).alias("in_zone")], "lat BETWEEN 35.7E0 AND 35.735E0 AND lon BETWEEN 51.39E0 AND 51.435E0 AS in_zone")
 INSIDE = "listings l JOIN areas a ON l.lat BETWEEN a.min_lat AND a.max_lat AND l.lon BETWEEN a.min_lon AND a.max_lon JOIN edges e USING (area_key) GROUP BY l.id, a.area_key, a.ord HAVING sum(CASE WHEN (e.y1 > l.lat) <> (e.y2 > l.lat) AND l.lon < (e.x2 - e.x1) * (l.lat - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1 THEN 1 ELSE 0 END) % 2 = 1"
-GEO_CTE = T.with_tables("listings", "area_base", "areas", "edges") + f", hits AS (SELECT l.id, a.area_key, a.ord FROM {INSIDE}), located AS (SELECT id, arg_min(area_key, ord) AS area_key FROM hits GROUP BY id)"
+GEO_CTE = T.with_tables("listings", "area_base", "areas", "edges") + f", hits AS (SELECT l.id, a.area_key, a.ord FROM {INSIDE}), located AS (SELECT id, arg_min(area_key, ord) AS area_key, list(area_key ORDER BY ord) AS inside_keys FROM hits GROUP BY id)"
 
 
 @query("bbox_filter", f"{T.with_tables('listings')} SELECT id, lat, lon FROM listings WHERE lat BETWEEN 35.7E0 AND 35.735E0 AND lon BETWEEN 51.39E0 AND 51.435E0")
@@ -191,23 +191,42 @@ def _(spark, d):
     return T.stations(spark, d).select("station_id", F.explode_outer(F.array_compact(F.array("line", "second_line"))).alias("line")).select("station_id", F.coalesce("line", F.concat(F.lit("_"), F.col("station_id").cast("string"))).alias("line"))
 
 
-VIEW = {"min_lat": 35.6, "max_lat": 35.75, "min_lon": 51.2, "max_lon": 51.5}
-CLUSTERS = "SELECT CAST(least(floor((lat - 35.6E0) / (35.75E0 - 35.6E0) * 3), 2) AS BIGINT) AS row, CAST(least(floor((lon - 51.2E0) / (51.5E0 - 51.2E0) * 4), 3) AS BIGINT) AS col, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM listings WHERE lat BETWEEN 35.6E0 AND 35.75E0 AND lon BETWEEN 51.2E0 AND 51.5E0 GROUP BY 1, 2"
+#: Viewports: the middle of the city, a street corner seen from near, and one without an extent.
+VIEWS = ((1, 35.6, 35.75, 51.2, 51.5, 12.0), (2, 35.69, 35.72, 51.38, 51.43, 17.0), (3, 35.7, 35.7, 51.4, 51.4, 10.0))
+_VIEWS = "v AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}E0, {b}E0, {c}E0, {e}E0, {z}E0)" for k, a, b, c, e, z in VIEWS) + ") t(search_id, min_lat, max_lat, min_lon, max_lon, zoom))"
+#: From spots (search_id, id, lat, lon) and v: what a map shows.
+SHOWN = """spots2 AS (SELECT spots.*, min_lat, max_lat, min_lon, max_lon, zoom, greatest(max_lat - min_lat, 1e-9) AS dy, greatest(max_lon - min_lon, 1e-9) AS dx FROM spots JOIN v USING (search_id) WHERE lat BETWEEN min_lat AND max_lat AND lon BETWEEN min_lon AND max_lon),
+spots3 AS (SELECT *, greatest(0, least(2, CAST(floor((lat - min_lat) / dy * 3) AS BIGINT))) AS row, greatest(0, least(3, CAST(floor((lon - min_lon) / dx * 4) AS BIGINT))) AS col FROM spots2),
+cells AS (SELECT search_id, row, col, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, any_value(min_lat) AS y, any_value(min_lon) AS x, any_value(dy) AS dy, any_value(dx) AS dx, any_value(zoom) AS zoom FROM spots3 GROUP BY ALL),
+opened AS (SELECT *, (n <= 30 OR zoom >= 16) AND sum(n) OVER (PARTITION BY search_id ORDER BY n, row, col) <= 400 AS open FROM cells),
+shown AS (SELECT search_id, 'cluster' AS kind, NULL AS id, row, col, n, lat, lon, y + row * dy / 3 AS south, y + (row + 1) * dy / 3 AS north, x + col * dx / 4 AS west, x + (col + 1) * dx / 4 AS east FROM opened WHERE NOT open
+UNION ALL SELECT search_id, 'pin', spots3.id, row, col, 1, spots3.lat, spots3.lon, NULL, NULL, NULL, NULL FROM spots3 JOIN opened USING (search_id, row, col) WHERE open
+UNION ALL SELECT search_id, 'pin', id, NULL, NULL, 1, lat, lon, NULL, NULL, NULL, NULL FROM spots WHERE search_id NOT IN (SELECT search_id FROM v) QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY id) <= 400)"""
+SHOWN_COLUMNS = "search_id, kind, id, row, col, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("lat", "lon", "south", "north", "west", "east"))
 
 
-@query("map_clusters", f"{T.with_tables('listings')}, c AS ({CLUSTERS}) SELECT *, n <= 500 AND sum(n) OVER (ORDER BY n, row, col) <= 1000 AS open FROM c")
+def show(points: DataFrame, views: DataFrame) -> DataFrame:
+    out = spatial.clusters_and_pins(points.select("search_id", "id", "lat", "lon"), views.select("search_id", "min_lat", "max_lat", "min_lon", "max_lon"), views)
+    return out.select("search_id", "kind", "id", "row", "col", "n", *[_six(F.col(c), c) for c in ("lat", "lon", "south", "north", "west", "east")])
+
+
+def views(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(VIEWS), "search_id bigint, min_lat double, max_lat double, min_lon double, max_lon double, zoom double")
+
+
+@query("map_clusters", f"{T.with_tables('listings')}, {_VIEWS}, spots AS (SELECT search_id, id, lat, lon FROM listings, v), {SHOWN} SELECT {SHOWN_COLUMNS} FROM shown")
 def _(spark, d):
-    cells = spatial.clusters(T.listings(spark, d), VIEW).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
-    return spatial.open_cells(cells, 500, 1000).drop("total")
+    each = views(spark)
+    return show(search.against_all(T.listings(spark, d).select("id", "lat", "lon"), each.select("search_id")), each)
 
 
 # Market.
-MARKET_CTE = GEO_CTE + f", placed AS (SELECT l.*, area_key FROM listings l LEFT JOIN located USING (id)), base AS (SELECT area_key, median({TMC} / area_sqm) AS baseline, count(*) AS n FROM placed WHERE area_key IS NOT NULL GROUP BY area_key HAVING count(*) >= 5), city AS (SELECT median({TMC} / area_sqm) AS city_per_sqm, median({TMC}) AS city_tmc FROM placed)"
+MARKET_CTE = GEO_CTE + f", placed AS (SELECT l.*, area_key, inside_keys FROM listings l LEFT JOIN located USING (id)), base AS (SELECT area_key, median({TMC} / area_sqm) AS baseline, count(*) AS n FROM placed WHERE area_key IS NOT NULL GROUP BY area_key HAVING count(*) >= 5), city AS (SELECT median({TMC} / area_sqm) AS city_per_sqm, median({TMC}) AS city_tmc FROM placed)"
 
 
 def _placed(spark, d) -> DataFrame:
-    rows = T.listings(spark, d)
-    return rows.join(spatial.first_polygon(rows, T.areas(spark, d)), "id")
+    """The listings with inside_keys and area_key."""
+    return spatial.with_polygons(T.listings(spark, d), T.areas(spark, d)).withColumn("area_key", F.try_element_at("inside_keys", F.lit(1)))
 
 
 @query("market_baselines", f"{MARKET_CTE} SELECT area_key, round(baseline, 6) AS baseline, n FROM base")
@@ -301,90 +320,9 @@ def _(spark, d):
     return T.listings(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Search.
-def _market(spark, d) -> DataFrame:
-    rows = _placed(spark, d)
-    walks = spatial.nearest(rows, T.stations(spark, d).filter("type = 'metro'")).select("id", (F.col("meters") / C.WALK_M_PER_MIN).alias("metro_walk_mins"))
-    return search.with_market(rows.join(walks, "id"))
-
-
-def ranked(spark: SparkSession, d: str, most: int = C.STORED_ROWS) -> DataFrame:
-    return search.ranked(_market(spark, d), T.intents(spark), most)
-
-
-_W = {k: C.WEIGHTS[k] for k in search.UTILITIES}
-_WSQL = ", ".join(f"{'CASE WHEN min_area IS NULL AND max_area IS NULL THEN 0E0 ELSE 0.16E0 END' if k == 'area' else f'{v}E0'} AS v_{k}" for k, v in _W.items())
-_SUM = " + ".join(f"v_{k}" for k in _W)
-SEARCH_CTE = T.with_tables("listings", "area_base", "areas", "edges", "stations", "intents") + MARKET_CTE[len(T.with_tables("listings", "area_base", "areas", "edges")):] + f""", {NEAREST},
-wi AS (SELECT *, {_WSQL} FROM intents),
-wn AS (SELECT *, {", ".join(f"v_{k} / ({_SUM}) AS w_{k}" for k in _W)} FROM wi),
-p0 AS (SELECT l.*, i.*, coalesce(b.baseline, c.city_per_sqm) AS baseline, c.city_tmc, n.meters / 80 AS metro_walk_mins, {FDE} AS fde, nullif(max_deposit, 0) AS md, nullif(max_rent, 0) AS mr, {BAND}
-  FROM placed l LEFT JOIN base b USING (area_key), city c, wn i, nearest n WHERE n.id = l.id AND NOT is_shared AND (NOT wants_parking OR has_parking)
-  AND (min_area IS NULL OR area_sqm >= min_area * (1 - 0.08E0)) AND (max_area IS NULL OR area_sqm <= max_area * (1 + 0.08E0))),
-p1 AS (SELECT *, CASE WHEN lower_deposit = upper_deposit THEN NULL WHEN md IS NOT NULL AND deposit > md THEN greatest(lower_deposit, least(upper_deposit, md)) WHEN prefer_higher_rent THEN lower_deposit END AS target FROM p0),
-p2 AS (SELECT *, coalesce(target, deposit) AS split_deposit, CASE WHEN target IS NULL THEN rent ELSE greatest(0, CAST(trunc((fde - target) * 0.03E0) AS BIGINT)) END AS split_rent FROM p1),
-p3 AS (SELECT *, split_rent + CAST(trunc(split_deposit * 0.03E0) AS BIGINT) AS split_cost, mr + CAST(trunc(md * 0.03E0) AS BIGINT) AS goal FROM p2),
-p4 AS (SELECT *, CASE WHEN goal IS NOT NULL THEN split_cost / goal WHEN mr IS NOT NULL THEN split_rent / mr WHEN md IS NOT NULL THEN split_deposit / md END AS ratio FROM p3
-  WHERE (md IS NULL OR split_deposit <= md * 1.2E0) AND (mr IS NULL OR split_rent <= mr * 1.2E0) AND (goal IS NULL OR split_cost <= 1.2E0 * goal)),
-p5 AS (SELECT *, CASE WHEN ratio IS NULL THEN city_tmc / (city_tmc + {TMC}) WHEN ratio <= 1 THEN 1 - 0.2E0 * ratio ELSE 0.8E0 * exp(-5E0 * (ratio - 1)) END AS u_budget,
-  CASE WHEN {TMC} <= 0 THEN 1E0 ELSE least(1E0, baseline / ({TMC} / area_sqm) / 1.2E0) END AS u_value,
-  CASE WHEN min_area IS NULL THEN 1E0 ELSE greatest(0E0, 1 - pow(abs(area_sqm - (min_area + max_area) / 2) / ((min_area + max_area) / 2), 1.5E0)) END AS u_area,
-  CASE WHEN wants_parking THEN (CASE WHEN has_parking THEN 0.4E0 ELSE 0 END + CASE WHEN has_elevator OR floor <= 1 THEN 0.35E0 ELSE 0 END) / 0.75E0 ELSE CASE WHEN has_parking THEN 0.4E0 ELSE 0 END + CASE WHEN has_elevator OR floor <= 1 THEN 0.35E0 ELSE 0 END + CASE WHEN has_storage THEN 0.15E0 ELSE 0 END + CASE WHEN has_balcony THEN 0.1E0 ELSE 0 END END AS u_amenity,
-  1 / (1 + exp(0.25E0 * (metro_walk_mins - 8))) AS u_metro, exp(-building_age / 15E0) AS u_freshness,
-  (1 - least(0.85E0, CASE WHEN wants_elevator THEN 0.6E0 ELSE 0.3E0 END * least(2E0, greatest(0.5E0, w_amenity / 0.09E0))) * CASE WHEN has_elevator OR floor <= 1 THEN 0E0 ELSE least(1E0, (floor - 1) / 6E0) END) * CASE WHEN floor < 0 THEN 0.8E0 ELSE 1E0 END AS penalty FROM p4),
-p6 AS (SELECT *, ({" + ".join(f"w_{k} * u_{k}" for k in _W)}) * penalty AS score FROM p5),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(score, 9) DESC, id) AS rank FROM p6 WHERE score >= 0.45E0)"""
-
-
-def _scored_query(name: str, columns: dict) -> None:
-    """A projection of the pairs that pass, by search and listing."""
-    exprs = ", ".join(f"round({c}, 6) AS {c}" if rounded else c for c, rounded in columns.items())
-    query(name, f"{SEARCH_CTE} SELECT search_id, id, {exprs} FROM p6")(lambda s, d: search.scored(_market(s, d), T.intents(s)).select("search_id", "id", *[F.round(c, 6).alias(c) if rounded else F.col(c) for c, rounded in columns.items()]))
-
-
-_scored_query("tabdil_resolve", {"split_deposit": False, "split_rent": False})
-_scored_query("hard_mask", {"deposit": False, "rent": False})
-for _k in search.UTILITIES:
-    _scored_query(f"u_{'financial' if _k == 'budget' else _k}", {f"u_{_k}": True})
-_scored_query("elevator_penalty", {"penalty": True})
-_scored_query("score", {"score": True, **{f"u_{k}": True for k in search.UTILITIES}})
-
-
-@query("rank", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 600")
-def _(spark, d):
-    return ranked(spark, d).select("search_id", "rank", "id", _six(F.col("score"), "score"))
-
-
-@query("page", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 3) AS score, split_deposit, split_rent FROM ranked WHERE rank BETWEEN 1 AND 20")
-def _(spark, d):
-    return search.page(ranked(spark, d), 1, 20).select("search_id", "rank", "id", F.round("score", 3).alias("score"), "split_deposit", "split_rent")
-
-
-@query("suggested_split", f"{SEARCH_CTE} SELECT search_id, id, CASE WHEN split_deposit <> deposit THEN split_deposit END AS suggested_deposit FROM ranked WHERE rank <= 600")
-def _(spark, d):
-    return ranked(spark, d).select("search_id", "id", F.when(F.col("split_deposit") != F.col("deposit"), F.col("split_deposit")).alias("suggested_deposit"))
-
-
-@query("total_count", f"{SEARCH_CTE} SELECT search_id, count(*) AS n FROM ranked GROUP BY search_id")
-def _(spark, d):
-    return search.scored(_market(spark, d), T.intents(spark)).filter(F.col("score") >= C.LEAST_SCORE).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("head_reference", f"{SEARCH_CTE} SELECT search_id, round(median(area_sqm), 6) AS head_area, round(median(metro_walk_mins), 6) AS head_metro FROM ranked WHERE rank <= 60 GROUP BY search_id")
-def _(spark, d):
-    return search.head_reference(ranked(spark, d)).select("search_id", _six(F.col("head_area"), "head_area"), _six(F.col("head_metro"), "head_metro"))
-
-
-@query("pareto_flag", f"""{SEARCH_CTE}, t AS (SELECT DISTINCT search_id, split_cost AS x, metro_walk_mins AS y, area_sqm AS z FROM ranked),
-sky AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.search_id = a.search_id AND b.x <= a.x AND b.y <= a.y AND b.z >= a.z AND (b.x < a.x OR b.y < a.y OR b.z > a.z)))
-SELECT r.search_id, r.id FROM ranked r JOIN sky ON sky.search_id = r.search_id AND x = split_cost AND y = metro_walk_mins AND z = area_sqm""")
-def _(spark, d):
-    rows = search.scored(_market(spark, d), T.intents(spark)).filter(F.col("score") >= C.LEAST_SCORE).withColumn("cost", money.tmc(F.col("split_deposit"), F.col("split_rent")))
-    return pareto.pareto(rows.select("search_id", "id", "cost", "metro_walk_mins", "area_sqm")).filter("is_pareto").select("search_id", "id")
-
-
-@query("cosine", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS similarity FROM embeddings, q")
+# Similarity of vectors: those with an id that hundreds divide, against all.
+@query("cosine", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS similarity FROM embeddings, q")
 def _(spark, d):
-    rows = T.table(spark, d, "embeddings")
-    one = rows.filter("vec_id = 0").select(F.lit(1).alias("k"), F.col("embedding").alias("e"))
-    return rows.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").select("vec_id", _six(search.cosine("embedding", "e"), "similarity"))  # one row
+    rows = T.table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
+    return search.against_all(rows, asked).select("query_id", "vec_id", _six(search.cosine("embedding", "e"), "similarity"))

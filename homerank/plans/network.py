@@ -20,31 +20,34 @@ _EDGES = f"""lined AS (SELECT sl.*, type FROM sl JOIN stations USING (station_id
 SELECT p.station_id, p.line, q.station_id AS to_station, q.line AS to_line, CASE WHEN p.type = 'brt' THEN 2E0 ELSE 2.5E0 END AS minutes FROM lined p JOIN adj ON a = p.station_id JOIN lined q ON q.station_id = b AND q.line = p.line
 UNION ALL SELECT p.station_id, p.line, q.station_id, q.line, CASE WHEN p.type = 'metro' THEN 1E0 ELSE 0E0 END + {_WAIT.format(t='q', l='q.line')} FROM lined p JOIN lined q ON p.station_id = q.station_id AND p.line <> q.line
 UNION ALL SELECT p.station_id, p.line, q.station_id, q.line, minutes + {_WAIT.format(t='q', l='q.line')} FROM lined p JOIN walks ON a = p.station_id JOIN lined q ON q.station_id = b),
-edges AS (SELECT station_id, line, to_station, to_line, min(minutes) AS minutes FROM raw GROUP BY ALL)"""
-NET_CTE = T.with_tables("listings", "stations").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_LINES}, {_STEPS}, {_WALKS}, {_EDGES}"
+net_edges AS (SELECT station_id, line, to_station, to_line, min(minutes) AS minutes FROM raw GROUP BY ALL)"""
+NETWORK = f"{_LINES}, {_STEPS}, {_WALKS}, {_EDGES}"
+NET_CTE = T.with_tables("listings", "stations").replace("WITH ", "WITH RECURSIVE ", 1) + f", {NETWORK}"
 #: A workplace for each supplier, beside its station.
 WORKPLACE = "s_suppkey AS origin_id, (35550000 + s_suppkey * 5915587277 % 300000) / CAST(1000000 AS DOUBLE) AS lat, (51100000 + s_suppkey * 1500450271 % 500000) / CAST(1000000 AS DOUBLE) AS lon"
-_ACCESS = "{n} AS (SELECT p.{k}, s.station_id, {d} / 80 AS walk FROM {p} p, stations s WHERE {d} <= 1500 UNION ALL SELECT {k}, arg_min(station_id, d), min(d) / 80 FROM (SELECT p.{k}, s.station_id, {d} AS d FROM {p} p, stations s) GROUP BY {k} HAVING min(d) > 1500)"
-_DIST = MAN.format(a="p", b="s")
-ARRIVALS = f"""work AS (SELECT {WORKPLACE} FROM supplier), origins AS (SELECT origin_id, round_even(lat * 10000, 0) / 10000 AS lat, round_even(lon * 10000, 0) / 10000 AS lon FROM work), {_ACCESS.format(n='access', k='origin_id', p='origins', d=_DIST)},
-moves AS (SELECT * FROM edges UNION ALL SELECT station_id, line, station_id, line, 0E0 FROM sl),
+ACCESS = "{n} AS (SELECT p.{k}, s.station_id, {d} / 80 AS walk FROM {p} p, stations s WHERE {d} <= 1500 UNION ALL SELECT {k}, arg_min(station_id, d), min(d) / 80 FROM (SELECT p.{k}, s.station_id, {d} AS d FROM {p} p, stations s) GROUP BY {k} HAVING min(d) > 1500)"
+DIST = MAN.format(a="p", b="s")
+#: From a table `work` (origin_id, lat, lon).
+ARRIVE = f"""origins AS (SELECT origin_id, round_even(lat * 10000, 0) / 10000 AS lat, round_even(lon * 10000, 0) / 10000 AS lon FROM work), {ACCESS.format(n='access', k='origin_id', p='origins', d=DIST)},
+moves AS (SELECT * FROM net_edges UNION ALL SELECT station_id, line, station_id, line, 0E0 FROM sl),
 hop AS (SELECT 0 AS n, origin_id, lined.station_id, lined.line, walk + {_WAIT.format(t='lined', l='lined.line')} AS minutes FROM access JOIN lined USING (station_id)
 UNION ALL SELECT n + 1, origin_id, to_station, to_line, min(hop.minutes + moves.minutes) FROM hop JOIN moves USING (station_id, line) WHERE n < 60 GROUP BY n, origin_id, to_station, to_line),
 arrivals AS (SELECT origin_id, station_id, min(minutes) AS minutes FROM hop WHERE n = 60 GROUP BY ALL)"""
+ARRIVALS = f"work AS (SELECT {WORKPLACE} FROM supplier), {ARRIVE}"
 #: Each home travels to one of the workplaces, in one of three ways.
 TRIP = "l.id AS trip_id, l.lat, l.lon, w.origin_id, w.lat AS to_lat, w.lon AS to_lon, CASE l.ingest_seq % 3 WHEN 0 THEN 'walk' WHEN 1 THEN 'drive' ELSE 'transit' END AS mode"
 _DIRECT = MAN.format(a="t", b="x").replace("x.lat", "t.to_lat").replace("x.lon", "t.to_lon") + " / 80"
 _HAV = "pow(sin(radians(to_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(to_lat)) * pow(sin(radians(to_lon - lon) / 2), 2)"
-TRIPS = f"trips AS (SELECT {TRIP} FROM listings l JOIN work w ON w.origin_id = l.ingest_seq % 10 + 1), {_ACCESS.format(n='egress', k='trip_id', p='trips', d=_DIST)}, net AS (SELECT trip_id, min(walk + minutes) AS net FROM egress JOIN trips USING (trip_id) JOIN arrivals USING (origin_id, station_id) GROUP BY 1), transit AS (SELECT t.trip_id, least({_DIRECT}, coalesce(net, {_DIRECT})) AS minutes FROM trips t LEFT JOIN net USING (trip_id))"
+TRIPS = f"trips AS (SELECT {TRIP} FROM listings l JOIN work w ON w.origin_id = l.ingest_seq % 10 + 1), {ACCESS.format(n='egress', k='trip_id', p='trips', d=DIST)}, net AS (SELECT trip_id, min(walk + minutes) AS net FROM egress JOIN trips USING (trip_id) JOIN arrivals USING (origin_id, station_id) GROUP BY 1), transit AS (SELECT t.trip_id, least({_DIRECT}, coalesce(net, {_DIRECT})) AS minutes FROM trips t LEFT JOIN net USING (trip_id))"
 
 
-def _stations(spark, d) -> tuple[DataFrame, DataFrame]:
+def stations_and_lines(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = T.stations(spark, d)
     return rows, transit.station_lines(rows)
 
 
-def _network(spark, d) -> DataFrame:
-    rows, lines = _stations(spark, d)
+def network(spark, d) -> DataFrame:
+    rows, lines = stations_and_lines(spark, d)
     return transit.state_edges(rows, lines, transit.route_adjacency(lines), transit.walk_transfers(rows, lines))
 
 
@@ -53,8 +56,8 @@ def workplaces(spark, d) -> DataFrame:
 
 
 def arrivals(spark, d) -> DataFrame:
-    rows, lines = _stations(spark, d)
-    return transit.arrival_times(workplaces(spark, d), rows, lines, _network(spark, d))
+    rows, lines = stations_and_lines(spark, d)
+    return transit.arrival_times(workplaces(spark, d), rows, lines, network(spark, d))
 
 
 def trips(spark, d) -> DataFrame:
@@ -74,12 +77,12 @@ def _(spark, d):
 
 @query("route_adjacency", f"{T.with_tables('stations')}, {_LINES}, {_STEPS} SELECT a, b FROM adj")
 def _(spark, d):
-    return transit.route_adjacency(_stations(spark, d)[1])
+    return transit.route_adjacency(stations_and_lines(spark, d)[1])
 
 
 @query("walk_transfers", f"{T.with_tables('stations')}, {_LINES}, {_WALKS} SELECT a, b, round(minutes, 5) AS minutes FROM walks")
 def _(spark, d):
-    return _minutes(transit.walk_transfers(*_stations(spark, d)))
+    return _minutes(transit.walk_transfers(*stations_and_lines(spark, d)))
 
 
 @query("stop_merge", f"{T.with_tables('stations').replace('WITH ', 'WITH RECURSIVE ', 1)}, near AS (SELECT x.station_id AS a, y.station_id AS b FROM stations x, stations y WHERE {MAN.format(a='x', b='y')} <= 150), r AS (SELECT station_id, station_id AS stop FROM stations UNION SELECT b, stop FROM r JOIN near ON a = r.station_id) SELECT station_id, min(stop) AS stop FROM r GROUP BY 1")
@@ -87,9 +90,9 @@ def _(spark, d):
     return transit.stop_merge(T.stations(spark, d))
 
 
-@query("state_edges", f"{NET_CTE} SELECT station_id, line, to_station, to_line, round(minutes, 5) AS minutes FROM edges")
+@query("state_edges", f"{NET_CTE} SELECT station_id, line, to_station, to_line, round(minutes, 5) AS minutes FROM net_edges")
 def _(spark, d):
-    return _minutes(_network(spark, d))
+    return _minutes(network(spark, d))
 
 
 @query("arrival_times", f"{NET_CTE}, {ARRIVALS} SELECT origin_id, station_id, round(minutes, 5) AS minutes FROM arrivals")
@@ -107,6 +110,6 @@ def _(spark, d):
     return _minutes(transit.commute_minutes(trips(spark, d), T.stations(spark, d), arrivals(spark, d)))
 
 
-@query("reachable_set", f"{NET_CTE}, {ARRIVALS}, circles AS (SELECT origin_id, lat, lon, 30 * 80E0 AS reach FROM work UNION ALL SELECT origin_id, lat, lon, (30 - minutes) * 80 FROM arrivals JOIN stations USING (station_id) WHERE minutes < 30) SELECT DISTINCT s.origin_id, p.id FROM listings p JOIN circles s ON {_DIST} <= s.reach")
+@query("reachable_set", f"{NET_CTE}, {ARRIVALS}, circles AS (SELECT origin_id, lat, lon, 30 * 80E0 AS reach FROM work UNION ALL SELECT origin_id, lat, lon, (30 - minutes) * 80 FROM arrivals JOIN stations USING (station_id) WHERE minutes < 30) SELECT DISTINCT s.origin_id, p.id FROM listings p JOIN circles s ON {DIST} <= s.reach")
 def _(spark, d):
     return transit.reachable_set(T.listings(spark, d), T.stations(spark, d), arrivals(spark, d), workplaces(spark, d), 30.0)

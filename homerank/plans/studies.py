@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, evaluation, quality, search, spatial, textsearch
+from ..operators import corpus, evaluation, quality, spatial, textsearch
 from ..sources import tables as T
-from .catalog import GEO_CTE, MARKET_CTE, SEARCH_CTE, _market, _placed, _reposts, query, ranked
+from .catalog import GEO_CTE, MARKET_CTE, _placed, _reposts, query
 
 # Districts: a rectangle for each region, with a prior price.
 DISTRICT = "r_regionkey AS ord, 'd' || CAST(r_regionkey AS STRING) AS district, 60.0E6 + 35.0E6 * r_regionkey AS prior, 35.5500005E0 + 0.06E0 * r_regionkey AS min_lat, 35.6100005E0 + 0.06E0 * r_regionkey AS max_lat"
@@ -19,7 +19,7 @@ def districts(spark, d):
     return rows.withColumn("area_key", F.col("district")).withColumn("ring", F.array(corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon")))
 
 
-def _areas_in_districts(spark, d):
+def areas_in_districts(spark, d):
     centers = T.areas(spark, d).selectExpr("area_key AS id", "center_lat AS lat", "center_lon AS lon")
     inside = spatial.first_polygon(centers, districts(spark, d)).select(F.col("id").alias("area_key"), F.col("area_key").alias("district"))
     return inside.join(districts(spark, d).select("district", "prior"), "district", "left").select("area_key", "district", "prior")
@@ -61,13 +61,13 @@ m AS (SELECT *, coalesce(own, median(own) OVER (PARTITION BY district), 0.5E0) A
 
 @query("quality_index", f"{MARKET_CTE}, {INDEX} SELECT area_key, round(score, 4) AS score, round(prestige, 4) AS prestige, round(modernity, 4) AS modernity, n FROM qi")
 def _(spark, d):
-    return quality.quality_index(_placed(spark, d), _areas_in_districts(spark, d)).select("area_key", *[F.round(c, 4).alias(c) for c in ("score", "prestige", "modernity")], "n")
+    return quality.quality_index(_placed(spark, d), areas_in_districts(spark, d)).select("area_key", *[F.round(c, 4).alias(c) for c in ("score", "prestige", "modernity")], "n")
 
 
 @query("quality_lookup", f"{MARKET_CTE}, {INDEX} SELECT id, round(coalesce(score, 0.5E0), 4) AS quality FROM placed LEFT JOIN qi USING (area_key)")
 def _(spark, d):
     rows = _placed(spark, d)
-    return quality.quality_lookup(rows, quality.quality_index(rows, _areas_in_districts(spark, d))).select("id", F.round("quality", 4).alias("quality"))
+    return quality.quality_lookup(rows, quality.quality_index(rows, areas_in_districts(spark, d))).select("id", F.round("quality", 4).alias("quality"))
 
 
 def _rates(spark, d):
@@ -90,16 +90,16 @@ def _(spark, d):
     return quality.uniform_quota(_rates(spark, d), 3000)
 
 
-# Each benchmark passage's first two words are a query over all texts.
+# Each whole benchmark passage is a query over all texts: those with all its words.
 _TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
-@query("text_search", f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(({_TERMS})[1:2]) AS term FROM benchmark), w AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1), s AS (SELECT doc_id AS id, {_TERMS} AS words FROM documents),
+@query("text_search", f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark), w AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1), s AS (SELECT doc_id AS id, {_TERMS} AS words FROM documents),
 g AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM s), x AS (SELECT id, len(words) AS length, unnest(words) AS term FROM s), p AS (SELECT term, id, length, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 h AS (SELECT query_id, id, sum(ln(1 + (docs - df + 0.5E0) / (df + 0.5E0)) * tf * 2.2E0 / (tf + 1.2E0 * (0.25E0 + 0.75E0 * length / mean))) AS score, count(*) AS got FROM q JOIN p USING (term) JOIN f USING (term), g GROUP BY ALL)
 SELECT query_id, id, round(score, 6) AS score FROM h JOIN w USING (query_id) WHERE got = wanted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 500""")
 def _(spark, d):
-    asked = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(textsearch.terms(F.col("text")), 1, 2), " ").alias("text"))
+    asked = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     texts = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return textsearch.search(texts, asked).withColumn("score", F.round("score", 6))
 
@@ -138,33 +138,6 @@ def _(spark, d):
     return evaluation.rollup(_judged(spark, d), scores).withColumn("judge", F.round("judge", 6))
 
 
-# Rankings.
-_OVER = "round_even((ratio - 1) * 100, 0)"
-_EXTRA = "(metro_walk_mins - head_metro)"
-_FA = "translate(CAST(CAST({} AS BIGINT) AS VARCHAR), '0123456789', '۰۱۲۳۴۵۶۷۸۹')"
-
-
-@query("trade_off", f"""{SEARCH_CTE}, head AS (SELECT search_id, median(area_sqm) AS head_area, median(metro_walk_mins) AS head_metro FROM ranked WHERE rank <= 60 GROUP BY 1),
-t AS (SELECT *, ratio IS NOT NULL AND w_budget >= 0.08E0 AS mc, w_metro >= 0.08E0 AS wc FROM ranked JOIN head USING (search_id) WHERE rank > 60 AND rank <= 600 AND (area_sqm - head_area) / head_area >= 0.25E0)
-SELECT search_id, id, 'این مورد ' || concat_ws(' و ', {_FA.format('round_even(area_sqm - head_area, 0)')} || ' متر بزرگ‌تر است', CASE WHEN mc AND {_OVER} <= 0 THEN 'در بودجهٔ شما می‌گنجد' END, CASE WHEN wc AND round_even({_EXTRA}, 0) <= 0 THEN 'دسترسی مشابه یا بهتری به مترو دارد' END)
-|| CASE WHEN (mc AND {_OVER} > 0) OR (wc AND round_even({_EXTRA}, 0) > 0) THEN '، اما ' || concat_ws(' و ', CASE WHEN mc AND {_OVER} > 0 THEN {_FA.format(_OVER)} || '٪ بالاتر از بودجهٔ شماست' END, CASE WHEN wc AND round_even({_EXTRA}, 0) > 0 THEN {_FA.format(f'round_even({_EXTRA}, 0)')} || ' دقیقه پیاده‌روی بیشتری تا مترو دارد' END) ELSE '' END || '.' AS sentence
-FROM t WHERE (mc OR wc) AND (NOT mc OR {_OVER} <= 10) AND (NOT wc OR round_even({_EXTRA}, 0) <= 0 OR {_EXTRA} <= 7)""")
-def _(spark, d):
-    return search.trade_off(ranked(spark, d))
-
-
-@query("result_row", f"{SEARCH_CTE} SELECT search_id, id, rank, area_key, area_sqm, rooms, split_deposit, split_rent, round_even(metro_walk_mins, 3) AS walk, round_even(score, 3) AS score FROM ranked WHERE rank <= 600")
-def _(spark, d):
-    return ranked(spark, d).select("search_id", "id", "rank", "area_key", "area_sqm", "rooms", "split_deposit", "split_rent", F.bround("metro_walk_mins", 3).alias("walk"), F.bround("score", 3).alias("score"))
-
-
-@query("map_mode", f"{SEARCH_CTE}, c AS (SELECT search_id, CAST(floor(lat / 0.05E0) AS BIGINT) AS row, CAST(floor(lon / 0.05E0) AS BIGINT) AS col, id FROM p4) SELECT search_id, row, col, count(*) AS n FROM c GROUP BY ALL")
-def _(spark, d):
-    from ..functions.geo import cell
-
-    return search.scored(_market(spark, d), T.intents(spark)).groupBy("search_id", cell(F.col("lat"), 0.05).alias("row"), cell(F.col("lon"), 0.05).alias("col")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # Corpus.
 
 

@@ -27,6 +27,7 @@ LISTING = [
     "o_orderkey % 7 < 5 AS has_storage",
     "o_orderkey % 3 <> 0 AS can_convert",
     "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) * 1000 + (o_orderkey * 7919 % 40000) * 10000 END AS convertible_deposit_max",
+    "(o_orderkey * 7919 % 40000) * 1000 <= 100000 AS is_full_deposit",
     "o_orderkey % 20 = 0 AS is_shared",
     "o_orderkey % 9 AS image_count",
     "(35550000 + o_orderkey * 104729 % 300000) / CAST(1000000 AS DOUBLE) AS lat",
@@ -36,8 +37,9 @@ LISTING = [
 STATION = [
     "s_suppkey AS station_id",
     "s_name AS name",
-    "(35550000 + s_suppkey * 7368787 % 300000) / CAST(1000000 AS DOUBLE) AS lat",
-    "(51100000 + s_suppkey * 15485863 % 500000) / CAST(1000000 AS DOUBLE) AS lon",
+    # Each tenth station lies a short walk from the one before it, and another tenth next door.
+    "(35550000 + (s_suppkey - CASE WHEN s_suppkey % 10 IN (4, 7) THEN 1 ELSE 0 END) * 7368787 % 300000 + CASE s_suppkey % 10 WHEN 7 THEN 2500 WHEN 4 THEN 700 ELSE 0 END) / CAST(1000000 AS DOUBLE) AS lat",
+    "(51100000 + (s_suppkey - CASE WHEN s_suppkey % 10 IN (4, 7) THEN 1 ELSE 0 END) * 15485863 % 500000) / CAST(1000000 AS DOUBLE) AS lon",
     "CASE WHEN s_suppkey % 5 = 0 THEN 'brt' ELSE 'metro' END AS type",
     "CAST(s_nationkey % 7 + 1 AS STRING) AS line",
     "CASE WHEN s_suppkey % 10 = 3 THEN CAST(s_suppkey % 7 + 1 AS STRING) END AS second_line",
@@ -53,14 +55,27 @@ AREA = [
 #: Corners of an area as shares of its height and width: an octagon.
 CORNERS = ((0.0, 0.2), (0.0, 0.8), (0.2, 1.0), (0.8, 1.0), (1.0, 0.8), (1.0, 0.2), (0.8, 0.0), (0.2, 0.0))
 AREA_HEIGHT, AREA_WIDTH = 0.054, 0.09
-#: search_id, max_deposit, max_rent, min_area, max_area, higher rent preferred, parking asked, lift asked.
+#: Columns of a search with their types and what they are when nothing is said.
+INTENT = {
+    "search_id": ("bigint", None), "min_deposit": ("bigint", None), "max_deposit": ("bigint", None), "min_rent": ("bigint", None), "max_rent": ("bigint", None), "min_area": ("bigint", None), "max_area": ("bigint", None),
+    "min_rooms": ("bigint", None), "min_floor": ("bigint", None), "max_floor": ("bigint", None), "min_build_year": ("bigint", None), "wants_elevator": ("boolean", False), "wants_parking": ("boolean", False), "wants_storage": ("boolean", False),
+    "wants_balcony": ("boolean", False), "wants_images": ("boolean", False), "full_deposit_only": ("boolean", False), "convertible_only": ("boolean", False), "living_kind": ("string", "standard"), "area_keys": ("array<string>", []),
+    "persona": ("string", "balanced"), "workplace_lat": ("double", None), "workplace_lon": ("double", None), "commute_mode": ("string", "transit"), "max_commute": ("bigint", 45), "commute_importance": ("double", 0.5),
+    "soft_vec": ("bigint", None), "user_weights": ("array<double>", None),
+}
+#: Searches: the flagship; none of the conditions; a rent cap alone; little cash; a workplace; drawn areas of the shared market; a taste; weights that add up to nothing; many hard conditions.
 INTENTS = (
-    (1, 300_000_000, 25_000_000, 60, 120, False, False, False),
-    (2, None, None, None, None, False, False, False),
-    (3, 0, 20_000_000, None, None, False, False, False),
-    (4, 50_000_000, 30_000_000, None, None, True, True, True),
-)
-INTENT_COLUMNS = "search_id, max_deposit, max_rent, min_area, max_area, prefer_higher_rent, wants_parking, wants_elevator"
+    {"search_id": 1, "max_deposit": 300_000_000, "max_rent": 25_000_000, "min_area": 60, "max_area": 120},
+    {"search_id": 2},
+    {"search_id": 3, "max_deposit": 0, "max_rent": 20_000_000},
+    {"search_id": 4, "max_deposit": 50_000_000, "max_rent": 30_000_000, "persona": "prefer_higher_rent", "wants_parking": True, "wants_elevator": True},
+    {"search_id": 5, "workplace_lat": 35.70, "workplace_lon": 51.40, "commute_importance": 1.0},
+    {"search_id": 6, "area_keys": ["a7", "a12"], "living_kind": "shared"},
+    {"search_id": 7, "soft_vec": 0, "user_weights": [0.2, 0.1, 0.0, 0.3, 0.1, 0.1, 0.1, 0.0, 0.5]},
+    {"search_id": 8, "user_weights": [0.0] * 9, "min_area": 80, "persona": "prefer_higher_deposit"},
+    {"search_id": 9, "min_deposit": 20_000_000, "min_rent": 1_000_000, "min_rooms": 1, "min_floor": 1, "max_floor": 9, "min_build_year": 1380, "wants_storage": True, "wants_balcony": True, "wants_images": True, "convertible_only": True, "workplace_lat": 35.62, "workplace_lon": 51.3, "commute_mode": "drive"},
+    {"search_id": 10, "full_deposit_only": True, "workplace_lat": 35.71, "workplace_lon": 51.41, "commute_mode": "walk", "max_area": 150},
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +103,14 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(INTENTS), "search_id bigint, max_deposit bigint, max_rent bigint, min_area bigint, max_area bigint, prefer_higher_rent boolean, wants_parking boolean, wants_elevator boolean")
+    rows = [tuple(i.get(c, default) for c, (_, default) in INTENT.items()) for i in INTENTS]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, (t, _) in INTENT.items()))
 
 
-def _sql(x) -> str:
-    return "NULL" if x is None else str(x)
+def _sql(x, kind: str) -> str:
+    kind = {"string": "VARCHAR", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]"}.get(kind, kind)
+    value = "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return f"CAST({value} AS {kind})"
 
 
 _ELEMENT = "[" + ", ".join(f"'{t}'" for t in TITLES) + "]"
@@ -105,7 +123,7 @@ CTE = {
     "areas": f"SELECT area_key, title, ord, lat0 AS min_lat, lat0 + {AREA_HEIGHT}E0 AS max_lat, lon0 AS min_lon, lon0 + {AREA_WIDTH}E0 AS max_lon, lat0 + {AREA_HEIGHT}E0 / 2 AS center_lat, lon0 + {AREA_WIDTH}E0 / 2 AS center_lon FROM area_base",
     "edges": " UNION ALL ".join(f"SELECT area_key, {i} AS i, lat0 + {AREA_HEIGHT}E0 * {a[0]}E0 AS y1, lon0 + {AREA_WIDTH}E0 * {a[1]}E0 AS x1, lat0 + {AREA_HEIGHT}E0 * {b[0]}E0 AS y2, lon0 + {AREA_WIDTH}E0 * {b[1]}E0 AS x2 FROM area_base" for i, (a, b) in enumerate(_EDGES)),
     "adverts": f"SELECT o_orderkey AS k, ({_ELEMENT})[o_orderkey % {len(TITLES)} + 1] AS title, ({_ELEMENT})[o_orderkey * 5 % {len(TITLES)} + 1] AS description FROM orders",
-    "intents": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in INTENTS)}) t({INTENT_COLUMNS})",
+    "intents": " UNION ALL ".join("SELECT " + ", ".join(f"{_sql(i.get(c, default), t)} AS {c}" for c, (t, default) in INTENT.items()) for i in INTENTS),
 }
 
 

@@ -36,6 +36,8 @@ def same(df, db, sql: str) -> str:
     a, b = rows_of(df.columns, df.collect()), rows_of(out.columns, out.fetchall())
     if a[0] != b[0]:
         return f"columns {a[0]} and {b[0]}"
+    if not a[1] and not b[1]:
+        return "no rows on either side"
     if len(a[1]) != len(b[1]):
         return f"{len(a[1])} and {len(b[1])} rows"
     return next((f"{x} and {y}" for x, y in zip(a[1], b[1]) if x != y), "")
