@@ -80,9 +80,14 @@ def candidates(listings: DataFrame, intents: DataFrame) -> DataFrame:
     return pairs.filter(prefilter())
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed one time: conditions on them stay above, where Spark would else compute them again in a filter."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_split(pairs: DataFrame) -> DataFrame:
     d, r = resolve_split(F.col("deposit"), F.col("rent"), F.col("can_convert"), F.col("convertible_deposit_max"), F.col("max_deposit"), F.col("persona"))
-    return pairs.withColumn("split_deposit", d).withColumn("split_rent", r)
+    return once(pairs, split_deposit=d, split_rent=r)
 
 
 def hard_mask() -> Column:
@@ -132,13 +137,13 @@ def u_metro() -> Column:
 def commute_minutes() -> Column:
     """From a listing to its search's workplace, null without one: on foot, by car, or by the better of walking and the network.
 
-    A listing brings its stations (egress: station_id, walk), a search the minutes to each station (arrivals, a map).
+    A listing brings its stations (egress: idx, walk), a search the minutes to each station (arrivals, an array by idx).
     """
     ends = [F.col(c) for c in ("lat", "lon", "workplace_lat", "workplace_lon")]
     walk = manhattan_m(*ends) / C.WALK_M_PER_MIN
     jam = in_box(ends[0], ends[1], C.ZONE) | in_box(ends[2], ends[3], C.ZONE)
     drive = haversine_km(*ends) / C.DRIVE_KMH * 60 * F.when(jam, C.CONGESTION).otherwise(1.0)
-    net = F.array_min(F.transform("egress", lambda e: e.walk + F.try_element_at("arrivals", e.station_id)))
+    net = F.array_min(F.transform("egress", lambda e: e.walk + F.get("arrivals", e.idx)))
     mode = F.col("commute_mode")
     other = F.raise_error(F.concat(F.lit("unknown commute mode: "), F.coalesce(mode, F.lit("null")))).cast("double")
     minutes = F.when(mode == "walk", walk).when(mode == "drive", drive).when(mode == "transit", F.least(walk, net)).otherwise(other)
@@ -156,7 +161,7 @@ def u_quality() -> Column:
 
 def u_soft() -> Column:
     """1 where either vector is missing."""
-    return F.when(F.col("wish").isNull() | F.col("embedding").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine("wish", "embedding"))))
+    return F.when(F.col("wish").isNull() | F.col("embedding").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot("wish", "embedding"), norm("wish") * F.col("embedding_norm")), F.lit(0.0)))))
 
 
 def u_freshness() -> Column:
@@ -180,16 +185,16 @@ def structural_penalty() -> Column:
 def scored(listings: DataFrame, intents: DataFrame) -> DataFrame:
     """Every pair that passes, with its utilities u_*, penalties and score. Utilities of the listing alone are computed below the join.
 
-    listings: with area_key, inside_keys, metro_walk_mins, baseline, city_tmc, quality, egress, embedding. intents: with
-    arrivals (map of station to minutes) and wish (a vector), both null where a search has none.
+    listings: with area_key, inside_keys, metro_walk_mins, baseline, city_tmc, quality, egress, embedding and its norm. intents:
+    with arrivals (minutes by station) and wish (a vector), both null where a search has none.
     """
     own = listings.withColumn("u_value", u_value()).withColumn("u_metro", u_metro()).withColumn("u_freshness", u_freshness()).withColumn("u_quality", u_quality())
-    pairs = with_split(candidates(own, weights(intents))).filter(hard_mask())
-    pairs = pairs.withColumn("commute_mins", commute_minutes()).withColumn("u_commute", u_commute()).withColumn("u_soft", u_soft())
-    pairs = pairs.withColumn("u_budget", u_budget()).withColumn("u_area", u_area()).withColumn("u_amenity", u_amenity())
-    pairs = pairs.withColumn("elevator_penalty", elevator_penalty()).withColumn("penalty", structural_penalty())
+    # Long arrays go first, before rows are copied from step to step.
+    pairs = candidates(own, weights(intents)).withColumn("commute_mins", commute_minutes()).withColumn("u_soft", u_soft()).drop("embedding", "embedding_norm", "wish", "egress", "arrivals", "user_weights", "ring")
+    pairs = with_split(pairs).filter(hard_mask()).withColumn("elevator_penalty", elevator_penalty())
+    pairs = once(pairs, u_commute=u_commute(), u_budget=u_budget(), u_area=u_area(), u_amenity=u_amenity(), penalty=structural_penalty())
     total = sum((F.col(f"w_{k}") * F.col(f"u_{k}") for k in UTILITIES), F.lit(0.0))
-    return pairs.withColumn("score", total * F.col("penalty")).drop("embedding", "wish", "egress", "arrivals")
+    return once(pairs, score=total * F.col("penalty"))
 
 
 def ranked(listings: DataFrame, intents: DataFrame, most: int = C.STORED_ROWS) -> DataFrame:
@@ -217,10 +222,17 @@ def against_all(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumn("__all", F.explode(blocks)).join(asked.withColumn("__all", block), "__all").drop("__all")
 
 
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: str) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: str, b: str) -> Column:
     """0 where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def trade_off(rows: DataFrame) -> DataFrame:

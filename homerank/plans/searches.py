@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -16,15 +16,21 @@ from .network import ACCESS, ARRIVE, DIST, MAN, NETWORK, network, stations_and_l
 from .studies import INDEX, areas_in_districts
 
 
+def station_places(spark: SparkSession, d: str) -> DataFrame:
+    """station_id, idx: where a station stands in the arrays of minutes, from 0."""
+    at = F.row_number().over(Window.orderBy("station_id")) - 1  # a row for each station
+    return kept(spark, d, "station-places", lambda: T.stations(spark, d).select("station_id").withColumn("idx", at))
+
+
 def homes(spark: SparkSession, d: str) -> DataFrame:
     """The listings with area, nearest metro, stations in reach (minutes) and vector."""
 
     def make() -> DataFrame:
         stations, vectors = T.stations(spark, d), T.table(spark, d, "embeddings").select("vec_id", "embedding")
         rows = spatial.with_nearest(_placed(spark, d), stations.filter("type = 'metro'"), "metro_id", "metro_meters", "station_id").withColumn("metro_walk_mins", F.col("metro_meters") / C.WALK_M_PER_MIN)
-        rows = spatial.with_reach(rows, stations, C.ACCESS_WALK_M)
-        rows = rows.withColumn("egress", F.transform("egress", lambda e: F.struct(e.station_id.alias("station_id"), (e.meters / C.WALK_M_PER_MIN).alias("walk"))))
-        return rows.withColumn("vec_id", F.col("ingest_seq") % vectors.count()).join(vectors, "vec_id", "left")
+        rows = spatial.with_reach(rows, stations.join(station_places(spark, d), "station_id"), C.ACCESS_WALK_M, "idx")
+        rows = rows.withColumn("egress", F.transform("egress", lambda e: F.struct(e.idx.alias("idx"), (e.meters / C.WALK_M_PER_MIN).alias("walk"))))
+        return rows.withColumn("vec_id", F.col("ingest_seq") % vectors.count()).join(vectors.withColumn("embedding_norm", search.norm("embedding")), "vec_id", "left").repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # even files, however the adverts came
 
     return kept(spark, d, "homes", make)
 
@@ -47,18 +53,26 @@ def saved_searches(spark: SparkSession, d: str) -> DataFrame:
         stations, lines = stations_and_lines(spark, d)
         work = asked.filter("commute_mode = 'transit' AND workplace_lat IS NOT NULL AND workplace_lon IS NOT NULL").select(F.col("search_id").alias("origin_id"), F.col("workplace_lat").alias("lat"), F.col("workplace_lon").alias("lon"))
         reached = transit.arrival_times(work, stations, lines, network(spark, d))
-        maps = reached.groupBy(F.col("origin_id").alias("search_id")).agg(F.map_from_entries(F.collect_list(F.struct("station_id", "minutes"))).alias("arrivals"))
+        every = work.select("origin_id").crossJoin(station_places(spark, d)).join(reached, ["origin_id", "station_id"], "left")  # few searches have a workplace; a row for each and each station
+        maps = every.groupBy(F.col("origin_id").alias("search_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "minutes"))), lambda e: e.minutes).alias("arrivals"))
         wishes = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("soft_vec"), F.col("embedding").alias("wish"))
         return asked.join(maps, "search_id", "left").join(wishes, "soft_vec", "left").coalesce(1)  # a row for each search
 
     return kept(spark, d, "searches", make)
 
 
+def _tuned(spark: SparkSession) -> None:
+    """HotSpot never compiles methods beyond 8000 bytes; plans whose one method would be longer run operator by operator instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
+    _tuned(spark)
     return search.scored(market_of(spark, d), saved_searches(spark, d))
 
 
 def ranked(spark: SparkSession, d: str, most: int = C.STORED_ROWS) -> DataFrame:
+    _tuned(spark)
     return search.ranked(market_of(spark, d), saved_searches(spark, d), most)
 
 
