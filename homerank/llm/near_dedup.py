@@ -23,8 +23,13 @@ TARGET_RECALL = 0.9995
 #: Nodes up to this size, also by the bytes of their sets, are compared exhaustively; larger ones branch on.
 LEAF = 4_000
 LEAF_BYTES = 100 << 20
-#: Levels by which a large node branches at once, and how often, before what stays open in it is compared block by block.
-DEEPER, ROUNDS = 4, 3
+#: Levels by which a large node branches on at once, and how often, before what stays open in it is compared block by block.
+DEEPER, ROUNDS = 2, 1
+#: One node in so many branches by two values, the others by one: 1.25 on average, the inverse of the threshold, so a pair at
+#: the threshold goes on in one child on average at every level and is not thinned out as one branch a node would thin it.
+TWO_IN = 4
+#: Members of the blocks by which large nodes are compared, in leaves: each row is sent once for every block of the others.
+BLOCK_LEAVES = 5
 #: Pairs whose estimate lies this many standard deviations below the threshold are still confirmed on the full sets.
 DEVIATIONS = 4.0
 SEED = 77
@@ -78,13 +83,18 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, what: str) -> Dat
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set_key binary, {what} binary")
 
 
-def _descend(node: np.ndarray, values: np.ndarray, levels: int) -> np.ndarray:
-    """From each node, `levels` down: the node itself draws which minwise token to branch by."""
+def _branch_out(node: np.ndarray, values: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of all paths `levels` down from each row's node: the node itself draws by which minwise tokens its members branch."""
     rows = np.arange(len(node))
     for _ in range(levels):
-        chosen = (mix64(node + _U(SEED)) % _U(VALUES)).astype(np.int64)
+        draw = mix64(node + _U(SEED))
+        first = (draw % _U(VALUES)).astype(np.int64)
+        more = mix64(draw)
+        two = np.flatnonzero((more >> _U(40)) % _U(TWO_IN) == 0)
+        second = (first[two] + 1 + (more[two] % _U(VALUES - 1)).astype(np.int64)) % VALUES
+        rows, node, chosen = np.concatenate([rows, rows[two]]), np.concatenate([node, node[two]]), np.concatenate([first, second])
         node = mix64(node ^ mix64((values[rows, chosen].astype(np.uint64) << _U(8)) + chosen.astype(np.uint64)))
-    return node
+    return rows, node
 
 
 def _roots(trees: int) -> np.ndarray:
@@ -92,20 +102,21 @@ def _roots(trees: int) -> np.ndarray:
 
 
 def _node_rows(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """tree, node, rep, n_shingles for each class and tree, `depth` levels below the root."""
+    """node, rep, n_shingles for each class and each of its paths in each tree, `depth` levels below the root."""
     roots = _roots(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
-            for tree, root in enumerate(roots):
-                node = _descend(np.full(len(values), root, np.uint64), values, depth)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree, np.int32)), pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], ["tree", "node", "rep", "n_shingles"])
+            for root in roots:
+                rows, node = _branch_out(np.full(len(values), root, np.uint64), values, depth)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["node", "rep", "n_shingles"])
 
     return classes.select("rep", "n_shingles", "values").mapInArrow(run, _NODE_ROW)
 
 
-_NODE_ROW = "tree int, node bigint, rep bigint, n_shingles bigint"
+_NODE_ROW = "node bigint, rep bigint, n_shingles bigint"
 
 
 def _branch(rows: DataFrame, levels: int) -> DataFrame:
@@ -113,31 +124,35 @@ def _branch(rows: DataFrame, levels: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, VALUES)
-            node = _descend(batch.column(1).to_numpy().view(np.uint64), values, levels)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), batch.column(2), batch.column(3)], ["tree", "node", "rep", "n_shingles"])
+            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, VALUES)
+            at, node = _branch_out(batch.column(0).to_numpy().view(np.uint64), values, levels)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], ["node", "rep", "n_shingles"])
 
-    return rows.select("tree", "node", "rep", "n_shingles", "values").mapInArrow(run, _NODE_ROW)
+    return rows.select("node", "rep", "n_shingles", "values").mapInArrow(run, _NODE_ROW)
 
 
 def chosen_path_nodes(classes: DataFrame, trees: int, depth: int, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, node, rep) of all small nodes with two members or more, and (node, rep, n_shingles, n, bytes) of those that are
-    larger at `depth`, n and bytes being the node's.
+    """(node, rep) of all small nodes with two members or more, and (node, rep, n_shingles, n, bytes) of those that are larger at
+    `depth`, n and bytes being the node's. Of nodes with the same members, which a group of near copies makes in every tree, one is kept.
 
-    Branching on finds most links of a large node early, but parts some of its pairs; so the node is returned as a whole too.
+    The first `depth` levels are taken at once, as nodes above are large. Large nodes branch on, which finds many of their links early but
+    parts some of their pairs; so each is returned as a whole too.
 
     Node sizes come from a map-side aggregation, so a node with a third of all rows is no hot group; the sizes are written
     and joined back on the node, which adaptive execution splits where a node is hot.
     """
     level, small, large = _node_rows(classes, trees, depth), None, None
+    fits = (F.col("n") <= leaf) & (F.col("bytes") <= leaf_bytes)
     for at in range(rounds + 1):
-        sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).filter("n > 1"), "node-sizes")
-        members = materialize(level.join(sizes, "node"), "node-members")
-        fits = (F.col("n") <= leaf) & (F.col("bytes") <= leaf_bytes)
-        part = members.filter(fits).select("tree", "node", "rep")
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+        sizes = materialize(sizes.filter("n > 1"), "node-sizes")
+        own = materialize(sizes.filter(~fits).groupBy("n", "bytes", "members").agg(F.min("node").alias("node")), "node-large")
+        members = materialize(level.join(sizes.filter(fits).select("node", "n", "bytes").unionByName(own.select("node", "n", "bytes")), "node"), "node-members")
+        part = members.filter(fits).select("node", "rep")
         small = part if small is None else small.unionByName(part)
         last = members.filter(~fits)
-        if last.isEmpty():
+        if own.isEmpty():
             break
         large = last.select("node", "rep", "n_shingles", "n", "bytes") if large is None else large
         if at < rounds:
@@ -159,18 +174,28 @@ def tree_count(depth: int, target_recall: float) -> int:
     """So many trees that a pair at the threshold meets in one, and is estimated near enough, with the target recall.
 
     All trees branch by the same VALUES minima, so the share of them that a pair has in common, not the pair's similarity, is
-    what each level keeps it together with: the recall is the mean over that share, which is binomial.
+    what each branch keeps it together with: the recall is the mean over that share, which is binomial.
     """
     likely = [math.comb(VALUES, m) * (LEAST / 100) ** m * (1 - LEAST / 100) ** (VALUES - m) for m in range(VALUES + 1)]
     near = [m for m in range(1, VALUES + 1) if (m / VALUES - 1 / 256) / (1 - 1 / 256) >= _LEAST_ESTIMATE]
     if sum(likely[m] for m in near) <= target_recall:
         raise ValueError(f"{VALUES} MinHash values cannot give a recall of {target_recall}")
     trees = 1
-    while sum(likely[m] * (1 - (1 - (m / VALUES) ** depth) ** trees) for m in near) < target_recall:
+    met = {m: _survival(m / VALUES, depth) for m in near}
+    while sum(likely[m] * (1 - (1 - met[m]) ** trees) for m in near) < target_recall:
         trees += 1
     return trees
 
 
+def _survival(shared: float, depth: int) -> float:
+    """How likely a pair with that share of values in common is together in some node of one tree, `depth` levels down."""
+    alive = 1.0
+    for _ in range(depth):
+        lost = 1 - shared * alive
+        alive = 1 - (lost * (TWO_IN - 1) + lost * lost) / TWO_IN
+    return alive
+
+
 class _Forest:
     """Union-find over small integers."""
 
@@ -191,27 +216,24 @@ class _Node:
 
     def __init__(self, table: pa.Table):
         self.n = len(table)
-        self.rep, self.sizes, self.tree = (table.column(c).to_numpy() for c in ("rep", "n_shingles", "tree"))
+        self.rep, self.sizes, self.node = table.column("rep").to_numpy(), table.column("n_shingles").to_numpy(), table.column("node")[0].as_py()
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-        homes = table.column("homes").combine_chunks()
-        homes = homes.chunk(0) if isinstance(homes, pa.ChunkedArray) else homes
-        counts = np.diff(homes.offsets.to_numpy())
-        flat = homes.flatten()
-        # The small node of each member in each tree; what it lacks is unlike any other's.
-        row = np.repeat(np.arange(self.n), counts)
-        self.homes = np.full((self.n, int(np.max(flat.field("tree").to_numpy(), initial=-1)) + 1), -1, np.int64)
-        self.homes[row, flat.field("tree").to_numpy()] = flat.field("node").to_numpy()
+        # The small nodes of each member that come before this one by id.
+        homes = [h.values.to_numpy() for h in table.column("homes")]
+        self.before = [h[h < self.node] for h in homes]
 
     def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Later members that i must be compared with here, by size and estimate, and the estimates: those it met in no earlier tree."""
+        """Later members that i must be compared with here, by size and estimate, and the estimates: those it meets in no node with a lesser id."""
         sizes = self.sizes[i + 1 :]
         j = np.flatnonzero(np.minimum(self.sizes[i], sizes) * 100 >= LEAST * np.maximum(self.sizes[i], sizes)) + i + 1
         estimate = _estimate(self.sketch[j], self.sketch[i])
         j, estimate = j[estimate >= _LEAST_ESTIMATE], estimate[estimate >= _LEAST_ESTIMATE]
-        if len(j) and self.tree[i]:
-            earlier = slice(0, self.tree[i])
-            new = ~((self.homes[j, earlier] == self.homes[i, earlier]) & (self.homes[i, earlier] != -1)).any(1)
-            j, estimate = j[new], estimate[new]
+        if len(j) and len(self.before[i]):
+            counts = np.array([len(self.before[x]) for x in j])
+            if counts.any():
+                shared = np.isin(np.concatenate([self.before[x] for x in j]), self.before[i])
+                new = np.bincount(np.repeat(np.arange(len(j)), counts), shared, len(j)) == 0
+                j, estimate = j[new], estimate[new]
         return j, estimate
 
     def involved(self) -> np.ndarray:
@@ -284,17 +306,17 @@ def confirmed_links(small: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     """Links (a, b) of class representatives found in the small nodes: a spanning forest of all links of each node.
 
     Two passes over the nodes. The first compares members by size and estimate and keeps those with something to confirm;
-    each pair is the matter of the first tree in which it meets. The second gets their full sets and confirms exactly.
+    each pair is the matter of the node with the least id in which it meets. The second gets their full sets and confirms exactly.
     """
-    homes = small.groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("homes"))  # a node for each tree at most
+    homes = small.groupBy("rep").agg(F.collect_list("node").alias("homes"))  # some nodes for each tree
     facts = materialize(homes.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "node-facts")
-    rows = small.join(facts, "rep").select("node", "tree", "rep", "n_shingles", "sketch", "homes")
+    rows = small.join(facts, "rep").select("node", "rep", "n_shingles", "sketch", "homes")
 
     def keep(table: pa.Table) -> pa.RecordBatch | None:
         some = _Node(table).involved()
-        return table.select(["node", "tree", "rep"]).filter(pa.array(some)).combine_chunks().to_batches()[0] if some.any() else None
+        return table.select(["node", "rep"]).filter(pa.array(some)).combine_chunks().to_batches()[0] if some.any() else None
 
-    chosen = materialize(_by_node(rows, keep, "node bigint, tree int, rep bigint"), "node-chosen")
+    chosen = materialize(_by_node(rows, keep, "node bigint, rep bigint"), "node-chosen")
     sets = full_sets(chosen.select(F.col("rep").alias(id_col)).distinct(), docs, id_col, text_col, k)
     full = chosen.join(facts, "rep").join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
 
@@ -303,7 +325,7 @@ def confirmed_links(small: DataFrame, classes: DataFrame, docs: DataFrame, id_co
         out = _Node(table).links(items)
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"]) if out else None
 
-    return _by_node(full.select("node", "tree", "rep", "n_shingles", "sketch", "homes", "items"), link, "a bigint, b bigint")
+    return _by_node(full.select("node", "rep", "n_shingles", "sketch", "homes", "items"), link, "a bigint, b bigint")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -322,7 +344,7 @@ def _star_pairs(large: DataFrame) -> DataFrame:
 
 
 def open_blocks(large: DataFrame, labels: DataFrame, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES) -> DataFrame | None:
-    """(tree, node, rep): the large nodes cut into blocks, so that every two members of different components meet in one.
+    """(node, rep): the large nodes cut into blocks, so that every two members of different components meet in one.
 
     Members outside the component of a node's least member are open. A pair whose ends are in different components has an
     open end, so it is enough to bring each block of open members together with each block of the node. None if nothing is open.
@@ -331,7 +353,7 @@ def open_blocks(large: DataFrame, labels: DataFrame, leaf: int = LEAF, leaf_byte
     own = materialize(own, "large-members")
     home = own.groupBy("node").agg(F.min(F.struct("rep", "component")).getField("component").alias("home"))
     marked = materialize(own.join(materialize(home, "large-homes"), "node").withColumn("open", F.col("component") != F.col("home")), "large-marked")
-    share = lambda n, size: F.ceil(F.greatest(n / F.lit(leaf / 2), size / F.lit(leaf_bytes / 2)))
+    share = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_LEAVES * leaf / 2), size / F.lit(BLOCK_LEAVES * leaf_bytes / 2)))
     opened = marked.filter("open").groupBy("node").agg(F.count(F.lit(1)).alias("m"), (8 * F.sum("n_shingles")).alias("open_bytes"))
     opened = materialize(opened.withColumn("open_blocks", share(F.col("m"), F.col("open_bytes"))).select("node", "open_blocks"), "large-open")
     if opened.isEmpty():
@@ -340,7 +362,7 @@ def open_blocks(large: DataFrame, labels: DataFrame, leaf: int = LEAF, leaf_byte
     block = lambda count, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), count)
     every = cut.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("open_blocks") - 1)).alias("i"), block(F.col("all_blocks"), 1).alias("j"))
     some = cut.filter("open").select("node", "rep", block(F.col("open_blocks"), 2).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_blocks") - 1)).alias("j"))
-    met = every.unionByName(some).select(F.lit(0).alias("tree"), F.xxhash64("node", "i", "j").alias("node"), "rep")
+    met = every.unionByName(some).select(F.xxhash64("node", "i", "j").alias("node"), "rep")
     return materialize(met.distinct(), "large-blocks")
 
 
@@ -393,8 +415,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked when their sets of distinct `words`-word shingles (A-Z lower-cased) have at least 80 hundredths of
     their union in common. component_id is the least id reachable over links; kept marks the document with that id. Documents
     with one and the same set are one class from the start, so copies make no pairs. Then, tree by tree: from the root, each
-    node draws the MinHash value by which its members branch; small nodes are compared exhaustively by estimates, and what
-    comes near the threshold is confirmed on the full sets, in the first tree in which a pair meets, unless links confirmed there
+    node draws the MinHash values, one or two, by which its members branch; small nodes are compared exhaustively by estimates, and
+    what comes near the threshold is confirmed on the full sets, in the first node in which a pair meets, unless links confirmed there
     join the two already. Trees are repeated until a pair at the threshold meets in one with the target recall. Large nodes
     branch on for the links that this finds; then their members are confirmed against the least one, and what all this leaves in
     other components is compared with the whole node, block by block, so that no pair that met there is lost.

@@ -213,11 +213,26 @@ def test_trees_hold_the_target(depth):
     met = np.zeros(n, bool)
     for root in near_dedup._roots(near_dedup.tree_count(depth, near_dedup.TARGET_RECALL)):
         start = np.full(n, root, np.uint64)
-        met |= near_dedup._descend(start, a, depth) == near_dedup._descend(start, b, depth)
+        paths = [set(zip(*(x.tolist() for x in near_dedup._branch_out(start, v, depth)))) for v in (a, b)]
+        met[[row for row, _ in paths[0] & paths[1]]] = True
     near = near_dedup._estimate(a.astype(np.uint8), b.astype(np.uint8)) >= near_dedup._LEAST_ESTIMATE
     assert 1 - (met & near).mean() < 2 * (1 - near_dedup.TARGET_RECALL)
 
 
+def test_pages_of_one_template_lose_no_links(spark):
+    """Pairs little above the threshold among texts that share much: all others are little below it, and all are in nodes that count as large."""
+    template, rows = [f"t{i}" for i in range(89)], []
+    for g in range(60):
+        own = [f"p{g}_{i}" for i in range(5)]
+        rows += [(2 * g + c, " ".join([*template, *own, *(f"q{g}_{c}_{i}" for i in range(10))])) for c in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows, 2)
+    assert len({c for _, c in want.values()}) == 60
+    for rounds in (0, 2):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(df, words=2, leaf=20, rounds=rounds).collect()}
+        assert got == want
+
+
 def test_near_dedup_equals_brute_force(spark, docs, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(400)]
