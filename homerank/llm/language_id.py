@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,9 @@ DEPTH = 3
 TEXTS_PER_LANGUAGE = 4_000
 #: A context is a node of the tree when it was seen so often in some language.
 LEAST_SEEN = 8
+#: Bytes of the trees, which every task gets, at most: more languages than fit are an error, never a smaller model.
+MOST_TREE_BYTES = 512 << 20
 SEED = 11
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256  # stands before a text begins
 
 
@@ -128,9 +128,12 @@ def grow(counts: list[tuple[str, int, int]]) -> Trees:
         context = np.zeros(len(own), np.int64)
         for j in range(DEPTH - depth, DEPTH):
             context = context * k + own[:, j]
-        total = np.zeros((k**depth, len(languages)))
-        np.add.at(total, (context, lang), n)
-        kept = np.flatnonzero((total >= (LEAST_SEEN if depth else 1)).any(1))
+        # Only contexts that occur are counted, by language.
+        own_context, own_n = np.unique(context * len(languages) + lang, return_inverse=True) if len(own) else (context, context)
+        total = np.bincount(own_n, n, len(own_context))
+        kept = np.unique(own_context[total >= (LEAST_SEEN if depth else 1)] // max(len(languages), 1))
+        if (len(rows) + len(kept)) * k * len(languages) * 4 > MOST_TREE_BYTES:
+            raise ValueError(f"the trees of {len(languages)} languages would take more than {MOST_TREE_BYTES} bytes in every task; fit fewer texts a language")
         place = np.full(k**depth, -1, np.int64)
         place[kept] = np.arange(len(kept))
         # The next shorter context of a kept one, as its node so far.
@@ -179,7 +182,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
         t = send.value
         for batch in batches:
             texts = batch.column(1)
-            letter = np.array([x is not None and _LETTER.search(x) is not None for x in texts.to_pylist()], dtype=bool)
+            letter = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], dtype=bool)
             pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             if t.languages and len(texts):
                 bits = t.lengths(texts)
