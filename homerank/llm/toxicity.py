@@ -18,8 +18,6 @@ from .quality import labelled_sample
 
 #: Labelled rows, at most, from which the lexicon and its scale are fitted.
 MAX_LABELLED = 20_000
-#: Terms of the lexicon, at most: those with the largest weight.
-MAX_TERMS = 5_000
 #: A term is in so many toxic texts at least, and its log odds are so large.
 LEAST_TEXTS, LEAST_WEIGHT = 5, 3.0
 #: Lengths of word beginnings that may be terms beside whole words.
@@ -128,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Terms are whole words and word beginnings; a term's weight is the log of its share in toxic over that in clean texts.
     A pair of a word and a term is an exception where the term alone is toxic but clean texts have the pair more often.
-    The sample of ids is broadcast, at most `most` rows; the driver gets at most MAX_TERMS terms and three numbers a text.
+    The sample of ids is broadcast, at most `most` rows; the driver gets the terms that reach the least weight in that sample, which bounds them, and three numbers a text.
     With no toxic or no clean text nothing is learned: every score is the share of toxic texts.
     """
     spark = docs.sparkSession
@@ -157,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return sample.select("text", "toxic").mapInArrow(run, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
     terms = tally(_terms_of).filter(F.col("t") >= LEAST_TEXTS).withColumn("w", weight("t", "c")).filter(F.col("w") >= LEAST_WEIGHT)
-    lexicon = Lexicon({r["term"]: r["w"] for r in terms.orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()}, list(exceptions))
+    lexicon = Lexicon({r["term"]: r["w"] for r in sorted(terms.collect(), key=lambda r: (-r["w"], r["term"]))}, list(exceptions))
     bare = Matcher(lexicon)
 
     def phrases(folded: str) -> set[str]:
@@ -169,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return out
 
     harmless = tally(phrases).filter((F.col("c") >= LEAST_TEXTS) & (weight("t", "c") < 0))
-    lexicon.exceptions += [r["term"] for r in harmless.orderBy(F.desc("c"), "term").limit(MAX_TERMS).collect()]
+    lexicon.exceptions += sorted(r["term"] for r in harmless.collect())
     final = Matcher(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [final.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in x], pa.float64()) for i in range(3)] + [batch.column(1)], ["a", "b", "c", "toxic"])
 
-    rows = sample.select("text", F.col("toxic").cast("double")).mapInArrow(measure, "a double, b double, c double, toxic double").orderBy("a", "b", "c", "toxic").collect()
-    data = np.array([tuple(r) for r in rows])
+    rows = sample.select("text", F.col("toxic").cast("double")).mapInArrow(measure, "a double, b double, c double, toxic double").collect()
+    data = np.array(sorted(tuple(r) for r in rows))  # at most `most` rows, in one order at every run
     lexicon.scale = _fit_scale(data[:, :3], (data[:, 3] > 0).astype(float))
     return lexicon
 
