@@ -365,3 +365,97 @@ def test_quality(spark, docs, empty):
     assert sum(r["kept"] for r in got) == 50 and all(r["kept"] for r in got if r["doc_id"] < 100)
     assert sum(r["kept"] for r in quality.resample(docs, docs, 0.5).collect()) in (8, 9)
     assert quality.resample(empty, empty, 0.5).count() == 0
+
+
+def test_html_markup_marks_nothing_by_halves(spark):
+    """Names that only contain a noise word, headers of an article, formulas, and layout around an article stay."""
+    keep = [
+        '<article><div class="entry-header"><h1>T</h1></div><p>Body</p></article>', '<article><div class="share-price"><p>T</p></div><p>Body</p></article>', '<div class="content with-sidebar"><article><p>T</p><p>Body</p></article></div>',
+        '<article><header><h1>T</h1></header><p>Body</p></article>', '<div id="page-header-main"><article><p>T</p><p>Body</p></article></div>', '<article><p>T</p><div class="related-posts"><p>x</p></div><p>Body</p><div class="social share"><p>y</p></div></article>',
+    ]
+    for page in keep:
+        assert html_extract.extract(page, set()) == "T\n\nBody", page
+    assert html_extract.extract("<article><p>Let <math><mi>x</mi></math> be 1</p></article>", set()) == "Let x be 1"
+    assert html_extract.extract('<div class="site-footer">a</div><div class="ad-slot">b</div><div class="cookie-notice">c</div><p>d</p>', set()) == "d"
+
+
+@pytest.mark.parametrize("part", ["<button>", "<svg>", "<div>", "<li>", "</div>", "<p>x", "<td>", "<object><object></object>", "</p><b>", "<ul><div>"])
+def test_html_takes_linear_time(part):
+    import time
+
+    page = "<p>first</p>" + part * (1_000_000 // len(part)) + "<p>last</p>"
+    start = time.process_time()
+    blocks, _ = html_extract.blocks_of(page)
+    assert time.process_time() - start < 8 and blocks[0][3] == "first"
+
+
+def test_html_repeated_empty_and_long(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars string, host string, path string, feature string"
+    long = "<body>" + "".join(f"<p>paragraph {i}</p>" for i in range(60_000)) + "</body>"
+    df = spark.createDataFrame([(1, "http://a.example/", long, "t", "n", "h", "p", "f")] * 2 + [(None, None, None, None, None, None, None, None)], schema)
+    rows = html_extract.extract_pages(df).collect()
+    assert sorted((r["page_id"] or 0, r["text"].count("\n\n")) for r in rows) == [(0, 0), (1, 59_999), (1, 59_999)]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_style_tree_equals_brute_force(spark):
+    """Importance of every node of one host, recomputed page by page."""
+    rng = np.random.default_rng(5)
+    pages = [f"<body><div class=a><p>{rng.choice(['one', 'two', f'own {i}'])}</p></div><div class=b><p>always</p>{'<ul><li>x</li></ul>' if i % 3 else ''}</div></body>" for i in range(17)]
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate([*pages, *pages[:4]])], "page_id bigint, url string, html string")
+    got = {r["path"]: r["importance"] for r in html_extract.style_tree(html_extract.page_features(df)).collect()}
+    different, texts, shapes = sorted(set(pages)), defaultdict(list), defaultdict(Counter)
+    for page in different:
+        blocks, nodes = html_extract.blocks_of(page)
+        for path, _, noise, text in blocks:
+            texts[path].append(text)
+        for path, children in nodes:
+            shapes[path][children] += 1
+    m = len(different)
+    assert set(got) == set(texts)
+    for path, own in texts.items():
+        spread = [math.log(sum(t in [b[3] for b in html_extract.blocks_of(p)[0] if b[0] == path] for p in different)) for t in own]
+        n = sum(shapes[path].values())
+        shape = sum(-c / n * math.log(c / n) for c in shapes[path].values()) / math.log(max(n, 2))
+        assert math.isclose(got[path], 0.9 * (1 - sum(spread) / len(own) / math.log(m)) + 0.1 * shape, abs_tol=1e-9)
+
+
+def test_language_needs_a_letter(docs):
+    trees = language_id.fit(docs)
+    rows = docs.sparkSession.createDataFrame([(1, "½"), (2, "②③"), (3, "12 Ⅷ _"), (4, "a½"), (5, "語")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in language_id.predict(rows, trees).collect() if r["lang_pred"] == "und"} == {1, 2, 3}
+
+
+def test_code_lengths_equal_plain_matching(spark):
+    """Escape method D with exclusion, byte by byte, for two small languages; ties go to the first name."""
+    train = [(i, t, lang) for i, (t, lang) in enumerate([("abababac abab", "x")] * 9 + [("bbcbbc bcb", "y")] * 9)]
+    trees = language_id.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+
+    def length(text, lang):
+        counts = defaultdict(Counter)
+        for _, t, own in train:
+            s = [256] * 3 + list(t.encode())
+            for j in range(3, len(s)):
+                for d in range(4):
+                    counts[own, tuple(s[j - d : j])][s[j]] += 1
+
+        def dist(context):
+            below = dist(context[1:]) if context else {b: 1 / 256 for b in range(256)}
+            own = counts.get((lang, context), {})
+            n, q = sum(own.values()), len(own)
+            if n < (language_id.LEAST_SEEN if context else 1):
+                return below
+            rest = sum(v for b, v in below.items() if b not in own)
+            return {b: (2 * own[b] - 1) / (2 * n) if b in own else q / (2 * n) * below[b] / rest for b in range(256)}
+
+        s = [256] * 3 + list(text.encode())
+        return sum(-math.log2(dist(tuple(s[j - 3 : j]))[s[j]]) for j in range(3, len(s)))
+
+    import pyarrow as pa
+
+    texts = ["abab", "bcb cbb", "zz", "abé", ""]
+    got = trees.lengths(pa.array(texts))
+    for t, row in zip(texts, got):
+        assert np.allclose(row, [length(t, "x"), length(t, "y")], rtol=1e-4, atol=1e-4), t
+    same_trees = language_id.fit(spark.createDataFrame([(i, "abc abc", lang) for i, lang in enumerate("yxyxyxyx")], "doc_id bigint, text string, lang string"))
+    assert {r["lang_pred"] for r in language_id.predict(spark.createDataFrame([(1, "abc")], "doc_id bigint, text string"), same_trees).collect()} == {"x"}
