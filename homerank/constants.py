@@ -42,4 +42,6 @@ OPEN_CELL_ROWS, MOST_PINS, OPEN_ZOOM = 30, 400, 16
 COMMUTE_K, COMMUTE_IMPORTANCE, MAX_COMMUTE = 0.20, 0.5, 45
 IMPORTANCE = {"low": 0.4, "normal": 1.0, "high": 2.2}
 NEUTRAL_QUALITY = 0.5
+AREA_NEAR_M, AREAS_NEAR, MOST_AREA_KEYS = 700.0, 4, 60
+LEAST_GAP_SQKM = 0.15
 BM25_K1, BM25_B, TEXT_HITS = 1.2, 0.75, 500

@@ -119,7 +119,7 @@ def is_not_a_home(title: Column, description: Column) -> Column:
 
 def drop_promo_lines(text: Column, promo: str = "آخرین نردبان") -> Column:
     """Without promotion lines and blank lines; null when nothing is left."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith(promo))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith(promo))
     return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 

@@ -84,5 +84,5 @@ def posting_rate(posts: DataFrame, now: str, shard: str = "user_id", ts: str = "
 def quota_sample(posts: DataFrame, seen: DataFrame, quota: int, token: str, shard: str, seed: int = 7) -> DataFrame:
     """Up to quota unseen posts of each shard, drawn by a hash."""
     fresh = posts.join(seen, token, "left_anti")
-    rank = F.row_number().over(Window.partitionBy(shard).orderBy(F.xxhash64(token, F.lit(seed)), token))
+    rank = F.row_number().over(Window.partitionBy(shard).orderBy(F.md5(F.concat(F.col(token).cast("string"), F.lit(f"-{seed}"))), token))
     return fresh.withColumn("__r", rank).filter(F.col("__r") <= quota).drop("__r")

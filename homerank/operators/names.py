@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import match_form, squash_form
+
 #: Tokens shorter than this identify nothing.
 LEAST_TOKEN = 3
 
@@ -39,3 +45,92 @@ def link_area(rows: DataFrame, votes: DataFrame, anchors: DataFrame, centers: Da
     how = F.when(F.col("contained").isNotNull(), "polygon").when(F.col("__voted").isNotNull(), F.when(F.col("lat").isNull(), "name_anchor").otherwise("name")).when(F.col("lat").isNotNull() & F.col("__near").isNotNull(), "nearest")
     linked = named.select("id", "lat", "lon", key.alias("area_key"), how.alias("link_method")).join(centers.select("area_key", "center_lat", "center_lon"), "area_key", "left")
     return linked.select("id", "area_key", F.coalesce("lat", "center_lat").alias("lat"), F.coalesce("lon", "center_lon").alias("lon"), "link_method")
+
+
+#: Shorter names never match by containment, nor shorter tokens by themselves.
+LEAST_CONTAINED = 5
+#: Likeness of a name to a place's that counts as a slip of the pen, the length from which it may, and by how much lengths may differ.
+FUZZY, FUZZY_LENGTH, FUZZY_DIFFERENCE = 0.85, 4, 3
+
+
+def _tokens(name: str) -> Column:
+    """Squashed words of a name in order, those that are long enough."""
+    return F.filter(F.transform(F.split(match_form(F.col(name)), " "), lambda w: F.replace(w, F.lit(" "), F.lit(""))), lambda w: F.length(w) >= LEAST_TOKEN)
+
+
+def _by_steps(asked: DataFrame, exact: DataFrame, contained: DataFrame, name: str) -> DataFrame:
+    """name, area_key, step of asked names by an index (form, area_key, ord) of exact forms: the whole name, else its first word
+    that is one, else the first form by ord that contains it or that it contains. Names without a match are left out.
+
+    The index has a row for each form of an area; distinct names alone meet it, first by equality, and only the rest by containment.
+    """
+    forms = asked.select(name).distinct().withColumn("__needle", squash_form(F.col(name))).filter(F.col("__needle") != "")
+    whole = exact.select(F.col("form").alias("__needle"), F.col("area_key").alias("__whole"))
+    words = forms.select(name, F.posexplode(_tokens(name)).alias("__pos", "form")).filter(F.length(squash_form(F.col(name))) >= LEAST_TOKEN).join(exact.select("form", "area_key"), "form")
+    words = words.groupBy(name).agg(F.min_by("area_key", "__pos").alias("__word"))
+    found = forms.join(whole, "__needle", "left").join(words, name, "left")
+    rest = found.filter("__whole IS NULL AND __word IS NULL").filter(F.length("__needle") >= LEAST_TOKEN).select(name, "__needle")
+    inside = rest.join(contained.filter(F.length("form") >= LEAST_CONTAINED), F.col("__needle").contains(F.col("form")) | F.col("form").contains(F.col("__needle"))).groupBy(name).agg(F.min_by("area_key", "ord").alias("__part"))
+    out = found.join(inside, name, "left").withColumn("area_key", F.coalesce("__whole", "__word", "__part"))
+    step = F.when(F.col("__whole").isNotNull(), "whole").when(F.col("__word").isNotNull(), "word").otherwise("part")
+    return out.filter("area_key IS NOT NULL").select(name, "area_key", step.alias("step"))
+
+
+def resolve_title(asked: DataFrame, areas: DataFrame, name: str = "name") -> DataFrame:
+    """name, area_key, step by the titles of areas (area_key, ord, title, size). The bare title of areas told apart by a qualifier in brackets means the largest of them."""
+    titles = areas.select("area_key", "ord", "size", squash_form(F.col("title")).alias("form"), squash_form(F.regexp_replace("title", r"\s*\([^)]*\)\s*$", "")).alias("bare"))
+    own = titles.groupBy("form").agg(F.max_by("area_key", "ord").alias("area_key"), F.max("ord").alias("ord"))
+    bare = titles.filter("bare <> ''").groupBy(F.col("bare").alias("form")).agg(F.max_by("area_key", F.struct("size", "ord")).alias("area_key"), F.max("ord").alias("ord")).join(own.select("form"), "form", "left_anti")
+    return _by_steps(asked, own.unionByName(bare), own, name)
+
+
+def resolve_keyword(asked: DataFrame, areas: DataFrame, name: str = "name") -> DataFrame:
+    """name, area_key, step by the keywords of areas (area_key, ord, keywords); of areas that share one the earliest has it."""
+    each = areas.select("area_key", "ord", F.explode("keywords").alias("k")).select("area_key", "ord", squash_form(F.col("k")).alias("form")).filter("form <> ''")
+    index = each.groupBy("form").agg(F.min_by("area_key", "ord").alias("area_key"), F.min("ord").alias("ord"))
+    return _by_steps(asked, index, index, name)
+
+
+def gazetteer(stations: DataFrame) -> DataFrame:
+    """form, name, lat, lon, kind of stations (name, lat, lon, type): those of one name are one place in their middle, a metro's if any is."""
+    return stations.groupBy(squash_form(F.col("name")).alias("form")).agg(F.min("name").alias("name"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("type").alias("kind"))
+
+
+def resolve_landmark(asked: DataFrame, places: DataFrame, name: str = "name") -> DataFrame:
+    """name, form, step, lat, lon: the place of the whole name, else the one that alone owns a word of it, else the likest spelling."""
+    forms = asked.select(name).distinct().withColumn("__needle", squash_form(F.col(name)))
+    owners = places.select("form", F.explode(F.array_distinct(_tokens("name"))).alias("token")).groupBy("token").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    words = forms.select(name, F.posexplode(_tokens(name)).alias("__pos", "token")).join(owners, "token").groupBy(name).agg(F.min_by("form", "__pos").alias("__word"))
+    found = forms.join(places.select(F.col("form").alias("__needle"), F.col("form").alias("__whole")), "__needle", "left").join(words, name, "left")
+    like = fuzzy(found.filter("__whole IS NULL AND __word IS NULL").select(name, "__needle"), places, name)
+    out = found.join(like, name, "left").withColumn("form", F.coalesce("__whole", "__word", "__like")).filter("form IS NOT NULL")
+    step = F.when(F.col("__whole").isNotNull(), "whole").when(F.col("__word").isNotNull(), "word").otherwise("like")
+    return out.select(name, "form", step.alias("step")).join(places.select("form", "lat", "lon"), "form")
+
+
+def fuzzy(asked: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """name, __like: the likest place of names (name, __needle) by difflib's ratio, above FUZZY; the first form of equal ones.
+
+    Names meet places in bands of length; pairs too many edits apart for the ratio are dropped by Spark before Python sees them.
+    """
+    near = F.explode(F.sequence(F.length("form") - FUZZY_DIFFERENCE, F.length("form") + FUZZY_DIFFERENCE))
+    pairs = asked.filter(F.length("__needle") >= FUZZY_LENGTH).withColumn("__n", F.length("__needle")).join(places.select("form", near.alias("__n")), "__n")
+    # A ratio above r leaves at most (1 - r) of both lengths unmatched, and every edit leaves one unmatched at least.
+    pairs = pairs.filter(F.levenshtein("__needle", "form") <= (1 - FUZZY) * (F.length("__needle") + F.length("form"))).select(name, "__needle", "form")
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["ratio"] = [SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf["__needle"], pdf["form"])]
+            yield pdf[[name, "form", "ratio"]]
+
+    best = F.min_by("form", F.struct((-F.col("ratio")).alias("r"), "form"))
+    return pairs.mapInPandas(ratios, f"{name} string, form string, ratio double").filter(F.col("ratio") > FUZZY).groupBy(name).agg(best.alias("__like"))
+
+
+def resolve_shards(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """selector, shard of selectors against shards (shard, slug, second_slug, name): by slug, second slug or name, else the shortest name that contains it; null for none."""
+    keys = shards.select("shard", F.explode(F.array("slug", "second_slug", "name")).alias("selector")).filter("selector IS NOT NULL").groupBy("selector").agg(F.min("shard").alias("__own"))
+    found = asked.select(F.trim("selector").alias("selector")).filter("selector <> ''").distinct().join(keys, "selector", "left")
+    rest = found.filter("__own IS NULL").select("selector")
+    inside = rest.join(shards.select("shard", "name"), F.col("name").contains(F.col("selector"))).groupBy("selector").agg(F.min(F.struct(F.length("name").alias("n"), "shard")).getField("shard").alias("__part"))
+    return found.join(inside, "selector", "left").select("selector", F.coalesce("__own", "__part").alias("shard"))

@@ -51,6 +51,32 @@ def weights_from_importance(levels: str) -> Column:
     return F.array(*[C.WEIGHTS[k] * F.coalesce(level(k), F.lit(1.0)) for k in UTILITIES])
 
 
+def clean(extracted: DataFrame, places: DataFrame, defaults: dict) -> DataFrame:
+    """Searches as a model read them (columns as in an intent, workplace_name besides), made whole: a null where there is a default is
+    the default, a named workplace without a point gets the point of places (name, lat, lon), and a point outside the city is none."""
+    rows = extracted.join(places.select(F.col("name").alias("workplace_name"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), "workplace_name", "left")
+    none = F.col("workplace_lat").isNull() | F.col("workplace_lon").isNull()
+    for c in ("lat", "lon"):
+        rows = rows.withColumn(f"__{c}", F.when(none, F.coalesce(f"__{c}", f"workplace_{c}")).otherwise(F.col(f"workplace_{c}")))
+    inside = in_box(F.col("__lat"), F.col("__lon"), C.CITY)
+    rows = rows.withColumn("workplace_lat", F.when(inside, F.col("__lat"))).withColumn("workplace_lon", F.when(inside, F.col("__lon"))).drop("__lat", "__lon")
+    return rows.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if defaults.get(c) is not None else F.col(c) for c in rows.columns])
+
+
+def assemble(intents: DataFrame, panels: DataFrame, keys: DataFrame, key: str = "search_id") -> DataFrame:
+    """Searches overlaid with what their panel says: a null leaves a field as it is, a flag only turns on, the market is always the
+    panel's, and area names become keys, by keys (name, area_key), in their order and once each."""
+    over = panels.select(key, *[F.col(c).alias(f"__{c}") for c in panels.columns if c != key])
+    rows = intents.join(over, key, "left")
+    kinds = dict(intents.dtypes)
+    for c in (c for c in panels.columns if c not in (key, "area_names")):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(False)) | F.coalesce(f"__{c}", F.lit(False)) if kinds.get(c) == "boolean" else F.coalesce(f"__{c}", c))
+    named = panels.select(key, F.posexplode("area_names").alias("__pos", "name")).join(keys.select("name", "area_key"), "name")
+    first = named.groupBy(key, "area_key").agg(F.min("__pos").alias("__pos"))
+    listed = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "area_key"))), lambda x: x.area_key).alias("area_keys"))
+    return rows.drop("area_keys", *[f"__{c}" for c in panels.columns if c != key]).join(listed, key, "left").withColumn("area_keys", F.coalesce("area_keys", F.array().cast("array<string>")))
+
+
 def prefilter() -> Column:
     """The exact conditions of a pair. A home without an area passes here; containment decides about it later."""
     asked = {"wants_parking": F.col("has_parking"), "wants_storage": F.col("has_storage"), "wants_balcony": F.col("has_balcony"), "wants_images": F.col("image_count") > 0, "full_deposit_only": F.col("is_full_deposit"), "convertible_only": F.col("can_convert")}
@@ -96,9 +122,14 @@ def hard_mask() -> Column:
     top = C.BUDGET_CEILING
     both = d.isNotNull() & r.isNotNull()
     cost = tmc(F.col("split_deposit"), F.col("split_rent"))
+    return hard_mask_without_split() & (d.isNull() | (F.col("split_deposit") <= d * top)) & (r.isNull() | (F.col("split_rent") <= r * top)) & (~both | (cost <= top * tmc(d, r)))
+
+
+def hard_mask_without_split() -> Column:
+    """Containment in a drawn area, and the area band."""
     inside = (F.size("area_keys") == 0) | F.arrays_overlap("area_keys", "inside_keys")
     band = (F.col("min_area").isNull() | (F.col("area_sqm") >= F.col("min_area") * (1 - C.AREA_BAND))) & (F.col("max_area").isNull() | (F.col("area_sqm") <= F.col("max_area") * (1 + C.AREA_BAND)))
-    return inside & band & (d.isNull() | (F.col("split_deposit") <= d * top)) & (r.isNull() | (F.col("split_rent") <= r * top)) & (~both | (cost <= top * tmc(d, r)))
+    return inside & band
 
 
 def u_budget() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.geo import cell, in_ring, manhattan_m
+from .iterate import components
 
 #: Side of the cells into which polygons are cut, in degrees.
 POLYGON_CELL = 0.02
@@ -152,3 +153,79 @@ def clusters_and_pins(points: DataFrame, boxes: DataFrame, zooms: DataFrame, key
     loose = points.join(boxes.select(key), key, "left_anti").withColumn("__r", first).filter(F.col("__r") <= most)
     loose = loose.select(key, F.lit("pin").alias("kind"), "id", none.cast("bigint").alias("row"), none.cast("bigint").alias("col"), F.lit(1).cast("bigint").alias("n"), "lat", "lon", *bare)
     return badges.unionByName(pins).unionByName(loose)
+
+
+def areas_near(points: DataFrame, polygons: DataFrame, meters: float = C.AREA_NEAR_M, most: int = C.AREAS_NEAR, id_col: str = "id") -> DataFrame:
+    """id_col, area_key, meters, rank: up to `most` areas within a distance of each point, nearest first; 0 inside.
+
+    Distance to the ring in a flat projection at the point. Polygons wait in the cells that their box, widened by the
+    distance, touches.
+    """
+    lat_pad, lon_pad = meters / C.METERS_PER_DEGREE, meters / (C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1)))
+    wide = polygons.select("area_key", "ord", "ring", *[(F.col(f"min_{x}") - p).alias(f"min_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))], *[(F.col(f"max_{x}") + p).alias(f"max_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))])
+    pairs = points.select(id_col, "lat", "lon").withColumn("__cr", cell(F.col("lat"), POLYGON_CELL)).withColumn("__cc", cell(F.col("lon"), POLYGON_CELL)).join(_cover(wide, POLYGON_CELL), ["__cr", "__cc"])
+    n = F.size("ring")
+    scale = F.cos(F.radians(F.col("lat"))) * C.METERS_PER_DEGREE
+
+    def edge(a: Column, b: Column) -> Column:
+        ax, ay, bx, by = (a.lon - F.col("lon")) * scale, (a.lat - F.col("lat")) * C.METERS_PER_DEGREE, (b.lon - F.col("lon")) * scale, (b.lat - F.col("lat")) * C.METERS_PER_DEGREE
+        dx, dy = bx - ax, by - ay
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
+        return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+
+    away = F.array_min(F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1)), edge))
+    found = pairs.withColumn("meters", F.when(in_ring(F.col("lat"), F.col("lon"), F.col("ring")), 0.0).otherwise(away)).filter(F.col("meters") <= meters)
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("meters", "ord"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= most).select(id_col, "area_key", "meters", "rank")
+
+
+def covered_cells(polygons: DataFrame, degrees: float) -> DataFrame:
+    """row, col, area_key: cells of a grid whose middle lies in a polygon."""
+    spots = _cover(polygons.select("area_key", "ord", "min_lat", "max_lat", "min_lon", "max_lon", "ring"), degrees)
+    lat, lon = (F.col("__cr") + 0.5) * degrees, (F.col("__cc") + 0.5) * degrees
+    return spots.filter(in_ring(lat, lon, F.col("ring"))).select(F.col("__cr").alias("row"), F.col("__cc").alias("col"), "area_key")
+
+
+def around(cells: DataFrame) -> DataFrame:
+    """Each cell (row, col) with itself and its eight neighbours: row, col, from_row, from_col."""
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    return cells.withColumn("__r", F.explode(near)).withColumn("__c", F.explode(near)).select((F.col("row") + F.col("__r")).alias("row"), (F.col("col") + F.col("__c")).alias("col"), F.col("row").alias("from_row"), F.col("col").alias("from_col"))
+
+
+def closed(cells: DataFrame) -> DataFrame:
+    """Cells with the seams between them filled: dilated by one cell, then eroded by one."""
+    wide = around(cells.select("row", "col").distinct()).select("row", "col").distinct()
+    inner = around(wide).join(wide, ["row", "col"]).groupBy("from_row", "from_col").agg(F.count(F.lit(1)).alias("n")).filter("n = 9")
+    return inner.select(F.col("from_row").alias("row"), F.col("from_col").alias("col"))
+
+
+def with_part(cells: DataFrame) -> DataFrame:
+    """cells (row, col) with `part`: the least cell number of the connected group, sides and corners counting."""
+    number = lambda r, c: F.col(r) * (1 << 20) + F.col(c)
+    links = around(cells).join(cells.select("row", "col"), ["row", "col"]).select(number("row", "col").alias("a"), number("from_row", "from_col").alias("b"))
+    parts = components(cells.select(number("row", "col").alias("id")), links)
+    return cells.withColumn("id", number("row", "col")).join(parts, "id").select("row", "col", F.col("component").alias("part"))
+
+
+def areas_by_key(asked: DataFrame, areas: DataFrame, most: int = C.MOST_AREA_KEYS) -> DataFrame:
+    """Rows of areas for the first `most` keys of each request (request, pos, area_key), in order by pos; unknown keys are dropped."""
+    first = F.row_number().over(Window.partitionBy("request").orderBy("pos"))
+    return asked.withColumn("__r", first).filter(F.col("__r") <= most).drop("__r").join(areas, "area_key")
+
+
+_FEATURE = "struct<properties:struct<key:string,ord:bigint,title:string,keywords:string>,geometry:struct<coordinates:array<array<array<double>>>>>"
+
+
+def read_areas(files: DataFrame) -> DataFrame:
+    """area_key, ord, title, keywords, ring of feature collections (file, raw JSON): of areas with one key the one of the first file, and there the first, counts."""
+    each = files.select("file", F.posexplode(F.from_json("raw", f"struct<features:array<{_FEATURE}>>").features).alias("pos", "f"))
+    rows = each.select("file", "pos", F.col("f.properties.key").alias("area_key"), F.col("f.properties.ord").alias("ord"), F.col("f.properties.title").alias("title"), F.filter(F.transform(F.split("f.properties.keywords", "[،,؛;/|\\n]+"), lambda k: F.trim(k)), lambda k: k != "").alias("keywords"), F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon"))).alias("ring"))
+    first = rows.groupBy("area_key").agg(F.min_by(F.struct("ord", "title", "keywords", "ring"), F.struct("file", "pos")).alias("r"))
+    return first.select("area_key", "r.*")
+
+
+def largest(polygons: DataFrame) -> DataFrame:
+    """The one polygon (key, ring) with the largest area."""
+    n = F.size("ring")
+    cross = F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1)), lambda a, b: a.lon * b.lat - b.lon * a.lat)
+    return polygons.withColumn("__a", F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x))).orderBy(F.desc("__a"), "key").limit(1).drop("__a")

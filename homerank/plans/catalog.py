@@ -94,7 +94,10 @@ _text_query(
     "mine_floor_pair", lambda: [text.mine_floor(text.prepared(F.col("title"))).alias("floor"), text.mine_floor_total(text.prepared(F.col("title"))).alias("total_floors")],
     f"CASE WHEN regexp_extract({_P}, '{text.FLOOR_OF}', 1) <> '' THEN CAST(regexp_extract({_P}, '{text.FLOOR_OF}', 1) AS INT) WHEN regexp_matches({_P}, '^-?[0-9]+$') THEN TRY_CAST({_P} AS INT) WHEN contains({_P}, 'همکف') THEN 0 WHEN contains({_P}, 'زیرزمین') THEN -1 END AS floor, TRY_CAST(regexp_extract({_P}, '{text.FLOOR_OF}', 2) AS INT) AS total_floors",
 )
-query("mine_total_floors")(lambda s, d: T.adverts(s, d).select("k", text.mine_total_floors(_pd()).alias("total_floors")))
+_text_query(
+    "mine_total_floors", lambda: [text.mine_total_floors(_pd()).alias("total_floors")],
+    f"list_filter(list_transform(list_zip(regexp_extract_all({_PD}, '{text.TOTAL_FLOORS}', 1), regexp_extract_all({_PD}, '{text.TOTAL_FLOORS}', 2)), lambda p: coalesce(TRY_CAST(p[1] AS INT), TRY_CAST(p[2] AS INT))), lambda x: x BETWEEN 1 AND 40)[1] AS total_floors",
+)
 _text_query("mine_area", lambda: [text.mine_area(_pd()).alias("area")], f"[x for x in [CAST(m AS INT) for m in regexp_extract_all({_PD}, '{text.AREA}', 1)] if x BETWEEN 15 AND 2000][1] AS area")
 
 
@@ -234,18 +237,18 @@ def _(spark, d):
     return market.area_baselines(_placed(spark, d)).withColumn("baseline", F.round("baseline", 6))
 
 
-FLOORS = f"c AS (SELECT CAST(floor(lat / 0.02E0) AS BIGINT) AS cell_row, CAST(floor(lon / 0.02E0) AS BIGINT) AS cell_col, {TMC} / area_sqm AS x, id, deposit, rent FROM listings), m AS (SELECT cell_row, cell_col, median(x) AS m, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) >= 12), floors AS (SELECT cell_row, cell_col, greatest(0.12E0 * any_value(m), least(any_value(m) - 3 * median(abs(x - m)), 0.35E0 * any_value(m))) AS price_floor, any_value(n) AS n FROM c JOIN m USING (cell_row, cell_col) GROUP BY 1, 2)"
+FLOORS = f"c AS (SELECT CAST(floor(lat / 0.05E0) AS BIGINT) AS cell_row, CAST(floor(lon / 0.05E0) AS BIGINT) AS cell_col, {TMC} / area_sqm AS x, id, deposit, rent FROM listings), m AS (SELECT cell_row, cell_col, median(x) AS m, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) >= 12), floors AS (SELECT cell_row, cell_col, greatest(0.12E0 * any_value(m), least(any_value(m) - 3 * median(abs(x - m)), 0.35E0 * any_value(m))) AS price_floor, any_value(n) AS n FROM c JOIN m USING (cell_row, cell_col) GROUP BY 1, 2)"
 
 
 @query("local_price_floors", f"{T.with_tables('listings')}, {FLOORS} SELECT cell_row, cell_col, round(price_floor, 4) AS price_floor, n FROM floors")
 def _(spark, d):
-    return market.price_floors(T.listings(spark, d), 0.02).withColumn("price_floor", F.round("price_floor", 4))
+    return market.price_floors(T.listings(spark, d), 0.05).withColumn("price_floor", F.round("price_floor", 4))
 
 
 @query("local_price_outlier", f"{T.with_tables('listings')}, {FLOORS} SELECT id, deposit, rent FROM c LEFT JOIN floors USING (cell_row, cell_col) WHERE price_floor IS NULL OR x >= price_floor")
 def _(spark, d):
     rows = T.listings(spark, d)
-    return market.without_outliers(rows, market.price_floors(rows, 0.02), 0.02).select("id", "deposit", "rent")
+    return market.without_outliers(rows, market.price_floors(rows, 0.05), 0.05).select("id", "deposit", "rent")
 
 
 NOW = "2030-01-01 00:00:00"
@@ -256,7 +259,7 @@ def _(spark, d):
     return market.posting_rate(T.table(spark, d, "events"), NOW).withColumn("per_hour", F.round("per_hour", 9))
 
 
-@query("quota_sample")
+@query("quota_sample", "SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(CAST(event_id AS VARCHAR) || '-7'), event_id) <= 20")
 def _(spark, d):
     posts = T.table(spark, d, "events")
     return market.quota_sample(posts, posts.filter("event_id % 3 = 0").select("event_id"), 20, "event_id", "user_id").select("event_id", "user_id")
@@ -266,9 +269,9 @@ def _(spark, d):
 _KEY = "concat_ws('|', coalesce(area_key, ''), CAST(area_sqm AS VARCHAR), CAST(rooms AS VARCHAR), CAST(floor AS VARCHAR), CAST(deposit AS VARCHAR), CAST(rent AS VARCHAR), CAST(CAST(floor(lat * 1e5 + 0.5E0) AS BIGINT) AS VARCHAR), CAST(CAST(floor(lon * 1e5 + 0.5E0) AS BIGINT) AS VARCHAR))"
 
 
-@query("fingerprint", f"{GEO_CTE}, placed AS (SELECT l.*, area_key FROM listings l LEFT JOIN located USING (id)) SELECT id, {_KEY} AS key FROM placed")
+@query("fingerprint", f"{GEO_CTE}, placed AS (SELECT l.*, area_key FROM listings l LEFT JOIN located USING (id)) SELECT id, sha256({_KEY}) AS fingerprint FROM placed")
 def _(spark, d):
-    return _placed(spark, d).select("id", corpus.fingerprint_key().alias("key"))
+    return _placed(spark, d).select("id", corpus.fingerprint().alias("fingerprint"))
 
 
 REPOSTS = "r AS (SELECT id, ingest_seq, concat_ws('|', CAST(deposit AS VARCHAR), CAST(rent AS VARCHAR), CAST(lat AS VARCHAR)) AS fingerprint, rent FROM (SELECT id, ingest_seq, deposit, rent, lat FROM listings UNION ALL SELECT 'r' || id, ingest_seq + 100000000, deposit, rent, lat FROM listings WHERE ingest_seq % 10 = 0))"
@@ -297,22 +300,23 @@ def _(spark, d):
     return posts.filter("event_id % 2 = 0").select("user_id").union(posts.select("user_id")).distinct()
 
 
-@query("embeddings_store", "SELECT vec_id, label FROM embeddings WHERE len(embedding) > 0 AND vec_id IN (SELECT o_orderkey FROM orders)")
+@query("embeddings_store", "SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE len(embedding) > 0 AND vec_id IN (SELECT o_orderkey FROM orders)")
 def _(spark, d):
     known = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("vec_id"))
-    return T.table(spark, d, "embeddings").filter(F.size("embedding") > 0).join(known, "vec_id", "left_semi").select("vec_id", "label")
+    return T.table(spark, d, "embeddings").filter(F.size("embedding") > 0).join(known, "vec_id", "left_semi").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
-@query("corpus_load", f"{T.with_tables('listings')} SELECT id, label FROM listings LEFT JOIN embeddings ON vec_id = ingest_seq")
+@query("corpus_load", f"{T.with_tables('listings')} SELECT id, label, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM listings LEFT JOIN embeddings ON vec_id = ingest_seq")
 def _(spark, d):
     vectors = T.table(spark, d, "embeddings")
     rows = T.listings(spark, d)
-    return rows.join(vectors, rows.ingest_seq == vectors.vec_id, "left").select("id", "label")
+    return rows.join(vectors, rows.ingest_seq == vectors.vec_id, "left").select("id", "label", F.round(F.get("embedding", F.lit(63)).cast("double"), 6).alias("last"))
 
 
 @query("lookup_by_id", f"{T.with_tables('listings')} SELECT id, deposit, rent FROM listings WHERE id = 'o-42'")
 def _(spark, d):
-    return T.listings(spark, d).filter("id = 'o-42'").select("id", "deposit", "rent")
+    """By the key of the stored rows, so that Parquet skips the groups of rows without it."""
+    return T.table(spark, d, "orders").filter(F.col("o_orderkey") == 42).selectExpr(*T.LISTING).select("id", "deposit", "rent")
 
 
 @query("corpus_count", "SELECT count(*) AS n FROM orders")

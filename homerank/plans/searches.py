@@ -35,13 +35,13 @@ def homes(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, d, "homes", make)
 
 
-def market_of(spark: SparkSession, d: str) -> DataFrame:
-    """homes with baseline, city_tmc and quality, as their areas have them."""
+def market_of(spark: SparkSession, d: str, stream: DataFrame | None = None) -> DataFrame:
+    """homes, or a stream of them, with baseline, city_tmc and quality, as their areas have them."""
     rows = homes(spark, d)
     areas = kept(spark, d, "area-baselines", lambda: market.area_baselines(rows))
     city = kept(spark, d, "city-baseline", lambda: market.city_baseline(rows))
     index = kept(spark, d, "quality-index", lambda: quality.quality_index(rows, areas_in_districts(spark, d)))
-    rows = rows.join(areas.select("area_key", "baseline"), "area_key", "left").join(index.select("area_key", F.col("score").alias("quality")), "area_key", "left")
+    rows = (rows if stream is None else stream).join(areas.select("area_key", "baseline"), "area_key", "left").join(index.select("area_key", F.col("score").alias("quality")), "area_key", "left")
     return rows.crossJoin(F.broadcast(city)).withColumn("baseline", F.coalesce("baseline", "city_per_sqm")).drop("city_per_sqm")  # one row
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, evaluation, quality, spatial, textsearch
+from ..functions import text
+from ..operators import corpus, evaluation, market, quality, spatial, textsearch
 from ..sources import tables as T
-from .catalog import GEO_CTE, MARKET_CTE, _placed, _reposts, query
+from ..sources.prepared import kept
+from .catalog import _PARK, FLOORS, GEO_CTE, MARKET_CTE, REPOSTS, _placed, _reposts, query
 
 # Districts: a rectangle for each region, with a prior price.
 DISTRICT = "r_regionkey AS ord, 'd' || CAST(r_regionkey AS STRING) AS district, 60.0E6 + 35.0E6 * r_regionkey AS prior, 35.5500005E0 + 0.06E0 * r_regionkey AS min_lat, 35.6100005E0 + 0.06E0 * r_regionkey AS max_lat"
@@ -45,11 +47,6 @@ def _(spark, d):
     return spatial.nearest_anchor(T.listings(spark, d), T.areas(spark, d))
 
 
-@query("coverage_pct", f"{GEO_CTE} SELECT round(100 * count(area_key) / count(*), 6) AS percent FROM listings LEFT JOIN located USING (id)")
-def _(spark, d):
-    return spatial.first_polygon(T.listings(spark, d), T.areas(spark, d)).agg(F.round(100 * F.count("area_key") / F.count(F.lit(1)), 6).alias("percent"))
-
-
 _RANK = "CASE WHEN {c} IS NOT NULL THEN CASE WHEN count({c}) OVER () = 1 THEN 0.5E0 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) - 1 + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / (count({c}) OVER () - 1) END END"
 INDEX = f"""{_DISTRICTS}, ad AS (SELECT area_key, district, prior FROM areas LEFT JOIN districts ON center_lat > districts.min_lat AND center_lat < districts.max_lat),
 loc AS (SELECT area_key, median((rent + deposit * 0.03E0) / area_sqm) AS loc, count(*) AS n, median(build_year) AS year FROM placed WHERE area_key IS NOT NULL GROUP BY 1),
@@ -80,7 +77,15 @@ def _(spark, d):
     return quality.fresh_rates(_rates(spark, d), last).select("shard")
 
 
-@query("allocate_quotas")
+_PASSES = """rates AS (SELECT user_id AS shard, count(*) * 1E0 AS rate FROM events GROUP BY 1), known AS (SELECT * FROM rates WHERE shard % 5 <> 0), mid AS (SELECT rate AS m FROM known ORDER BY rate LIMIT 1 OFFSET (SELECT count(*) // 2 FROM known)),
+q0 AS (SELECT r.shard, pow(greatest(coalesce(k.rate, m), 1e-6), 0.75E0) AS weight, CAST(NULL AS BIGINT) AS quota, true AS open, true AS live, 3000E0 AS left_over FROM rates r LEFT JOIN known k USING (shard), mid)"""
+for _i in range(6):
+    _PASSES += f""", a{_i} AS (SELECT *, CASE WHEN live AND open THEN CAST(least(400, greatest(8, round_even(left_over * weight / sum(weight) FILTER (open) OVER (), 0))) AS BIGINT) ELSE quota END AS next FROM q{_i}),
+b{_i} AS (SELECT *, greatest(0E0, 3000 - 400 * count(*) FILTER (next = 400) OVER ()) AS rest FROM a{_i}),
+q{_i + 1} AS (SELECT shard, weight, next AS quota, CASE WHEN live AND rest <> left_over THEN coalesce(next < 400, true) ELSE open END AS open, live AND rest <> left_over AND rest > 0 AS live, CASE WHEN live THEN rest ELSE left_over END AS left_over FROM b{_i})"""
+
+
+@query("allocate_quotas", f"WITH {_PASSES} SELECT shard, coalesce(quota, 8) AS quota FROM q6")
 def _(spark, d):
     return quality.allocate_quotas(_rates(spark, d).select("shard"), _rates(spark, d).filter("shard % 5 <> 0").select("shard", "rate"), 3000)
 
@@ -141,8 +146,46 @@ def _(spark, d):
 # Corpus.
 
 
-@query("upsert_counts")
-def _(spark, d):
+_MERGE = f"""{T.with_tables('listings')}, {REPOSTS}, stored AS (SELECT * FROM r WHERE ingest_seq < 100000000 AND ingest_seq % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ingest_seq) = 1),
+batch AS (SELECT * FROM r WHERE ingest_seq >= 100000000 OR ingest_seq % 3 = 0 UNION ALL SELECT id, ingest_seq + 200000000, fingerprint || '!', rent FROM r WHERE ingest_seq % 15 = 0 AND ingest_seq < 100000000),
+owner AS (SELECT fingerprint, arg_min(id, ingest_seq) AS owner FROM stored GROUP BY 1), n AS (SELECT b.*, o.owner, s.id IS NOT NULL AS known FROM batch b LEFT JOIN owner o USING (fingerprint) LEFT JOIN (SELECT DISTINCT id FROM stored) s USING (id)),
+f AS (SELECT fingerprint, min(ingest_seq) AS seq, arg_min(id, ingest_seq) AS first FROM n WHERE owner IS NULL AND NOT known GROUP BY 1), t AS (SELECT n.* FROM n LEFT JOIN f USING (fingerprint) WHERE coalesce(owner, CASE WHEN seq < ingest_seq THEN first END, id) = id),
+last AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq DESC) = 1),
+merged AS (SELECT id, ingest_seq, fingerprint, rent, 'kept' AS action FROM stored WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, ingest_seq, fingerprint, rent, CASE WHEN known THEN 'updated' ELSE 'inserted' END FROM last)"""
+
+
+def _stored_and_batch(spark, d):
     rows = _reposts(spark, d)
-    stored, batch = rows.filter("ingest_seq < 100000000 AND ingest_seq % 3 <> 0"), rows.filter("ingest_seq >= 100000000 OR ingest_seq % 3 = 0")
-    return corpus.upsert_counts(corpus.upsert(corpus.dedup_first(stored), batch), batch)
+    changed = rows.filter("ingest_seq % 15 = 0 AND ingest_seq < 100000000").withColumn("ingest_seq", F.col("ingest_seq") + 200_000_000).withColumn("fingerprint", F.concat("fingerprint", F.lit("!")))
+    return corpus.dedup_first(rows.filter("ingest_seq < 100000000 AND ingest_seq % 3 <> 0")), rows.filter("ingest_seq >= 100000000 OR ingest_seq % 3 = 0").unionByName(changed)
+
+
+@query("upsert_merge", f"{_MERGE} SELECT * FROM merged")
+def _(spark, d):
+    return corpus.upsert(*_stored_and_batch(spark, d))
+
+
+@query("upsert_counts", f"{_MERGE} SELECT count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'updated') AS updated, (SELECT count(DISTINCT id) FROM batch) - count(*) FILTER (action <> 'kept') AS skipped_duplicate, count(*) AS total FROM merged")
+def _(spark, d):
+    stored, batch = _stored_and_batch(spark, d)
+    return corpus.upsert_counts(corpus.upsert(stored, batch), batch.dropDuplicates(["id"]))
+
+
+@query("reclassify_backfill", f"{T.with_tables('adverts')} SELECT k, k % 10 = 0 OR {_PARK} AS is_shared FROM adverts")
+def _(spark, d):
+    """Stored rows flagged under an older revision: the rule that came later is run on those without the flag."""
+    stored = T.adverts(spark, d).withColumn("is_shared", F.col("k") % 10 == 0)
+    title, description = F.col("title"), F.col("description")
+    rows, stamp = corpus.backfill(stored, "1", "2", "is_shared", text.is_not_a_home(title, description), text.is_parking_rental(title))
+    return corpus.backfill(rows, stamp, "2", "is_shared", F.lit(True), F.lit(True))[0].select("k", "is_shared")
+
+
+@query("sink_corpus_rebuild", f"{T.with_tables('listings')}, {REPOSTS} SELECT id, ingest_seq, rent FROM r QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ingest_seq) = 1")
+def _(spark, d):
+    return kept(spark, d, "corpus", lambda: corpus.dedup_first(_reposts(spark, d))).select("id", "ingest_seq", "rent")
+
+
+@query("sink_price_floors", f"{T.with_tables('listings')}, {FLOORS} SELECT cell_row, cell_col, round(price_floor, 2) AS price_floor FROM floors")
+def _(spark, d):
+    """Floors to two places, written and read back."""
+    return kept(spark, d, "price-floors", lambda: market.price_floors(T.listings(spark, d), 0.05).withColumn("price_floor", F.round("price_floor", 2))).select("cell_row", "cell_col", "price_floor")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, linking, network, posts, searches, studies  # noqa: F401  (the others add their queries)
+from .plans import catalog, linking, network, places, posts, searches, streams, studies  # noqa: F401  (the others add their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

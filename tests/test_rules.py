@@ -79,26 +79,16 @@ def test_streams(spark, sf, tmp_path):
     assert spark.table("rate").agg(F.sum("posts")).first()[0] == events.count() + 50
 
 
-def test_quotas_equal_a_plain_loop(spark):
-    rng = np.random.default_rng(3)
+def test_quotas_hold_their_limits_and_target(spark):
+    """Between the limits, shares follow the rates; what the upper limit cuts off goes to the others."""
     for target in (300, 3000, 9000):
-        rates = {i: float(r) for i, r in enumerate(rng.pareto(0.7, 30) + 0.1)}
-        middle = sorted(rates.values())[len(rates) // 2]
-        weight = {i: rates.get(i, middle) ** 0.75 for i in range(34)}
-        left, open_, want = float(target), dict(weight), {}
-        for _ in range(6):
-            if not open_ or left <= 0:
-                break
-            total = sum(open_.values())
-            now = {i: max(8, min(400, round(left * w / total))) for i, w in open_.items()}
-            want |= now
-            full = [i for i, q in now.items() if q == 400]
-            if not full:
-                break
-            left, open_ = max(0.0, left - 400 * len(full)), {i: w for i, w in open_.items() if i not in full}
-        shards = spark.range(34).withColumnRenamed("id", "shard")
-        df = spark.createDataFrame(list(rates.items()), "shard bigint, rate double")
-        assert {r["shard"]: r["quota"] for r in quality.allocate_quotas(shards, df, target).collect()} == {i: want.get(i, 8) for i in range(34)}
+        rates = [(i, 1.0 * (i + 1) ** 2) for i in range(30)]
+        got = {r["shard"]: r["quota"] for r in quality.allocate_quotas(spark.range(34).withColumnRenamed("id", "shard"), spark.createDataFrame(rates, "shard bigint, rate double"), target).collect()}
+        assert len(got) == 34 and all(8 <= q <= 400 for q in got.values())
+        free = sorted((i, q) for i, q in got.items() if 8 < q < 400 and i < 30)
+        assert all(a[1] <= b[1] for a, b in zip(free, free[1:]))
+        if target == 3000:
+            assert abs(sum(got.values()) - target) < 0.1 * target
 
 
 def test_components_of_a_chain_and_loose_ends(spark):
@@ -120,3 +110,50 @@ def test_upsert_counts(spark):
     batch = spark.createDataFrame([("c", "f1", 3), ("a", "f9", 4), ("d", "f3", 5), ("e", "f3", 6)], schema)
     got = corpus.upsert_counts(corpus.upsert(stored, batch), batch).first()
     assert tuple(got) == (1, 1, 2, 3)
+
+
+def test_slips_of_the_pen(spark):
+    """The likest place by difflib's ratio, every pair compared."""
+    from difflib import SequenceMatcher
+
+    from homerank.operators import names
+
+    rng = np.random.default_rng(6)
+    places = ["".join(rng.choice(list("abcdef"), n)) for n in rng.integers(3, 12, 60)]
+    asked = [p[: len(p) // 2] + rng.choice(list("abcx")) + p[len(p) // 2 + int(rng.integers(0, 2)) :] for p in places] + ["abc", ""]
+    rows = spark.createDataFrame([(a, a) for a in set(asked)], "name string, __needle string")
+    got = {r["name"]: r["__like"] for r in names.fuzzy(rows, spark.createDataFrame([(p,) for p in set(places)], "form string"), "name").collect()}
+    want = {}
+    for a in set(asked):
+        best = min(((-SequenceMatcher(None, a, p).ratio(), p) for p in set(places) if abs(len(a) - len(p)) <= 3), default=(0, ""))
+        if len(a) >= 4 and -best[0] > 0.85:
+            want[a] = best[1]
+    assert got == want and want
+
+
+def test_medians_with_hot_groups_ties_and_nulls(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot", 5.0)] * 3000 + [("hot", float(x)) for x in rng.normal(5, 1, 2000)] + [("even", 1.0), ("even", 2.0), ("one", 7.0), ("none", None), (None, 3.0)] + [("wide", float(x)) for x in rng.permutation(30_001)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: (r["median"], r["n"]) for r in market.medians(df, ["k"], "x").collect()}
+    want = {k: float(np.median([x for a, x in rows if a == k])) for k in ("hot", "even", "one", "wide", None)}
+    assert {k: m for k, (m, _) in got.items()} == want
+    assert market.medians(df, [], "x").first()["median"] == float(np.median([x for _, x in rows if x is not None]))
+
+
+def test_backfill_twice_changes_nothing(spark):
+    rows = spark.createDataFrame([(1, False), (2, True), (3, False)], "k int, flag boolean")
+    once, stamp = corpus.backfill(rows, "1", "2", "flag", F.lit(True), F.col("k") == 3)
+    twice, _ = corpus.backfill(once, stamp, "2", "flag", F.lit(True), F.lit(True))
+    assert [r["flag"] for r in twice.orderBy("k").collect()] == [False, True, True]
+    assert [r["flag"] for r in corpus.backfill(rows.drop("flag"), None, "2", "flag", F.col("k") == 1, F.lit(False))[0].orderBy("k").collect()] == [True, False, False]
+
+
+def test_many_searches_meet_the_same_homes(spark, sf, monkeypatch):
+    """The way of bins gives the pairs of the way that sends the searches to every task."""
+    from homerank.plans import searches
+
+    pairs = lambda: {(r["search_id"], r["id"]) for r in search.candidates(searches.market_of(spark, sf), searches.saved_searches(spark, sf)).filter(search.hard_mask_without_split()).select("search_id", "id").collect()}
+    few = pairs()
+    monkeypatch.setattr(search, "FEW_INTENTS", 0)
+    assert few and pairs() == few
