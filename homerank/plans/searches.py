@@ -147,10 +147,10 @@ _scored_query("structural_penalty", {"penalty": True})
 _scored_query("score", {"score": True, **{f"u_{k}": True for k in search.UTILITIES}})
 
 
-@query("budget_ratio", f"{SEARCH_CTE} SELECT search_id, id, round(ratio, 6) AS ratio FROM p4")
+@query("budget_ratio", f"{SEARCH_CTE} SELECT search_id, id, round(ratio, 9) AS ratio FROM p4")
 def _(spark, d):
     ratio = money.budget_ratio(F.col("split_deposit"), F.col("split_rent"), F.col("max_deposit"), F.col("max_rent"))
-    return scored(spark, d).select("search_id", "id", F.round(ratio, 6).alias("ratio"))
+    return scored(spark, d).select("search_id", "id", F.round(ratio, 9).alias("ratio"))
 
 
 @query("rank", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 600")
