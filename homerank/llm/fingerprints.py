@@ -10,13 +10,15 @@ from .common import documents
 
 #: Tokens in a gram and grams in a window: any shared run of K + W - 1 tokens shares a fingerprint.
 K, W = 5, 8
-#: A longer run without white space counts as tokens of so many characters.
+#: A longer run without white space has a token of so many characters, fewer at its end, at each of its characters.
 TOKEN_CHARS = 16
+TOKEN = rf"(?=(\S{{1,{TOKEN_CHARS}}}))(?:(?<!\S)\S{{1,{TOKEN_CHARS}}}(?!\S)|\S)"
 #: Low bits of a fingerprint hold its position, counted from the end of the range so that the rightmost of equal hashes is least.
-POSITION_BITS = 26
+#: A string has less than 2^31 bytes and a token takes two at least, or one inside a run, whose array would be larger than a row may be.
+POSITION_BITS = 30
 _MASK = (1 << POSITION_BITS) - 1
-#: Rows of one bucket of neighbouring ids, about, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS = 1_000, 20_000
+#: Rows of one bucket of neighbouring ids, about, and buckets at most; beyond 100 million rows buckets grow, as windows that spill.
+BUCKET_ROWS, MAX_BUCKETS = 1_000, 100_000
 
 
 def _shifted(df: DataFrame, out: str, a: str, b: str, by: int, combine) -> DataFrame:
@@ -28,7 +30,8 @@ def _shifted(df: DataFrame, out: str, a: str, b: str, by: int, combine) -> DataF
 def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array `out`: each text's fingerprints in order, hash above position.
 
-    Tokens are runs without white space, cut to TOKEN_CHARS characters. Each gram of K tokens has a hash, rolled up from
+    Tokens are runs without white space; in runs longer than TOKEN_CHARS each character begins a token, so a passage in text
+    without spaces has the same tokens wherever it stands in its run. Each gram of K tokens has a hash, rolled up from
     the hashes of its halves; of each W grams in a row the least hash is kept, of equal ones the rightmost, and once only.
     A text with fewer tokens than K is one gram, one with fewer grams than W one window; without tokens a non-empty text
     is one gram by itself and an empty text has no fingerprint. Each step is a column of its own, so that no step is
@@ -36,7 +39,7 @@ def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     t, h, g2, g4, g, v, m2, m4, m8 = (f"__hr_{out}_{i}" for i in range(9))
     pair, least = (lambda a, b: F.xxhash64(a, b)), (lambda a, b: F.least(a, b))
-    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), F.lit(0)))
+    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(1)))
     df = df.withColumn(h, F.transform(t, lambda x: F.xxhash64(x)))
     df = _shifted(df, g2, h, h, 1, pair)
     df = _shifted(df, g4, g2, g2, 2, pair)

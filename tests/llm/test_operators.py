@@ -95,26 +95,62 @@ def test_shortest_pack_first(histogram):
     assert placed == histogram
 
 
-def test_fingerprints(spark, docs, empty):
-    def prints(text):
-        tokens = re.findall(r"[^\t\n\x0b\f\r ]{1,16}", text)
-        return len(tokens)
+def plain_prints(text):
+    """(hash, position) by the plain definition, window by window."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    pair = lambda a, b: xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+    tokens = []
+    for run in re.findall(r"[^\t\n\x0b\f\r ]+", text):
+        tokens += [run] if len(run) <= 16 else [run[i : i + 16] for i in range(len(run))]
+    if not text:
+        return tokens, []
+    h = [of(t) for t in tokens]
+    if len(h) >= fingerprints.K:
+        grams = [pair(pair(pair(h[i], h[i + 1]), pair(h[i + 2], h[i + 3])), h[i + 4]) for i in range(len(h) - 4)]
+    else:
+        grams = [of(" ".join(tokens) if tokens else text)]
+    top = [signed(g >> 1) >> fingerprints.POSITION_BITS for g in grams]
+    kept = []
+    for i in range(max(len(top) - fingerprints.W, 0) + 1):
+        window = range(i, min(i + fingerprints.W, len(top)))
+        least = min(window, key=lambda j: (top[j], -j))
+        if (top[least], least) not in kept[-1:]:
+            kept.append((top[least], least))
+    return tokens, kept
+
 
+def test_fingerprints(spark, docs, empty):
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
     order = sorted((i, t or "") for i, t in dict(AWKWARD).items() if i)
+    read = lambda prints: [(x >> fingerprints.POSITION_BITS, fingerprints._MASK - (x & fingerprints._MASK)) for x in prints]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t) in enumerate(order):
         after, q = order[(k + 1) % len(order)][1], len(t) // 4
-        assert rows[i]["n_chars"] == len(t)
-        assert rows[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
-        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
-        n = prints(t)
-        if n >= fingerprints.K + fingerprints.W - 1:
-            at = sorted(fingerprints._MASK - (x & fingerprints._MASK) for x in rows[i]["prints"])
+        edited = t[: len(t) - q] + after[:q]
+        own, changed, following = ([x for x in plain_prints(x)[1]] for x in (t, edited, after))
+        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert read(rows[i]["prints"]) == own and read(rows[i]["edited_prints"]) == changed
+        sets = [{x for x, _ in found} for found in (own, changed, following)]
+        assert math.isclose(rows[i]["near_edited"], like(sets[0], sets[1])) and math.isclose(rows[i]["near_next"], like(sets[0], sets[2]))
+        if len(plain_prints(t)[0]) >= fingerprints.K + fingerprints.W - 1:
+            at = sorted(p for _, p in read(rows[i]["prints"]))
             assert all(b - a <= fingerprints.W for a, b in zip(at, at[1:]))  # every window has one
     assert rows[8]["near_next"] > 0.9 and rows[2]["prints"] == []
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def test_fingerprints_of_text_without_spaces(spark):
+    """A shared passage is found at any place in its run."""
+    passage = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(40))
+    rows = [(i, "".join(chr(0x6000 + (i * 91 + j * 13) % 3000) for j in range(i)) + passage + "末" * 20) for i in range(17)]
+    made = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    sets = {r["doc_id"]: {x >> fingerprints.POSITION_BITS for x in r["prints"]} for r in made.collect()}
+    assert all(sets[0] & sets[i] for i in sets)
+
+
 def brute_components(rows, k):
     sets = {}
     for i, t in rows:
@@ -358,6 +394,37 @@ def test_html_joins_equal_broadcast(spark, monkeypatch):
     assert len(sent) == len(rows) and texts[3] == texts[103] == texts[203] == texts[303] == "Text 3\n\nOther 3"
 
 
+def test_quality_equals_plain_resampling(spark):
+    """Log ratios, noise and the draw, recomputed row by row; n-grams meet their buckets through the operator's own hash of words."""
+    import pyarrow as pa
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(30 if i % 3 else 90)], rng.integers(0, 40)))) for i in range(200)] + [(900, None), (901, ""), (902, "one")]
+    target = rows[:60:2]
+
+    def buckets(text):
+        (_, _, values, _), = quality._row_buckets(pa.array([text], pa.string()))
+        own = values.tolist()
+        n = len(words(text))
+        assert len(own) == max(2 * n - 1, 0)
+        return Counter(own)
+
+    def model(texts):
+        total = sum((buckets(t) for _, t in texts), Counter())
+        return lambda b: math.log((total[b] + 1) / (sum(total.values()) + quality.BUCKETS))
+
+    good, raw = model(target), model(rows)
+    want = {i: sum(n * (good(b) - raw(b)) for b, n in buckets(t).items()) for i, t in rows}
+    hashed = lambda i: xxhash.xxh64(quality.SEED.to_bytes(4, "little"), seed=xxhash.xxh64(i.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+    keys = {i: w - math.log(-math.log(((hashed(i) >> 11) + 0.5) / (1 << 53))) for i, w in want.items()}
+    first = sorted(keys, key=lambda i: (-keys[i], i))[:50]
+    df = lambda part: spark.createDataFrame(part, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.resample(df(rows), df(target), 50 / len(rows)).collect()}
+    assert all(math.isclose(got[i]["log_ratio"], want[i], abs_tol=1e-9) and math.isclose(got[i]["gumbel_key"], keys[i], abs_tol=1e-9) for i in want)
+    assert {i for i in got if got[i]["kept"]} == set(first)
+
+
 def test_quality(spark, docs, empty):
     good = [(i, "plain clean words in a row again") for i in range(50)]
     raw = spark.createDataFrame(good + [(100 + i, "%% $$ junk !! %% $$ junk !! " * 3) for i in range(10)], "doc_id bigint, text string")
