@@ -19,6 +19,7 @@ GROUND, BASEMENTS = "همکف", ("زیرزمین", "زیر همکف")
 AREA = "([0-9]{2,4})\\s*(?:متر|متری|مترمربع|متر مربع)"
 TOTAL_FLOORS = "(?:از|در|ساختمان)\\s*([0-9]{1,2})\\s*طبقه|([0-9]{1,2})\\s*طبقه\\s*(?:ساختمان)?"
 BALCONY = (("بالکن", "تراس", "بالکون"), ("بدون بالکن", "بدون تراس", "فاقد بالکن"))
+CONVERTIBLE = (("قابل تبدیل", "قابليت تبديل", "تبدیل میشود", "تبدیل می شود", "تبدیل به رهن", "کم و زیاد میشود"), ("غیر قابل تبدیل", "غیرقابل تبدیل", "بدون تبدیل"))
 SHARED_LIVING = "هم\\s?خانه|هم\\s?خونه|هم\\s?اتاقی|هم\\s?منزل|هم\\s?سکونت|خوابگاه|پانسیون|اجاره\\s?(?:ی\\s?)?(?:یک\\s?)?اتاق|اتاق\\s?(?:برای\\s?)?اجاره|یک\\s?اتاق\\s?\\d+\\s?متر|اتاق\\s?مبله|اجاره\\s?تخت|رزرو\\s?تخت|تخت\\s?خواب\\s?اجاره"
 PARKING_WORD = "پار[کگ]ین[گک]"
 PARKING = f"(?:^|[\\s/،,\\-])(?:اجاره|رهن|کرایه|واگذاری)\\s*(?:\\S+\\s+){{0,3}}?{PARKING_WORD}|^\\s*{PARKING_WORD}|{PARKING_WORD}\\s*(?:اجاره|کرایه)|^\\s*(?:[^\\s\\d]+\\s+)?{PARKING_WORD}\\s*$"

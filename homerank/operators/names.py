@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, squash_form
+from .iterate import cut
+from .spatial import areas_near
 
 #: Tokens shorter than this identify nothing.
 LEAST_TOKEN = 3
@@ -127,6 +129,98 @@ def fuzzy(asked: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return pairs.mapInPandas(ratios, f"{name} string, form string, ratio double").filter(F.col("ratio") > FUZZY).groupBy(name).agg(best.alias("__like"))
 
 
+def resolve_areas(asked: DataFrame, areas: DataFrame, places: DataFrame, polygons: DataFrame) -> DataFrame:
+    """name, rank, area_key of asked names: the area of that title; else the areas around the landmark of that name, nearest first;
+    else the area with that keyword. A name that means nothing has no row; an area's own key means itself."""
+    every = asked.select("name").filter("name IS NOT NULL").distinct()
+    keys = every.join(areas.select(F.col("area_key").alias("name")), "name", "left_semi").select("name", F.lit(1).alias("rank"), F.col("name").alias("area_key"))
+    named = every.join(keys.select("name"), "name", "left_anti")
+    # Each step goes on with the names that the steps before left; their results are cut off, as each is read twice.
+    title = cut(resolve_title(named, areas).select("name", F.lit(1).alias("rank"), "area_key"))
+    rest = cut(named.join(title.select("name"), "name", "left_anti"))
+    marks = cut(resolve_landmark(rest, places).select("name", "lat", "lon"))
+    near = cut(areas_near(marks, polygons, id_col="name").select("name", "rank", "area_key"))
+    rest = rest.join(near.select("name").distinct(), "name", "left_anti")
+    return keys.unionByName(title).unionByName(near).unionByName(resolve_keyword(rest, areas).select("name", F.lit(1).alias("rank"), "area_key"))
+
+
+def resolve_lists(asked: DataFrame, resolved: DataFrame) -> DataFrame:
+    """request, area_keys of asked (request, pos, name): the areas of a request's names, each once, where it comes first."""
+    first = asked.join(resolved, "name").groupBy("request", "area_key").agg(F.min(F.struct("pos", "rank")).alias("at"))
+    keys = first.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "area_key"))), lambda x: x.area_key).alias("area_keys"))
+    return asked.select("request").distinct().join(keys, "request", "left").select("request", F.coalesce("area_keys", F.array().cast("array<string>")).alias("area_keys"))
+
+
+#: Likeness that pairs a title with a polygon's name, and the length above which one may contain the other.
+PAIRED, PAIRED_CONTAINED = 0.80, 3
+#: Words that say what kind of place it is.
+KIND_WORDS = "محله|منطقه|خیابان|شهرک"
+
+
+def bare_name(text: Column) -> Column:
+    """A name without brackets, signs and words for the kind of place."""
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "يكة\u200c", "یکه "), r"\(.*?\)", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s]", " "), rf"(?U)\b({KIND_WORDS})\b", "")
+    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+
+def _parts(name: str) -> Column:
+    """All different substrings of a short name that are longer than PAIRED_CONTAINED."""
+    n = F.length(name)
+    at = lambda i: F.transform(F.sequence(F.lit(PAIRED_CONTAINED + 1), F.greatest(n - i + 1, F.lit(PAIRED_CONTAINED + 1))), lambda k: F.substring(F.col(name), i, k))
+    return F.when(n > PAIRED_CONTAINED, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - PAIRED_CONTAINED, F.lit(1))), at)))).otherwise(F.array().cast("array<string>"))
+
+
+def match_name_list(items: DataFrame, polygons: DataFrame) -> DataFrame:
+    """id, polygon, step of items (id, title, subtitle) against polygons (ord, name): null and null where nothing is left.
+
+    A title is a polygon's name; else contains one or is inside one, the first in order; else is like one; else the subtitle contains
+    one. Of polygons with one bare name the last counts. A polygon that several items claim goes to the only one with its very name, else to none.
+    Names meet through their substrings and their lengths, by equality.
+    """
+    own = polygons.select("ord", "name", bare_name(F.col("name")).alias("form")).filter("form <> ''").groupBy("form").agg(F.min("ord").alias("ord"), F.max_by("name", "ord").alias("name"))
+    rows = items.select("id", bare_name(F.col("title")).alias("t"), bare_name(F.col("subtitle")).alias("s"))
+    titles = rows.select("t").distinct()
+    exact = titles.join(own.select(F.col("form").alias("t")), "t").select("t", F.col("t").alias("form"))
+    open_ = titles.join(exact.select("t"), "t", "left_anti")
+    inside = open_.withColumn("form", F.explode(_parts("t"))).join(own.select("form", "ord"), "form")
+    around = own.select("form", "ord", F.explode(_parts("form")).alias("t")).join(open_, "t")
+    part = inside.select("t", "form", "ord").unionByName(around.select("t", "form", "ord")).groupBy("t").agg(F.min_by("form", "ord").alias("form"))
+    # Titles with nothing in them are inside no name and like none.
+    left = open_.join(part.select("t"), "t", "left_anti").filter("t <> ''")
+    # A ratio of r needs lengths within a factor of r / (2 - r).
+    share = PAIRED / (2 - PAIRED)
+    bands = F.explode(F.sequence(F.ceil(F.length("form") * share - 1e-9).cast("int"), F.floor(F.length("form") / share + 1e-9).cast("int")))
+    pairs = left.withColumn("n", F.length("t")).join(own.select("form", bands.alias("n")), "n").filter(F.levenshtein("t", "form") <= (1 - PAIRED) * (F.length("t") + F.length("form")) + 1e-9).select("t", "form")
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["ratio"] = [SequenceMatcher(None, b, a).ratio() for a, b in zip(pdf["t"], pdf["form"])]
+            yield pdf
+
+    like = pairs.mapInPandas(ratios, "t string, form string, ratio double").filter(F.col("ratio") >= PAIRED).groupBy("t").agg(F.max_by("form", F.struct("ratio", "form")).alias("form"))
+    found = exact.withColumn("step", F.lit("exact")).unionByName(part.withColumn("step", F.lit("part"))).unionByName(like.withColumn("step", F.lit("like")))
+    sub = rows.select("s").distinct().withColumn("form", F.explode(_parts("s"))).join(own.select("form", "ord"), "form").groupBy("s").agg(F.min_by("form", "ord").alias("__sub"))
+    claims = rows.join(found, "t", "left").join(sub, "s", "left").withColumn("step", F.coalesce("step", F.when(F.col("__sub").isNotNull(), "subtitle"))).withColumn("form", F.coalesce("form", "__sub"))
+    tally = claims.filter("form IS NOT NULL").join(own.select("form", "name"), "form").groupBy("name").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("step") == "exact").alias("exact"))
+    out = claims.join(own.select("form", "name"), "form", "left").join(tally, "name", "left")
+    wins = (F.col("claims") == 1) | ((F.col("exact") == 1) & (F.col("step") == "exact"))
+    return out.select("id", F.when(wins, F.col("name")).alias("polygon"), F.when(wins, F.col("step")).alias("step"))
+
+
+def hash_embedding(rows: DataFrame, id_col: str, text_col: str, buckets: int = 256) -> DataFrame:
+    """id_col, vector: how often words of two letters or more fall into each bucket, to length one; sparse, as bucket -> weight.
+
+    The first byte of a word's MD5 is its bucket, of which there are 256 at most. Counts are summed before they are shuffled, so a long
+    text is no hot group. A text without words has an empty vector; ids are taken to be unique.
+    """
+    words = rows.select(id_col, F.explode_outer(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("word"))
+    bucket = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") % buckets
+    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.count("word").alias("n"))
+    gathered = counts.groupBy(id_col).agg(F.collect_list(F.when(F.col("n") > 0, F.struct("bucket", "n"))).alias("pairs"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    return gathered.select(id_col, F.map_from_entries(F.transform("pairs", lambda p: F.struct(p.bucket, p.n / F.col("length")))).alias("vector"))
+
+
 def resolve_shards(asked: DataFrame, shards: DataFrame) -> DataFrame:
     """selector, shard of selectors against shards (shard, slug, second_slug, name): by slug, second slug or name, else the shortest name that contains it; null for none."""
     keys = shards.select("shard", F.explode(F.array("slug", "second_slug", "name")).alias("selector")).filter("selector IS NOT NULL").groupBy("selector").agg(F.min("shard").alias("__own"))

@@ -155,6 +155,48 @@ def clusters_and_pins(points: DataFrame, boxes: DataFrame, zooms: DataFrame, key
     return badges.unionByName(pins).unionByName(loose)
 
 
+def _next_corners(ring: Column) -> Column:
+    return F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
+
+
+def ring_distance(lat: Column, lon: Column, ring: Column) -> Column:
+    """Meters from a point to a ring in a flat projection at the point; 0 inside."""
+    scale = F.cos(F.radians(lat)) * C.METERS_PER_DEGREE
+
+    def edge(a: Column, b: Column) -> Column:
+        ax, ay, bx, by = (a.lon - lon) * scale, (a.lat - lat) * C.METERS_PER_DEGREE, (b.lon - lon) * scale, (b.lat - lat) * C.METERS_PER_DEGREE
+        dx, dy = bx - ax, by - ay
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
+        return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+
+    return F.when(in_ring(lat, lon, ring), 0.0).otherwise(F.array_min(F.zip_with(ring, _next_corners(ring), edge)))
+
+
+def _rings_cross(a: Column, b: Column) -> Column:
+    """Whether some edge of one ring crosses some edge of the other."""
+    edges = lambda ring: F.zip_with(ring, _next_corners(ring), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    side = lambda p, q, r: F.signum((q.lon - p.lon) * (r.lat - p.lat) - (q.lat - p.lat) * (r.lon - p.lon))
+    crossed = lambda e, f: (side(e.p, e.q, f.p) * side(e.p, e.q, f.q) < 0) & (side(f.p, f.q, e.p) * side(f.p, f.q, e.q) < 0)
+    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: crossed(e, f)))
+
+
+def same_name_places(polygons: DataFrame, meters: float = C.SAME_PLACE_M) -> DataFrame:
+    """id, name, place of polygons (id, name, box, ring): those of one name within a distance of each other are one place, named by its least id.
+
+    Polygons meet by name in the cells that their boxes, widened by half the distance, touch. Two that do not overlap are nearest at
+    a corner of one of them; two that do have a corner inside or edges that cross.
+    """
+    lat_pad, lon_pad = meters / 2 / C.METERS_PER_DEGREE, meters / 2 / (C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1)))
+    wide = polygons.select("id", "name", "ring", *[(F.col(f"min_{x}") - p).alias(f"min_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))], *[(F.col(f"max_{x}") + p).alias(f"max_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))])
+    dealt = _cover(wide, POLYGON_CELL)
+    other = dealt.select("name", "__cr", "__cc", F.col("id").alias("__id"), F.col("ring").alias("__ring"), *[F.col(f"{m}_{x}").alias(f"__{m}_{x}") for m in ("min", "max") for x in ("lat", "lon")])
+    met = dealt.join(other, ["name", "__cr", "__cc"]).filter("id < __id AND min_lat <= __max_lat AND __min_lat <= max_lat AND min_lon <= __max_lon AND __min_lon <= max_lon")
+    a, b = F.col("ring"), F.col("__ring")
+    close = F.exists(a, lambda c: ring_distance(c.lat, c.lon, b) <= meters) | F.exists(b, lambda c: ring_distance(c.lat, c.lon, a) <= meters) | _rings_cross(a, b)
+    links = met.filter(close).select(F.col("id").alias("a"), F.col("__id").alias("b")).distinct()
+    return polygons.select("id", "name").join(components(polygons.select("id"), links).withColumnRenamed("component", "place"), "id")
+
+
 def areas_near(points: DataFrame, polygons: DataFrame, meters: float = C.AREA_NEAR_M, most: int = C.AREAS_NEAR, id_col: str = "id") -> DataFrame:
     """id_col, area_key, meters, rank: up to `most` areas within a distance of each point, nearest first; 0 inside.
 
@@ -164,17 +206,7 @@ def areas_near(points: DataFrame, polygons: DataFrame, meters: float = C.AREA_NE
     lat_pad, lon_pad = meters / C.METERS_PER_DEGREE, meters / (C.METERS_PER_DEGREE * math.cos(math.radians(C.CITY["max_lat"] + 1)))
     wide = polygons.select("area_key", "ord", "ring", *[(F.col(f"min_{x}") - p).alias(f"min_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))], *[(F.col(f"max_{x}") + p).alias(f"max_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))])
     pairs = points.select(id_col, "lat", "lon").withColumn("__cr", cell(F.col("lat"), POLYGON_CELL)).withColumn("__cc", cell(F.col("lon"), POLYGON_CELL)).join(_cover(wide, POLYGON_CELL), ["__cr", "__cc"])
-    n = F.size("ring")
-    scale = F.cos(F.radians(F.col("lat"))) * C.METERS_PER_DEGREE
-
-    def edge(a: Column, b: Column) -> Column:
-        ax, ay, bx, by = (a.lon - F.col("lon")) * scale, (a.lat - F.col("lat")) * C.METERS_PER_DEGREE, (b.lon - F.col("lon")) * scale, (b.lat - F.col("lat")) * C.METERS_PER_DEGREE
-        dx, dy = bx - ax, by - ay
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
-        return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
-
-    away = F.array_min(F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1)), edge))
-    found = pairs.withColumn("meters", F.when(in_ring(F.col("lat"), F.col("lon"), F.col("ring")), 0.0).otherwise(away)).filter(F.col("meters") <= meters)
+    found = pairs.withColumn("meters", ring_distance(F.col("lat"), F.col("lon"), F.col("ring"))).filter(F.col("meters") <= meters)
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("meters", "ord"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most).select(id_col, "area_key", "meters", "rank")
 

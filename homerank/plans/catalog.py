@@ -101,13 +101,16 @@ _text_query(
 _text_query("mine_area", lambda: [text.mine_area(_pd()).alias("area")], f"[x for x in [CAST(m AS INT) for m in regexp_extract_all({_PD}, '{text.AREA}', 1)] if x BETWEEN 15 AND 2000][1] AS area")
 
 
+_MENTIONED = {"has_balcony": text.BALCONY, "can_convert": text.CONVERTIBLE}
+
+
 def _pd():
     return text.prepared(F.concat_ws(" ", "title", "description"))
 
 
 _text_query(
-    "mention_tristate", lambda: [text.mentions(_pd(), *text.BALCONY).alias("has_balcony")],
-    f"CASE WHEN regexp_matches({_PD}, '{'|'.join(text.BALCONY[1])}') THEN false WHEN regexp_matches({_PD}, '{'|'.join(text.BALCONY[0])}') THEN true END AS has_balcony",
+    "mention_tristate", lambda: [text.mentions(_pd(), *lists).alias(name) for name, lists in _MENTIONED.items()],
+    ", ".join(f"CASE WHEN regexp_matches({_PD}, '{'|'.join(no)}') THEN false WHEN regexp_matches({_PD}, '{'|'.join(yes)}') THEN true END AS {name}" for name, (yes, no) in _MENTIONED.items()),
 )
 _SHARED = f"regexp_matches({_PD}, '{text.SHARED_LIVING}')"
 _PARK = f"(regexp_matches({_P}, '{text.PARKING}') AND NOT (regexp_matches({_P}, '{text.DWELLING}') OR regexp_matches({_P}, 'واحد([^یي]|$)') OR regexp_matches({_P}, 'متر( |$)')))"

@@ -59,6 +59,71 @@ def _(spark, d):
     return names.resolve_landmark(T.table(spark, d, "customer").select(F.concat(slip, (F.col("c_custkey") % 60).cast("string"), F.lit("th")).alias("name")), places)
 
 
+_NEAR = """seg AS (SELECT s.station_id AS id, e.area_key, (x1 - s.lon) * k AS ax, (y1 - s.lat) * 111320E0 AS ay, (x2 - s.lon) * k AS bx, (y2 - s.lat) * 111320E0 AS by_, (y1 > s.lat) <> (y2 > s.lat) AND s.lon < (x2 - x1) * (s.lat - y1) / nullif(y2 - y1, 0) + x1 AS crossed FROM (SELECT *, cos(radians(lat)) * 111320E0 AS k FROM stations) s, edges e),
+seg2 AS (SELECT *, greatest(0E0, least(1E0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM seg), near AS (SELECT id, area_key, CASE WHEN sum(crossed::INT) % 2 = 1 THEN 0E0 ELSE min(sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2))) END AS meters FROM seg2 GROUP BY ALL)"""
+
+
+@query("fuzzy_name", "WITH p AS (SELECT 'T' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 14) AS form FROM supplier) SELECT q.name, arg_min(form, levenshtein(q.name, form)) AS form FROM (SELECT 'x' || substr(form, 2) AS name FROM p) q, p WHERE levenshtein(q.name, form) <= 2 GROUP BY 1")
+def _(spark, d):
+    """Names with a letter wrong, of which SQL finds the place by edits."""
+    own = T.table(spark, d, "supplier").select(F.concat(F.lit("T"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 14)).alias("form"))
+    slips = own.select(F.concat(F.lit("x"), F.substring("form", 2, 20)).alias("name")).withColumn("__needle", F.col("name"))
+    return names.fuzzy(slips, own, "name").select("name", F.col("__like").alias("form"))
+
+
+_REQUESTS = "CAST(floor(c_custkey / 5) AS BIGINT) AS request, c_custkey AS pos, CASE c_custkey % 7 WHEN 0 THEN 'a' || CAST(c_custkey % 25 AS STRING) WHEN 1 THEN 'Place' || CAST(c_custkey % 25 AS STRING) || 'ville' WHEN 2 THEN 'Stop' || repeat(chr(CAST(65 + c_custkey % 10 AS INT)), 6) WHEN 3 THEN 'near Stop' || repeat(chr(CAST(65 + c_custkey % 10 AS INT)), 6) WHEN 4 THEN 'at Market' || CAST(c_custkey % 30 AS STRING) WHEN 5 THEN 'Street' || CAST(c_custkey % 9 AS STRING) ELSE 'nowhere' END AS name"
+_TITLE_IDX = "t AS (SELECT area_key, ord, size, replace(title, ' ', '') AS form, replace(regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', ''), ' ', '') AS bare FROM na), inside AS (SELECT form, arg_max(area_key, ord) AS area_key, max(ord) AS ord FROM t GROUP BY 1), idx AS (SELECT form, area_key FROM inside UNION ALL SELECT bare, arg_max(area_key, size) FROM t WHERE bare NOT IN (SELECT form FROM inside) GROUP BY 1)"
+
+
+@query("resolve_area", f"""{T.with_tables('stations', 'area_base', 'areas', 'edges')}, {_NA.split(', asked AS')[0]}, r AS (SELECT {_REQUESTS.replace(*_V)} FROM customer), asked AS (SELECT DISTINCT name FROM r WHERE name NOT IN (SELECT area_key FROM na)),
+title AS (SELECT name, area_key FROM (WITH {_TITLE_IDX}, {_STEPS} {_OUT})), stop AS (SELECT 'Stop' || repeat(chr(CAST(65 + station_id % 10 AS INT)), 6) AS form, avg(lat) AS lat, avg(lon) AS lon FROM stations GROUP BY 1),
+mark AS (SELECT name AS station_id, lat, lon FROM asked JOIN stop ON list_contains(string_split(name, ' '), form) WHERE name NOT IN (SELECT name FROM title)),
+around AS (SELECT id AS name, area_key, rank FROM (WITH stations AS (SELECT * FROM mark), {_NEAR} SELECT id, area_key, row_number() OVER (PARTITION BY id ORDER BY meters, ord) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4)),
+word AS (SELECT name, area_key FROM (WITH {_KEYS}, {_STEPS} {_OUT})),
+every AS (SELECT area_key AS name, 1 AS rank, area_key FROM na UNION ALL SELECT name, 1, area_key FROM title UNION ALL SELECT name, rank, area_key FROM around UNION ALL SELECT name, 1, area_key FROM word WHERE name NOT IN (SELECT name FROM title UNION SELECT name FROM around)),
+f1 AS (SELECT request, area_key, min(pos * 10 + rank) AS first FROM r JOIN every USING (name) GROUP BY 1, 2) SELECT q.request, coalesce(string_agg(area_key, ',' ORDER BY first), '') AS area_keys FROM (SELECT DISTINCT request FROM r) q LEFT JOIN f1 ON f1.request = q.request GROUP BY 1""")
+def _(spark, d):
+    """Lists of names: titles, stops, streets, keys."""
+    asked = T.table(spark, d, "customer").selectExpr(*[f"{x}" for x in ("CAST(floor(c_custkey / 5) AS BIGINT) AS request", "c_custkey AS pos", _REQUESTS[_REQUESTS.index("CASE"):])])
+    stops = T.stations(spark, d).withColumn("name", F.concat(F.lit("Stop"), F.expr("repeat(chr(65 + station_id % 10), 6)")))
+    found = names.resolve_areas(asked, named_areas(spark, d), names.gazetteer(stops), T.areas(spark, d))
+    return names.resolve_lists(asked, found).select("request", F.array_join("area_keys", ",").alias("area_keys"))
+
+
+_CLAIM = "substr(md5(CAST(CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING)), 1, 12)"
+_TITLED = f"CASE c_custkey % 5 WHEN 0 THEN {_CLAIM} WHEN 1 THEN {_CLAIM} || ' (x)' WHEN 2 THEN 'محله ' || {_CLAIM} || ' no' WHEN 3 THEN 'q' || substr({_CLAIM}, 2) ELSE 'elsewhere' END AS title, CASE WHEN c_custkey % 5 = 4 THEN 'by ' || {_CLAIM} END AS subtitle"
+
+
+@query("name_list_match", f"""WITH n AS (SELECT c_custkey AS ord, substr(md5(CAST(c_custkey AS VARCHAR)), 1, 12) AS form FROM customer), i AS (SELECT id, replace(replace(title, ' (x)', ''), 'محله ', '') AS t, subtitle AS s FROM (SELECT c_custkey AS id, {_TITLED.replace(*_V)} FROM customer)),
+x AS (SELECT id, t, s, e.form AS exact FROM i LEFT JOIN n e ON e.form = t), p AS (SELECT id, arg_min(form, ord) AS part FROM x JOIN n ON contains(t, form) OR contains(form, t) WHERE exact IS NULL GROUP BY 1), l AS (SELECT id, arg_min(form, levenshtein(t, form)) AS alike FROM x JOIN n ON levenshtein(t, form) <= 2 WHERE exact IS NULL GROUP BY 1), u AS (SELECT id, arg_min(form, ord) AS sub FROM x JOIN n ON contains(s, form) GROUP BY 1),
+c AS (SELECT id, coalesce(exact, part, alike, sub) AS form, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN part IS NOT NULL THEN 'part' WHEN alike IS NOT NULL THEN 'like' WHEN sub IS NOT NULL THEN 'subtitle' END AS step FROM x LEFT JOIN p USING (id) LEFT JOIN l USING (id) LEFT JOIN u USING (id)),
+w AS (SELECT *, form IS NOT NULL AND (count(*) OVER (PARTITION BY form) = 1 OR step = 'exact' AND count(*) FILTER (step = 'exact') OVER (PARTITION BY form) = 1) AS wins FROM c) SELECT id, CASE WHEN wins THEN form END AS polygon, CASE WHEN wins THEN step END AS step FROM w""")
+def _(spark, d):
+    """Each customer claims a polygon, some of them their neighbour's: by name, around it, with a slip or in the subtitle. SQL finds slips by edits."""
+    customers = T.table(spark, d, "customer")
+    polygons = customers.select(F.col("c_custkey").alias("ord"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12).alias("name"))
+    title, subtitle = _TITLED.split(" AS title, ")
+    return names.match_name_list(customers.selectExpr("c_custkey AS id", f"{title} AS title", subtitle), polygons)
+
+
+_SQUARE = 0.0003
+
+
+@query("same_name_merge", f"{T.with_tables('stations')}, p AS (SELECT station_id AS id, 'S' || CAST(floor(station_id / 10) AS INT) AS name, lat, lon FROM stations), near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.name = b.name AND a.id <> b.id AND sqrt(pow(greatest(abs(a.lat - b.lat) - {2 * _SQUARE}E0, 0) * 111320E0, 2) + pow(greatest(abs(a.lon - b.lon) - {2 * _SQUARE}E0, 0) * 111320E0 * cos(radians(a.lat)), 2)) <= 60) SELECT id, name, least(id, coalesce(min(b), id)) AS place FROM p LEFT JOIN near ON a = id GROUP BY id, name")
+def _(spark, d):
+    """Squares around the stations, named by tens; no chain of them is longer than two."""
+    corners = ", ".join(f"named_struct('lat', lat + {a * _SQUARE}, 'lon', lon + {b * _SQUARE})" for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1)))
+    bounds = [f"{x} {s} {_SQUARE} AS {m}_{x}" for x in ("lat", "lon") for m, s in (("min", "-"), ("max", "+"))]
+    squares = T.stations(spark, d).selectExpr("station_id AS id", "'S' || CAST(CAST(floor(station_id / 10) AS INT) AS STRING) AS name", *bounds, f"array({corners}) AS ring")
+    return spatial.same_name_places(squares)
+
+
+@query("hash_embedding", f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents), c AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 2) AS INT) % {C.EMBEDDING_BUCKETS} AS bucket, count(*) AS n FROM w GROUP BY 1, 2) SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight FROM c")
+def _(spark, d):
+    made = names.hash_embedding(T.table(spark, d, "documents"), "doc_id", "text", C.EMBEDDING_BUCKETS)
+    return made.select("doc_id", F.explode("vector").alias("bucket", "weight")).withColumn("weight", F.round("weight", 9))
+
+
 _SELECTOR = "CASE c_custkey % 5 WHEN 0 THEN 'n' || CAST(c_custkey % 30 AS STRING) WHEN 1 THEN ' x' || CAST(c_custkey % 30 AS STRING) WHEN 2 THEN 'NATION_' || CAST(c_custkey % 30 AS STRING) WHEN 3 THEN 'TION_' || CAST(c_custkey % 30 AS STRING) ELSE ' ' END"
 
 
@@ -96,8 +161,6 @@ def _(spark, d):
     return rows.select(F.lit("district").alias("layer"), "key").unionByName(spatial.largest(rows).select(F.lit("city").alias("layer"), "key"))
 
 
-_NEAR = """seg AS (SELECT s.station_id AS id, e.area_key, (x1 - s.lon) * k AS ax, (y1 - s.lat) * 111320E0 AS ay, (x2 - s.lon) * k AS bx, (y2 - s.lat) * 111320E0 AS by_, (y1 > s.lat) <> (y2 > s.lat) AND s.lon < (x2 - x1) * (s.lat - y1) / nullif(y2 - y1, 0) + x1 AS crossed FROM (SELECT *, cos(radians(lat)) * 111320E0 AS k FROM stations) s, edges e),
-seg2 AS (SELECT *, greatest(0E0, least(1E0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM seg), near AS (SELECT id, area_key, CASE WHEN sum(crossed::INT) % 2 = 1 THEN 0E0 ELSE min(sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2))) END AS meters FROM seg2 GROUP BY ALL)"""
 
 
 @query("areas_near", f"{T.with_tables('stations', 'area_base', 'areas', 'edges')}, {_NEAR} SELECT id, area_key, round(meters, 4) AS meters, row_number() OVER (PARTITION BY id ORDER BY meters, ord) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4")

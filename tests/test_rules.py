@@ -157,3 +157,71 @@ def test_many_searches_meet_the_same_homes(spark, sf, monkeypatch):
     few = pairs()
     monkeypatch.setattr(search, "FEW_INTENTS", 0)
     assert few and pairs() == few
+
+
+def test_name_lists_meet_as_in_plain_python(spark):
+    """Exact, contained, alike and by subtitle, and what several claim; against difflib name by name."""
+    import difflib
+    import random
+    import re
+    from collections import defaultdict
+
+    from homerank.operators import names
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    polygons = [(i, word(rng.randint(2, 9))) for i in range(250)] + [(300, "Kuh (x)"), (301, "kuh-sar"), (302, "")]
+    items = []
+    for i in range(300):
+        base = rng.choice(polygons)[1]
+        title = rng.choice([base, base + " " + word(2), word(6), base[: len(base) // 2] + "z" + base[len(base) // 2 :], "محله " + base, "", None, base[:4]])
+        items.append((i, title, rng.choice([None, "", "by " + rng.choice(polygons)[1]])))
+
+    def bare(text):
+        text = re.sub(r"\(.*?\)", "", (text or "").replace("ي", "ی").replace("ك", "ک").replace("ة", "ه").replace("\u200c", " "))
+        return " ".join(re.sub(r"\b(محله|منطقه|خیابان|شهرک)\b", "", re.sub(r"[^\w\s]", " ", text)).split())
+
+    forms = {}
+    for _, name in polygons:
+        if bare(name):
+            forms[bare(name)] = name
+    claims = defaultdict(list)
+    for i, title, subtitle in items:
+        t, s = bare(title), bare(subtitle)
+        found = (t, "exact") if t in forms else None
+        found = found or next(((f, "part") for f in forms if len(f) > 3 and f in t or len(t) > 3 and t in f), None)
+        found = found or next(((f, "like") for f in difflib.get_close_matches(t, list(forms), n=1, cutoff=0.80)), None)
+        found = found or next(((f, "subtitle") for f in forms if len(f) > 3 and f in s), None)
+        if found:
+            claims[forms[found[0]]].append((i, found[1]))
+    want = {}
+    for name, own in claims.items():
+        exact = [c for c in own if c[1] == "exact"]
+        for i, step in own if len(own) == 1 else exact if len(exact) == 1 else []:
+            want[i] = (name, step)
+    out = names.match_name_list(spark.createDataFrame(items, "id int, title string, subtitle string"), spark.createDataFrame(polygons, "ord int, name string")).collect()
+    assert len(out) == len(items) and {r["id"]: (r["polygon"], r["step"]) for r in out if r["polygon"] is not None} == want
+    assert len({step for _, step in want.values()}) == 4
+
+
+def test_same_name_places_that_cross_or_lie_apart(spark):
+    from homerank.operators import spatial
+
+    def box(i, name, lat0, lat1, lon0, lon1):
+        return i, name, lat0, lat1, lon0, lon1, [(lat0, lon0), (lat0, lon1), (lat1, lon1), (lat1, lon0)]
+
+    rows = [box(1, "a", 35.60, 35.70, 51.30, 51.31), box(2, "a", 35.65, 35.66, 51.20, 51.40), box(3, "a", 35.6605, 35.67, 51.39, 51.40), box(4, "b", 35.65, 35.66, 51.20, 51.40), box(5, "a", 35.80, 35.81, 51.2, 51.21), box(6, "a", 35.802, 35.803, 51.202, 51.203)]
+    df = spark.createDataFrame(rows, "id int, name string, min_lat double, max_lat double, min_lon double, max_lon double, ring array<struct<lat: double, lon: double>>")
+    assert {r["id"]: r["place"] for r in spatial.same_name_places(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    assert spatial.same_name_places(df.limit(0)).count() == 0
+
+
+def test_hash_embedding_of_awkward_texts(spark):
+    from homerank.operators import names
+
+    rows = [(1, None), (2, ""), (3, "a ! b"), (4, "Two two TWO words"), (None, "two")]
+    got = {r["k"]: r["vector"] for r in names.hash_embedding(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got[1] == got[2] == got[3] == {} and len(got) == 5
+    for vector in (got[4], got[None]):
+        assert abs(sum(w * w for w in vector.values()) - 1) < 1e-9
+    assert sorted(got[4].values()) == [1 / np.sqrt(10), 3 / np.sqrt(10)] or np.allclose(sorted(got[4].values()), [1 / np.sqrt(10), 3 / np.sqrt(10)])
