@@ -226,6 +226,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         sizes[r["shard"]] = r["n"]
         model.tokens += r["tokens"]
     model.sizes, model.words = sizes, sum(sizes)
+    if model.words >> 32:
+        raise ValueError("more different words than 32 bits can number")
     model.spread = max(1000, model.tokens // (16 * shards))
     first = Model(**vars(model))
 
