@@ -16,11 +16,12 @@ from .language_id import op10_language_id
 from .near_dedup import op7_near_dedup
 from .packing import op2_packing
 from .quality import op9_quality
+from .sentence_pieces import op13_sentence_pieces
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_dedup, op2_packing, op3_fingerprints, op4_byte_bpe, op5_kneser_ney, op6_toxicity, op7_near_dedup, op8_html, op9_quality, op10_language_id)
+    every = (op1_exact_dedup, op2_packing, op3_fingerprints, op4_byte_bpe, op5_kneser_ney, op6_toxicity, op7_near_dedup, op8_html, op9_quality, op10_language_id, op13_sentence_pieces)
     return {f.__name__: f for f in every}
 
 
