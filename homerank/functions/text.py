@@ -24,6 +24,7 @@ SHARED_LIVING = "هم\\s?خانه|هم\\s?خونه|هم\\s?اتاقی|هم\\s?م
 PARKING_WORD = "پار[کگ]ین[گک]"
 PARKING = f"(?:^|[\\s/،,\\-])(?:اجاره|رهن|کرایه|واگذاری)\\s*(?:\\S+\\s+){{0,3}}?{PARKING_WORD}|^\\s*{PARKING_WORD}|{PARKING_WORD}\\s*(?:اجاره|کرایه)|^\\s*(?:[^\\s\\d]+\\s+)?{PARKING_WORD}\\s*$"
 DWELLING = "خواب|آپارتمان|اپارتمان|سوییت|سوئیت|مغازه|دفتر|طبقه|منزل|ویلا|خانه|اتاق|متری"
+# Two more alternatives of the pattern above, which the SQL of the queries writes in another way, as it has no look-ahead.
 DWELLING_EDGES = "واحد(?![یي])|متر\\b"
 
 
@@ -105,12 +106,18 @@ def mentions(text: Column, positives: tuple[str, ...], negatives: tuple[str, ...
     return F.when(has(negatives), False).when(has(positives), True)
 
 
+def one_line(*parts: Column) -> Column:
+    """Texts as the rules on adverts read them: normalised, on one line, with zero-width non-joiners as spaces."""
+    return F.regexp_replace(normalize(F.concat_ws(" ", *parts)), _u("[\u200c\\s]+"), " ")
+
+
 def is_shared_living(title: Column, description: Column) -> Column:
-    return prepared(F.concat_ws(" ", title, description)).rlike(_u(SHARED_LIVING))
+    return one_line(title, description).rlike(_u(SHARED_LIVING))
 
 
 def is_parking_rental(title: Column) -> Column:
-    line = prepared(title)
+    """Whether a parking space is what the title lets. A null title lets none."""
+    line = one_line(title)
     return line.rlike(_u(PARKING)) & ~line.rlike(_u(f"{DWELLING}|{DWELLING_EDGES}"))
 
 

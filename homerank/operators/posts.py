@@ -1,70 +1,223 @@
-"""Raw posts, trees of widgets as JSON, brought to one typed row a post."""
+"""Raw posts as a crawl returns them, trees of mixed widgets as JSON text, brought to one typed row a post."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import money, text
-
-_DATA = "struct<label:string,value:string>"
-#: What is read of a post; the rest of its JSON is passed over.
-POST = (
-    f"struct<sections:array<struct<section:string,widgets:array<struct<widget_type:string,data:{_DATA},modal:array<struct<widget_type:string,data:{_DATA}>>>>>>,"
-    "map:struct<exact:struct<lat:double,lon:double>,fuzzy:struct<lat:double,lon:double,radius:double>>,features:array<string>>"
-)
-# Phrases that lead a feature sentence, with their group; what denies; answers that count as yes, and about pets.
-FEATURE_GROUPS = {"جنس کف": "floor_material", "سرمایش": "cooling", "گرمایش": "heating", "تأمین‌کننده آب گرم": "water_heater", "تامین کننده آب گرم": "water_heater", "سرویس بهداشتی": "wc_type"}
-DENIAL = "ندارد"
+from .. import constants as C
+from ..functions import text
+
+# Section and widget names, and the words that the rules look for.
+DESCRIPTION, TITLE, MODAL = "DESCRIPTION", "TITLE", "MODAL"
+TITLE_ROWS, IMAGE_ROWS = ("LEGEND_TITLE_ROW", "TITLE_ROW"), ("IMAGE_CAROUSEL", "IMAGE_SLIDER_ROW")
+AMENITY_BY_ICON = {"ELEVATOR": "elevator", "PARKING": "parking", "CABINET": "storage", "STORAGE": "storage", "BALCONY": "balcony"}
+AMENITY_BY_WORD = {"آسانسور": "elevator", "پارکینگ": "parking", "انباری": "storage", "بالکن": "balcony"}
+AMENITIES = ("elevator", "parking", "storage", "balcony")
+PUBLISHED, SUITABLE, CONVERTIBLE, DENIAL, BEFORE = "انتشار", "مناسب برای", "قابل تبدیل", "ندارد", "قبل از"
+AREA, ROOMS, BUILT, FLOOR, FLOORS = "متراژ", "اتاق", "ساخت", "طبقه", "تعداد کل طبقات ساختمان"
+DEFAULT_CITY, DEFAULT_CATEGORY = "تهران", "apartment-rent"
+#: Phrases that lead a feature sentence, with their group; answers that count as yes, and about pets.
+FEATURE_GROUPS = {"جنس کف": "floor_material", "سرمایش": "cooling", "گرمایش": "heating", "تأمین‌کننده آب گرم": "water_heater", "تامین کننده آب گرم": "water_heater", "سرویس بهداشتی": "wc_type"}
 YES = ("بله", "هست", "دارد", "دارای")
 PETS = {"بله": "allowed", "خیر": "not_allowed", "با توافق": "negotiable"}
 
+_STRINGS = "array<string>"
+
+
+def plain(value: Column) -> Column:
+    """Texts as the crawl keeps them: digits and letters folded, without white space at the ends; null is empty."""
+    return F.regexp_replace(text.crawl_normalize(F.coalesce(value, F.lit(""))), r"(?U)^\s+|\s+$", "")
+
+
+def _at(node: Column, path: str, kind: str = "string") -> Column:
+    """What stands at a path of a variant; null where the tree has no such place or another kind of value there."""
+    return F.try_variant_get(node, path, kind)
+
+
+def _list(node: Column, path: str) -> Column:
+    return F.coalesce(_at(node, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _number(node: Column, path: str) -> Column:
+    """A number as it is (its whole part), a text's digits joined; null without any."""
+    value = _at(node, path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", text.first_integer(plain(_at(node, path)))).otherwise(_at(node, path, "bigint"))
+
 
 def parsed(posts: DataFrame) -> DataFrame:
-    """token, post of posts (token, raw); JSON that cannot be read gives a null post."""
-    return posts.select("token", F.from_json("raw", POST, {"mode": "PERMISSIVE"}).alias("post"))
+    """token, post (variant), widgets of posts (token, raw); what cannot be read as JSON gives a null post and no widgets."""
+    return posts.select("token", F.try_parse_json("raw").alias("post")).withColumn("widgets", widget_list(F.col("post")))
 
 
-def widgets(posts: DataFrame) -> DataFrame:
-    """token, section, widget_type, label, value and the place (section_pos, widget_pos, branch, sub_pos) of every widget; those in a
-    widget's modal list follow it, with the section MODAL. A map over posts: nothing is shuffled."""
-    top = posts.select("token", F.posexplode("post.sections").alias("section_pos", "s")).select("token", "section_pos", F.col("s.section").alias("section"), F.posexplode("s.widgets").alias("widget_pos", "w"))
-    own = F.struct(F.lit(0).alias("branch"), F.lit(0).alias("sub_pos"), F.col("section").alias("section"), F.col("w.widget_type").alias("widget_type"), F.col("w.data").alias("data"))
-    inner = F.transform(F.coalesce("w.modal", F.array().cast(f"array<struct<widget_type:string,data:{_DATA}>>")), lambda m, i: F.struct(F.lit(1).alias("branch"), i.alias("sub_pos"), F.lit("MODAL").alias("section"), m.widget_type.alias("widget_type"), m.data.alias("data")))
-    each = top.select("token", "section_pos", "widget_pos", F.explode(F.concat(F.array(own), inner)).alias("x"))
-    return each.select("token", "x.section", "x.widget_type", "x.data.label", "x.data.value", "section_pos", "widget_pos", "x.branch", "x.sub_pos")
+def widget_list(post: Column) -> Column:
+    """Every widget of a post in order, as an array: each widget of each section, after it those of an expandable one, which are in
+    its section, then those of the modal page that its action loads, which are in the section MODAL.
 
+    section_pos, widget_pos, branch (0 the widget, 1 expandable, 2 modal) and sub_pos say where it stands; data is a variant."""
 
-def place() -> Column:
-    return F.struct("section_pos", "widget_pos", "branch", "sub_pos")
+    def row(i: Column, j: Column, branch: int, k: Column, section: Column, widget: Column) -> Column:
+        place = [i.alias("section_pos"), j.alias("widget_pos"), F.lit(branch).alias("branch"), k.alias("sub_pos")]
+        kind = F.coalesce(_at(widget, "$.widget_type"), F.lit("")).alias("widget_type")
+        return F.struct(*place, section.alias("section"), kind, _at(widget, "$.data", "variant").alias("data"))
 
+    def of_section(s: Column, i: Column) -> Column:
+        name = F.coalesce(_at(s, "$.section_name"), F.lit(""))
 
-def amenities(flat: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """token and a column for each name: whether the post has it, null if it is silent. A denial says no; a headline beats a modal list, the last row the others."""
-    rows = flat.filter("widget_type = 'FEATURE'").select("token", "label", (~F.col("value").contains(DENIAL)).alias("has"), F.struct((F.col("branch") == 0).alias("headline"), place().alias("at")).alias("order"))
-    return rows.groupBy("token").agg(*[F.max_by(F.when(F.col("label") == n, F.col("has")), F.when(F.col("label") == n, F.col("order"))).alias(f"has_{n}") for n in names])
+        def of_widget(w: Column, j: Column) -> Column:
+            nothing = F.array().cast("array<variant>")
+            inner = F.when(_at(w, "$.widget_type") == "EXPANDABLE_SECTION", _list(w, "$.data.widget_list")).otherwise(nothing)
+            loads = _at(w, "$.data.action.type") == "LOAD_MODAL_PAGE"
+            modal = F.when(loads, _list(w, "$.data.action.payload.modal_page.widget_list")).otherwise(nothing)
+            return F.concat(
+                F.array(row(i, j, 0, F.lit(0), name, w)),
+                F.transform(inner, lambda x, k: row(i, j, 1, k, name, x)),
+                F.transform(modal, lambda x, k: row(i, j, 2, k, F.lit(MODAL), x)),
+            )
 
+        return F.flatten(F.transform(_list(s, "$.widgets"), of_widget))
+
+    return F.flatten(F.transform(_list(post, "$.sections"), of_section))
+
+
+def widgets(rows: DataFrame) -> DataFrame:
+    """token, section, widget_type, section_pos, widget_pos, branch, sub_pos and data of every widget of parsed posts. A map over posts."""
+    return rows.select("token", F.explode("widgets").alias("w")).select("token", "w.*")
+
+
+def _of(*kinds: str, also: Callable[[Column], Column] | None = None) -> Column:
+    return F.filter("widgets", lambda w: w["widget_type"].isin(*kinds) & (also(w) if also else F.lit(True)))
+
+
+def _each(rows: Column, f: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(rows, f))
+
+
+def _last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
+
+
+def _full(values: Column) -> Column:
+    return F.filter(values, lambda x: x.isNotNull() & (x != ""))
+
+
+def _map(pairs: Column) -> Column:
+    """A map of pairs (key, value), of which the last one of a key counts."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: _last(F.filter(pairs, lambda p: p["key"] == k))["value"]))
+
+
+def _pairs(rows: Column) -> Column:
+    return F.transform(rows, lambda x: F.struct(plain(_at(x, "$.title")).alias("key"), plain(_at(x, "$.value")).alias("value")))
 
-def extract(flat: DataFrame) -> DataFrame:
-    """One row a post: title, description, area, floor, total_floors, deposit, rent, full_deposit and attributes (a map; the last value of a label)."""
-    last = lambda cond, value: F.max_by(F.when(cond, value), F.when(cond, place()))
-    is_ = lambda kind, label=None: (F.col("widget_type") == kind) & (F.lit(True) if label is None else F.col("label") == label)
-    per = flat.groupBy("token").agg(
-        last(is_("TITLE"), F.col("value")).alias("title"), last(is_("TEXT"), F.col("value")).alias("description"), last(is_("ROW", "متراژ"), F.col("value")).alias("__area"), last(is_("ROW", "طبقه"), F.col("value")).alias("__floor"),
-        last(is_("SLIDER", "deposit"), F.col("value")).alias("__deposit"), last(is_("SLIDER", "rent"), F.col("value")).alias("__rent"),
-        F.array_sort(F.collect_list(F.when(is_("ROW"), F.struct(place().alias("at"), "label", "value")))).alias("__rows"),
-    )
-    floor = text.prepared(F.col("__floor"))
-    attributes = F.aggregate("__rows", F.create_map().cast("map<string,string>"), lambda m, r: F.map_concat(F.map_filter(m, lambda k, v: k != r.label), F.create_map(r.label, r.value)))
-    out = per.select("token", "title", "description", text.first_integer(F.col("__area")).alias("area_sqm"), text.mine_floor(floor).alias("floor"), text.mine_floor_total(floor).alias("total_floors"), text.first_integer(F.col("__deposit")).alias("deposit"), text.first_integer(F.col("__rent")).alias("rent"), attributes.alias("attributes"))
-    return out.withColumn("is_full_deposit", money.is_full_deposit(F.col("rent")))
 
+def chips() -> Column:
+    """(label, chip) of a post's modal chips in order: one fold over its widgets carries the last label. A chip before all labels has ''."""
 
-def location(posts: DataFrame) -> DataFrame:
-    """token, precision (exact, fuzzy, none), lat, lon, radius."""
-    exact, fuzzy = F.col("post.map.exact"), F.col("post.map.fuzzy")
-    kind = F.when(exact.isNotNull(), "exact").when(fuzzy.isNotNull(), "fuzzy").otherwise("none")
-    return posts.select("token", kind.alias("precision"), F.coalesce(exact.lat, fuzzy.lat).alias("lat"), F.coalesce(exact.lon, fuzzy.lon).alias("lon"), F.when(exact.isNull(), fuzzy.radius).alias("radius"))
+    def step(state: Column, w: Column) -> Column:
+        said = plain(_at(w["data"], "$.text"))
+        labels = (w["widget_type"] == "DESCRIPTION_ROW") & (w["section"] == MODAL) & ~F.coalesce(_at(w["data"], "$.text"), F.lit("")).contains(PUBLISHED)
+        shown = _full(F.transform(_list(w["data"], "$.chip_list.chips"), lambda c: plain(_at(c, "$.text"))))
+        new = F.transform(shown, lambda c: F.struct(state["label"].alias("label"), c.alias("chip")))
+        own = (w["widget_type"] == "WRAPPER_ROW") & (w["section"] == MODAL)
+        return F.struct(F.when(labels, said).otherwise(state["label"]).alias("label"), F.when(own, F.concat(state["chips"], new)).otherwise(state["chips"]).alias("chips"))
+
+    start = F.struct(F.lit("").alias("label"), F.array().cast("array<struct<label:string,chip:string>>").alias("chips"))
+    return F.aggregate("widgets", start, step, lambda state: state["chips"])
+
+
+def _amenity(title: Column, icon: Column) -> Column:
+    """By the icon's name, else by the first known word in the title."""
+    words = [F.when(title.contains(w), key) for w, key in AMENITY_BY_WORD.items()]
+    icons = F.create_map(*[F.lit(x) for pair in AMENITY_BY_ICON.items() for x in pair])
+    return F.coalesce(F.try_element_at(icons, F.coalesce(icon, F.lit(""))), *words)
+
+
+def features() -> Column:
+    """(headline, title, key, has) of a post's features in order: headline rows with what they say, and those of lists that are no
+    remark on conversion, not empty and not disabled."""
+
+    def of(item: Column, headline: bool) -> Column:
+        title = plain(_at(item, "$.title"))
+        has = ~title.contains(DENIAL)
+        if headline:
+            has = has & F.coalesce(_at(item, "$.available", "boolean"), F.lit(True))
+        key = _amenity(title, _at(item, "$.icon.icon_name"))
+        off = F.lit(False) if headline else title.contains(CONVERTIBLE) | (title == "") | F.coalesce(_at(item, "$.disabled", "boolean"), F.lit(False))
+        return F.struct(F.lit(headline).alias("headline"), title.alias("title"), key.alias("key"), has.alias("has"), off.alias("off"))
+
+    def of_widget(w: Column) -> Column:
+        heads = F.transform(_list(w["data"], "$.items"), lambda x: of(x, True))
+        return F.when(w["widget_type"] == "GROUP_FEATURE_ROW", heads).otherwise(F.array(of(w["data"], False)))
+
+    return F.filter(_each(_of("GROUP_FEATURE_ROW", "FEATURE_ROW"), of_widget), lambda x: ~x["off"])
+
+
+def _has(name: str) -> Column:
+    """The last headline on an amenity, else the first row of a list; null where the post is silent."""
+    heads = F.filter("features", lambda x: x["headline"] & (x["key"] == name))
+    rows = F.filter("features", lambda x: ~x["headline"] & (x["key"] == name))
+    return F.coalesce(_last(heads)["has"], F.try_element_at(rows, F.lit(1))["has"])
+
+
+def _location() -> Column:
+    """precision, lat, lon, radius_meters by which object the last map row has: exact_data, else fuzzy_data, else neither."""
+    data = _last(_of("MAP_ROW"))["data"]
+    exact, fuzzy = _at(data, "$.location.exact_data", "variant"), _at(data, "$.location.fuzzy_data", "variant")
+    kind = F.when(exact.isNotNull(), "EXACT").when(fuzzy.isNotNull(), "FUZZY")
+    point = lambda x: F.when(exact.isNotNull(), _at(exact, f"$.point.{x}", "double")).otherwise(_at(fuzzy, f"$.point.{x}", "double"))
+    radius = F.when(exact.isNull(), _at(fuzzy, "$.radius", "double"))
+    return F.struct(kind.alias("precision"), point("latitude").alias("lat"), point("longitude").alias("lon"), radius.alias("radius_meters"))
+
+
+def extract(rows: DataFrame) -> DataFrame:
+    """One typed row for each parsed post that could be read; a map over posts, nothing is shuffled.
+
+    Money and its ceiling come from the slider, else from the analytics block; area, rooms and year from the specification, floors
+    from the attributes; amenities as `_has` says. Lists of features and of whom it suits are sorted, without repeats.
+    """
+    title = _last(_full(F.transform(_of(*TITLE_ROWS, also=lambda w: w["section"] == TITLE), lambda w: _at(w["data"], "$.title"))))
+    texts = _of("DESCRIPTION_ROW", also=lambda w: w["section"] == DESCRIPTION)
+    published = F.transform(_of("DESCRIPTION_ROW", also=lambda w: w["section"] != DESCRIPTION), lambda w: _at(w["data"], "$.text"))
+    slider = _last(_of("RENT_SLIDER"))["data"]
+    images = F.transform(_each(_of(*IMAGE_ROWS), lambda w: _list(w["data"], "$.items")), lambda x: F.coalesce(F.nullif(_at(x, "$.image.url"), F.lit("")), _at(x, "$.image_url")))
+    attributes = F.filter(_pairs(F.transform(_of("UNEXPANDABLE_ROW"), lambda w: w["data"])), lambda p: (p["key"] != "") & (p["value"] != ""))
+    converts = F.exists(_of("FEATURE_ROW"), lambda w: plain(_at(w["data"], "$.title")).contains(CONVERTIBLE))
+    read = rows.filter("post IS NOT NULL").select("token", "post", "widgets", features().alias("features"), chips().alias("chips"))
+    read = read.select(
+        "token", "post", "features", title.alias("__title"),
+        F.coalesce(_at(_last(texts)["data"], "$.text"), F.lit("")).alias("description"),
+        plain(_last(F.filter(published, lambda t: t.contains(PUBLISHED)))).alias("published_text"),
+        F.coalesce(_last(_full(F.transform(_of("EXPANDABLE_SECTION"), lambda w: plain(_at(w["data"], "$.title"))))), F.lit("")).alias("location_text"),
+        _map(_pairs(_each(_of("GROUP_INFO_ROW"), lambda w: _list(w["data"], "$.items")))).alias("specs"), _map(attributes).alias("attributes"),
+        _number(slider, "$.credit.value").alias("__deposit"), _number(slider, "$.rent.value").alias("__rent"),
+        _number(slider, "$.credit.transformed_value").alias("convertible_deposit_max"), (slider.isNotNull() | converts).alias("can_convert"),
+        _full(images).alias("images"), _location().alias("__map"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("chips", lambda c: c["label"].contains(SUITABLE)), lambda c: c["chip"]))).alias("suitable_for"),
+    )
+    post, number = F.col("post"), lambda c: text.first_integer(c)
+    deposit, rent = F.coalesce("__deposit", _number(post, "$.webengage.credit")), F.coalesce("__rent", _number(post, "$.webengage.rent"))
+    spec = lambda key: F.try_element_at("specs", F.lit(key))
+    floors = F.regexp_extract_all(F.try_element_at("attributes", F.lit(FLOOR)), F.lit("([0-9]+)"))
+    total = F.coalesce(F.try_element_at(floors, F.lit(2)).try_cast("bigint"), number(F.try_element_at("attributes", F.lit(FLOORS))))
+    others = F.filter("features", lambda x: x["key"].isNull() & (~x["headline"] | x["has"]) & (x["title"] != ""))
+    rate = F.lit(C.TABDIL_RATE)
+    return read.select(
+        "token", F.coalesce(F.nullif(plain(F.col("__title")), F.lit("")), plain(_at(post, "$.seo.web_info.title"))).alias("title"), "description",
+        deposit.alias("deposit"), rent.alias("rent"), (rent + deposit * rate).cast("bigint").alias("effective_monthly_cost"), "can_convert", "convertible_deposit_max",
+        F.coalesce(rent <= C.FULL_DEPOSIT_RENT, F.lit(False)).alias("is_full_deposit"),
+        number(spec(AREA)).alias("area_sqm"), number(spec(ROOMS)).alias("rooms"), number(spec(BUILT)).alias("build_year"),
+        F.coalesce(spec(BUILT), F.lit("")).alias("build_year_text"), F.coalesce(spec(BUILT).contains(BEFORE), F.lit(False)).alias("build_year_is_upper_bound"),
+        F.try_element_at(floors, F.lit(1)).try_cast("bigint").alias("floor"), total.alias("total_floors"), *[_has(a).alias(f"has_{a}") for a in AMENITIES],
+        "__map.lat", "__map.lon", F.col("__map.precision").alias("location_precision"), F.col("__map.radius_meters").alias("location_radius_meters"),
+        plain(_at(post, "$.seo.web_info.district_persian")).alias("neighborhood"), _at(post, "$.webengage.district").alias("neighborhood_slug"),
+        F.coalesce(F.nullif(plain(_at(post, "$.seo.web_info.city_persian")), F.lit("")), F.lit(DEFAULT_CITY)).alias("city"), "location_text",
+        F.coalesce(F.nullif(_at(post, "$.webengage.cat_3"), F.lit("")), F.lit(DEFAULT_CATEGORY)).alias("category"), _at(post, "$.webengage.business_type").alias("business_type"),
+        "published_text", _at(post, "$.seo.unavailable_after").alias("unavailable_after"), _at(post, "$.webengage.image_count", "bigint").alias("image_count"), "images", "attributes",
+        F.array_sort(F.array_distinct(F.transform(others, lambda x: x["title"]))).alias("other_features"), "suitable_for",
+    )
 
 
 def feature_groups(sentences: Column) -> Column:
@@ -73,7 +226,8 @@ def feature_groups(sentences: Column) -> Column:
     def grouped(s: Column) -> Column:
         key, value = F.lit(None).cast("string"), F.lit(None).cast("string")
         for phrase, group in reversed(FEATURE_GROUPS.items()):
-            key, value = F.when(s.startswith(phrase), group).otherwise(key), F.when(s.startswith(phrase), F.trim(F.substring(s, F.lit(len(phrase) + 1), F.length(s)))).otherwise(value)
+            rest = F.trim(F.substring(s, F.lit(len(phrase) + 1), F.length(s)))
+            key, value = F.when(s.startswith(phrase), group).otherwise(key), F.when(s.startswith(phrase), rest).otherwise(value)
         return F.struct(key.alias("key"), value.alias("value"))
 
     pairs = F.filter(F.transform(sentences, grouped), lambda p: p.key.isNotNull() & (p.value != ""))
@@ -81,30 +235,18 @@ def feature_groups(sentences: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p.key == k), lambda p: p.value)))
 
 
+def attribute(key: str, attributes: str = "attributes") -> Column:
+    return F.try_element_at(F.col(attributes), F.lit(key))
+
+
 def attribute_int(attributes: str, key: str) -> Column:
-    return F.nullif(F.regexp_extract(text.prepared(F.try_element_at(F.col(attributes), F.lit(key))), "[0-9]+", 0), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(text.prepared(attribute(key, attributes)), "[0-9]+", 0), F.lit("")).try_cast("int")
 
 
 def attribute_yes(attributes: str, key: str) -> Column:
-    return F.coalesce(F.try_element_at(F.col(attributes), F.lit(key)).isin(*YES), F.lit(False))
+    return F.coalesce(attribute(key, attributes).isin(*YES), F.lit(False))
 
 
 def pets(attributes: str, key: str = "حیوان خانگی مجاز") -> Column:
     known = F.create_map(*[F.lit(x) for kv in PETS.items() for x in kv])
-    return F.try_element_at(known, F.trim(F.try_element_at(F.col(attributes), F.lit(key))))
-
-
-def record(rows: DataFrame) -> DataFrame:
-    """token with the nested record: facts, location, source, features, provenance and quality_flags."""
-    facts = F.struct("title", "description", "area_sqm", "rooms", "floor", "total_floors", "deposit", "rent", "is_full_deposit", "build_year", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_elevator", "has_parking", "has_storage")])
-    return rows.select("token", facts.alias("facts"), F.struct("lat", "lon", "precision").alias("location"), F.struct("token").alias("source"), "features", "provenance", "quality_flags")
-
-
-#: What a listing has where the record is silent.
-DEFAULT_TITLE, DEFAULT_AGE, NOW_YEAR = "آگهی اجاره", 5, 1405
-
-
-def to_listing(records: DataFrame) -> DataFrame:
-    """Flat rows of nested records, with a title and an age for those without."""
-    flat = records.select("token", "facts.*", "location.lat", "location.lon")
-    return flat.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit(DEFAULT_TITLE))).withColumn("building_age", F.coalesce(F.greatest(F.lit(NOW_YEAR) - F.col("build_year"), F.lit(0)), F.lit(DEFAULT_AGE)))
+    return F.try_element_at(known, F.trim(attribute(key, attributes)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, names, spatial
+from ..operators import names, spatial
 from ..sources import tables as T
 from .catalog import GEO_CTE, _placed, query
 
@@ -45,35 +45,3 @@ def _(spark, d):
     out = names.link_area(shown, names.name_vote(rows), spatial.nearest_anchor(rows, areas), areas)
     return out.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
 
-
-_ENRICH = "id, deposit, ingest_seq % 37 = 0 AS rejected, CASE WHEN ingest_seq % 11 <> 0 THEN area_sqm END AS own_area, CASE WHEN ingest_seq % 4 = 0 THEN 70 END AS mined_area, CASE WHEN ingest_seq % 23 = 0 THEN 1000 ELSE rent END AS rent, CASE WHEN ingest_seq % 23 = 0 THEN 1000 ELSE deposit END AS paid, ingest_seq % 19 <> 0 AS located"
-_TAKEN = f"{T.with_tables('listings')}, e AS (SELECT {_ENRICH} FROM listings), t AS (SELECT *, coalesce(own_area, mined_area) AS area, CASE WHEN own_area IS NOT NULL THEN 'structured' WHEN mined_area IS NOT NULL THEN 'text' END AS area_origin FROM e), r AS (SELECT *, CASE WHEN rejected THEN 'manually_rejected' WHEN area IS NULL THEN 'no_area' WHEN trunc(rent + paid * 0.03E0) < 1000000 OR trunc(rent + paid * 0.03E0) / area < 100000 THEN 'placeholder_price' WHEN NOT located THEN 'no_location' END AS reason FROM t)"
-
-
-def _enriched(spark, d):
-    area, origin = enrich.take(F.col("own_area"), F.col("mined_area"))
-    rows = T.listings(spark, d).selectExpr(*_ENRICH.split(", ")).withColumn("area", area).withColumn("area_origin", origin)
-    return rows.withColumn("reason", enrich.reject_reason(F.col("id"), F.col("rejected"), F.col("area"), F.col("paid"), F.col("rent"), F.col("located")))
-
-
-@query("take_with_provenance", f"{_TAKEN} SELECT id, area, area_origin FROM t")
-def _(spark, d):
-    return _enriched(spark, d).select("id", "area", "area_origin")
-
-
-@query("reject_with_reason", f"{_TAKEN} SELECT id, reason FROM r")
-def _(spark, d):
-    return _enriched(spark, d).select("id", "reason")
-
-
-@query("enrich_summary", f"{_TAKEN} SELECT m AS measure, count(*) AS n FROM (SELECT unnest(['raw', CASE WHEN reason IS NULL THEN 'kept' ELSE 'dropped:' || reason END, CASE WHEN reason IS NULL AND area_origin IS NOT NULL THEN 'area:' || area_origin END]) AS m FROM r) WHERE m IS NOT NULL GROUP BY 1")
-def _(spark, d):
-    return enrich.summary(_enriched(spark, d), ("area",))
-
-
-_CHIPS = "user_id AS token, event_id AS pos, CASE WHEN event_id % 5 = 0 THEN event_type END AS label, CASE WHEN event_id % 5 <> 0 THEN event_type || CAST(event_id % 3 AS STRING) END AS chip"
-
-
-@query("chip_labelling", f"WITH c AS (SELECT {_CHIPS.replace('STRING', 'VARCHAR')} FROM events), u AS (SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY token ORDER BY pos ROWS UNBOUNDED PRECEDING) AS under FROM c) SELECT token, pos, under, chip FROM u WHERE chip IS NOT NULL")
-def _(spark, d):
-    return enrich.under_labels(T.table(spark, d, "events").selectExpr(*_CHIPS.split(", ")))

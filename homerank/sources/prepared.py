@@ -25,6 +25,16 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[0]
 
 
+def kept_text(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> str:
+    """The folder of the lines that make() gives in its one column, written as text files at their first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = f"{shared_root(spark)}/homerank/{name}-{uuid.uuid4().hex}"
+        make().write.text(path)
+        _kept[key] = path, StructType()
+    return _kept[key][0]
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table `name` over the data in sf_dir: written at its first use in an application, read from then on. Input that changes under
     one path within an application is not seen."""

@@ -9,6 +9,8 @@ TITLES = (
     "آپارتمان دو خواب نوساز", "اجاره اتاق به خانم", "۳ خواب نورگیر فول", "پارکینگ مسقف", "سوئیت مبله", "اجاره پارکینگ غیرمزاحم",
     "واحد 85 متری یک خواب", "هم خانه خانم", "يك خواب اباد", "طبقه ۳ از ۵ بازسازی", "بدون خواب", "خوابگاه دخترانه", "منزل ویلایی ٤ خواب",
     "در 6 طبقه ساختمان 120 متر", "بدون بالکن دو اتاق", "تراس بزرگ سه خواب ۹۰ متر", "قابل تبدیل دو خواب", "غیرقابل تبدیل 70 متر",
+    # With zero-width non-joiners, as adverts are mostly spelt.
+    "هم\u200cخانه خانم نیازمندیم", "جذب هم\u200cاتاقی دانشجو", "اجاره\u200cی یک اتاق", "پارکینگ اجاره\u200cای", "هم سالن هم اتاق\u200cها نورگیر",
 )
 
 LISTING = [
