@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +93,12 @@ class Paths:
         return digest
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """Rows one by one: a row holds a whole block of leaves, so a batch of them is never unpacked at once."""
+    for i in range(batch.num_rows):
+        yield [column[i].as_py() for column in batch.columns]
+
+
 def _blocks(leaves: DataFrame, counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(tree, block, n, indices, digests, extra...): BLOCK neighbouring leaves (tree, index, digest, extra...) of a tree in a row."""
     rows = F.array_sort(F.collect_list(F.struct("index", "digest", *extra)))
@@ -111,7 +116,7 @@ def _grow(blocks: DataFrame, base: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for tree, block, n, digests in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for tree, block, n, digests in _rows(batch):
                 row, first, top = [d.hex() for d in digests], block * BLOCK, height(n)
                 for level in range(base + 1, min(base + LEVELS, top) + 1):
                     row, first = [parent(row[i : i + ARITY]) for i in range(0, len(row), ARITY)], first // ARITY
@@ -196,7 +201,7 @@ class Manifest:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
-                for tree, block, n, place, indices in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for tree, block, n, place, indices in _rows(batch):
                     out += [(tree, block, of, *at) for of, coordinates in ((tree, missing(indices, n)), (TOP, missing([place], groups))) for at in coordinates]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], ["tree", "block", "of", "level", "index"])
 
@@ -206,26 +211,21 @@ class Manifest:
         fields = ["leaf string", "subroot string", "root string", "proof_sha256 string", "folded_root string", "verified boolean", *["siblings string"] * with_siblings]
 
         def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, types = ["doc_id", *(f.split()[0] for f in fields)], [pa.int64(), *[pa.bool_() if f.endswith("boolean") else pa.string() for f in fields]]
             for batch in batches:
-                ids: list = []
-                out: list[list] = [[] for _ in fields]
-                for n, place, indices, digests, doc_ids, claimed, nodes in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for n, place, indices, digests, doc_ids, claimed, nodes in _rows(batch):
                     got: tuple[dict, dict] = ({}, {})
                     for top, level, index, digest in (x.values() for x in nodes or ()):
                         got[top][level, index] = digest.hex()
                     own = Paths({i: d.hex() for i, d in zip(indices, digests)}, got[0], n)
                     above = Paths({place: own.root}, got[1], groups)
                     shared = above.proof(place)
+                    out: list[tuple] = []
                     for index, doc_id, digest, claim in zip(indices, doc_ids, digests, claimed):
                         siblings = own.proof(index) + shared
                         folded = above.fold(place, own.fold(index, claim.hex()))
-                        ids.append(doc_id)
-                        row = (digest.hex(), own.root, root, hashlib.sha256(siblings.encode("ascii")).hexdigest(), folded, folded == root, siblings)
-                        for column, value in zip(out, row):
-                            column.append(value)
-                names = ["doc_id", *(f.split()[0] for f in fields)]
-                for a, b in pairwise([*range(0, len(ids), 10_000), len(ids)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), *(pa.array(c[a:b]) for c in out)], names)
+                        out.append((doc_id, digest.hex(), own.root, root, hashlib.sha256(siblings.encode("ascii")).hexdigest(), folded, folded == root, siblings)[: len(names)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
         whole = parts.join(fetched, ["tree", "block"], "left").select("n", "place", "indices", "digests", "doc_id", "claimed", "fetched")
         return whole.mapInArrow(prove, "doc_id bigint, " + ", ".join(fields))
