@@ -6,12 +6,14 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..functions.repair import clamp
 from ..functions.text import match_form, squash_form
 from .iterate import cut
-from .spatial import areas_near
+from .spatial import areas_near, nearest_anchor
 
 #: Tokens shorter than this identify nothing.
 LEAST_TOKEN = 3
@@ -23,29 +25,61 @@ def unique_tokens(names: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
     return words.groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("most")).filter("id = most").select("token", "id")
 
 
-def name_vote(adverts: DataFrame) -> DataFrame:
-    """name, area_key, votes of adverts (name, area_key): the area that most of a name's points fall in, the smaller key of equal ones."""
-    votes = adverts.filter("name IS NOT NULL AND area_key IS NOT NULL").groupBy("name", "area_key").agg(F.count(F.lit(1)).alias("votes"))
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("votes"), "area_key"))
-    return votes.withColumn("__r", best).filter(F.col("__r") == 1).drop("__r")
+def name_vote(adverts: DataFrame, resolved: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
+    """name, area_key, votes, how of adverts (name, area_key; with areas: lat, lon too): which area a name means.
 
-
-def alias_union(votes: DataFrame, titles: DataFrame, stored: DataFrame) -> DataFrame:
-    """area_key, aliases: voted names that are not the area's own title, with the stored aliases (area_key, name), sorted."""
-    new = votes.select("area_key", "name").join(titles.select("area_key", F.col("title").alias("name")), ["area_key", "name"], "left_anti")
-    return new.union(stored.select("area_key", "name")).groupBy("area_key").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
-
-
-def link_area(rows: DataFrame, votes: DataFrame, anchors: DataFrame, centers: DataFrame) -> DataFrame:
-    """id, area_key, lat, lon, link_method of rows (id, name, lat, lon, contained).
-
-    The polygon around the point, else the name's vote, else the nearest anchor (id, area_key); without a point the name's
-    area gives its centre, and without both the row stays unlinked.
+    The area that most of a name's points fall in (the smaller key of equal ones; how: points); else, with `resolved` (name, area_key, rank),
+    what the name itself means (name); else, with `areas`, that whose centre is nearest to the mean of its points (mean_point). Names are
+    taken without white space at their ends, empty ones mean nothing. All sums are taken before they are sent.
+    """
+    rows = adverts.withColumn("name", F.trim("name")).filter("name <> ''")
+    votes = rows.filter("area_key IS NOT NULL").groupBy("name", "area_key").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("name").agg(F.min_by(F.struct("area_key", "votes"), F.struct((-F.col("votes")).alias("v"), "area_key")).alias("b"))
+    out = best.select("name", "b.area_key", "b.votes", F.lit("points").alias("how"))
+    if resolved is not None:
+        named = resolved.groupBy("name").agg(F.min_by("area_key", "rank").alias("area_key")).join(best.select("name"), "name", "left_anti")
+        named = named.join(rows.select("name").distinct(), "name", "left_semi")
+        out = cut(out.unionByName(named.select("name", "area_key", F.lit(0).cast("bigint").alias("votes"), F.lit("name").alias("how"))))
+    if areas is not None:
+        points = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("name").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).join(out.select("name"), "name", "left_anti")
+        near = nearest_anchor(points, areas, id_col="name")
+        out = out.unionByName(near.select("name", "area_key", F.lit(0).cast("bigint").alias("votes"), F.lit("mean_point").alias("how")))
+    return out
+
+
+def alias_union(votes: DataFrame, areas: DataFrame, stored: DataFrame) -> DataFrame:
+    """area_key, aliases: voted names whose form is neither that of the area's title nor that of a keyword (areas: area_key, title, keywords),
+    with the stored aliases (area_key, name), sorted."""
+    words = F.concat(F.array("title"), F.coalesce("keywords", F.array().cast("array<string>")))
+    known = areas.select("area_key", F.explode(words).alias("w")).select("area_key", squash_form(F.col("w")).alias("__form")).distinct()
+    new = votes.select("area_key", "name", squash_form(F.col("name")).alias("__form")).join(areas.select("area_key"), "area_key", "left_semi").join(known, ["area_key", "__form"], "left_anti")
+    return new.select("area_key", "name").union(stored.select("area_key", "name")).groupBy("area_key").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
+
+
+def clamped(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """A point within the city's box; null stays null."""
+    return clamp(lat, C.CITY["min_lat"], C.CITY["max_lat"]), clamp(lon, C.CITY["min_lon"], C.CITY["max_lon"])
+
+
+def link_area(rows: DataFrame, votes: DataFrame, anchors: DataFrame, centers: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """id, area_key, lat, lon, link_method of rows (id, name, lat, lon, contained), whose points are clamped to the city's box.
+
+    The polygon around the point (point_in_polygon), else the area that the name means by vote (name_vote), else the nearest anchor
+    (anchors: id, area_key; nearest_polygon); without a point the voted area, or what the name itself means (resolved), gives its centre
+    (neighborhood_centroid); without any the row stays unlinked, with null for all four.
     """
-    named = rows.join(votes.select("name", F.col("area_key").alias("__voted")), "name", "left").join(anchors.select("id", F.col("area_key").alias("__near")), "id", "left")
-    key = F.coalesce("contained", "__voted", F.when(F.col("lat").isNotNull(), F.col("__near")))
-    how = F.when(F.col("contained").isNotNull(), "polygon").when(F.col("__voted").isNotNull(), F.when(F.col("lat").isNull(), "name_anchor").otherwise("name")).when(F.col("lat").isNotNull() & F.col("__near").isNotNull(), "nearest")
-    linked = named.select("id", "lat", "lon", key.alias("area_key"), how.alias("link_method")).join(centers.select("area_key", "center_lat", "center_lon"), "area_key", "left")
+    voted = votes.select("name", F.col("area_key").alias("__voted"))
+    named = rows.withColumn("name", F.trim("name")).join(voted, "name", "left").join(anchors.select("id", F.col("area_key").alias("__near")), "id", "left")
+    if resolved is None:
+        named = named.withColumn("__own", F.lit(None).cast("string"))
+    else:
+        named = named.join(resolved.groupBy("name").agg(F.min_by("area_key", "rank").alias("__own")), "name", "left")
+    seen = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    key = F.when(seen, F.coalesce("contained", "__voted", "__near")).otherwise(F.coalesce("__voted", "__own"))
+    how = F.when(seen, F.when(F.col("contained").isNotNull(), "point_in_polygon").when(F.col("__voted").isNotNull(), "name_vote").when(F.col("__near").isNotNull(), "nearest_polygon"))
+    how = how.when(~seen & key.isNotNull(), "neighborhood_centroid")
+    linked = named.select("id", *[F.when(seen, c).alias(n) for c, n in zip(clamped(F.col("lat"), F.col("lon")), ("lat", "lon"))], key.alias("area_key"), how.alias("link_method"))
+    linked = linked.join(centers.select("area_key", "center_lat", "center_lon"), "area_key", "left")
     return linked.select("id", "area_key", F.coalesce("lat", "center_lat").alias("lat"), F.coalesce("lon", "center_lon").alias("lon"), "link_method")
 
 
@@ -60,11 +94,38 @@ def _tokens(name: str) -> Column:
     return F.filter(F.transform(F.split(match_form(F.col(name)), " "), lambda w: F.replace(w, F.lit(" "), F.lit(""))), lambda w: F.length(w) >= LEAST_TOKEN)
 
 
-def _by_steps(asked: DataFrame, exact: DataFrame, contained: DataFrame, name: str) -> DataFrame:
+#: Characters of the runs by which names find those that contain them.
+GRAM = 3
+
+
+def _grams(form: Column, sizes: tuple[int, ...]) -> Column:
+    """Different runs of so many characters of a text; a shorter text has none of that size."""
+    at = lambda q: F.when(F.length(form) >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.length(form) - q + 1, F.lit(1))), lambda i: F.substring(form, i, q)))
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(at(q), F.array().cast("array<string>")) for q in sizes])))
+
+
+def contained(inner: DataFrame, outer: DataFrame, least: int = GRAM) -> DataFrame:
+    """inner, outer: pairs of different texts (inner: `inner`; outer: `outer`) of which the second contains the first, not empty.
+
+    Each inner text looks for its rarest run of three characters (of all it has, one that the fewest outer texts have; a text of one or two
+    characters for itself), so it meets few others by an equality join; `contains` then decides. least: the length of the shortest inner
+    texts, if known. A run that every text has is looked for only by texts that have no other.
+    """
+    sizes = tuple(range(min(least, GRAM), GRAM + 1))
+    outers = outer.select("outer").distinct().select("outer", F.explode(_grams(F.col("outer"), sizes)).alias("__gram"))
+    counts = outers.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    own = F.when(F.length("inner") >= GRAM, _grams(F.col("inner"), (GRAM,))).otherwise(F.array("inner"))
+    inners = inner.select("inner").filter("inner <> ''").distinct().select("inner", F.explode(own).alias("__gram")).join(counts, "__gram", "left")
+    # A run that no outer text has settles it: nothing is found by it.
+    rarest = inners.groupBy("inner").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("__gram"))
+    return rarest.join(outers, "__gram").filter(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+def _by_steps(asked: DataFrame, exact: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """name, area_key, step of asked names by an index (form, area_key, ord) of exact forms: the whole name, else its first word
     that is one, else the first form by ord that contains it or that it contains. Names without a match are left out.
 
-    The index has a row for each form of an area; distinct names alone meet it, first by equality, and only the rest by containment.
+    The index has a row for each form of an area; distinct names alone meet it, first by equality, and only the rest by containment, through the rarest run of characters.
     """
     forms = asked.select(name).distinct().withColumn("__needle", squash_form(F.col(name))).filter(F.col("__needle") != "")
     whole = exact.select(F.col("form").alias("__needle"), F.col("area_key").alias("__whole"))
@@ -72,7 +133,12 @@ def _by_steps(asked: DataFrame, exact: DataFrame, contained: DataFrame, name: st
     words = words.groupBy(name).agg(F.min_by("area_key", "__pos").alias("__word"))
     found = forms.join(whole, "__needle", "left").join(words, name, "left")
     rest = found.filter("__whole IS NULL AND __word IS NULL").filter(F.length("__needle") >= LEAST_TOKEN).select(name, "__needle")
-    inside = rest.join(contained.filter(F.length("form") >= LEAST_CONTAINED), F.col("__needle").contains(F.col("form")) | F.col("form").contains(F.col("__needle"))).groupBy(name).agg(F.min_by("area_key", "ord").alias("__part"))
+    forms = parts.filter(F.length("form") >= LEAST_CONTAINED).select("form", "area_key", "ord")
+    needles = rest.select("__needle").distinct()
+    around = contained(forms.select(F.col("form").alias("inner")), needles.select(F.col("__needle").alias("outer"))).select(F.col("inner").alias("form"), F.col("outer").alias("__needle"))
+    within = contained(needles.select(F.col("__needle").alias("inner")), forms.select(F.col("form").alias("outer"))).select(F.col("outer").alias("form"), F.col("inner").alias("__needle"))
+    best = around.unionByName(within).join(forms, "form").groupBy("__needle").agg(F.min_by("area_key", "ord").alias("__part"))
+    inside = rest.join(best, "__needle").select(name, "__part")
     out = found.join(inside, name, "left").withColumn("area_key", F.coalesce("__whole", "__word", "__part"))
     step = F.when(F.col("__whole").isNotNull(), "whole").when(F.col("__word").isNotNull(), "word").otherwise("part")
     return out.filter("area_key IS NOT NULL").select(name, "area_key", step.alias("step"))
@@ -93,21 +159,67 @@ def resolve_keyword(asked: DataFrame, areas: DataFrame, name: str = "name") -> D
     return _by_steps(asked, index, index, name)
 
 
-def gazetteer(stations: DataFrame) -> DataFrame:
-    """form, name, lat, lon, kind of stations (name, lat, lon, type): those of one name are one place in their middle, a metro's if any is."""
-    return stations.groupBy(squash_form(F.col("name")).alias("form")).agg(F.min("name").alias("name"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("type").alias("kind"))
+#: Words that say what kind of place it is, and nothing else about it.
+GENERIC = (
+    "میدان", "میدون", "خیابان", "خ", "بلوار", "بزرگراه", "اتوبان", "کوچه", "پل", "سه راه", "سهراه", "چهارراه", "چهار راه", "مترو", "متروی", "ایستگاه", "پایانه", "ترمینال", "شهرک",
+    "منطقه", "محله", "محدوده", "حوالی", "نزدیک", "اطراف", "دانشگاه", "دانشکده", "بیمارستان", "بوستان", "پارک", "برج", "مجتمع", "شرکت", "شهید", "امام", "اسلامی",
+)
+
+
+def gazetteer(stations: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """form, name, lat, lon, kind, ord, aliases: the places that names can mean.
 
+    Stations (name, lat, lon, type) of one name are one place in their middle, a metro's if any is; curated places (name, lat, lon, aliases)
+    come after them, and of places with one form the first counts."""
+    none = F.array().cast("array<string>")
+    own = stations.groupBy(squash_form(F.col("name")).alias("form")).agg(F.min("name").alias("name"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("type").alias("kind"))
+    own = own.withColumns({"ord": F.lit(0), "aliases": none})
+    if curated is None:
+        return own
+    more = curated.select(squash_form(F.col("name")).alias("form"), "name", "lat", "lon", F.lit("poi").alias("kind"), F.lit(1).alias("ord"), F.coalesce("aliases", none).alias("aliases"))
+    # A curated entry of a station's very name gives that station its aliases.
+    same = more.groupBy("name").agg(F.flatten(F.collect_list("aliases")).alias("__more"))
+    whole = own.join(same, "name", "left").withColumn("aliases", F.coalesce("__more", none)).select(more.columns).unionByName(more)
+    return whole.groupBy("form").agg(F.min_by(F.struct("name", "lat", "lon", "kind", "ord", "aliases"), F.struct("ord", "name")).alias("p")).select("form", "p.*")
 
-def resolve_landmark(asked: DataFrame, places: DataFrame, name: str = "name") -> DataFrame:
-    """name, form, step, lat, lon: the place of the whole name, else the one that alone owns a word of it, else the likest spelling."""
-    forms = asked.select(name).distinct().withColumn("__needle", squash_form(F.col(name)))
-    owners = places.select("form", F.explode(F.array_distinct(_tokens("name"))).alias("token")).groupBy("token").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    words = forms.select(name, F.posexplode(_tokens(name)).alias("__pos", "token")).join(owners, "token").groupBy(name).agg(F.min_by("form", "__pos").alias("__word"))
-    found = forms.join(places.select(F.col("form").alias("__needle"), F.col("form").alias("__whole")), "__needle", "left").join(words, name, "left")
-    like = fuzzy(found.filter("__whole IS NULL AND __word IS NULL").select(name, "__needle"), places, name)
-    out = found.join(like, name, "left").withColumn("form", F.coalesce("__whole", "__word", "__like")).filter("form IS NOT NULL")
-    step = F.when(F.col("__whole").isNotNull(), "whole").when(F.col("__word").isNotNull(), "word").otherwise("like")
-    return out.select(name, "form", step.alias("step")).join(places.select("form", "lat", "lon"), "form")
+
+def _bare_words(name: str, generic: tuple[str, ...]) -> Column:
+    """Words of a name in order, but for those that say the kind of place."""
+    return F.filter(F.split(match_form(F.col(name)), " "), lambda w: (w != "") & ~w.isin(*generic))
+
+
+def resolve_landmark(asked: DataFrame, places: DataFrame, name: str = "name", generic: tuple[str, ...] = GENERIC) -> DataFrame:
+    """name, form, step, lat, lon: the place that a name means, by the first step that finds one.
+
+    The whole name, then the name without generic words, is looked up as a place's name, an alias, a place's name without generic words
+    and a word that one place alone has; then each word of it, in order, as a name, an alias and such a word; then the likest spelling.
+    One equality join with an index of all these forms finds the best of them. Names without a match, null and empty ones are left out.
+    """
+    words = lambda c: F.filter(_bare_words(c, generic), lambda w: F.length(w) >= LEAST_TOKEN)
+    stripped = lambda c: F.array_join(_bare_words(c, generic), "")
+    none = F.array().cast("array<string>")
+    aliases = places.select("form", "ord", F.explode(F.coalesce("aliases", none) if "aliases" in places.columns else none).alias("a")) if "ord" in places.columns else None
+    ranked = places if "ord" in places.columns else places.withColumn("ord", F.lit(0))
+    rows = [ranked.select(F.col("form").alias("key"), F.lit(0).alias("kind"), "ord", "form"), ranked.select(stripped("name").alias("key"), F.lit(2).alias("kind"), "ord", "form")]
+    if aliases is not None:
+        rows.append(aliases.select(squash_form(F.col("a")).alias("key"), F.lit(1).alias("kind"), "ord", "form"))
+    index = rows[0]
+    for more in rows[1:]:
+        index = index.unionByName(more)
+    index = index.filter("key <> ''").groupBy("key", "kind").agg(F.min(F.struct("ord", "form")).getField("form").alias("form"))
+    owners = ranked.select("form", F.explode(F.array_distinct(words("name"))).alias("key")).groupBy("key").agg(F.min("form").alias("form"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    index = index.unionByName(owners.select("key", F.lit(3).alias("kind"), "form"))
+    forms = asked.select(name).distinct().withColumns({"__needle": squash_form(F.col(name)), "__bare": stripped(name)}).filter("__needle <> ''")
+    probes = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.col("__needle").alias("key")), F.struct(F.lit(1).alias("at"), F.col("__bare").alias("key"))), F.transform(words(name), lambda w, i: F.struct((i + 2).alias("at"), w.alias("key"))))
+    met = forms.select(name, F.inline(probes)).join(index, "key").filter("at < 2 OR kind <> 2")
+    found = met.groupBy(name).agg(F.min_by(F.struct("form", "kind", "at"), F.struct("at", "kind")).alias("b"))
+    step = F.when(F.col("b.at") > 1, "word").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("whole", "alias", "bare", "word")]), F.col("b.kind") + 1))
+    found = cut(found.select(name, "b.form", step.alias("step")))
+    rest = forms.join(found.select(name), name, "left_anti").select(name, F.coalesce(F.nullif("__bare", F.lit("")), "__needle").alias("__needle"))
+    spelt = ranked.select("form", "ord", F.explode(F.array_distinct(F.array("form", stripped("name")))).alias("key")).filter("key <> ''")
+    like = fuzzy(rest, spelt.select(F.col("key").alias("form")).distinct(), name).withColumnRenamed("__like", "key")
+    like = like.join(spelt.groupBy("key").agg(F.min(F.struct("ord", "form")).getField("form").alias("form")), "key").select(name, "form", F.lit("like").alias("step"))
+    return found.unionByName(like).join(places.select("form", "lat", "lon"), "form").select(name, "form", "step", "lat", "lon")
 
 
 def fuzzy(asked: DataFrame, places: DataFrame, name: str) -> DataFrame:
@@ -226,5 +338,7 @@ def resolve_shards(asked: DataFrame, shards: DataFrame) -> DataFrame:
     keys = shards.select("shard", F.explode(F.array("slug", "second_slug", "name")).alias("selector")).filter("selector IS NOT NULL").groupBy("selector").agg(F.min("shard").alias("__own"))
     found = asked.select(F.trim("selector").alias("selector")).filter("selector <> ''").distinct().join(keys, "selector", "left")
     rest = found.filter("__own IS NULL").select("selector")
-    inside = rest.join(shards.select("shard", "name"), F.col("name").contains(F.col("selector"))).groupBy("selector").agg(F.min(F.struct(F.length("name").alias("n"), "shard")).getField("shard").alias("__part"))
+    pairs = contained(rest.select(F.col("selector").alias("inner")), shards.select(F.col("name").alias("outer")).filter("outer IS NOT NULL"), 1)
+    named = pairs.select(F.col("inner").alias("selector"), F.col("outer").alias("name")).join(shards.select("shard", "name"), "name")
+    inside = named.groupBy("selector").agg(F.min(F.struct(F.length("name").alias("n"), "shard")).getField("shard").alias("__part"))
     return found.join(inside, "selector", "left").select("selector", F.coalesce("__own", "__part").alias("shard"))

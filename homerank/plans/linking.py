@@ -8,15 +8,32 @@ from ..operators import names, spatial
 from ..sources import tables as T
 from .catalog import GEO_CTE, _placed, query
 
-#: The name that an advert gives for its area, and whether it shows a point.
-_NAME = "CASE WHEN ingest_seq % 6 <> 0 THEN 'n' || CAST(CAST(floor(lat * 20) AS BIGINT) AS STRING) || 'x' || CAST(CAST(floor(lon * 20) AS BIGINT) AS STRING) END"
+#: The name that an advert gives for its area, and whether it shows a point: some have no name, some a title that no point bears out, some
+#: a name that only points outside all areas have.
 _SEEN = "ingest_seq % 19 <> 0"
-_ADV = f"adv AS (SELECT id, lat, lon, {_NAME.replace('STRING', 'VARCHAR')} AS name, CASE WHEN {_SEEN} THEN area_key END AS area_key, {_SEEN} AS seen FROM listings LEFT JOIN located USING (id))"
-_VOTES = "tally AS (SELECT name, area_key, count(*) AS votes FROM adv WHERE name IS NOT NULL AND area_key IS NOT NULL GROUP BY ALL), votes AS (SELECT * FROM tally QUALIFY row_number() OVER (PARTITION BY name ORDER BY votes DESC, area_key) = 1)"
+_NAME = """CASE WHEN ingest_seq % 6 = 0 THEN NULL WHEN ingest_seq % 38 = 0 THEN ' NATION_' || CAST(ingest_seq % 25 AS STRING) WHEN area_key IS NULL AND ingest_seq % 7 = 0 THEN 'out' || CAST(ingest_seq % 5 AS STRING)
+ELSE 'n' || CAST(CAST(floor(lat * 20) AS BIGINT) AS STRING) || 'x' || CAST(CAST(floor(lon * 20) AS BIGINT) AS STRING) END"""
+_HYPOT = "sqrt(pow(lat - center_lat, 2) + pow(lon - center_lon, 2))"
+_ADV = f"adv AS (SELECT id, lat, lon, trim({_NAME.replace('STRING', 'VARCHAR')}) AS name, CASE WHEN {_SEEN} THEN area_key END AS area_key, {_SEEN} AS seen FROM listings LEFT JOIN located USING (id))"
+_VOTES = f"""tally AS (SELECT name, area_key, count(*) AS votes FROM adv WHERE name IS NOT NULL AND area_key IS NOT NULL GROUP BY ALL), best AS (SELECT * FROM tally QUALIFY row_number() OVER (PARTITION BY name ORDER BY votes DESC, area_key) = 1),
+own AS (SELECT DISTINCT name, areas.area_key FROM adv JOIN areas ON title = name), named AS (SELECT * FROM own WHERE name NOT IN (SELECT name FROM best)),
+means AS (SELECT name, avg(lat) AS lat, avg(lon) AS lon FROM adv WHERE seen AND name IS NOT NULL AND name NOT IN (SELECT name FROM best UNION SELECT name FROM named) GROUP BY 1),
+votes AS (SELECT name, area_key, votes, 'points' AS how FROM best UNION ALL SELECT name, area_key, 0, 'name' FROM named UNION ALL SELECT name, arg_min(area_key, {_HYPOT}), 0, 'mean_point' FROM means, areas GROUP BY name)"""
 
 
 def _adverts(spark, d):
-    return _placed(spark, d).selectExpr("id", "lat", "lon", f"{_NAME} AS name", f"CASE WHEN {_SEEN} THEN area_key END AS area_key", f"{_SEEN} AS seen")
+    rows = _placed(spark, d).selectExpr("id", "lat", "lon", f"trim({_NAME}) AS name", f"CASE WHEN {_SEEN} THEN area_key END AS area_key", f"{_SEEN} AS seen")
+    return rows.withColumns({c: F.when(F.col("seen"), F.col(c)) for c in ("lat", "lon")})
+
+
+def _resolved(spark, d, rows):
+    """What the names mean by themselves."""
+    titled = T.areas(spark, d).withColumn("size", F.lit(1))
+    return names.resolve_title(rows.select("name").filter("name <> ''").distinct(), titled).select("name", "area_key", F.lit(1).alias("rank"))
+
+
+def _voted(spark, d, rows):
+    return names.name_vote(rows, _resolved(spark, d, rows), T.areas(spark, d))
 
 
 @query("unique_tokens", "WITH w AS (SELECT DISTINCT s_suppkey AS id, unnest(string_split_regex(lower(s_name), '[ #]+')) AS token FROM supplier) SELECT token, min(id) AS id FROM w WHERE length(token) >= 3 GROUP BY token HAVING count(*) = 1")
@@ -26,22 +43,23 @@ def _(spark, d):
 
 @query("name_vote", f"{GEO_CTE}, {_ADV}, {_VOTES} SELECT * FROM votes")
 def _(spark, d):
-    return names.name_vote(_adverts(spark, d))
+    return _voted(spark, d, _adverts(spark, d))
 
 
-@query("alias_union", f"{GEO_CTE}, {_ADV}, {_VOTES}, every AS (SELECT area_key, name FROM votes UNION SELECT area_key, upper(area_key) FROM areas) SELECT area_key, array_to_string(list_sort(list(name)), ',') AS aliases FROM every GROUP BY 1")
+@query("alias_union", f"{GEO_CTE}, {_ADV}, {_VOTES}, every AS (SELECT area_key, name FROM votes JOIN areas USING (area_key) WHERE name <> title AND name <> 'out' || ord % 5 UNION SELECT area_key, upper(area_key) FROM areas) SELECT area_key, array_to_string(list_sort(list(name)), ',') AS aliases FROM every GROUP BY 1")
 def _(spark, d):
-    areas = T.areas(spark, d)
-    out = names.alias_union(names.name_vote(_adverts(spark, d)), areas, areas.select("area_key", F.upper("area_key").alias("name")))
+    areas = T.areas(spark, d).withColumn("keywords", F.array(F.concat(F.lit("out "), (F.col("ord") % 5).cast("string"))))
+    out = names.alias_union(_voted(spark, d, _adverts(spark, d)), areas, areas.select("area_key", F.upper("area_key").alias("name")))
     return out.select("area_key", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("link_area", f"""{GEO_CTE}, {_ADV}, {_VOTES}, near AS (SELECT id, arg_min(areas.area_key, sqrt(pow(lat - center_lat, 2) + pow(lon - center_lon, 2))) AS near FROM adv, areas GROUP BY id),
-l AS (SELECT adv.id, lat, lon, seen, coalesce(adv.area_key, votes.area_key, CASE WHEN seen THEN near END) AS area_key, CASE WHEN adv.area_key IS NOT NULL THEN 'polygon' WHEN votes.area_key IS NOT NULL THEN CASE WHEN seen THEN 'name' ELSE 'name_anchor' END WHEN seen THEN 'nearest' END AS link_method FROM adv LEFT JOIN votes USING (name) JOIN near ON near.id = adv.id)
+@query("link_area", f"""{GEO_CTE}, {_ADV}, {_VOTES}, near AS (SELECT id, arg_min(areas.area_key, {_HYPOT}) AS near FROM adv, areas GROUP BY id),
+l AS (SELECT adv.id, lat, lon, seen, CASE WHEN seen THEN coalesce(adv.area_key, votes.area_key, near) ELSE coalesce(votes.area_key, own.area_key) END AS area_key,
+  CASE WHEN NOT seen THEN CASE WHEN coalesce(votes.area_key, own.area_key) IS NOT NULL THEN 'neighborhood_centroid' END WHEN adv.area_key IS NOT NULL THEN 'point_in_polygon' WHEN votes.area_key IS NOT NULL THEN 'name_vote' ELSE 'nearest_polygon' END AS link_method
+  FROM adv LEFT JOIN votes USING (name) LEFT JOIN own USING (name) JOIN near ON near.id = adv.id)
 SELECT id, area_key, round(CASE WHEN seen THEN lat ELSE center_lat END, 6) AS lat, round(CASE WHEN seen THEN lon ELSE center_lon END, 6) AS lon, link_method FROM l LEFT JOIN areas USING (area_key)""")
 def _(spark, d):
     rows, areas = _adverts(spark, d), T.areas(spark, d)
-    shown = rows.select("id", "name", *[F.when(F.col("seen"), F.col(c)).alias(c) for c in ("lat", "lon")], F.col("area_key").alias("contained"))
-    out = names.link_area(shown, names.name_vote(rows), spatial.nearest_anchor(rows, areas), areas)
+    anchors = spatial.nearest_anchor(rows.filter("seen"), areas)
+    out = names.link_area(rows.withColumnRenamed("area_key", "contained"), _voted(spark, d, rows), anchors, areas, _resolved(spark, d, rows))
     return out.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
-
