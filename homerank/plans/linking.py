@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import names, spatial
+from ..operators import keywords, names, spatial
 from ..sources import tables as T
 from .catalog import GEO_CTE, _placed, query
 
@@ -63,3 +63,26 @@ def _(spark, d):
     anchors = spatial.nearest_anchor(rows.filter("seen"), areas)
     out = names.link_area(rows.withColumnRenamed("area_key", "contained"), _voted(spark, d, rows), anchors, areas, _resolved(spark, d, rows))
     return out.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+#: Things on the map: one for each listing, named and tagged by its number; words stand before some names, and some labels are no names.
+_THING = "'نام ' || CAST(ingest_seq * 7 % 400 AS STRING)"
+_LABEL = f"""CASE ingest_seq % 11 WHEN 0 THEN 'خیابان  ' || {_THING} WHEN 1 THEN 'بلوار شهید ' || {_THING} WHEN 2 THEN 'منطقه ' || CAST(ingest_seq % 22 AS STRING) WHEN 3 THEN 'Street ' || CAST(ingest_seq AS STRING) WHEN 4 THEN 'پارک ' || {_THING} WHEN 5 THEN 'پل ' WHEN 6 THEN NULL ELSE {_THING} END"""
+_TAGS = "CASE ingest_seq * 3 % 8 WHEN 0 THEN map('place', 'suburb') WHEN 1 THEN map('railway', 'station') WHEN 2 THEN map('public_transport', 'station', 'x', 'y') WHEN 3 THEN map('amenity', 'cafe') ELSE map('highway', 'primary', 'place', '') END"
+_UNTITLED = "CASE WHEN ord % 3 = 0 THEN NULL WHEN ord % 3 = 1 THEN 'کوهسار' ELSE 'آب-باد ' || CAST(ord AS STRING) END AS title, CASE WHEN ord % 4 <> 0 THEN 'd' || CAST(ord % 2 AS STRING) END AS district"
+
+
+@query("poi_keywords", f"""{GEO_CTE}, f AS (SELECT area_key, ingest_seq AS pos, CASE ingest_seq * 3 % 8 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS kind,
+  CASE WHEN ingest_seq % 11 IN (2, 3, 5, 6) THEN NULL WHEN ingest_seq % 11 = 4 THEN 'پارک ' || {_THING.replace('STRING', 'VARCHAR')} ELSE {_THING.replace('STRING', 'VARCHAR')} END AS name FROM listings JOIN located USING (id)),
+g AS (SELECT area_key, kind, name, min(pos) AS pos FROM f WHERE name IS NOT NULL GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY area_key, kind ORDER BY pos) AS rank FROM g),
+k AS (SELECT area_key, replace(name, ' ', '') AS form, arg_min(name, kind * 100 + rank) AS name, min(kind * 100 + rank) AS place FROM h WHERE rank <= CASE kind WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 3 END GROUP BY 1, 2),
+l AS (SELECT area_key, arg_min(name, pos) AS label FROM g WHERE kind = 0 AND name NOT LIKE 'پارک%' GROUP BY 1),
+t AS (SELECT area_key, coalesce(u.title, label) AS base, district FROM (SELECT area_key, {_UNTITLED.replace('STRING', 'VARCHAR')} FROM areas) u LEFT JOIN l USING (area_key) WHERE coalesce(u.title, label) IS NOT NULL),
+s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY base) > 1 AND district IS NOT NULL THEN base || ' (' || district || ')' ELSE base END AS shown FROM t),
+w AS (SELECT area_key, string_agg(k.name, '|' ORDER BY place) AS words FROM s JOIN k USING (area_key) WHERE form <> replace(base, ' ', '') GROUP BY 1)
+SELECT area_key, shown AS title, concat_ws('|', CASE WHEN base LIKE 'آب-باد%' THEN replace(base, 'آب-', '') || '|آب' END, CASE WHEN shown <> base THEN base END, words) AS keywords FROM s LEFT JOIN w USING (area_key)""")
+def _(spark, d):
+    """Areas, a third of them without a title and another third of one name, by the things inside them."""
+    things = _placed(spark, d).selectExpr("area_key", "ingest_seq AS pos", f"{_LABEL} AS name", f"{_TAGS} AS tags")
+    out = keywords.poi_keywords(T.areas(spark, d).selectExpr("area_key", *_UNTITLED.replace("title, ", "title,, ").split(",, ")), things)
+    return out.select("area_key", "title", F.array_join("keywords", "|").alias("keywords"))
