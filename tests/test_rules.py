@@ -71,7 +71,7 @@ def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.unionByName(events.limit(50)).repartition(2).write.parquet(str(tmp_path / "in"))
     feed = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = feeds.seen_tokens(feed, late="10000 days").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q = feeds.seen_tokens(feed).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("seen").count() == events.count()
     q = feeds.hourly_rate(feed).writeStream.outputMode("complete").format("memory").queryName("rate").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
