@@ -195,7 +195,8 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, trees: Trees, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, with a language: those predicted as `und` or with a lower score go."""
+    """The rows of docs, all columns, with a language: those predicted as `und` or with a lower score go. Null and empty texts, and those
+    without a letter, are `und`; repeated rows share one fate; no rows give no rows."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__hr_row"), F.col(text_col).alias("__hr_text"))
     return predict(row, trees, "__hr_row", "__hr_text").filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("__hr_row.*")
 

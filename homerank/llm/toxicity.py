@@ -83,7 +83,17 @@ class Matcher:
                 spans.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
-        return {s: w for s, w in found.items() if not any(a <= s < b for a, b in spans)} if spans else found
+        if not spans:
+            return found
+        # Both in the order of their beginnings: one pass, however many phrases and hits there are.
+        out, spans, i, until = {}, sorted(spans), 0, -1
+        for start in sorted(found):
+            while i < len(spans) and spans[i][0] <= start:
+                until = max(until, spans[i][1])
+                i += 1
+            if start >= until:
+                out[start] = found[start]
+        return out
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Heaviest hit, sum of hits, and sum for each hundred characters, the last two as logarithms."""
@@ -127,10 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Terms are whole words and word beginnings; a term's weight is the log of its share in toxic over that in clean texts.
     A pair of a word and a term is an exception where the term alone is toxic but clean texts have the pair more often.
     The sample of ids is broadcast, at most `most` rows; the driver gets the terms that reach the least weight in that sample, which bounds them, and three numbers a text.
-    With no toxic or no clean text nothing is learned: every score is the share of toxic texts.
+    With no toxic or no clean text nothing is learned: every score is the share of toxic texts. Of several labels of one id the greatest
+    counts; null labels, and labels without a text, are left out; null texts are empty.
     """
     spark = docs.sparkSession
-    ids = labelled_sample(labels.filter(F.col("toxic").isNotNull()).select(id_col, "toxic").dropDuplicates([id_col]), id_col, most)
+    ids = labelled_sample(labels.filter(F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic")), id_col, most)
     sample = materialize(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(materialize(ids, "toxic-ids")), id_col), "toxic-sample")
     known = {int(r["toxic"] > 0): r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = known.get(0, 0), known.get(1, 0)
@@ -201,7 +212,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not predicted as toxic."""
+    """The rows of docs, all columns, that are not predicted as toxic. Null and empty texts stay, repeated rows share one fate."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__hr_row"), F.col(text_col).alias("__hr_text"))
     return score_documents(row, lexicon, "__hr_row", "__hr_text").filter("predicted = 0").select("__hr_row.*")
 
