@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.geo import cell
 from ..functions.money import tmc
+from .iterate import cut
 
-
-#: Accuracy of the sketches that bracket medians.
-SKETCH = 10_000
+#: Accuracy of the sketches that bracket medians, and values of a group, at most, that one task takes whole.
+SKETCH, WHOLE_GROUP = 10_000, 200_000
 
 
 def cost_per_sqm():
     return F.try_divide(tmc(F.col("deposit"), F.col("rent")), F.col("area_sqm"))
 
 
-def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def medians(rows: DataFrame, keys: list[str], value: str, whole: int = WHOLE_GROUP) -> DataFrame:
     """keys, median, n: the exact median of `value` in each group, null values left out.
 
-    A sketch brackets the middle first, with a map-side part; then values below, at the ends of and between the bracket are
+    Groups are counted first. If none has more than `whole` values, each is small enough for one task. Otherwise a sketch brackets the middle first, with a map-side part; then values below, at the ends of and between the bracket are
     counted, and only those strictly between (some ten-thousandths of a group) are gathered. So neither a hot group nor a whole table
     goes through one task, and equal values are only counted. Both passes read the same narrow columns.
     """
     known = rows.select(*keys, F.col(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    most = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= whole:
+        return known.groupBy(*keys).agg(F.median("__x").alias("median"), F.count(F.lit(1)).alias("n"))
     low, high = 0.5 - 1.5 / SKETCH, 0.5 + 1.5 / SKETCH
     sketch = known.groupBy(*keys).agg(F.percentile_approx("__x", F.array(F.lit(low), F.lit(high)), SKETCH).alias("__b"), F.count(F.lit(1)).alias("n"))
     x, a, b = F.col("__x"), F.col("__a"), F.col("__c")
@@ -49,7 +52,8 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def area_baselines(listings: DataFrame) -> DataFrame:
     """area_key, baseline, n: median cost per square metre of areas with enough listings."""
     known = listings.filter(F.col("area_key").isNotNull() & (F.col("area_sqm") > 0)).select("area_key", cost_per_sqm().alias("x"))
-    return medians(known, ["area_key"], "x").select("area_key", F.col("median").alias("baseline"), "n").filter(F.col("n") >= C.BASELINE_SAMPLES)
+    # Where the areas stand may have taken a join: it is done once.
+    return medians(cut(known), ["area_key"], "x").select("area_key", F.col("median").alias("baseline"), "n").filter(F.col("n") >= C.BASELINE_SAMPLES)
 
 
 def city_baseline(listings: DataFrame) -> DataFrame:
@@ -61,9 +65,12 @@ def city_baseline(listings: DataFrame) -> DataFrame:
 
 def price_floors(listings: DataFrame, degrees: float = C.CELL_DEGREES) -> DataFrame:
     """cell_row, cell_col, price_floor, n: robust lower limits of cost per square metre where a cell has enough samples."""
+    cells = ["cell_row", "cell_col"]
     rows = listings.filter("area_sqm > 0").select(cell(F.col("lat"), degrees).alias("cell_row"), cell(F.col("lon"), degrees).alias("cell_col"), cost_per_sqm().alias("x"))
-    middle = rows.groupBy("cell_row", "cell_col").agg(F.median("x").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= C.FLOOR_SAMPLES)
-    spread = rows.join(middle, ["cell_row", "cell_col"]).groupBy("cell_row", "cell_col", "m", "n").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("mad"))
+    rows = rows.filter("cell_row IS NOT NULL AND cell_col IS NOT NULL")
+    middle = medians(rows, cells, "x").withColumnRenamed("median", "m").filter(F.col("n") >= C.FLOOR_SAMPLES)
+    apart = rows.join(middle.select(*cells, "m"), cells).select(*cells, F.abs(F.col("x") - F.col("m")).alias("off"))
+    spread = medians(apart, cells, "off").select(*cells, F.col("median").alias("mad")).join(middle, cells)
     floor = F.greatest(C.FLOOR_LOW * F.col("m"), F.least(F.col("m") - C.FLOOR_MADS * F.col("mad"), C.FLOOR_HIGH * F.col("m")))
     return spread.select("cell_row", "cell_col", floor.alias("price_floor"), "n")
 

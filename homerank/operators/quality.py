@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .market import medians
 
 
 def percent_rank(column: str) -> Column:
@@ -24,7 +25,11 @@ def quality_index(listings: DataFrame, areas: DataFrame) -> DataFrame:
     """
     homes = listings.filter("area_key IS NOT NULL AND area_sqm > 0")
     cost = (F.col("rent") + F.col("deposit") * C.TABDIL_RATE) / F.col("area_sqm")
-    local = homes.groupBy("area_key").agg(F.median(cost).alias("local"), F.count(F.lit(1)).alias("n"), F.median(F.nullif("build_year", F.lit(0))).alias("year"))
+    homes = homes.select("area_key", cost.alias("cost"), F.nullif("build_year", F.lit(0)).alias("year"))
+    years = medians(homes, ["area_key"], "year").select("area_key", F.col("median").alias("year"))
+    local = medians(homes, ["area_key"], "cost").withColumnRenamed("median", "local").join(years, "area_key", "full")
+    # Homes without a price count too.
+    local = local.drop("n").join(homes.groupBy("area_key").agg(F.count(F.lit(1)).alias("n")), "area_key")
     rows = areas.select("area_key", "district", "prior").join(local, "area_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     both = F.when((F.col("n") >= C.PRIOR_SAMPLES) & F.col("prior").isNotNull(), F.struct("local", "prior"))
     whole = Window.partitionBy()

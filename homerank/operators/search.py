@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions.geo import haversine_km, in_box, manhattan_m
 from ..functions.money import budget_ratio, resolve_split, tmc
 from ..functions.text import digits_persian
+from .iterate import cut
 
 #: The terms of a score, in the order of an intent's own weights.
 UTILITIES = ("budget", "value", "area", "amenity", "metro", "commute", "quality", "freshness", "soft")
@@ -23,6 +24,8 @@ FEW_INTENTS = 2_000
 QUERY_BLOCKS = 64
 #: Width in square metres of the bins by which many searches meet listings, and the last bin.
 BIN_SQM, LAST_BIN = 20, 100
+#: Bins of score by which a search's whole ranking is dealt.
+RANK_BINS = 1 << 14
 
 
 def weights(intents: DataFrame, has_quality: bool = True) -> DataFrame:
@@ -230,11 +233,32 @@ def scored(listings: DataFrame, intents: DataFrame) -> DataFrame:
 
 def ranked(listings: DataFrame, intents: DataFrame, most: int = C.STORED_ROWS) -> DataFrame:
     """search_id, rank and the pair, best first, ids break ties; the first `most` of each search. Scores are compared to nine places."""
-    kept = scored(listings, intents).filter(F.col("score") >= C.LEAST_SCORE)
+    kept = passing(listings, intents)
     order = Window.partitionBy("search_id").orderBy(F.desc(F.round("score", 9)), "id")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def passing(listings: DataFrame, intents: DataFrame) -> DataFrame:
+    """Every pair with a score that counts, unranked."""
+    return scored(listings, intents).filter(F.col("score") >= C.LEAST_SCORE)
+
+
+def rank_all(rows: DataFrame, bins: int = RANK_BINS) -> DataFrame:
+    """rows (search_id, id, score, ...) with the rank of each in its search, however many a search has.
+
+    A search's rows fall into bins of their score. Bins are counted before anything is sent, and what stands in better bins is added to
+    the place in a row's own, so a search that fits all homes is sorted by as many tasks as it has bins. Scores that are equal to nine places
+    stand by id, in one bin. Rows are read twice: they are kept in between, so give the columns that are wanted.
+    """
+    kept = cut(rows.withColumn("__bin", F.floor((1 - F.round("score", 9)) * bins)))
+    counts = kept.groupBy("search_id", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    better = Window.partitionBy("search_id").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    offsets = counts.select("search_id", "__bin", F.coalesce(F.sum("__n").over(better), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("search_id", "__bin").orderBy(F.desc(F.round("score", 9)), "id"))
+    placed = kept.withColumn("rank", own).join(offsets, ["search_id", "__bin"])
+    return placed.withColumn("rank", F.col("rank") + F.col("__before")).drop("__bin", "__before")
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     return rows.filter(F.col("rank").between((number - 1) * size + 1, number * size))
 
@@ -266,14 +290,20 @@ def cosine(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def trade_off(rows: DataFrame) -> DataFrame:
-    """search_id, id, sentence of ranked rows below the head that are much larger than its median at a small price in budget or walk.
+def below_head(rows: DataFrame, head: DataFrame) -> DataFrame:
+    """The passing rows that are not in the head of their search: who is in it decides, no rank beyond it is needed."""
+    return rows.join(head.select("search_id", "id"), ["search_id", "id"], "left_anti")
+
+
+def trade_off(rows: DataFrame, head: DataFrame) -> DataFrame:
+    """search_id, id, sentence of rows below the head (rows, head: see below_head) that are much larger than its median at a small price in
+    budget or walk, whatever their rank.
 
     Only what the search's weights speak of is named, and a named axis that costs too much silences the sentence.
     """
     text = lambda x: digits_persian(x.cast("bigint"))
     say = TRADE_WORDS
-    below = rows.filter(F.col("rank") > C.HEAD_ROWS).join(head_reference(rows), "search_id")
+    below = rows.join(head_reference(head), "search_id")
     below = below.filter((F.col("head_area") > 0) & ((F.col("area_sqm") - F.col("head_area")) / F.col("head_area") >= C.TRADE_AREA))
     ratio = budget_ratio(F.col("split_deposit"), F.col("split_rent"), F.col("max_deposit"), F.col("max_rent"))
     over, extra = F.bround((ratio - 1) * 100), F.col("metro_walk_mins") - F.col("head_metro")

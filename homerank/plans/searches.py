@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions import money
 from ..functions.geo import manhattan_m
 from ..operators import market, pareto, quality, search, spatial, transit
+from ..operators.iterate import cut
 from ..sources import tables as T
 from ..sources.prepared import kept
 from .catalog import BAND, FDE, MARKET_CTE, NEAREST, SHOWN, SHOWN_COLUMNS, TMC, _placed, query, show
@@ -56,7 +57,7 @@ def saved_searches(spark: SparkSession, d: str) -> DataFrame:
         every = work.select("origin_id").crossJoin(station_places(spark, d)).join(reached, ["origin_id", "station_id"], "left")  # few searches have a workplace; a row for each and each station
         maps = every.groupBy(F.col("origin_id").alias("search_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "minutes"))), lambda e: e.minutes).alias("arrivals"))
         wishes = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("soft_vec"), F.col("embedding").alias("wish"))
-        return asked.join(maps, "search_id", "left").join(wishes, "soft_vec", "left").coalesce(1)  # a row for each search
+        return asked.join(maps, "search_id", "left").join(wishes, "soft_vec", "left").repartition("search_id")  # few searches make one file, many make many
 
     return kept(spark, d, "searches", make)
 
@@ -76,6 +77,11 @@ def ranked(spark: SparkSession, d: str, most: int = C.STORED_ROWS) -> DataFrame:
     return search.ranked(market_of(spark, d), saved_searches(spark, d), most)
 
 
+def passing(spark: SparkSession, d: str) -> DataFrame:
+    _tuned(spark)
+    return search.passing(market_of(spark, d), saved_searches(spark, d))
+
+
 def _weight_sql(k: str, i: int) -> str:
     own = f"CASE WHEN given THEN user_weights[{i + 1}] ELSE {C.WEIGHTS[k]}E0 END"
     when = {"commute": ("workplace_lat IS NOT NULL AND workplace_lon IS NOT NULL", f"({own}) * (commute_importance / 0.5E0)"), "area": ("min_area IS NOT NULL OR max_area IS NOT NULL", own), "soft": ("soft_vec IS NOT NULL", own)}
@@ -153,9 +159,10 @@ def _(spark, d):
     return scored(spark, d).select("search_id", "id", F.round(ratio, 9).alias("ratio"))
 
 
-@query("rank", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 600")
+@query("rank", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 6) AS score FROM ranked")
 def _(spark, d):
-    return ranked(spark, d).select("search_id", "rank", "id", F.round("score", 6).alias("score"))
+    """Whole rankings."""
+    return search.rank_all(passing(spark, d).select("search_id", "id", "score")).select("search_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query("page", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 3) AS score, split_deposit, split_rent FROM ranked WHERE rank BETWEEN 1 AND 20")
@@ -163,16 +170,22 @@ def _(spark, d):
     return search.page(ranked(spark, d), 1, 20).select("search_id", "rank", "id", F.round("score", 3).alias("score"), "split_deposit", "split_rent")
 
 
+@query("page_deep", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 3) AS score FROM ranked WHERE rank BETWEEN 781 AND 800")
+def _(spark, d):
+    """A page far behind what is stored: tasks pass on as many rows of a search as stand before its end, no more."""
+    return search.page(ranked(spark, d, 800), 40, 20).select("search_id", "rank", "id", F.round("score", 3).alias("score"))
+
+
 @query("ranked_store", f"{SEARCH_CTE} SELECT search_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 600")
 def _(spark, d):
     """Pages come from the stored rankings, which are written once."""
     return kept(spark, d, "ranked", lambda: ranked(spark, d).select("search_id", "rank", "id", F.round("score", 6).alias("score")))
 
 
-@query("suggested_split", f"{SEARCH_CTE} SELECT search_id, id, CASE WHEN split_deposit <> deposit THEN split_deposit END AS suggested_deposit, CASE WHEN split_deposit <> deposit THEN split_rent END AS suggested_rent FROM ranked WHERE rank <= 600")
+@query("suggested_split", f"{SEARCH_CTE} SELECT search_id, id, CASE WHEN split_deposit <> deposit THEN split_deposit END AS suggested_deposit, CASE WHEN split_deposit <> deposit THEN split_rent END AS suggested_rent FROM ranked")
 def _(spark, d):
     moved = F.col("split_deposit") != F.col("deposit")
-    return ranked(spark, d).select("search_id", "id", F.when(moved, F.col("split_deposit")).alias("suggested_deposit"), F.when(moved, F.col("split_rent")).alias("suggested_rent"))
+    return passing(spark, d).select("search_id", "id", F.when(moved, F.col("split_deposit")).alias("suggested_deposit"), F.when(moved, F.col("split_rent")).alias("suggested_rent"))
 
 
 @query("total_count", f"{SEARCH_CTE} SELECT search_id, count(*) AS n FROM ranked GROUP BY search_id")
@@ -182,7 +195,7 @@ def _(spark, d):
 
 @query("head_reference", f"{SEARCH_CTE} SELECT search_id, round(median(area_sqm), 6) AS head_area, round(median(metro_walk_mins), 6) AS head_metro FROM ranked WHERE rank <= 60 GROUP BY search_id")
 def _(spark, d):
-    return search.head_reference(ranked(spark, d)).select("search_id", F.round("head_area", 6).alias("head_area"), F.round("head_metro", 6).alias("head_metro"))
+    return search.head_reference(ranked(spark, d, C.HEAD_ROWS)).select("search_id", F.round("head_area", 6).alias("head_area"), F.round("head_metro", 6).alias("head_metro"))
 
 
 @query("pareto_flag", f"""{SEARCH_CTE}, t AS (SELECT DISTINCT search_id, split_cost AS x, metro_walk_mins AS y, area_sqm AS z FROM ranked),
@@ -200,20 +213,24 @@ _S = search.TRADE_WORDS
 
 
 @query("trade_off", f"""{SEARCH_CTE}, head AS (SELECT search_id, median(area_sqm) AS head_area, median(metro_walk_mins) AS head_metro FROM ranked WHERE rank <= 60 GROUP BY 1),
-t AS (SELECT *, ratio IS NOT NULL AND w_budget >= 0.08E0 AS mc, w_metro >= 0.08E0 AS wc FROM ranked JOIN head USING (search_id) WHERE rank > 60 AND rank <= 600 AND (area_sqm - head_area) / head_area >= 0.25E0)
+t AS (SELECT *, ratio IS NOT NULL AND w_budget >= 0.08E0 AS mc, w_metro >= 0.08E0 AS wc FROM ranked JOIN head USING (search_id) WHERE rank > 60 AND (area_sqm - head_area) / head_area >= 0.25E0)
 SELECT search_id, id, '{_S["this"]}' || concat_ws('{_S["and"]}', {_FA.format('round_even(area_sqm - head_area, 0)')} || '{_S["larger"]}', CASE WHEN mc AND {_OVER} <= 0 THEN '{_S["in_budget"]}' END, CASE WHEN wc AND round_even({_EXTRA}, 0) <= 0 THEN '{_S["near_metro"]}' END)
 || CASE WHEN (mc AND {_OVER} > 0) OR (wc AND round_even({_EXTRA}, 0) > 0) THEN '{_S["but"]}' || concat_ws('{_S["and"]}', CASE WHEN mc AND {_OVER} > 0 THEN {_FA.format(_OVER)} || '{_S["over_budget"]}' END, CASE WHEN wc AND round_even({_EXTRA}, 0) > 0 THEN {_FA.format(f'round_even({_EXTRA}, 0)')} || '{_S["longer_walk"]}' END) ELSE '' END || '.' AS sentence
 FROM t WHERE (mc OR wc) AND (NOT mc OR {_OVER} <= 10) AND (NOT wc OR round_even({_EXTRA}, 0) <= 0 OR {_EXTRA} <= 7)""")
 def _(spark, d):
-    return search.trade_off(ranked(spark, d))
+    """Of all ranks below the head."""
+    head = cut(ranked(spark, d, C.HEAD_ROWS).select("search_id", "id", "rank", "area_sqm", "metro_walk_mins"))
+    return search.trade_off(search.below_head(passing(spark, d), head), head)
 
 
-@query("result_row", f"{SEARCH_CTE} SELECT search_id, id, rank, area_key, area_sqm, rooms, floor, total_floors, build_year, deposit, rent, split_deposit, split_rent, image_count, CASE WHEN image_count > 0 THEN id || '-1.jpg' END AS thumbnail, round_even(metro_walk_mins, 3) AS walk, round_even(commute_mins, 3) AS commute, round_even(score, 3) AS score, {', '.join(f'round_even(u_{k}, 3) AS u_{k}' for k in search.UTILITIES)} FROM ranked WHERE rank <= 600")
+@query("result_row", f"{SEARCH_CTE} SELECT search_id, id, rank, area_key, area_sqm, rooms, floor, total_floors, build_year, deposit, rent, split_deposit, split_rent, image_count, CASE WHEN image_count > 0 THEN id || '-1.jpg' END AS thumbnail, round_even(metro_walk_mins, 3) AS walk, round_even(commute_mins, 3) AS commute, round_even(score, 3) AS score, {', '.join(f'round_even(u_{k}, 3) AS u_{k}' for k in search.UTILITIES)} FROM ranked")
 def _(spark, d):
     images = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("image_count")), lambda i: F.concat(F.col("id"), F.lit("-"), i.cast("string"), F.lit(".jpg")))
     shown = F.try_element_at(F.when(F.col("image_count") > 0, images), F.lit(1))
     rounded = [F.bround(c, 3).alias(n) for c, n in [("metro_walk_mins", "walk"), ("commute_mins", "commute"), ("score", "score"), *((f"u_{k}", f"u_{k}") for k in search.UTILITIES)]]
-    return ranked(spark, d).select("search_id", "id", "rank", "area_key", "area_sqm", "rooms", "floor", "total_floors", "build_year", "deposit", "rent", "split_deposit", "split_rent", "image_count", shown.alias("thumbnail"), *rounded)
+    columns = "search_id id score area_key area_sqm rooms floor total_floors build_year deposit rent split_deposit split_rent image_count metro_walk_mins commute_mins".split()
+    rows = search.rank_all(passing(spark, d).select(*columns, *[f"u_{k}" for k in search.UTILITIES]))
+    return rows.select("search_id", "id", "rank", "area_key", "area_sqm", "rooms", "floor", "total_floors", "build_year", "deposit", "rent", "split_deposit", "split_rent", "image_count", shown.alias("thumbnail"), *rounded)
 
 
 #: The viewport of each search's map; some searches have none.

@@ -67,6 +67,20 @@ def test_rank_is_a_permutation_of_the_kept(spark, sf):
     assert search.page(searches.ranked(spark, sf), 2, 5).filter("search_id = 2").count() == 5
 
 
+def test_whole_rankings(spark):
+    """Ranks by bins of score are those of one sort, with ties, rounding to nine places and any number of bins."""
+    rng = np.random.default_rng(4)
+    rows = [(int(s), f"i{i}", float(x)) for i, (s, x) in enumerate(zip(rng.integers(0, 3, 3000), np.round(rng.uniform(0.45, 1.0, 3000), 3) + rng.choice([0, 1e-12], 3000)))] + [(7, f"t{i}", 1.0) for i in range(50)] + [(8, "only", 0.45)]
+    df = spark.createDataFrame(rows, "search_id int, id string, score double")
+    want = {}
+    for s in {r[0] for r in rows}:
+        for rank, (_, i, _) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (-round(r[2], 9), r[1])), 1):
+            want[s, i] = rank
+    for bins in (1, 7, 1 << 14):
+        assert {(r["search_id"], r["id"]): r["rank"] for r in search.rank_all(df, bins).collect()} == want
+    assert search.rank_all(df.limit(0)).count() == 0
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.unionByName(events.limit(50)).repartition(2).write.parquet(str(tmp_path / "in"))
@@ -139,6 +153,9 @@ def test_medians_with_hot_groups_ties_and_nulls(spark):
     want = {k: float(np.median([x for a, x in rows if a == k])) for k in ("hot", "even", "one", "wide", None)}
     assert {k: m for k, (m, _) in got.items()} == want
     assert market.medians(df, [], "x").first()["median"] == float(np.median([x for _, x in rows if x is not None]))
+    for whole in (0, 10**6):  # by sketches, and group by group
+        got = {r["k"]: r["median"] for r in market.medians(df, ["k"], "x", whole).collect()}
+        assert got == want and market.medians(df, [], "x", whole).first()["n"] == sum(x is not None for _, x in rows)
 
 
 def test_backfill_twice_changes_nothing(spark):
