@@ -198,7 +198,7 @@ def same_name_places(polygons: DataFrame, meters: float = C.SAME_PLACE_M) -> Dat
 
 
 def areas_near(points: DataFrame, polygons: DataFrame, meters: float = C.AREA_NEAR_M, most: int = C.AREAS_NEAR, id_col: str = "id") -> DataFrame:
-    """id_col, area_key, meters, rank: up to `most` areas within a distance of each point, nearest first; 0 inside.
+    """id_col, area_key, meters, rank: up to `most` areas within a distance of each point, nearest first, equal ones by key; 0 inside.
 
     Distance to the ring in a flat projection at the point. Polygons wait in the cells that their box, widened by the
     distance, touches.
@@ -207,7 +207,7 @@ def areas_near(points: DataFrame, polygons: DataFrame, meters: float = C.AREA_NE
     wide = polygons.select("area_key", "ord", "ring", *[(F.col(f"min_{x}") - p).alias(f"min_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))], *[(F.col(f"max_{x}") + p).alias(f"max_{x}") for x, p in (("lat", lat_pad), ("lon", lon_pad))])
     pairs = points.select(id_col, "lat", "lon").withColumn("__cr", cell(F.col("lat"), POLYGON_CELL)).withColumn("__cc", cell(F.col("lon"), POLYGON_CELL)).join(_cover(wide, POLYGON_CELL), ["__cr", "__cc"])
     found = pairs.withColumn("meters", ring_distance(F.col("lat"), F.col("lon"), F.col("ring"))).filter(F.col("meters") <= meters)
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("meters", "ord"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("meters", "area_key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= most).select(id_col, "area_key", "meters", "rank")
 
 

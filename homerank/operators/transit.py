@@ -128,14 +128,58 @@ def commute_minutes(trips: DataFrame, stations: DataFrame, arrivals: DataFrame)
     return direct.unionByName(routed)
 
 
-def reachable_set(points: DataFrame, stations: DataFrame, arrivals: DataFrame, origins: DataFrame, minutes: float) -> DataFrame:
-    """origin_id, id: the points within so many minutes of each origin, on foot or from a station with time left. No time, no points."""
-    if minutes <= 0:
-        return points.sparkSession.createDataFrame([], origins.select("origin_id").join(points.select("id"), F.lit(True)).schema)
-    reach = minutes * C.WALK_M_PER_MIN
-    places = origins.select(F.concat(F.lit("o"), F.col("origin_id").cast("string")).alias("place"), "origin_id", "lat", "lon", F.lit(reach).alias("reach"))
-    left = arrivals.filter(F.col("minutes") < minutes).join(stations.select("station_id", "lat", "lon"), "station_id")
-    stops = left.select(F.concat_ws("-", "origin_id", "station_id").alias("place"), "origin_id", "lat", "lon", ((minutes - F.col("minutes")) * C.WALK_M_PER_MIN).alias("reach"))
-    every = places.unionByName(stops)
-    near = within_radius(points, every, reach, place_col="place").join(every.select("place", "origin_id", "reach"), "place")
-    return near.filter("meters <= reach").select("origin_id", "id").distinct()
+#: Metres of the cells of the first level of circles; each level is twice as wide as the one before.
+FIRST_LEVEL_M, LEVELS = 250.0, 10
+
+
+def _by_level(circles: DataFrame) -> DataFrame:
+    """circles (..., lat, lon, reach) filed in all cells that they touch, of cells about as wide as themselves: level, cr, cc."""
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("reach") / FIRST_LEVEL_M)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    filed = circles.withColumn("level", level)
+    wide = F.pow(F.lit(2.0), F.col("level")) * FIRST_LEVEL_M / C.METERS_PER_DEGREE
+    lat_pad = F.col("reach") / C.METERS_PER_DEGREE
+    lon_pad = F.col("reach") / (C.METERS_PER_DEGREE * F.cos(F.radians(F.least(F.abs("lat") + lat_pad, F.lit(89.0)))))
+    span = lambda x, pad: F.sequence(F.floor((F.col(x) - pad) / wide), F.floor((F.col(x) + pad) / wide))
+    return filed.withColumn("cr", F.explode(span("lat", lat_pad))).withColumn("cc", F.explode(span("lon", lon_pad)))
+
+
+def without_contained(circles: DataFrame) -> DataFrame:
+    """circles (origin_id, lat, lon, reach) without those that lie in a greater one of their origin: a circle that another contains adds
+    nothing. A circle meets the others of its origin that are filed at its middle, level by level."""
+    named = circles.withColumn("circle", F.xxhash64("origin_id", "lat", "lon", "reach")).dropDuplicates(["circle"])
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    probes = named.withColumn("level", levels)
+    wide = F.pow(F.lit(2.0), F.col("level")) * FIRST_LEVEL_M / C.METERS_PER_DEGREE
+    probes = probes.withColumn("cr", F.floor(F.col("lat") / wide)).withColumn("cc", F.floor(F.col("lon") / wide))
+    other = _by_level(named).select("origin_id", "level", "cr", "cc", *[F.col(c).alias(f"__{c}") for c in ("lat", "lon", "reach", "circle")])
+    met = probes.join(other, ["origin_id", "level", "cr", "cc"]).filter("circle <> __circle AND (__reach > reach OR (__reach = reach AND __circle < circle))")
+    # Grid distances obey the triangle inequality but for the cosine of the latitude; a hundredth of the distance covers that.
+    apart = manhattan_m(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
+    inside = met.filter(apart * 1.01 + F.col("reach") * 1.01 <= F.col("__reach")).select("circle").distinct()
+    return named.join(inside, "circle", "left_anti").drop("circle")
+
+
+def within_circles(points: DataFrame, circles: DataFrame) -> DataFrame:
+    """origin_id, id: the points (id, lat, lon) in a circle (origin_id, lat, lon, reach) of an origin, by distance along the grid.
+
+    Circles wait in cells as wide as themselves, so a point probes each level once and meets few circles that do not reach it."""
+    filed = _by_level(without_contained(circles)).select("origin_id", "level", "cr", "cc", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "reach")
+    probes = points.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    wide = F.pow(F.lit(2.0), F.col("level")) * FIRST_LEVEL_M / C.METERS_PER_DEGREE
+    probes = probes.withColumn("cr", F.floor(F.col("lat") / wide)).withColumn("cc", F.floor(F.col("lon") / wide))
+    met = probes.join(filed, ["level", "cr", "cc"]).filter(manhattan_m(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")) <= F.col("reach"))
+    return met.select("origin_id", "id").distinct()
+
+
+def reachable_set(points: DataFrame, stations: DataFrame, arrivals: DataFrame, origins: DataFrame, minutes: float, mode: str = "transit") -> DataFrame:
+    """origin_id, id: the points within so many minutes of each origin. On foot and by car (mode walk, drive) that is one circle; with the
+    network (transit) the circle on foot and one around each station that is reached with time left. No time, no points; another mode is
+    an error."""
+    speed = {"walk": C.WALK_M_PER_MIN, "transit": C.WALK_M_PER_MIN, "drive": C.DRIVE_KMH * 1000 / 60}
+    if mode not in speed:
+        raise ValueError(f"unknown commute mode: {mode!r}")
+    circles = origins.select("origin_id", "lat", "lon", F.lit(max(minutes, 0.0) * speed[mode]).alias("reach"))
+    if mode == "transit":
+        left = arrivals.filter(F.col("minutes") < minutes).join(stations.select("station_id", "lat", "lon"), "station_id")
+        circles = circles.unionByName(left.select("origin_id", "lat", "lon", ((minutes - F.col("minutes")) * C.WALK_M_PER_MIN).alias("reach")))
+    return within_circles(points, circles.filter("reach > 0"))

@@ -113,3 +113,11 @@ def _(spark, d):
 @query("reachable_set", f"{NET_CTE}, {ARRIVALS}, circles AS (SELECT origin_id, lat, lon, 30 * 80E0 AS reach FROM work UNION ALL SELECT origin_id, lat, lon, (30 - minutes) * 80 FROM arrivals JOIN stations USING (station_id) WHERE minutes < 30) SELECT DISTINCT s.origin_id, p.id FROM listings p JOIN circles s ON {DIST} <= s.reach")
 def _(spark, d):
     return transit.reachable_set(T.listings(spark, d), T.stations(spark, d), arrivals(spark, d), workplaces(spark, d), 30.0)
+
+
+@query("reachable_walk_drive", f"""{T.with_tables("listings")}, work AS (SELECT {WORKPLACE} FROM supplier) SELECT DISTINCT s.origin_id, p.id, 'walk' AS mode FROM listings p JOIN work s ON {DIST} <= 12 * 80E0 UNION ALL SELECT DISTINCT s.origin_id, p.id, 'drive' FROM listings p JOIN work s ON {DIST} <= 9 * 22E0 * 1000 / 60""")
+def _(spark, d):
+    """Twelve minutes on foot, nine by car."""
+    points, none = T.listings(spark, d), arrivals(spark, d)
+    rows = [transit.reachable_set(points, T.stations(spark, d), none, workplaces(spark, d), m, mode).withColumn("mode", F.lit(mode)) for m, mode in ((12.0, "walk"), (9.0, "drive"))]
+    return rows[0].unionByName(rows[1])

@@ -87,7 +87,7 @@ _TITLE_IDX = "t AS (SELECT area_key, ord, size, replace(title, ' ', '') AS form,
 @query("resolve_area", f"""{T.with_tables('stations', 'area_base', 'areas', 'edges')}, {_NA.split(', asked AS')[0]}, r AS (SELECT {_REQUESTS.replace(*_V)} FROM customer), asked AS (SELECT DISTINCT name FROM r WHERE name NOT IN (SELECT area_key FROM na)),
 title AS (SELECT name, area_key FROM (WITH {_TITLE_IDX}, {_STEPS} {_OUT})), stop AS (SELECT 'Stop' || repeat(chr(CAST(65 + station_id % 10 AS INT)), 6) AS form, avg(lat) AS lat, avg(lon) AS lon FROM stations GROUP BY 1),
 mark AS (SELECT name AS station_id, lat, lon FROM asked JOIN stop ON list_contains(string_split(name, ' '), form) WHERE name NOT IN (SELECT name FROM title)),
-around AS (SELECT id AS name, area_key, rank FROM (WITH stations AS (SELECT * FROM mark), {_NEAR} SELECT id, area_key, row_number() OVER (PARTITION BY id ORDER BY meters, ord) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4)),
+around AS (SELECT id AS name, area_key, rank FROM (WITH stations AS (SELECT * FROM mark), {_NEAR} SELECT id, area_key, row_number() OVER (PARTITION BY id ORDER BY meters, area_key) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4)),
 word AS (SELECT name, area_key FROM (WITH {_KEYS}, {_STEPS} {_OUT})),
 every AS (SELECT area_key AS name, 1 AS rank, area_key FROM na UNION ALL SELECT name, 1, area_key FROM title UNION ALL SELECT name, rank, area_key FROM around UNION ALL SELECT name, 1, area_key FROM word WHERE name NOT IN (SELECT name FROM title UNION SELECT name FROM around)),
 f1 AS (SELECT request, area_key, min(pos * 10 + rank) AS first FROM r JOIN every USING (name) GROUP BY 1, 2) SELECT q.request, coalesce(string_agg(area_key, ',' ORDER BY first), '') AS area_keys FROM (SELECT DISTINCT request FROM r) q LEFT JOIN f1 ON f1.request = q.request GROUP BY 1""")
@@ -172,7 +172,7 @@ def _(spark, d):
 
 
 
-@query("areas_near", f"{T.with_tables('stations', 'area_base', 'areas', 'edges')}, {_NEAR} SELECT id, area_key, round(meters, 4) AS meters, row_number() OVER (PARTITION BY id ORDER BY meters, ord) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4")
+@query("areas_near", f"{T.with_tables('stations', 'area_base', 'areas', 'edges')}, {_NEAR} SELECT id, area_key, round(meters, 4) AS meters, row_number() OVER (PARTITION BY id ORDER BY meters, area_key) AS rank FROM near JOIN areas USING (area_key) WHERE meters <= 700 QUALIFY rank <= 4")
 def _(spark, d):
     points = T.stations(spark, d).select(F.col("station_id").alias("id"), "lat", "lon")
     return spatial.areas_near(points, T.areas(spark, d)).withColumn("meters", F.round("meters", 4))
