@@ -44,6 +44,6 @@ IMPORTANCE = {"low": 0.4, "normal": 1.0, "high": 2.2}
 NEUTRAL_QUALITY = 0.5
 AREA_NEAR_M, AREAS_NEAR, MOST_AREA_KEYS = 700.0, 4, 60
 LEAST_GAP_SQKM = 0.15
-SAME_PLACE_M = 60.0
+SAME_PLACE_M, SEAM_M = 60.0, 25.0
 EMBEDDING_BUCKETS = 256
 BM25_K1, BM25_B, TEXT_HITS = 1.2, 0.75, 500

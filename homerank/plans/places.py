@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import squash_form
-from ..operators import names, search, spatial
+from ..operators import names, raster, search, spatial
 from ..sources import tables as T
 from ..sources.prepared import kept
 from .catalog import _six, query
@@ -251,3 +251,24 @@ def _(spark, d):
     intents = _cleaned(spark, d).withColumn("area_keys", F.array().cast("array<string>"))
     out = search.assemble(intents, panels, named_areas(spark, d).select(F.col("title").alias("name"), "area_key"))
     return out.select("search_id", "max_deposit", "wants_parking", "living_kind", F.array_join("area_keys", ",").alias("area_keys"))
+
+
+# The same three at a scale at which streets show.
+_CITY_SQM = "(0.3E0 * 0.5E0)"
+
+
+@query("coverage_fine", f"{T.with_tables('area_base', 'areas', 'edges')}, a AS (SELECT area_key, any_value(ord) AS ord, abs(sum(x1 * y2 - x2 * y1)) / 2 AS size FROM areas JOIN edges USING (area_key) GROUP BY 1) SELECT round(100 * sum(CASE WHEN ord < 20 THEN size END) / {_CITY_SQM}, 1) AS before, round(100 * sum(size) / {_CITY_SQM}, 1) AS after FROM a")
+def _(spark, d):
+    """Share of the city inside an area, by cells of ten metres along the borders; SQL has the exact areas."""
+    cells = raster.cover(T.areas(spark, d)).join(T.areas(spark, d).select("area_key", "ord"), "area_key")
+    city = (C.CITY["max_lat"] - C.CITY["min_lat"]) * raster.LAT_M * (C.CITY["max_lon"] - C.CITY["min_lon"]) * raster.LON_M / 1e6
+    share = [raster.united(rows).agg((100 * raster.square_km(rows) / city).alias(n)) for n, rows in (("before", cells.filter("ord < 20")), ("after", cells))]
+    return share[0].crossJoin(share[1]).select(F.round("before", 1).alias("before"), F.round("after", 1).alias("after"))  # one row each
+
+
+@query("dissolve_fine", f"{T.with_tables('area_base', 'areas', 'edges')}, a AS (SELECT area_key, abs(sum(x1 * y2 - x2 * y1)) / 2 * {raster.LAT_M!r} * {raster.LON_M!r} / 1e6 AS size FROM edges WHERE area_key IN ('a6', 'a7', 'a12', 'a24') GROUP BY 1) SELECT count(*) AS parts, round(sum(size), 0) AS sqkm FROM a")
+def _(spark, d):
+    """Chosen areas with seams of 25 metres closed: these lie further apart, so they stay as many parts."""
+    cells = raster.united(raster.cover(T.areas(spark, d).filter(F.col("area_key").isin("a6", "a7", "a12", "a24")), 20.0, 6))
+    parts = raster.with_part(raster.closed_seams(cells, C.SEAM_M, 20.0, 6), 6)
+    return parts.agg(F.count_distinct("part").alias("parts"), F.round(raster.square_km(parts, 20.0), 0).alias("sqkm"))
