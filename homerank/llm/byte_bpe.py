@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 #: Entries that a worker keeps of the ids of chunks, pieces and of the answers for token pairs; a full cache is emptied.
 CACHE_ENTRIES = 500_000
@@ -229,7 +229,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             types = [pa.int64(), *[pa.binary()] * keep_ids, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], [id_col, *(f.split()[0] for f in fields)])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(fields))
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(fields))
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_file: str | None = None) -> DataFrame:

@@ -17,6 +17,9 @@ WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Side tables are broadcast up to this size in bytes; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
+#: Bytes of a batch of rows on its way to Python; one longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
+
 _own_scratch: list[str] = []
 
 
@@ -52,6 +55,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts its session sends to Python in batches of at most BATCH_BYTES from here on: a worker holds several copies of a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

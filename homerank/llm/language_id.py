@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold_number
+from .common import documents, fold_number, small_batches
 
 #: Bytes of text in a block, about; a longer text makes a longer block.
 BLOCK_BYTES = 500_000
@@ -73,7 +73,7 @@ def context_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     keys, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
-    return docs.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
                 pred, score = np.where(letter, np.array(t.languages, dtype=object)[best], "und"), np.where(letter, share, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(pred), pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
-    return inner.mapInArrow(run, schema)
+    return small_batches(inner).mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame, trees: Trees, text_col: str = "text", least_score: float = 0.5) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fits_broadcast, materialize
+from .common import documents, fits_broadcast, materialize, small_batches
 from .word_hashes import blocks, mix64
 
 #: Least similarity in hundredths.
@@ -80,7 +80,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, what: str) -> Dat
                 last.append((_minhash(items) if what == "values" else items).tobytes() if len(items) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(last, pa.binary())], ["doc_id", "n_shingles", "set_key", what])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set_key binary, {what} binary")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set_key binary, {what} binary")
 
 
 def _branch_out(node: np.ndarray, values: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold_number, materialize
+from .common import documents, fold_number, materialize, small_batches
 from .quality import labelled_sample
 
 #: Labelled rows, at most, from which the lexicon and its scale are fitted.
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = terms[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts)], ["term", "c", "t"])
 
-        return sample.select("text", "toxic").mapInArrow(run, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+        return small_batches(sample).select("text", "toxic").mapInArrow(run, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
     terms = tally(_terms_of).filter(F.col("t") >= LEAST_TEXTS).withColumn("w", weight("t", "c")).filter(F.col("w") >= LEAST_WEIGHT)
     lexicon = Lexicon({r["term"]: r["w"] for r in sorted(terms.collect(), key=lambda r: (-r["w"], r["term"]))}, list(exceptions))
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
             score = matcher.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return inner.mapInArrow(run, schema)
+    return small_batches(inner).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
