@@ -79,7 +79,7 @@ _text_query("digits_fold", lambda: [text.digits_fold(F.col("title")).alias("fold
 _text_query("digits_persian", lambda: [text.digits_persian(F.col("k")).alias("shown")], "translate(CAST(k AS VARCHAR), '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS shown")
 _text_query("text_normalize", lambda: [text.normalize(F.col("title")).alias("plain")], NORM.format("title") + " AS plain")
 _text_query("crawl_normalize", lambda: [text.crawl_normalize(F.col("title")).alias("plain")], f"translate({FOLD.format('title')}, 'يكئ', 'یکی') AS plain")
-_MATCH = NORM.format("translate(title, 'آأإٱئؤةۀء', 'اااایوهه')")
+_MATCH = NORM.format("translate(replace(title, chr(8204), ' '), 'آأإٱئؤةۀء', 'اااایوهه')")
 _text_query("match_form", lambda: [text.match_form(F.col("title")).alias("form")], f"{_MATCH} AS form")
 _text_query("squash_form", lambda: [text.squash_form(F.col("title")).alias("form")], f"replace({_MATCH}, ' ', '') AS form")
 _text_query("first_integer", lambda: [text.first_integer(F.col("title")).alias("n")], f"TRY_CAST(regexp_replace({FOLD.format('title')}, '[^0-9]', '', 'g') AS BIGINT) AS n")

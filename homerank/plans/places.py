@@ -51,18 +51,21 @@ def _(spark, d):
     return names.gazetteer(rows).select("form", _six(F.col("lat"), "lat"), _six(F.col("lon"), "lon"), "kind")
 
 
-#: A place's name in the ways that people put it, each of which one step finds.
-_CALLED = """CASE c_custkey % 6 WHEN 0 THEN 'TowerSquare ' || CAST(c_custkey % 40 AS STRING) || 'th' WHEN 1 THEN 'Old Mill ' || CAST(c_custkey % 40 AS STRING) WHEN 2 THEN 'Tower ' || CAST(c_custkey % 40 AS STRING) || 'th'
-WHEN 3 THEN 'near the ' || CAST(c_custkey % 40 AS STRING) || 'th' WHEN 4 THEN 'see ' || CAST(c_custkey % 40 AS STRING) || 'th now' ELSE 'nothing of the kind is here' END"""
+#: A place's name in the ways that people put it, each of which one step finds; no two places' words are alike.
+_OWN_WORD = "'k' || substr(md5(CAST({} % 40 AS STRING)), 1, 10)"
+_CALLED_WORD = _OWN_WORD.format("c_custkey")
+_CALLED = f"""CASE c_custkey % 6 WHEN 0 THEN 'TowerSquare ' || {_CALLED_WORD} WHEN 1 THEN 'Old Mill ' || {_CALLED_WORD} WHEN 2 THEN 'Tower ' || {_CALLED_WORD}
+WHEN 3 THEN 'near the ' || {_CALLED_WORD} WHEN 4 THEN 'see ' || {_CALLED_WORD} || ' now' ELSE 'nothing of the kind is here' END"""
 _CALLED_STEPS = "CASE c_custkey % 6 WHEN 0 THEN 'whole' WHEN 1 THEN 'alias' WHEN 2 THEN 'bare' WHEN 3 THEN 'word' WHEN 4 THEN 'word' END"
 
 
-@query("resolve_landmark", f"""{T.with_tables('stations')}, p AS (SELECT 'TowerSquare' || station_id % 40 || 'th' AS form, avg(lat) AS lat, avg(lon) AS lon FROM stations GROUP BY 1)
-SELECT DISTINCT name, form, step, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT {_CALLED.replace(*_V)} AS name, {_CALLED_STEPS} AS step, 'TowerSquare' || c_custkey % 40 || 'th' AS form FROM customer) JOIN p USING (form) WHERE step IS NOT NULL""")
+@query("resolve_landmark", f"""{T.with_tables('stations')}, p AS (SELECT 'TowerSquare' || {_OWN_WORD.format('station_id').replace(*_V)} AS form, avg(lat) AS lat, avg(lon) AS lon FROM stations GROUP BY 1)
+SELECT DISTINCT name, form, step, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT {_CALLED.replace(*_V)} AS name, {_CALLED_STEPS} AS step, 'TowerSquare' || {_CALLED_WORD.replace(*_V)} AS form FROM customer) JOIN p USING (form) WHERE step IS NOT NULL""")
 def _(spark, d):
     """Names that mean a place by its name, an alias, without generic words, or by a word of its own. Slips of the pen are fuzzy_name's."""
-    named = T.stations(spark, d).withColumn("name", F.concat(F.lit("Tower Square "), (F.col("station_id") % 40).cast("string"), F.lit("th")))
-    mills = named.select("name", "lat", "lon", F.array(F.concat(F.lit("Old Mill "), (F.col("station_id") % 40).cast("string"))).alias("aliases"))
+    word = F.expr(_OWN_WORD.format("station_id"))
+    named = T.stations(spark, d).withColumn("name", F.concat(F.lit("Tower Square "), word))
+    mills = named.select("name", "lat", "lon", F.array(F.concat(F.lit("Old Mill "), word)).alias("aliases"))
     asked = T.table(spark, d, "customer").selectExpr(f"{_CALLED} AS name")
     found = names.resolve_landmark(asked, names.gazetteer(named, mills), generic=("Square", "near", "the"))
     return found.select("name", "form", "step", _six(F.col("lat"), "lat"), _six(F.col("lon"), "lon"))
