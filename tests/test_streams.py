@@ -1,9 +1,13 @@
 """Streams over several batches: repeats, restarts, what a batch writes, and states that stay small."""
 
+import functools
 import os
 
+import duckdb
+from compare import same
 from pyspark.sql import functions as F
 
+from homerank import registry
 from homerank.operators import corpus
 from homerank.streaming import feeds
 from homerank.streaming.deltas import Deltas
@@ -77,3 +81,13 @@ def test_posting_rate_keeps_a_row_a_shard(spark, tmp_path):
     out = feeds.posting_rate(store.latest(query.lastProgress["batchId"] + 1, "user_id"), F.lit("2030-01-01 12:00:00").cast("timestamp"))
     got = {r["user_id"]: (r["posts"], r["rate"]) for r in out.collect()}
     assert got == {1: (3, 3 / 24), 2: (1, 1.0), 3: (1, None)}
+
+
+def test_ingest_takes_adverts_in_the_order_in_which_they_came(spark, sf, tmp_path):
+    """Of adverts with one fingerprint, in different batches or in one, the first stays (four copies of the orders, of which keys differ)."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    copies = [orders.withColumn("o_orderkey", F.col("o_orderkey") + 600_000 * i) for i in (3, 1, 0, 2)]
+    functools.reduce(type(orders).unionByName, copies).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert same(registry.queries()["stream_ingest"](spark, str(tmp_path)), db, registry.oracle_sql()["stream_ingest"]) == ""
