@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from homerank import constants as C
+from homerank import registry
 from homerank.operators import textsearch, transit
+from homerank.plans import searches
 
 
 def brute_search(texts, queries, most):
@@ -65,3 +67,9 @@ def test_modes_of_reach(spark):
     assert reach(10.0, "walk") == {"near"} and reach(10.0, "drive") == {"near", "far"} == reach(10.0, "transit") and reach(0.0, "walk") == reach(-5.0, "transit") == set()
     with pytest.raises(ValueError):
         reach(10.0, "teleport")
+
+
+def test_walks_to_the_metro_need_no_other_column_of_homes(spark, sf, monkeypatch):
+    """Stations in reach and vectors, which make homes large, are not made for them."""
+    monkeypatch.setattr(searches, "homes", lambda *a: pytest.fail("homes are made"))
+    assert registry.queries()["refresh_metro_walk"](spark, sf).count() > 0
