@@ -1,10 +1,13 @@
 """Posts in the shapes that a crawl returns, with the rows that follow from them by hand."""
 
 import json
+import os
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
 from homerank.operators import posts, records
+from homerank.plans import posts as plans
 
 FULL = {
     "sections": [
@@ -109,3 +112,10 @@ def test_records(spark):
     assert record["media"]["images"] == ["u1", "u2", "u3"] and record["source"]["url"] == "https://example.org/mined" and record["features"] == {"cooling": ["کولر آبی"]}
     summary = {r["measure"]: r["n"] for r in records.summary(whole).collect()}
     assert summary["raw"] == 7 and summary["kept"] == 1 and summary["dropped:no_location"] == 2 and summary["rooms:listing_text"] == 1 and summary["flag:area_repaired_from_text"] == 1
+
+
+def test_posts_lie_packed(spark, sf):
+    """Raw posts are many times larger than the table that they are made from; what lies on disk is not."""
+    rows = plans.raw_posts(spark, sf)
+    stored = sum(os.path.getsize(urlsplit(f).path) for f in rows.inputFiles())
+    assert 10 * stored < rows.agg(F.sum(F.octet_length("raw"))).first()[0]
