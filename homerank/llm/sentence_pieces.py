@@ -227,6 +227,8 @@ class Model:
         #: Two characters that are neighbours in no piece are never merged.
         self.neighbours = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
+        self.surface_bytes = [x if isinstance(x, bytes) else x.encode("utf-8") for x in self.surface]
+        self.size = [len(x.encode("utf-8")) for x in self.pieces]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.units = Units(self)
 
@@ -248,7 +250,7 @@ class Model:
                 run = [b]
         yield run
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[str] | str) -> list[str]:
         """Merge neighbours, best score first and leftmost of equals, until nothing merges; unused pieces are taken apart again."""
         frozen = self.fixed
         stands = [bool(frozen and frozen.fullmatch(s)) for s in symbols] if frozen else None
@@ -260,9 +262,10 @@ class Model:
             while scores and (best := max(scores)) > none:
                 at = scores.index(best)
                 both = parts[at] + parts[at + 1]
-                if both in self.unused:
+                if self.unused and both in self.unused:
                     split[both] = parts[at], parts[at + 1]
-                parts[at : at + 2] = [both]
+                parts[at] = both
+                del parts[at + 1]
                 del scores[at]
                 if at:
                     scores[at - 1] = score(parts[at - 1] + both, none)
@@ -303,19 +306,24 @@ class Model:
 
     def encode_unit(self, unit: str) -> tuple[bytes, bytes]:
         """Ids and the bytes of normalised text that each takes (of the bytes of an unknown character, the last one takes all)."""
+        # A short unit needs no runs: between them nothing has a score.
+        pieces = self.merge(unit) if len(unit) <= SCAN_SYMBOLS and not self.fixed else [x for run in self.symbols(unit) for x in self.merge(run)]
+        found = list(map(self.id_of.get, pieces))
+        if None not in found:
+            form = f"<{len(found)}I"
+            return struct.pack(form, *found), struct.pack(form, *map(self.size.__getitem__, found))
         ids, sizes = [], []
-        for run in self.symbols(unit):
-            for piece in self.merge(run):
-                known, size = self.id_of.get(piece), len(piece.encode("utf-8"))
-                if known is not None:
-                    ids.append(known)
-                    sizes.append(size)
-                elif self.byte_id:
-                    ids += [self.byte_id[b] for b in piece.encode("utf-8")]
-                    sizes += [0] * (size - 1) + [size]
-                else:
-                    ids.append(self.unknown)
-                    sizes.append(size)
+        for piece, known in zip(pieces, found):
+            size = len(piece.encode("utf-8"))
+            if known is not None:
+                ids.append(known)
+                sizes.append(size)
+            elif self.byte_id:
+                ids += [self.byte_id[b] for b in piece.encode("utf-8")]
+                sizes += [0] * (size - 1) + [size]
+            else:
+                ids.append(self.unknown)
+                sizes.append(size)
         return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
 
     def _units(self, normal: str) -> list[str]:
@@ -364,6 +372,16 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks give nothing, bytes become characters (U+FFFD where they are none), and the first space that the
         encoder adds goes."""
+        if not self.denormalizer and ids and self.kinds[ids[0]] == NORMAL:
+            # No piece without text stands between bytes, which are one text then.
+            every = list(map(self.surface_bytes.__getitem__, ids))
+            if self.normalizer.prefix or self.normalizer.squeeze:
+                every[0] = every[0].removeprefix(b" ")
+            if b"" not in every[:-1]:
+                try:
+                    return b"".join(every).decode("utf-8")
+                except UnicodeDecodeError:
+                    pass
         parts = list(map(self.surface.__getitem__, ids))
         if self.normalizer.prefix or self.normalizer.squeeze:
             for i, x in enumerate(ids):

@@ -93,3 +93,20 @@ def test_query(spark, sf):
         ids = library.encode(text[r["doc_id"]], add_eos=True)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_short_units_and_bytes_take_the_short_way(monkeypatch):
+    """Units of a few characters are merged without looking for runs, bytes are decoded as one text; both as the long ways do."""
+    model = sentence_pieces.Model(sentence_pieces.default_model())
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("aeinrst▁E0é漢‍😀") for _ in range(rnd.randint(1, 20))) for _ in range(400)]
+    runs = [[x for run in model.symbols(w) for x in model.merge(run)] for w in words]
+    texts = [f"plain words {w.replace('▁', ' ')}" for w in words]
+    longs = ["".join(sentence_pieces._characters([model.surface[i] for i in np.frombuffer(model.encode(t), "<u4").tolist()])).removeprefix(" ") for t in texts]
+    monkeypatch.setattr(sentence_pieces.Model, "symbols", lambda *a: 1 / 0)
+    monkeypatch.setattr(sentence_pieces, "_with_bytes", lambda *a: 1 / 0)
+    model = sentence_pieces.Model(sentence_pieces.default_model())
+    for w, pieces in zip(words, runs):
+        ids = [i for p in pieces for i in ([model.id_of[p]] if p in model.id_of else [model.byte_id[b] for b in p.encode("utf-8")])]
+        assert np.frombuffer(model.encode_unit(w)[0], "<u4").tolist() == ids
+    assert [model.decode(np.frombuffer(model.encode(t), "<u4").tolist()) for t in texts] == longs == texts
