@@ -222,15 +222,32 @@ def resolve_landmark(asked: DataFrame, places: DataFrame, name: str = "name", ge
     return found.unionByName(like).join(places.select("form", "lat", "lon"), "form").select(name, "form", "step", "lat", "lon")
 
 
+def _alike(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """asked (__needle) with `form` of places: all pairs that a ratio above FUZZY leaves, some of them several times, and few others.
+
+    A name of which at most d characters are edited, cut into d + 1 pieces, has one of them unchanged, at most d characters off its place."""
+    n = F.length("__needle")
+    most = F.floor((1 - FUZZY) * (2 * n + FUZZY_DIFFERENCE) + 1e-9).cast("int")
+    begin = lambda i: F.floor(i * n / (most + 1)).cast("int")
+    piece = lambda i: F.struct(F.substring("__needle", begin(i) + 1, begin(i + 1) - begin(i)).alias("__piece"), begin(i).alias("__at"))
+    cut_up = asked.withColumn("__most", most).select("*", F.inline(F.transform(F.sequence(F.lit(0), most), piece)))
+    sizes = cut_up.select(F.length("__piece").alias("__size")).distinct()
+    m = F.length("form")
+    runs = F.broadcast(sizes).crossJoin(places.filter(m >= 1).distinct()).filter(F.col("__size") <= m)  # a row for each width of a piece, which are few
+    at = F.sequence(F.lit(0), m - F.col("__size"))
+    runs = runs.select("form", F.inline(F.transform(at, lambda i: F.struct(F.substring(F.col("form"), i + 1, F.col("__size")).alias("__piece"), i.alias("__stands")))))
+    close = (F.abs(F.col("__at") - F.col("__stands")) <= F.col("__most")) & (F.abs(n - m) <= FUZZY_DIFFERENCE)
+    return cut_up.join(runs, "__piece").filter(close).drop("__piece", "__at", "__stands", "__most")
+
+
 def fuzzy(asked: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """name, __like: the likest place of names (name, __needle) by difflib's ratio, above FUZZY; the first form of equal ones.
 
-    Names meet places in bands of length; pairs too many edits apart for the ratio are dropped by Spark before Python sees them.
+    Names meet places by pieces of themselves; pairs too many edits apart for the ratio are dropped by Spark before Python sees them.
     """
-    near = F.explode(F.sequence(F.length("form") - FUZZY_DIFFERENCE, F.length("form") + FUZZY_DIFFERENCE))
-    pairs = asked.filter(F.length("__needle") >= FUZZY_LENGTH).withColumn("__n", F.length("__needle")).join(places.select("form", near.alias("__n")), "__n")
+    pairs = _alike(asked.filter(F.length("__needle") >= FUZZY_LENGTH).select(name, "__needle"), places.select("form"))
     # A ratio above r leaves at most (1 - r) of both lengths unmatched, and every edit leaves one unmatched at least.
-    pairs = pairs.filter(F.levenshtein("__needle", "form") <= (1 - FUZZY) * (F.length("__needle") + F.length("form"))).select(name, "__needle", "form")
+    pairs = pairs.filter(F.levenshtein("__needle", "form") <= (1 - FUZZY) * (F.length("__needle") + F.length("form"))).select(name, "__needle", "form").distinct()
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,6 +1,7 @@
 """Names against brute force: containment, landmarks, the linking cascade, keywords of areas."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,24 @@ def test_keywords_of_areas(spark):
     assert got["b"] == ("کوهسار (d1)", ["کوهسار"]) and got["d"] == ("کوهسار", []) and got["e"] == ("حکمت-دزاشیب", ["دزاشیب", "حکمت"])
     plan = keywords.area_names(rows)[0]._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # tasks pass on no more of an area than is taken
+
+
+def test_slips_equal_brute_force_and_meet_few_names(spark):
+    """Names with edits of all kinds against all places; most pairs of one length never meet."""
+    rnd = random.Random(3)
+    places = ["".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(4, 18))) for _ in range(150)]
+
+    def slip(x):
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randrange(len(x))
+            x = rnd.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "z" + x[i + 1 :]]) or "z"
+        return x
+
+    asked = sorted({slip(p) for p in places for _ in range(3)})
+    frame, forms = spark.createDataFrame([(a, a) for a in asked], "name string, __needle string"), spark.createDataFrame([(p,) for p in places], "form string")
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = {a: best[1] for a in asked if len(a) >= names.FUZZY_LENGTH and (best := min(((-ratio(a, p), p) for p in places if abs(len(a) - len(p)) <= names.FUZZY_DIFFERENCE), default=(0, "")))[0] < -names.FUZZY}
+    assert {r["name"]: r["__like"] for r in names.fuzzy(frame, forms, "name").collect()} == want and len(want) > 100
+    long = [a for a in asked if len(a) >= 12]
+    met = names._alike(frame.filter(F.length("name") >= 12), forms).distinct().count()
+    assert 3 * met < sum(abs(len(a) - len(p)) <= names.FUZZY_DIFFERENCE for a in long for p in places)
