@@ -556,3 +556,22 @@ def test_code_lengths_equal_plain_matching(spark):
         assert np.allclose(row, [length(t, "x"), length(t, "y")], rtol=1e-4, atol=1e-4), t
     same_trees = language_id.fit(spark.createDataFrame([(i, "abc abc", lang) for i, lang in enumerate("yxyxyxyx")], "doc_id bigint, text string, lang string"))
     assert {r["lang_pred"] for r in language_id.predict(spark.createDataFrame([(1, "abc")], "doc_id bigint, text string"), same_trees).collect()} == {"x"}
+
+
+def test_word_hashes_take_little_memory_beside_the_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from homerank.llm.word_hashes import blocks
+
+    texts = pa.array([f"word{i} and so on " * 500 for i in range(500)])
+    list(blocks(texts.slice(0, 5)))
+    tracemalloc.start()
+    try:
+        for _ in blocks(texts):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 30e6
