@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from homerank import constants as C
 from homerank import registry
-from homerank.operators import textsearch, transit
+from homerank.functions.geo import manhattan_m
+from homerank.operators import search, spatial, textsearch, transit
 from homerank.plans import searches
 
 
@@ -73,3 +74,20 @@ def test_walks_to_the_metro_need_no_other_column_of_homes(spark, sf, monkeypatch
     """Stations in reach and vectors, which make homes large, are not made for them."""
     monkeypatch.setattr(searches, "homes", lambda *a: pytest.fail("homes are made"))
     assert registry.queries()["refresh_metro_walk"](spark, sf).count() > 0
+
+
+def test_commute_takes_the_best_of_all_stations_in_reach(spark):
+    stations = spark.createDataFrame([(i, 35.60 + i * 7919 % 1009 / 10090, 51.20 + i * 104729 % 997 / 9970) for i in range(3000)] + [(9999, 35.80, 51.55)], "station_id bigint, lat double, lon double")
+    arrivals = stations.select(F.lit(1).alias("origin_id"), "station_id", F.when(F.col("station_id") % 11 > 0, F.pmod(F.xxhash64("station_id"), F.lit(400)) / 10.0 + 1).alias("minutes")).cache()
+    points = spark.createDataFrame([(i, 35.59 + i * 31 % 101 / 880, 51.19 + i * 57 % 103 / 880) for i in range(120)] + [(500, 35.82, 51.58)], "id bigint, lat double, lon double")
+    homes = spatial.with_nearest(points, stations, "stop_id", "stop_meters", "station_id").cache()
+    near, far = transit.stops_near(arrivals, stations).withColumnRenamed("origin_id", "search_id").cache(), transit.stops_far(arrivals, homes).withColumnRenamed("origin_id", "search_id")
+    asked = spark.createDataFrame([(1, 35.65, 51.25, "transit")], "search_id int, workplace_lat double, workplace_lon double, commute_mode string")
+    got = {r["id"]: r["m"] for r in search.with_stops(homes.crossJoin(asked), near, far).select("id", search.commute_minutes().alias("m")).collect()}
+    every = points.crossJoin(arrivals.join(stations, "station_id").select(F.col("lat").alias("y"), F.col("lon").alias("x"), "minutes")).withColumn("meters", manhattan_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")))
+    least = every.groupBy("id").agg(F.min("meters").alias("nearest")).join(every, "id").filter((F.col("meters") <= 1500) | ((F.col("nearest") > 1500) & (F.col("meters") == F.col("nearest"))))
+    brute = least.groupBy("id", "lat", "lon").agg(F.min(F.col("meters") / 80 + F.col("minutes")).alias("net"))
+    walk = manhattan_m(F.col("lat"), F.col("lon"), F.lit(35.65), F.lit(51.25)) / 80
+    want = {r["id"]: r["m"] for r in brute.select("id", F.least(walk, "net").alias("m")).collect()}
+    assert got == want and len(got) == 121
+    assert near.agg(F.avg(F.size("stops"))).first()[0] < 40  # of some 90 that are in reach
