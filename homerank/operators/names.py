@@ -293,11 +293,57 @@ def bare_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
-def _parts(name: str) -> Column:
-    """All different substrings of a short name that are longer than PAIRED_CONTAINED."""
+def _lengths(names: DataFrame, name: str) -> DataFrame:
+    """__size: the different lengths of names that one may contain."""
+    return names.select(F.length(name).alias("__size")).distinct().filter(F.col("__size") > PAIRED_CONTAINED)
+
+
+def _with_parts(names: DataFrame, name: str, sizes: DataFrame, part: str) -> DataFrame:
+    """names, a row for each of their different substrings `part` that is as long as one of sizes (__size: lengths, which are few)."""
     n = F.length(name)
-    at = lambda i: F.transform(F.sequence(F.lit(PAIRED_CONTAINED + 1), F.greatest(n - i + 1, F.lit(PAIRED_CONTAINED + 1))), lambda k: F.substring(F.col(name), i, k))
-    return F.when(n > PAIRED_CONTAINED, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - PAIRED_CONTAINED, F.lit(1))), at)))).otherwise(F.array().cast("array<string>"))
+    wide = names.crossJoin(F.broadcast(sizes)).filter(F.col("__size") <= n)
+    own = F.transform(F.sequence(F.lit(1), n - F.col("__size") + 1), lambda i: F.substring(F.col(name), i, F.col("__size")))
+    return wide.withColumn(part, F.explode(F.array_distinct(own))).drop("__size")
+
+
+def _shortened(form: Column, by: Column) -> Column:
+    """Hashes of all texts that are left of a form when so many of its characters are taken out."""
+    start = F.array(F.struct(form.alias("s"), F.lit(1).alias("at")))
+    none = F.array().cast("array<struct<s:string,at:int>>")
+
+    def without(a: Column) -> Column:
+        each = F.transform(F.sequence(a["at"], F.greatest(F.length(a["s"]), a["at"])), lambda i: F.struct(F.concat(F.substring(a["s"], F.lit(1), i - 1), F.substring(a["s"], i + 1, F.length(a["s"]))).alias("s"), i.alias("at")))
+        return F.when(a["at"] <= F.length(a["s"]), each).otherwise(none)
+
+    left = F.aggregate(F.sequence(F.lit(0), by), start, lambda every, i: F.when(i == 0, every).otherwise(F.flatten(F.transform(every, without))))
+    return F.array_distinct(F.transform(left, lambda a: F.xxhash64(a["s"])))
+
+
+#: Blocks in which names of lengths that are compared one by one are dealt.
+NAME_BLOCKS = 64
+
+
+def alike_pairs(titles: DataFrame, forms: DataFrame) -> DataFrame:
+    """t, form of titles (t) and forms (form), each once: all pairs that a ratio of PAIRED leaves, and few others.
+
+    Of such a pair with lengths n and m at least PAIRED * (n + m) / 2 characters match in order, so both become one text of that length
+    when what is over is taken out of each: an equality join on the hashes of all such texts. Where the names of two lengths are so few, or so
+    long, that they have fewer pairs than such texts, they are compared one by one in blocks.
+    """
+    left = titles.select("t", F.length("t").alias("n")).filter("n > 0")
+    right = forms.select("form", F.length("form").alias("m")).filter("m > 0")
+    ways = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(x) - F.col("same"), F.lit(1))), F.lit(1.0), lambda c, i: F.when(F.col(x) > F.col("same"), c * (F.col("same") + i) / i).otherwise(c))
+    sizes = left.groupBy("n").agg(F.count(F.lit(1)).alias("titles")).crossJoin(F.broadcast(right.groupBy("m").agg(F.count(F.lit(1)).alias("forms"))))  # a row for each two lengths
+    sizes = sizes.withColumn("same", F.ceil(PAIRED * (F.col("n") + F.col("m")) / 2 - 1e-9).cast("int")).filter(F.col("same") <= F.least("n", "m"))
+    sizes = cut(sizes.select("n", "m", "same", (ways("n") * F.col("titles") + ways("m") * F.col("forms") < F.col("titles").cast("double") * F.col("forms")).alias("short")))
+    by_text, one_by_one = F.broadcast(sizes.filter("short").drop("short")), F.broadcast(sizes.filter("NOT short").select("n", "m"))
+    keys = lambda rows, name, size: rows.join(by_text, size).select(name, "n", "m", F.explode(_shortened(F.col(name), F.col(size) - F.col("same"))).alias("key"))
+    met = keys(left, "t", "n").join(keys(right, "form", "m"), ["n", "m", "key"]).select("t", "form")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(NAME_BLOCKS - 1)))
+    asked = left.join(one_by_one, "n").withColumn("block", blocks)
+    dealt = right.join(one_by_one.select("m").distinct(), "m").withColumn("block", F.pmod(F.xxhash64("form"), F.lit(NAME_BLOCKS)).cast("int"))
+    every = met.unionByName(asked.join(dealt, ["m", "block"]).select("t", "form"))
+    return every.filter(F.levenshtein("t", "form") <= (1 - PAIRED) * (F.length("t") + F.length("form")) + 1e-9).distinct()
 
 
 def match_name_list(items: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -305,22 +351,20 @@ def match_name_list(items: DataFrame, polygons: DataFrame) -> DataFrame:
 
     A title is a polygon's name; else contains one or is inside one, the first in order; else is like one; else the subtitle contains
     one. Of polygons with one bare name the last counts. A polygon that several items claim goes to the only one with its very name, else to none.
-    Names meet through their substrings and their lengths, by equality.
+    Names meet by equality: through their substrings that are as long as some name, and through what is left of both without what differs.
     """
-    own = polygons.select("ord", "name", bare_name(F.col("name")).alias("form")).filter("form <> ''").groupBy("form").agg(F.min("ord").alias("ord"), F.max_by("name", "ord").alias("name"))
-    rows = items.select("id", bare_name(F.col("title")).alias("t"), bare_name(F.col("subtitle")).alias("s"))
+    own = cut(polygons.select("ord", "name", bare_name(F.col("name")).alias("form")).filter("form <> ''").groupBy("form").agg(F.min("ord").alias("ord"), F.max_by("name", "ord").alias("name")))
+    rows = cut(items.select("id", bare_name(F.col("title")).alias("t"), bare_name(F.col("subtitle")).alias("s")))
     titles = rows.select("t").distinct()
     exact = titles.join(own.select(F.col("form").alias("t")), "t").select("t", F.col("t").alias("form"))
-    open_ = titles.join(exact.select("t"), "t", "left_anti")
-    inside = open_.withColumn("form", F.explode(_parts("t"))).join(own.select("form", "ord"), "form")
-    around = own.select("form", "ord", F.explode(_parts("form")).alias("t")).join(open_, "t")
-    part = inside.select("t", "form", "ord").unionByName(around.select("t", "form", "ord")).groupBy("t").agg(F.min_by("form", "ord").alias("form"))
+    open_ = cut(titles.join(exact.select("t"), "t", "left_anti"))
+    forms = own.select("form", "ord")
+    inside = _with_parts(open_, "t", _lengths(own, "form"), "form").join(forms, "form")
+    around = _with_parts(forms, "form", _lengths(open_, "t"), "t").join(open_, "t")
+    part = cut(inside.select("t", "form", "ord").unionByName(around.select("t", "form", "ord")).groupBy("t").agg(F.min_by("form", "ord").alias("form")))
     # Titles with nothing in them are inside no name and like none.
-    left = open_.join(part.select("t"), "t", "left_anti").filter("t <> ''")
-    # A ratio of r needs lengths within a factor of r / (2 - r).
-    share = PAIRED / (2 - PAIRED)
-    bands = F.explode(F.sequence(F.ceil(F.length("form") * share - 1e-9).cast("int"), F.floor(F.length("form") / share + 1e-9).cast("int")))
-    pairs = left.withColumn("n", F.length("t")).join(own.select("form", bands.alias("n")), "n").filter(F.levenshtein("t", "form") <= (1 - PAIRED) * (F.length("t") + F.length("form")) + 1e-9).select("t", "form")
+    left = cut(open_.join(part.select("t"), "t", "left_anti").filter("t <> ''"))
+    pairs = alike_pairs(left, own)
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -329,7 +373,7 @@ def match_name_list(items: DataFrame, polygons: DataFrame) -> DataFrame:
 
     like = pairs.mapInPandas(ratios, "t string, form string, ratio double").filter(F.col("ratio") >= PAIRED).groupBy("t").agg(F.max_by("form", F.struct("ratio", "form")).alias("form"))
     found = exact.withColumn("step", F.lit("exact")).unionByName(part.withColumn("step", F.lit("part"))).unionByName(like.withColumn("step", F.lit("like")))
-    sub = rows.select("s").distinct().withColumn("form", F.explode(_parts("s"))).join(own.select("form", "ord"), "form").groupBy("s").agg(F.min_by("form", "ord").alias("__sub"))
+    sub = _with_parts(rows.select("s").distinct(), "s", _lengths(own, "form"), "form").join(forms, "form").groupBy("s").agg(F.min_by("form", "ord").alias("__sub"))
     claims = rows.join(found, "t", "left").join(sub, "s", "left").withColumn("step", F.coalesce("step", F.when(F.col("__sub").isNotNull(), "subtitle"))).withColumn("form", F.coalesce("form", "__sub"))
     tally = claims.filter("form IS NOT NULL").join(own.select("form", "name"), "form").groupBy("name").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("step") == "exact").alias("exact"))
     out = claims.join(own.select("form", "name"), "form", "left").join(tally, "name", "left")

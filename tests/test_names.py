@@ -16,6 +16,19 @@ def test_containment_equals_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == {(a, b) for a in inner for b in outer if a and b is not None and a in b} and got.count() == got.distinct().count()
 
 
+def test_alike_names_meet_by_what_is_left_of_both(spark):
+    """Many names of one length meet by shortened texts, few of a length one by one; both lose no pair that a ratio leaves."""
+    rnd = random.Random(5)
+    forms = ["".join(rnd.choice("abcdef") for _ in range(10)) for _ in range(400)] + ["ab", "a", "abcdefghijklmnopqrstuvwxyz" * 2, "\U0001f600bcde"]
+    slip = lambda x: x[: (i := rnd.randrange(len(x)))] + rnd.choice(["", "q", "qx"]) + x[i + rnd.randint(0, 2) :]
+    titles = sorted({slip(slip(x)) for x in forms} | {"a", "b", "abcdefghijklmnopqrstuvwxyz" * 2} - {""})
+    made = names.alike_pairs(spark.createDataFrame([(t,) for t in titles], "t string"), spark.createDataFrame([(f,) for f in forms], "form string"))
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got)) < len(titles) * len(forms) / 20
+    assert {(t, f) for t in titles for f in forms if SequenceMatcher(None, f, t).ratio() >= names.PAIRED} <= set(got)
+    assert sorted(r[0] for r in spark.createDataFrame([("abcd",)], "x string").select(F.explode(names._shortened(F.col("x"), F.lit(2)))).collect()) == sorted(r[0] for r in spark.createDataFrame([(x,) for x in ("ab", "ac", "ad", "bc", "bd", "cd")], "x string").select(F.xxhash64("x")).collect())
+
+
 def test_no_product_of_names(spark):
     """With broadcasts off, names still meet by equality."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
