@@ -20,8 +20,8 @@ from .common import BROADCAST_BYTES, materialize
 LEAST_IMPORTANCE = 0.28
 #: How much of a node's importance is its content's; the rest is its layout's.
 CONTENT_SHARE = 0.75
-#: Words of a content feature, how many features a block has at most, and how many features' worth the same node on other hosts counts.
-GRAM, GRAMS, PRIOR = 4, 4, 40
+#: Words of a content feature at least, one in how many words may end one, the words beyond which a text has longer ones, and how many features' worth the same node on other hosts counts.
+GRAM, ENDS, LONG, PRIOR = 3, 2, 12, 40
 #: Kinds of features: content, sequences of children, and how many blocks of a node a page has.
 CONTENT, SHAPE, COUNT = 0, 1, 2
 
@@ -177,14 +177,20 @@ def host_of(url: str | None) -> str:
 
 
 def content_features(text: str) -> list[int]:
-    """At most GRAMS hashed runs of GRAM words, those whose first words have the least hashes; a shorter text is one feature itself.
-    Which ones depends on the text alone, so what two texts share is found in both."""
+    """Hashed runs of words, of which each word of the text is in exactly one: a run ends after a word with a hash that ENDS divides, once it
+    has GRAM words (twice as many with each doubling of the text beyond LONG words), and what is left at the end belongs to the last one.
+    Where runs end depends on the text alone, so what two texts of about one length share is found in both."""
     words = text.lower().split()
-    if len(words) <= GRAM:
-        return [xxhash.xxh3_64_intdigest(" ".join(words)) >> 1]
-    ranks = [zlib.crc32(w.encode("utf-8")) for w in words[: len(words) - GRAM + 1]]
-    first = sorted(range(len(ranks)), key=ranks.__getitem__)[:GRAMS]
-    return [xxhash.xxh3_64_intdigest(" ".join(words[i : i + GRAM])) >> 1 for i in first]
+    least = GRAM << max(len(words) // LONG, 1).bit_length() - 1
+    ends, begin = [], 0
+    for i, word in enumerate(words, 1):
+        if i - begin >= least and zlib.crc32(word.encode("utf-8")) % ENDS == 0:
+            ends.append(i)
+            begin = i
+    if ends and len(words) - begin < least:
+        ends.pop()
+    ends.append(len(words))
+    return [xxhash.xxh3_64_intdigest(" ".join(words[i:j])) >> 1 for i, j in zip([0, *ends], ends)]
 
 
 def page_sign(blocks: list[tuple[int, int, bool, bool, str]]) -> int:

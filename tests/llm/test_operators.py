@@ -466,6 +466,16 @@ def test_html_repeated_empty_and_long(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_content_features_hold_every_word():
+    """A change of any word of a block, however long, changes its features; what is not near the change stays."""
+    for n in (1, 2, 5, 17, 60, 400):
+        words = [f"w{i * i % 1009}" for i in range(n)]
+        own = html_extract.content_features(" ".join(words))
+        for i in range(n):
+            other = html_extract.content_features(" ".join([*words[:i], "changed", *words[i + 1 :]]))
+            assert set(own) != set(other) and (n < 60 or set(own) & set(other))
+
+
 def test_style_tree_equals_brute_force(spark):
     """Content, layout and importance of every node of two hosts, recomputed page by page."""
     rng = np.random.default_rng(5)
