@@ -108,10 +108,33 @@ class Alignment:
     def original(self, places: np.ndarray, end_normal: int, end_original: int) -> np.ndarray:
         """Places in the original's bytes for places in the normalised bytes that are borders of characters."""
         normal, original, copied = (np.array(x, np.int64) for x in zip(*self.runs, (end_normal, end_original, False)))
+        return self._at(places, normal, original, copied)
+
+    @staticmethod
+    def _at(places: np.ndarray, normal: np.ndarray, original: np.ndarray, copied: np.ndarray) -> np.ndarray:
         run = np.searchsorted(normal, places, side="right") - 1
         return original[run] + np.where(copied[run] == 1, places - normal[run], 0)
 
 
+class PlainAlignment(Alignment):
+    """The alignment of a text in which spaces alone are replaced, each by one that is `wider` bytes longer, and `added` bytes stand before it."""
+
+    def __init__(self, raw: bytes, added: int, wider: int):
+        super().__init__()
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        at = added + spaces + wider * np.arange(len(spaces))
+        after = np.ones(len(spaces), np.int64)
+        first = [0] * bool(added)
+        # The added bytes, then what stands before the first space, then each space and what follows it.
+        self.normal = np.concatenate([first, [added], np.column_stack([at, at + 1 + wider]).ravel()]).astype(np.int64)
+        self.begin = np.concatenate([first, [0], np.column_stack([spaces, spaces + 1]).ravel()]).astype(np.int64)
+        self.copied = np.concatenate([first, [1], np.column_stack([0 * after, after]).ravel()]).astype(np.int64)
+
+    def original(self, places: np.ndarray, end_normal: int, end_original: int) -> np.ndarray:
+        normal, original, copied = (np.append(x, y) for x, y in ((self.normal, end_normal), (self.begin, end_original), (self.copied, 0)))
+        return self._at(places, normal, original, copied)
+
+
 class Normalizer:
     """What is done to a text before it is cut into pieces, by the model's settings."""
 
@@ -143,9 +166,13 @@ class Normalizer:
 
     def run(self, text: str) -> tuple[str, Alignment, int, int]:
         """The normalised text, its alignment, and how many bytes long it is and how many of the original it stands for."""
-        out, align, normal, original = [], Alignment(), 0, 0
         space = SPACE if self.escape else " "
         width = len(space.encode("utf-8"))
+        if self.plain and text:
+            raw, added = text.encode("utf-8"), width * self.prefix
+            made = (space if self.prefix else "") + text.replace(" ", space)
+            return made, PlainAlignment(raw, added, width - 1), added + len(raw) + (width - 1) * text.count(" "), len(raw)
+        out, align, normal, original = [], Alignment(), 0, 0
         parts, dropping = [], self.squeeze
         for raw, made, copied in self._parts(text) if text else ():
             begin, size = original, len(raw.encode("utf-8"))
@@ -333,9 +360,16 @@ class Model:
         """Ids without marks, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.normalizer.plain and self.by_space and self.normalizer.prefix and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
-            return b"".join([self.units[w][0] for w in text.split(" ")])
-        return self._joined(b"".join(self.unit(u)[0] for u in self._units(self.normalizer.run(text)[0])))
+        return self._joined(b"".join([u[0] for u in self._encoded(self.normalizer.run(text)[0])]))
+
+    def _encoded(self, normal: str) -> list[tuple[bytes, bytes]]:
+        """What encode_unit gives for each unit of a normalised text; where single spaces alone begin them they are looked up by their words."""
+        if self.by_space and normal.startswith(SPACE):
+            words = normal.split(SPACE)
+            del words[0]
+            if "" not in words:
+                return list(map(self.units.__getitem__, words))
+        return [self.unit(u) for u in self._units(normal)]
 
     def unit(self, unit: str) -> tuple[bytes, bytes]:
         """A unit of normalised text; that of one space and a word is kept by the word."""
@@ -354,13 +388,13 @@ class Model:
         """Ids, and where the original bytes of each piece begin and end: the added space has none, and of the bytes of one unknown
         character only the last one has a span."""
         normal, align, size, original = self.normalizer.run(text)
-        units = [self.unit(u) for u in self._units(normal)]
-        ids = b"".join(u[0] for u in units)
+        units = self._encoded(normal)
+        ids = b"".join([u[0] for u in units])
         if not ids:
             return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends = np.cumsum(np.frombuffer(b"".join(u[1] for u in units), "<u4").astype(np.int64))
-        begins = np.concatenate([[0], ends[:-1]])
-        begin, end = (align.original(x, size, original) for x in (begins, ends))
+        borders = np.cumsum(np.frombuffer(b"\0\0\0\0" + b"".join([u[1] for u in units]), "<u4").astype(np.int64))
+        places = align.original(borders, size, original)
+        begin, end = places[:-1], places[1:]
         if not self.byte_id:
             every = np.frombuffer(ids, "<u4")
             again = np.zeros(len(every), bool)
@@ -479,7 +513,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 text = text or ""
                 if keep_spans:
                     packed, begin, end = model.encode_spans(text)
-                    spans = [x.tolist() + [len(text.encode("utf-8"))] * with_end for x in (begin, end)]
+                    spans = [np.append(x, [len(text.encode("utf-8"))] * with_end) for x in (begin, end)]
                 else:
                     packed, spans = model.encode(text), []
                 ids = np.frombuffer(packed, "<u4").tolist() + [model.end] * with_end
@@ -507,4 +541,6 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
 
 
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), keep_ids=False)
+    """The digests, and spans_hash: xxhash64 of where the pieces begin and end in the original's bytes."""
+    made = encode_documents(documents(spark, sf_dir), keep_ids=False, keep_spans=True)
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.xxhash64("begins", "ends").alias("spans_hash"))

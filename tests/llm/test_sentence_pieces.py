@@ -95,6 +95,27 @@ def test_query(spark, sf):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_query_aligns_every_text(spark, sf, monkeypatch):
+    """The query's rows come with the spans of their pieces, and plain texts are normalised and aligned like all others."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    spans = []
+    for r in docs.select("doc_id", "text").collect():
+        pieces, size = library.encode(r["text"] or "", return_type="proto").pieces, len((r["text"] or "").encode("utf-8"))
+        spans.append((r["doc_id"], [p.begin for p in pieces] + [size], [p.end for p in pieces] + [size]))
+    want = spark.createDataFrame(spans, "doc_id bigint, begins array<bigint>, ends array<bigint>").select("doc_id", F.xxhash64("begins", "ends").alias("spans_hash"))
+    rows = sentence_pieces.op13_sentence_pieces(spark, sf)
+    assert rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert rows.select("doc_id", "spans_hash").exceptAll(want).isEmpty()
+    seen = []
+    run = sentence_pieces.Normalizer.run
+    monkeypatch.setattr(sentence_pieces.Normalizer, "run", lambda self, text: seen.append(text) or run(self, text))
+    sentence_pieces.load(sentence_pieces.default_model()).encode("plain words")
+    assert seen == ["plain words"]
+
+
 def test_short_units_and_bytes_take_the_short_way(monkeypatch):
     """Units of a few characters are merged without looking for runs, bytes are decoded as one text; both as the long ways do."""
     model = sentence_pieces.Model(sentence_pieces.default_model())
