@@ -91,3 +91,15 @@ def test_commute_takes_the_best_of_all_stations_in_reach(spark):
     want = {r["id"]: r["m"] for r in brute.select("id", F.least(walk, "net").alias("m")).collect()}
     assert got == want and len(got) == 121
     assert near.agg(F.avg(F.size("stops"))).first()[0] < 40  # of some 90 that are in reach
+
+
+def test_points_of_few_views_are_not_shuffled(spark):
+    """Three views are three keys: points that met them by a shuffle would stand in three tasks."""
+    points = spark.range(100).selectExpr("id % 3 AS search_id", "id", "35.6 + id / 1000 AS lat", "51.3 + id / 1000 AS lon")
+    views = spark.createDataFrame([(0, 35.6, 35.7, 51.3, 51.4, 12.0), (1, 35.6, 35.7, 51.3, 51.4, 17.0)], "search_id bigint, min_lat double, max_lat double, min_lon double, max_lon double, zoom double")
+    from homerank.operators import spatial
+
+    made = spatial.clusters_and_pins(points, views.drop("zoom"), views)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") <= 2  # cells with their zooms, in badges and in pins: twelve rows a view
+    assert made.filter("search_id = 2").count() == 33
