@@ -103,3 +103,14 @@ def test_points_of_few_views_are_not_shuffled(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") <= 2  # cells with their zooms, in badges and in pins: twelve rows a view
     assert made.filter("search_id = 2").count() == 33
+
+
+def test_cosines_take_a_norm_once_and_use_all_tasks(spark):
+    from homerank.operators import search
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 0.0], [1.0, 1.0], None, [2.0], []])], "vec_id bigint, embedding array<float>").coalesce(1)
+    asked = rows.filter("vec_id <> 3").selectExpr("vec_id AS query_id", "embedding AS e")
+    made = search.cosines(rows, asked)
+    want = search.against_all(rows, asked).select("query_id", "vec_id", search.cosine("embedding", "e").alias("similarity"))
+    assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty() and made.count() == 30
+    assert "RoundRobin" in (p := made._jdf.queryExecution().executedPlan().toString()) or "hashpartitioning(vec_id" in p
