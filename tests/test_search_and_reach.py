@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from homerank import constants as C
 from homerank import registry
-from homerank.functions.geo import manhattan_m
+from homerank.functions.geo import manhattan_m, to_millimeters
 from homerank.operators import search, spatial, textsearch, transit
 from homerank.plans import searches
 
@@ -114,3 +115,28 @@ def test_cosines_take_a_norm_once_and_use_all_tasks(spark):
     want = search.against_all(rows, asked).select("query_id", "vec_id", search.cosine("embedding", "e").alias("similarity"))
     assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty() and made.count() == 30
     assert "RoundRobin" in (p := made._jdf.queryExecution().executedPlan().toString()) or "hashpartitioning(vec_id" in p
+
+
+@pytest.mark.parametrize("lat", [35.7, 0.0, -35.7, 61.0])
+def test_places_in_reach_are_those_of_all_pairs_and_cells_bring_few_others(spark, lat):
+    """Also far from the city, where a degree of longitude is narrower; of the pairs that meet in a cell most are results."""
+    rng = np.random.default_rng(11)
+    spots = lambda n: [(lat + float(x), 51.3 + float(y)) for x, y in rng.uniform(-0.05, 0.05, (n, 2))]
+    homes, places = spots(400), spots(300)
+    left, right = spark.createDataFrame([(i, *p) for i, p in enumerate(homes)] + [(-1, None, 51.3)], "id int, lat double, lon double"), spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(-1, lat, None)], "station_id int, lat double, lon double")
+    got = {(r["id"], r["station_id"]): r["meters"] for r in spatial.within_radius(left, right, 1500.0).collect()}
+    want = {(i, j): grid(*a, *b) for i, a in enumerate(homes) for j, b in enumerate(places) if grid(*a, *b) <= 1500}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    rows, columns = 1500 / 111320 / spatial.RADIUS_CELLS, 1500 / spatial._least_meters(35.85) / spatial.RADIUS_CELLS
+    share = spatial._reached(right.selectExpr("station_id", "lat AS __lat", "lon AS __lon"), 1500.0, rows, columns).count() * rows * columns / len(places)
+    diamond = 2 * (1500 / 111320) ** 2 / math.cos(math.radians(lat))
+    assert diamond < share < 1.8 * diamond
+
+
+def test_millimeters_are_rounded_as_in_sql(spark):
+    """By the thousandfold, not by the digits that a double is written with."""
+    import duckdb
+
+    values = [0.0, 0.0005, 0.0004999999999999999, 2.0005, 1.0005, 1.0015, 8.3455, 1499.9995, 1234.5675, 0.49999999999999994e-3, *(i / 2000 for i in range(1, 4000, 37))]
+    got = [r["m"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(to_millimeters(F.col("v")).alias("m")).collect()]
+    assert got == [x for (x,) in duckdb.sql("SELECT round(v, 3) FROM (SELECT unnest($1) AS v)", params=[values]).fetchall()]
