@@ -42,6 +42,26 @@ def test_search_equals_brute_force(spark, most, block):
     assert {(r["query_id"], r["id"], round(r["score"], 6)) for r in got.collect()} == brute_search(texts, queries, most)
 
 
+@pytest.mark.parametrize("few_terms, few_texts", [(0, 0), (0, 1000), (1000, 0), (1000, 1000)])
+def test_search_is_the_same_however_its_tables_are_dealt(spark, few_terms, few_texts):
+    rnd = random.Random(12)
+    words = lambda most: " ".join(f"w{min(int(rnd.expovariate(0.3)), 9)}" for _ in range(rnd.randint(0, most)))
+    texts = [(i, f"\t All {words(12)}\r\n") for i in range(90)] + [(500, None), (501, " \n")]
+    queries = [(q, words(5)) for q in range(25)] + [(100, "missing all"), (101, None), (102, " "), (103, "ALL all")]
+    got = textsearch.search(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(queries, "query_id int, text string"), 20, 40, few_terms, few_texts)
+    assert {(r["query_id"], r["id"], round(r["score"], 6)) for r in got.collect()} == brute_search(texts, queries, 20)
+
+
+def test_search_keeps_postings_of_found_texts_alone(spark, monkeypatch):
+    """Texts that no query finds by its rarest term give no postings, however many of the asked terms they have."""
+    kept, cut = [], textsearch.cut
+    monkeypatch.setattr(textsearch, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    texts = spark.range(400).selectExpr("id", "'all of the common words' || if(id = 7, ' rare', '') AS text")
+    queries = spark.createDataFrame([(1, "all of the rare words"), (2, "common rare")], "query_id int, text string")
+    assert {(r["query_id"], r["id"]) for r in textsearch.search(texts, queries).collect()} == {(1, 7), (2, 7)}
+    assert max(df.count() for df in kept) <= 10
+
+
 def grid(a, b, c, d):
     return abs(a - c) * C.METERS_PER_DEGREE + abs(b - d) * C.METERS_PER_DEGREE * math.cos(math.radians((a + c) / 2))
 
