@@ -160,3 +160,16 @@ def test_millimeters_are_rounded_as_in_sql(spark):
     values = [0.0, 0.0005, 0.0004999999999999999, 2.0005, 1.0005, 1.0015, 8.3455, 1499.9995, 1234.5675, 0.49999999999999994e-3, *(i / 2000 for i in range(1, 4000, 37))]
     got = [r["m"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(to_millimeters(F.col("v")).alias("m")).collect()]
     assert got == [x for (x,) in duckdb.sql("SELECT round(v, 3) FROM (SELECT unnest($1) AS v)", params=[values]).fetchall()]
+
+
+def test_many_places_are_not_broadcast_by_cell(spark):
+    """Nearest places by joins on cells, by arrays, and by joins of dealt points are the same; only few places wait in broadcast cells."""
+    rnd = random.Random(4)
+    points = [(i, rnd.uniform(35.5, 35.9), rnd.uniform(51.0, 51.7)) for i in range(300)] + [(900, None, 51.2), (901, 80.0, 51.2), (902, 35.6, 51.3)]
+    places = [(i, rnd.uniform(35.6, 35.62), rnd.uniform(51.2, 51.22)) for i in range(200)] + [(951, 35.6, 51.3), (950, 35.6, 51.3)]
+    points, places = spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(places, "station_id int, lat double, lon double")
+    found = [spatial.with_nearest(points, places, few=few, most=most) for few, most in ((10_000, 10_000), (10, 10_000), (10, 10))]
+    rows = [sorted(map(tuple, df.select("id", "station_id", F.round("meters", 6)).collect())) for df in found]
+    assert rows[0] == rows[1] == rows[2] and rows[0][-1] == (902, 950, 0.0) and [r[1] for r in rows[0][-3:-1]] == [None, None]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in found]
+    assert "BroadcastExchange" not in plans[1] + plans[2] and "Exchange" not in plans[1]
