@@ -62,3 +62,18 @@ def test_moves_that_take_no_time(spark):
     edges = spark.createDataFrame([(0, "1", 1, "1", 3.0), (0, "1", 2, "1", 1.0), (2, "1", 1, "1", 0.0), (1, "1", 3, "1", 0.25)], "station_id bigint, line string, to_station bigint, to_line string, minutes double")
     origins = spark.createDataFrame([("a", 35.7, 51.4)], "origin_id string, lat double, lon double")
     assert times(transit.arrival_times(origins, stations, lines, edges)) == [("a", 0, 4.0), ("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 5.25)]
+
+
+def test_cells_of_circles_are_dealt(spark):
+    """They are hundreds of a circle: sent to every task for the few bytes of their circles, they filled the driver."""
+    points = spark.createDataFrame([("a", 35.7, 51.4), ("b", 35.72, 51.4)], "id string, lat double, lon double")
+    circles = spark.createDataFrame([(1, 35.7, 51.4, 900.0), (2, 35.71, 51.4, 1500.0)], "origin_id int, lat double, lon double, reach double")
+    met = transit.within_circles(points, circles, 250.0)
+    assert sorted(map(tuple, met.collect())) == [(1, "a"), (2, "a"), (2, "b")]
+    # Only the ids that stand at several places, of which there are none here, may be sent.
+    assert "BroadcastHashJoin [cr" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_origins_are_dealt_to_many_tasks(spark, sf):
+    rows = network.arrivals(spark, sf).select(F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(rows) > 1
